@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm.common import shared_path, table
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.quality import keep_good
+from tabulon.llm.secretscan import redact
 from tabulon.llm.simhash import keep_representatives
 
 
@@ -20,6 +21,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_representatives(docs)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets and linked parts of credentials are masked in the texts; no document goes."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in the training sequences."""
     return pack_documents(docs)
@@ -28,6 +34,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
     ("packing", packing),
 ]
 

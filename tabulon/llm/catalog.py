@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm import urls
+from tabulon.llm.neighbours import op2_hilbert_neighbours
 from tabulon.llm.packing import op1_pattern_packing
 from tabulon.llm.quality import op5_compression_bands
+from tabulon.llm.secretscan import op7_multipart_secrets
 from tabulon.llm.simhash import op9_covering_simhash
+from tabulon.llm.tokenfile import op8_packed_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pattern_packing": op1_pattern_packing,
+        "op2_hilbert_neighbours": op2_hilbert_neighbours,
         "op5_compression_bands": op5_compression_bands,
+        "op6_url_rules": urls.op6_url_rules,
+        "op7_multipart_secrets": op7_multipart_secrets,
+        "op8_packed_token_files": op8_packed_token_files,
         "op9_covering_simhash": op9_covering_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_rules": urls.ORACLE}
