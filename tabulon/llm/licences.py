@@ -3,7 +3,8 @@
 Units are the lines, sentences and paragraphs of a text and the text itself. A unit of a bigrams can reach the least
 score with a template of b only if b * t / (2 - t) <= a <= b * (2 - t) / t, so sizes prune most templates. Texts are
 pruned first, and exactly: a unit that reaches the score holds so many of a template's bigrams that it must hold one
-out of any b - ceil(b * t / (2 - t)) + 1 of them; a text with none of those phrases has no such unit.
+out of any b - ceil(b * t / (2 - t)) + 1 of them; a text with none of those phrases has no such unit. The longest words
+of the phrases are looked for first, as that needs no normalised text.
 """
 
 from __future__ import annotations
@@ -40,29 +41,37 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "proprietary": ("All rights reserved.",),
 }
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"([.!?])\x20+"
 
 
 def bigrams(text: str) -> list[str]:
     """Distinct bigrams of normalised words, in order."""
-    words = re.findall(r"[^\W_]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+    words = re.findall(r"[^\W_]+", text.lower())
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:], strict=False)))
 
 
 def normalised(text: Column) -> Column:
-    """Letters and digits, A-Z lower-cased, with single spaces for everything else."""
-    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[^\p{L}\p{N}]+", " ")
+    """Letters and digits, lower-cased, with single spaces for everything else."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+
+
+#: Words too common to look for.
+_COMMON = set("a an and any are as at be by can for in is it may no not of on or such that the this to under with you".split())
+
+
+def _rarest(phrase: str) -> str:
+    words = phrase.split()
+    return max([w for w in words if w not in _COMMON] or words, key=len)
 
 
 def _phrases(templates: Mapping[str, Sequence[str]], least: float) -> list[str]:
-    """Bigrams of which a text with a hit has one: for each template, its longest ones."""
+    """Bigrams of which a text with a hit has one: for each template, those with the longest uncommon words."""
     out: list[str] = []
     for texts in templates.values():
         for t in texts:
             grams = bigrams(t)
             needed = math.ceil(round(len(grams) * least / (2 - least), 9))
-            out += sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1]
+            out += sorted(grams, key=lambda g: (-len(_rarest(g)), g))[: len(grams) - needed + 1]
     return list(dict.fromkeys(out))
 
 
@@ -72,10 +81,11 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, F.split(text, r"\n[\x20\x09]*\n", -1), F.array(text)))
 
 
-def _grams(unit: Column) -> Column:
-    words = F.split(F.trim(normalised(unit)), " ", -1)
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
-    return F.array_distinct(pairs)
+def _grams(units: Column) -> Column:
+    """The distinct bigrams of each unit; words are bound once for each, so the work is linear in the text."""
+    words = F.transform(units, lambda u: F.split(F.trim(normalised(u)), " ", -1))
+    some = F.filter(words, lambda w: F.size(w) > 1)
+    return F.transform(some, lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at(w, i + 2)))))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -87,31 +97,36 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[s
     """
     rows = [(name, g) for name, texts in templates.items() for t in texts if (g := bigrams(t))]
     whole = F.coalesce(F.col(text), F.lit(""))
-    padded = F.concat(F.lit(" "), normalised(whole), F.lit(" "))
-    hint = F.lit(False)
-    for phrase in _phrases(templates, least):
-        hint = hint | F.col("__plain").contains(f" {phrase} ")
+    phrases = _phrases(templates, least)
+    words = F.array(*map(F.lit, dict.fromkeys(map(_rarest, phrases))))
+    spaced = F.array(*(F.lit(f" {p} ") for p in phrases))
+    # a lambda binds its element, so a text is lowered or normalised once and not for every word
+    word = F.exists(F.array(F.lower(whole)), lambda t: F.exists(words, lambda w: t.contains(w)))
+    plain = F.array(F.concat(F.lit(" "), normalised(whole), F.lit(" ")))
+    hint = word & F.exists(plain, lambda t: F.exists(spaced, lambda p: t.contains(p)))
     none = F.array().cast("array<struct<license:string,score:double>>")
     low, high = least / (2 - least), (2 - least) / least
     sizes = [len(g) for _, g in rows] or [0]
 
+    known = F.array(*(
+        F.struct(
+            F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(math.ceil(round(low * len(g), 9))).alias("low"), F.lit(math.floor(round(high * len(g), 9))).alias("high"),
+        )
+        for name, g in rows
+    ))
+
     def scores(unit: Column) -> Column:
-        found = []
-        for name, grams in rows:
-            common = F.size(F.array_intersect(unit, F.array(*map(F.lit, grams))))
-            dice = F.lit(2.0) * common / (F.size(unit) + len(grams))
-            fits = F.size(unit).between(math.ceil(round(low * len(grams), 9)), math.floor(round(high * len(grams), 9)))
-            found.append(F.struct(F.lit(name).alias("license"), F.when(fits, dice).otherwise(0.0).alias("score")))
-        return F.filter(F.array(*found), lambda s: s["score"] >= least)
+        fitting = F.filter(known, lambda t: F.size(unit).between(t["low"], t["high"]))
+        scored = F.transform(fitting, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect(unit, t["grams"])) / (F.size(unit) + F.size(t["grams"]))).alias("score")))
+        return F.filter(scored, lambda s: s["score"] >= least)
 
     def best(hits: Column) -> Column:
         top = F.array_sort(F.transform(hits, lambda h: F.struct(h["license"].alias("license"), (-h["score"]).alias("minus"))))
         first = F.filter(top, lambda h, i: (i == 0) | (F.element_at(top, F.greatest(i, F.lit(1)))["license"] != h["license"]))
         return F.transform(first, lambda h: F.struct(h["license"].alias("license"), (-h["minus"]).alias("score")))
 
-    grams = F.filter(F.transform(_units(whole), _grams), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
-    out = docs.withColumn("__plain", padded)
-    out = out.withColumn("__grams", F.when(hint, grams).otherwise(F.array().cast("array<array<string>>"))).drop("__plain")
+    grams = F.filter(_grams(_units(whole)), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
+    out = docs.withColumn("__grams", F.when(hint, grams).otherwise(F.array().cast("array<array<string>>")))
     out = out.withColumn("__hits", F.when(F.size("__grams") > 0, F.flatten(F.transform("__grams", scores))).otherwise(none))
     return out.withColumn("licences", F.when(F.size("__hits") > 0, best(F.col("__hits"))).otherwise(none)).drop("__grams", "__hits")
 
@@ -137,7 +152,7 @@ WITH templates(license, grams) AS (VALUES {values}),
 units AS (
   SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])\x20+', '\1' || chr(10), 'g'), chr(10)), string_split_regex(text, '\n[\x20\x09]*\n'), [text])) AS unit
   FROM documents),
-words AS (SELECT doc_id, string_split(trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
 grams AS (SELECT DISTINCT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 400),
 scores AS (
   SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score FROM grams JOIN templates ON len(g) BETWEEN len(grams) * 0.6 AND len(grams) * 1.6),
