@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabulon.functions.arrays import let
+
 # In-band structural markers.
 MARKERS = ("<SURFACE>", "<COLUMN>", "<RULING>", "<BLANK_SPACE>", "<unk>")
 RULING = "<RULING>"
@@ -69,8 +71,12 @@ def morphemes(line: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """All runs of ``n`` items; none if there are fewer."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, n))
+
+    def runs(a: Column) -> Column:
+        starts = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(a, i, n))
+
+    return let(items, runs)
 
 
 def ngram_keys(items: Column, n: int, sep: str = " ") -> Column:
@@ -104,8 +110,11 @@ def primary_label(label: Column, sep: str = ",", unknown: str = "Unknown") -> Co
 
 def relative_places(items: Column, least: int = 4) -> Column:
     """(place, item) with place from 0 to 1; none below ``least`` items."""
-    placed = F.transform(items, lambda x, i: F.struct((i / (F.size(items) - 1)).alias("place"), x.alias("item")))
-    return F.when(F.size(items) >= least, placed).otherwise(F.lit(None))
+
+    def placed(a: Column) -> Column:
+        return F.when(F.size(a) >= least, F.transform(a, lambda x, i: F.struct((i / (F.size(a) - 1)).alias("place"), x.alias("item"))))
+
+    return let(items, placed)
 
 
 def numeral_groups(line: Column) -> Column:
@@ -129,5 +138,7 @@ def boundaries(text: Column, marker: str = RULING) -> Column:
         kept = F.when(x.rlike(MARKER_LINE), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(x)))
         return F.struct(kept.alias("lines"), cut.alias("cuts"))
 
-    parsed = F.aggregate(every, start, step)
-    return F.struct(parsed["lines"].alias("lines"), F.filter(parsed["cuts"], lambda c: c < F.size(parsed["lines"]) - 1).alias("cuts"))
+    def interior(parsed: Column) -> Column:
+        return F.struct(parsed["lines"].alias("lines"), F.filter(parsed["cuts"], lambda c: c < F.size(parsed["lines"]) - 1).alias("cuts"))
+
+    return let(F.aggregate(every, start, step), interior)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
+from tabulon.functions.arrays import let, let_all
 from tabulon.functions.stats import digest, permutation_p, two_sided, uniform
 
 _LENS = "array<int>"
@@ -25,10 +26,21 @@ def chunked(df: DataFrame, genre: str, key: str, text: str, marker: str = X.RULI
 
 def shared(tokens: Column, lens: Column) -> Column:
     """(total, pairs): trigrams shared by adjacent chunks of the given lengths, and how many pairs there are."""
-    ends = F.transform(lens, lambda x, i: F.aggregate(F.slice(lens, 1, i + 1), F.lit(0), lambda s, v: s + v))
-    sets = F.transform(lens, lambda n, i: F.array_distinct(X.ngram_keys(F.slice(tokens, F.element_at(ends, i + 1) - n + 1, n), 3)))
-    common = F.transform(F.slice(sets, 1, F.size(sets) - 1), lambda s, i: F.size(F.array_intersect(s, F.element_at(sets, i + 2))))
-    return F.struct(F.aggregate(common, F.lit(0), lambda s, x: s + x).alias("total"), F.size(common).alias("pairs"))
+
+    def sets(tokens: Column, lens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+
+        def step(acc: Column, n: Column) -> Column:
+            gram = F.array_distinct(X.ngram_keys(F.slice(tokens, acc["at"] + 1, n), 3))
+            return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(gram)).alias("out"))
+
+        return F.aggregate(lens, start, step, lambda acc: acc["out"])
+
+    def total(s: Column) -> Column:
+        common = F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: F.size(F.array_intersect(x, F.element_at(s, i + 2))))
+        return F.struct(F.aggregate(common, F.lit(0), lambda a, x: a + x).alias("total"), (F.size(s) - 1).alias("pairs"))
+
+    return let_all(lambda tokens, lens: let(sets(tokens, lens), total), tokens=tokens, lens=lens)
 
 
 def observed(chunks: DataFrame) -> DataFrame:
@@ -50,11 +62,15 @@ def scattered_lengths(seed: int, rep: Column, doc: Column, lens: Column, least:
     Tokens beyond the least are dropped one by one into hashed chunks: multinomial with equal chances, which is not
     uniform over cuts but concentrates near equal lengths. Texts too short for it become one chunk.
     """
+    return let(lens, lambda a: _scattered(seed, rep, doc, a, least))
+
+
+def _scattered(seed: int, rep: Column, doc: Column, lens: Column, least: int) -> Column:
     total, m = F.aggregate(lens, F.lit(0), lambda s, x: s + x), F.size(lens)
     slack = total - least * m
     balls = F.transform(F.sequence(F.lit(1), F.greatest(slack, F.lit(1))), lambda b: F.floor(uniform(seed, rep.cast("string"), doc.cast("string"), b.cast("string")) * m).cast("int"))
     balls = F.when(slack > 0, balls).otherwise(F.array().cast(_LENS))
-    drawn = F.transform(lens, lambda _, i: F.lit(least) + F.size(F.filter(balls, lambda b: b == i)))
+    drawn = let(balls, lambda bs: F.transform(lens, lambda _, i: F.lit(least) + F.size(F.filter(bs, lambda b: b == i))))
     return F.when(slack >= 0, drawn).otherwise(F.array(total))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
+from tabulon.functions.arrays import let, let_all
 from tabulon.functions.stats import benjamini_hochberg, digest, sign_test
 
 _INTS = "array<int>"
@@ -38,21 +39,27 @@ def span(start: Column | int, end: Column) -> Column:
 
 def equal_cuts(n: Column, k: Column) -> Column:
     """k segments of about equal length; rounding is half to even, repeated cuts fall together."""
-    at = lambda i: F.greatest(F.lit(0), F.least(n - 2, F.bround(i * n / k).cast("int") - 1))
-    return F.when((k < 2) | (n < 2), none()).otherwise(F.array_sort(F.array_distinct(F.transform(span(1, k - 1), at))))
+
+    def cuts(n: Column, k: Column) -> Column:
+        at = lambda i: F.greatest(F.lit(0), F.least(n - 2, F.bround(i * n / k).cast("int") - 1))
+        return F.when((k < 2) | (n < 2), none()).otherwise(F.array_sort(F.array_distinct(F.transform(span(1, k - 1), at))))
+
+    return let_all(cuts, n=n, k=k)
 
 
 def marker_places(marks: Column) -> Column:
     """Interior places of marker lines."""
-    return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull() & (i < F.size(marks) - 1))
+    return let(marks, lambda a: F.filter(F.transform(a, lambda m, i: F.when(m, i)), lambda i: i.isNotNull() & (i < F.size(a) - 1)))
 
 
 def marker_cuts(marks: Column, k: Column) -> Column:
     """The first k - 1 marker lines; too few are filled up with equal cuts; none at all gives equal cuts."""
-    n, m = F.size(marks), marker_places(marks)
-    equal = equal_cuts(n, k)
-    fill = F.slice(F.array_except(equal, m), 1, F.greatest(k - 1 - F.size(m), F.lit(0)))
-    return F.when(k < 2, none()).when(F.size(m) >= k - 1, F.slice(m, 1, F.greatest(k - 1, F.lit(0)))).otherwise(F.array_sort(F.concat(m, fill)))
+
+    def cuts(m: Column, equal: Column, k: Column) -> Column:
+        fill = F.slice(F.array_except(equal, m), 1, F.greatest(k - 1 - F.size(m), F.lit(0)))
+        return F.when(k < 2, none()).when(F.size(m) >= k - 1, F.slice(m, 1, F.greatest(k - 1, F.lit(0)))).otherwise(F.array_sort(F.concat(m, fill)))
+
+    return let_all(lambda marks, k: let_all(cuts, m=marker_places(marks), equal=equal_cuts(F.size(marks), k), k=k), marks=marks, k=k)
 
 
 def random_cuts(docs: DataFrame, reps: int, key: str = "doc_id", n: str = "n", k: str = "k", seed: int = 42) -> DataFrame:
@@ -68,8 +75,12 @@ def random_cuts(docs: DataFrame, reps: int, key: str = "doc_id", n: str = "n", k
 
 def marker_cuts_unknown_k(marks: Column) -> Column:
     """A cut at the last line of each run of markers, none at the end of the document."""
-    last = lambda m, i: m & (i < F.size(marks) - 1) & ~F.coalesce(F.get(marks, i + 1), F.lit(False))
-    return F.filter(F.transform(marks, lambda m, i: F.when(last(m, i), i)), lambda i: i.isNotNull())
+
+    def cuts(a: Column) -> Column:
+        last = lambda m, i: m & (i < F.size(a) - 1) & ~F.coalesce(F.get(a, i + 1), F.lit(False))
+        return F.filter(F.transform(a, lambda m, i: F.when(last(m, i), i)), lambda i: i.isNotNull())
+
+    return let(marks, cuts)
 
 
 def length_prior_cuts(n: Column, length: Column) -> Column:
@@ -86,10 +97,19 @@ def length_prior(docs: DataFrame, by: Sequence[str], key: str, sizes: str) -> Da
 
 def threshold_cuts(scores: Column, z: float = 0.5) -> Column:
     """Gaps whose score is strictly above the mean by ``z`` population deviations."""
-    n = F.size(scores)
-    mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / n
-    sd = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return F.when(n == 0, none()).otherwise(F.filter(F.transform(scores, lambda x, i: F.when(x > F.round(mean + z * sd, 9), i)), lambda i: i.isNotNull()))
+
+    def above(scores: Column, bar: Column) -> Column:
+        return F.filter(F.transform(scores, lambda x, i: F.when(x > bar, i)), lambda i: i.isNotNull())
+
+    def with_mean(scores: Column, mean: Column) -> Column:
+        sd = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(scores))
+        return let_all(above, scores=scores, bar=F.round(mean + z * sd, 9))
+
+    def cuts(a: Column) -> Column:
+        mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+        return F.when(F.size(a) == 0, none()).otherwise(let_all(with_mean, scores=a, mean=mean))
+
+    return let(scores, cuts)
 
 
 # --- gap scores ---
@@ -109,13 +129,18 @@ def lexical_gaps(tokens: Column, width: int = 2) -> Column:
     ``tokens`` are the token arrays of the lines.
     """
 
-    def score(i: Column) -> Column:
-        left = _span_trigrams(tokens, F.greatest(i - width + 2, F.lit(1)), F.least(i + 1, F.lit(width)))
-        right = _span_trigrams(tokens, i + 2, F.lit(width))
+    def between(left: Column, right: Column) -> Column:
         a, b = F.size(left), F.size(right)
         return F.when((a == 0) | (b == 0), F.lit(1.0)).otherwise(1 - F.size(F.array_intersect(left, right)) / F.sqrt((a * b).cast("double")))
 
-    return F.transform(span(0, F.size(tokens) - 2), lambda i: F.round(score(i), 9))
+    def scores(ts: Column) -> Column:
+        def score(i: Column) -> Column:
+            left = _span_trigrams(ts, F.greatest(i - width + 2, F.lit(1)), F.least(i + 1, F.lit(width)))
+            return let_all(between, left=left, right=_span_trigrams(ts, i + 2, F.lit(width)))
+
+        return F.transform(span(0, F.size(ts) - 2), lambda i: F.round(score(i), 9))
+
+    return let(tokens, scores)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -129,23 +154,28 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_gaps(vectors: Column, width: int = 2) -> Column:
     """1 - cosine of the mean vectors of up to ``width`` lines on either side of each gap; cosines of zero vectors are 0."""
 
-    def total(first: Column, length: Column) -> Column:
-        some = F.slice(vectors, first, length)
-        zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
-        return F.aggregate(some, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    def total(vs: Column, first: Column, length: Column) -> Column:
+        zero = F.transform(F.element_at(vs, 1), lambda x: F.lit(0.0))
+        return F.aggregate(F.slice(vs, first, length), zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+
+    def scores(vs: Column) -> Column:
+        def score(i: Column) -> Column:
+            left = total(vs, F.greatest(i - width + 2, F.lit(1)), F.least(i + 1, F.lit(width)))
+            return 1 - F.coalesce(let_all(cosine, a=left, b=total(vs, i + 2, F.lit(width))), F.lit(0.0))
 
-    def score(i: Column) -> Column:
-        left = total(F.greatest(i - width + 2, F.lit(1)), F.least(i + 1, F.lit(width)))
-        return 1 - F.coalesce(cosine(left, total(i + 2, F.lit(width))), F.lit(0.0))
+        return F.transform(span(0, F.size(vs) - 2), lambda i: F.round(score(i), 9))
 
-    return F.transform(span(0, F.size(vectors) - 2), lambda i: F.round(score(i), 9))
+    return let(vectors, scores)
 
 
 def feasible(sizes: Column, cuts: Column, least: int = MIN_TOKENS) -> Column:
     """Whether every segment has ``least`` tokens; ``sizes`` are token counts of lines."""
-    ends = F.concat(cuts, F.array(F.size(sizes) - 1))
-    total = lambda a, b: F.aggregate(F.slice(sizes, a + 2, b - a), F.lit(0), lambda s, x: s + x)
-    return F.forall(F.transform(ends, lambda b, i: total(F.coalesce(F.get(ends, i - 1), F.lit(-1)), b)), lambda s: s >= least)
+
+    def check(sizes: Column, ends: Column) -> Column:
+        total = lambda a, b: F.aggregate(F.slice(sizes, a + 2, b - a), F.lit(0), lambda s, x: s + x)
+        return F.forall(F.transform(ends, lambda b, i: total(F.coalesce(F.get(ends, i - 1), F.lit(-1)), b)), lambda s: s >= least)
+
+    return let_all(check, sizes=sizes, ends=F.concat(cuts, F.array(F.size(sizes) - 1)))
 
 
 # --- solvers ---
@@ -286,10 +316,12 @@ def _between(cuts: Column, i: Column, k: Column) -> Column:
 
 
 def _windowed(n: Column, truth: Column, cuts: Column, wrong: Callable[[Column, Column], Column]) -> Column:
-    k = window(n, truth)
-    starts = span(0, n - k - 1)
-    errors = F.size(F.filter(starts, lambda i: wrong(_between(truth, i, k), _between(cuts, i, k))))
-    return F.when(F.size(starts) == 0, F.lit(0.0)).otherwise(errors / F.size(starts))
+
+    def share(n: Column, truth: Column, cuts: Column, k: Column) -> Column:
+        errors = F.size(F.filter(span(0, n - k - 1), lambda i: wrong(_between(truth, i, k), _between(cuts, i, k))))
+        return F.when(n <= k, F.lit(0.0)).otherwise(errors / (n - k))
+
+    return let_all(lambda n, truth, cuts: let_all(share, n=n, truth=truth, cuts=cuts, k=window(n, truth)), n=n, truth=truth, cuts=cuts)
 
 
 def pk(n: Column, truth: Column, cuts: Column) -> Column:
@@ -368,8 +400,7 @@ def window_documents(records: DataFrame, source: str, key: str, lines: str, low:
 
 def from_records(docs: DataFrame, records: str) -> DataFrame:
     """``docs`` with lines, truth, n and k from an array of records of lines."""
-    sizes = F.transform(records, lambda r: F.size(r))
-    ends = F.transform(sizes, lambda s, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1)
+    ends = let(F.transform(records, lambda r: F.size(r)), lambda sizes: F.transform(sizes, lambda s, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1))
     docs = docs.withColumns({"lines": F.flatten(records), "truth": F.slice(ends, 1, F.greatest(F.size(records) - 1, F.lit(0)))})
     return docs.withColumns({"n": F.size("lines"), "k": F.size("truth") + 1})
 
