@@ -87,8 +87,8 @@ def line_classify(spark, d):  # noqa: ANN001, ANN201
 
 _WHOLE = f"""
 WITH c AS ({_CLASSIFIED}), t AS (SELECT id, coalesce(text, '') AS text FROM ({_TABLETS})),
-tt AS (SELECT id, count(*) AS n_totals, min(pos) AS at, arg_min(kind, pos) AS tkind, arg_min(val, pos) AS claimed FROM c WHERE contains(line, '{L.TOTAL}') GROUP BY id),
-b AS (SELECT c.id, count(*) FILTER (kind = 'unclassifiable') AS bad, count(*) FILTER (kind = 'counted') AS n, sum(val) FILTER (kind = 'counted') AS items FROM c JOIN tt ON c.id = tt.id AND pos < at GROUP BY c.id),
+tt AS (SELECT id, count(*) AS n_totals, min(pos) AS first_pos, arg_min(kind, pos) AS tkind, arg_min(val, pos) AS claimed FROM c WHERE contains(line, '{L.TOTAL}') GROUP BY id),
+b AS (SELECT c.id, count(*) FILTER (kind = 'unclassifiable') AS bad, count(*) FILTER (kind = 'counted') AS n, sum(val) FILTER (kind = 'counted') AS items FROM c JOIN tt ON c.id = tt.id AND pos < first_pos GROUP BY c.id),
 r AS (SELECT t.id, CASE WHEN contains(text, '<unk>') OR contains(text, '...') THEN 'rule2_damage' WHEN coalesce(n_totals, 0) <> 1 THEN 'rule1_multi_total' WHEN tkind <> 'total' THEN 'rule3_total_line'
    WHEN coalesce(bad, 0) > 0 THEN 'rule4_unclassifiable' WHEN coalesce(n, 0) < 2 THEN 'rule5_too_few_items' END AS fail_rule, claimed, items, n, contains(text, 'kišib') AS sealed FROM t LEFT JOIN tt USING (id) LEFT JOIN b USING (id))
 SELECT id, fail_rule, CASE WHEN fail_rule IS NULL THEN claimed END AS claimed, CASE WHEN fail_rule IS NULL THEN items::BIGINT END AS item_sum, CASE WHEN fail_rule IS NULL THEN n::INT END AS n_items, CASE WHEN fail_rule IS NULL THEN sealed END AS sealed, CASE WHEN fail_rule IS NULL THEN claimed = items END AS matches FROM r"""
