@@ -77,10 +77,11 @@ class Sampler:
         return out
 
     def sample(self, text: str, samples: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-        """Up to ``samples`` distinct segmentations: ids, log-probability, perturbed log-probability, inclusion.
+        """Up to ``samples`` distinct segmentations: ids, log-probability, perturbed log-probability, log-inclusion.
 
         Inclusion is the probability that the threshold, the best perturbed value left out, lets a segmentation in;
-        log-probability minus its logarithm weighs the sample without bias. It is 1 where nothing is left out.
+        log-probability minus its logarithm weighs the sample without bias. The logarithm is 0 where nothing is left
+        out; in long texts the inclusion itself is too small for a double.
         """
         words = [self.lattice(w) for w in _WORDS.findall(self.normalise(text))] if text else []
         draw, log, exp, log1p = random.Random(seed).random, math.log, math.exp, math.log1p
@@ -121,8 +122,9 @@ class Sampler:
             while path:
                 path, ids = path
                 steps.append(ids)
-            inclusion = -math.expm1(-exp(p - bar)) if bar > -math.inf and p - bar < 700 else 1.0
-            out.append(([x for ids in reversed(steps) for x in ids], p, g, inclusion))
+            over = p - bar
+            included = over if over < -30 else log(-math.expm1(-exp(over))) if over < 700 else 0.0
+            out.append(([x for ids in reversed(steps) for x in ids], p, g, included))
         return out
 
 
@@ -141,6 +143,7 @@ FIELDS = [
     T.StructField("log_prob", T.DoubleType()),
     T.StructField("perturbed", T.DoubleType()),
     T.StructField("inclusion", T.DoubleType()),
+    T.StructField("log_inclusion", T.DoubleType()),
     T.StructField("decoded", T.StringType()),
 ]
 
@@ -155,8 +158,8 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
     """
     fields = [rows.schema[c] for c in key]
     made = [T.StructField("sample", T.IntegerType())]
-    made += [T.StructField(c, T.LongType()) for c in ("n_ids", "ids_crc32", "decoded_crc32")] if digest else [FIELDS[1], FIELDS[5]]
-    schema = T.StructType([*fields, *made, *FIELDS[2:5]])
+    made += [T.StructField(c, T.LongType()) for c in ("n_ids", "ids_crc32", "decoded_crc32")] if digest else [FIELDS[1], FIELDS[6]]
+    schema = T.StructType([*fields, *made, *FIELDS[2:6]])
     arrow = to_arrow_schema(schema)
 
     def outputs(s: Sampler, ids: list[int]) -> list:
@@ -173,9 +176,9 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
             for *k, t in zip(*columns, strict=True):
                 t = t or ""
                 plain = s.model.encode(t) if t else []
-                rows = [[*k, 0, *outputs(s, plain), None, None, None]]
-                for n, (ids, p, g, inclusion) in enumerate(s.sample(t, samples, row_seed(seed, k)), 1):
-                    rows.append([*k, n, *outputs(s, ids), p, g, inclusion])
+                rows = [[*k, 0, *outputs(s, plain), *[None] * 4]]
+                for n, (ids, p, g, included) in enumerate(s.sample(t, samples, row_seed(seed, k)), 1):
+                    rows.append([*k, n, *outputs(s, ids), p, g, math.exp(included), included])
                 for row in rows:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
