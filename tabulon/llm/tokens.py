@@ -40,40 +40,46 @@ _PROBE = "It's  a 'probe'\n\n of 3,14 kinds;  don't\tstop-here…  naïve Straß
 class Encoder:
     """``ids(text)``: the ids as little-endian unsigned 32-bit integers, with no special tokens added."""
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 800_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.kind = None
         whole = self._whole(_PROBE)
         for kind in _KINDS:
             self.kind = kind
             if self.ids(_PROBE) == whole:
                 break
-            self.chunks, self.pieces, self.kind = {}, {}, None
+            self.chunks, self.kind = {}, None
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        spelt = f"Ġ{piece[1:]}" if piece[0] == " " else piece
+        if not (piece.isascii() and piece.lstrip(" ").isalnum() and len(piece) - len(piece.lstrip(" ")) < 2):
+            spelt = piece.encode().decode("latin-1").translate(_BYTES)
+        out = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
-        out = array("I")
-        for piece in _KINDS[self.kind][1].findall(chunk.lower() if self.kind == "word" else chunk):
-            found = self.pieces.get(piece)
+        pieces = _KINDS[self.kind][1].findall(chunk.lower() if self.kind == "word" else chunk)
+        if len(pieces) == 1:
+            return self.chunks.get(pieces[0]) or self._piece(pieces[0])
+        known, out = self.chunks, []
+        for piece in pieces:  # a piece by itself is a chunk of the same ids, so one memory serves both
+            found = known.get(piece)
             if found is None:
-                spelt = f"Ġ{piece[1:]}" if piece[0] == " " else piece
-                if not (piece.isascii() and piece.lstrip(" ").isalnum() and len(piece) - len(piece.lstrip(" ")) < 2):
-                    spelt = piece.encode().decode("latin-1").translate(_BYTES)
-                found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
-                if len(self.pieces) < self.remember:
-                    self.pieces[piece] = found
-            out += found
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+                found = self._piece(piece)
+                if len(known) < self.remember:
+                    known[piece] = found
+            out.append(found)
+        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
         if not text:
