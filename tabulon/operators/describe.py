@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +175,7 @@ def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3,
 
     One set of shuffles serves all skips. Streams below ``floor`` tokens are left out.
     """
-    from tabulon.functions.stats import digest, permutation_p, primes
+    from tabulon.functions.stats import digest
 
     long = stream.groupBy("genre").agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("genre")
     stream = stream.join(long, "genre")
@@ -181,7 +184,13 @@ def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3,
     shuffled = drawn.select("genre", "rep", "token", (F.row_number().over(Window.partitionBy("genre", "rep").orderBy("h")) - 1).alias("seq"))
     null = els(shuffled, skips, least, ["genre", "rep"])
     seen = els(stream, skips, least)
-    both = null.withColumnRenamed("repeated", "null_value").join(seen, ["genre", "skip"])
+    return _against(null.withColumnRenamed("repeated", "null_value"), seen, skips)
+
+
+def _against(null: DataFrame, seen: DataFrame, skips: Sequence[int]) -> DataFrame:
+    from tabulon.functions.stats import permutation_p, primes
+
+    both = null.join(seen, ["genre", "skip"])
     out = both.groupBy("genre", "skip", "repeated").agg(
         F.avg("null_value").alias("null_mean"), F.coalesce(F.stddev_samp("null_value"), F.lit(0.0)).alias("null_sd"), F.count(F.when(F.col("null_value") >= F.col("repeated"), 1)).alias("hits"), F.count("*").alias("reps")
     )
@@ -192,6 +201,52 @@ def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3,
     )
 
 
+def shuffled_repeats(freqs: np.ndarray, skips: Sequence[int], least: int, rng: np.random.Generator, block: int = 1 << 22) -> np.ndarray:
+    """For each skip, how many types stand at least ``least`` times at its multiples in one shuffle of the stream.
+
+    A shuffle depends on the frequencies of types alone. Each occurrence is dealt to a block at random, then each block is
+    shuffled, which is a uniform shuffle of the whole; only one block is in memory. Types below ``least`` only take place.
+    """
+    few = freqs < least
+    left = np.append(freqs[~few], freqs[few].sum()).astype(np.int64)
+    types, total = len(left) - 1, int(left.sum())
+    seen = np.zeros((len(skips), types), dtype=np.min_scalar_type(least))
+    n_blocks, start = -(-total // block), 0
+    for b in range(n_blocks):
+        drawn = left if b == n_blocks - 1 else rng.binomial(left, 1 / (n_blocks - b))
+        left = left - drawn
+        ids = np.repeat(np.arange(types + 1), drawn)
+        rng.shuffle(ids)
+        for i, k in enumerate(skips):
+            seen[i] = np.minimum(seen[i] + np.bincount(ids[-start % k :: k], minlength=types + 1)[:types], least)
+        start += len(ids)
+    return (seen >= least).sum(axis=1)
+
+
+def els_scan_whole(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3, floor: int = 200, seed: int = 42) -> DataFrame:
+    """``els_scan`` for long streams: a shuffle is one row, drawn from the frequencies of types, not a row for each token.
+
+    Replicates are seeded by genre and number, so results do not depend on partitions. Streams below ``floor`` tokens are
+    left out. A task holds the types of a genre and one block of a shuffle.
+    """
+    skips = [int(k) for k in skips]
+    freqs = stream.groupBy("genre", "token").agg(F.count("*").alias("freq")).groupBy("genre", "freq").agg(F.count("*").alias("types"))
+    known = freqs.groupBy("genre").agg(F.sort_array(F.collect_list(F.struct("freq", "types"))).alias("fs"), F.sum(F.col("freq") * F.col("types")).alias("n")).where(F.col("n") >= floor)
+    reps_ = stream.sparkSession.range(0, reps, 1, min(reps, 256)).withColumnRenamed("id", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                each = np.repeat([f["freq"] for f in r["fs"]], [f["types"] for f in r["fs"]])
+                key = hashlib.blake2b(repr((seed, r["genre"], r["rep"])).encode(), digest_size=16).digest()
+                found = shuffled_repeats(each, skips, least, np.random.default_rng(int.from_bytes(key, "little")))
+                yield pa.RecordBatch.from_pydict({"genre": [r["genre"]] * len(skips), "skip": pa.array(skips, pa.int32()), "null_value": pa.array(found, pa.int64())})
+
+    null = reps_.crossJoin(F.broadcast(known.select("genre", "fs"))).mapInArrow(run, "genre string, skip int, null_value long")
+    # dealt by type once, so that the rows of all skips are counted where they are made and not shuffled
+    return _against(null, els(stream.repartition("genre", "token"), skips, least), skips)
+
+
 def dispersion(records: DataFrame, by: Sequence[str], size: str) -> DataFrame:
     """Coefficient of variation of record lengths, with the population deviation."""
     return records.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean"), F.round(F.try_divide(F.stddev_pop(size), F.avg(size)), 6).alias("cv"))

@@ -379,6 +379,12 @@ def els_scan(spark, d):  # noqa: ANN001, ANN201
     return describe.els_scan(_stream(spark, d).where("seq < 3000"), (2, 3, 5, 10, 50, 97), reps=10)
 
 
+@query()
+def els_scan_whole(spark, d):  # noqa: ANN001, ANN201
+    """The scan of whole streams, which ``els_scan`` and its SQL show on their first 3000 tokens."""
+    return describe.els_scan_whole(_stream(spark, d), range(2, 101), reps=1000)
+
+
 @query()
 def compression_ratio(spark, d):  # noqa: ANN001, ANN201
     return describe.zlib_ratio(_stream(spark, d))

@@ -1,9 +1,12 @@
 """Worked vectors: small cases with answers computed by hand."""
 
 import math
+import random
 import re
 import zipfile
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from tabulon.functions import lexicon as L
 from tabulon.functions import patterns as R
 from tabulon.functions import stats
 from tabulon.functions import text as X
-from tabulon.operators import ledger, powerlaw, probes, segmentation as G, sealedlog as S
+from tabulon.operators import describe, ledger, powerlaw, probes, segmentation as G, sealedlog as S
 from tabulon.sources import readers, sinks
 
 
@@ -187,3 +190,38 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _repeats(stream, skips):
+    return [sum(v >= 3 for v in Counter(stream[::k]).values()) for k in skips]
+
+
+def test_els_scan_whole_sees_every_token_and_skip(spark):
+    """Whole streams, skips 2..100 and p below 1/11; nulls as of plain shuffles."""
+    rng, skips = random.Random(3), range(2, 101)
+    a = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(6000)]
+    for i in range(3000, 6000, 50):  # a planted letter sequence beyond the first 3000 tokens
+        a[i] = f"late{i // 200}"
+    streams = {"a": a, "b": [rng.choice("xyz") for _ in range(300)], "short": ["x"] * 199}
+    df = spark.createDataFrame([(g, i, t) for g, s in streams.items() for i, t in enumerate(s)], "genre string, seq long, token string")
+    got = {(r.genre, r["skip"]): r for r in describe.els_scan_whole(df, skips, 200).collect()}
+    assert set(got) == {(g, k) for g in "ab" for k in skips}
+    again = {(r.genre, r["skip"]): r for r in describe.els_scan_whole(df.repartition(7), skips, 200).collect()}
+    assert got == again
+    for g in "ab":
+        assert [got[g, k].repeated for k in skips] == _repeats(streams[g], skips)
+        plain = np.array([_repeats(rng.sample(streams[g], len(streams[g])), skips) for _ in range(200)])
+        ours = np.array([got[g, k].null_mean for k in skips])
+        assert (abs(ours - plain.mean(0)) <= 5 * np.sqrt(2 * plain.var(0) / 200) + 0.05).all()
+    assert got["a", 50].p == round(1 / 201, 6) and got["a", 50].z > 4
+
+
+def test_blocks_of_a_shuffle_are_a_shuffle():
+    """Streams of many blocks: exact where every order gives the same, and with the moments of plain shuffles."""
+    skips, rng = (2, 3, 7), np.random.default_rng(8)
+    assert describe.shuffled_repeats(np.array([50]), skips, 3, rng, block=8).tolist() == [1, 1, 1]
+    freqs = np.array([1, 2, 2, 3, 4, 5, 6, 8, 12, 20])
+    stream = np.repeat(np.arange(len(freqs)), freqs).tolist()
+    ours = np.array([describe.shuffled_repeats(freqs, skips, 3, rng, block=7) for _ in range(4000)])
+    plain = np.array([_repeats(rng.permutation(stream).tolist(), skips) for _ in range(4000)])
+    assert (abs(ours.mean(0) - plain.mean(0)) < 0.1).all() and (abs(ours.std(0) - plain.std(0)) < 0.1).all()
