@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
 from tabulon.functions.arrays import let, let_all
-from tabulon.functions.stats import digest, permutation_p, two_sided, uniform
+from tabulon.functions.stats import digest, permutation_p, spearman_exact, two_sided, uniform
 
 _LENS = "array<int>"
 
@@ -205,3 +205,28 @@ def matched_entropy(places: DataFrame, label: str, pair: tuple[str, str], key: s
     seen = decile_entropy(places.where(F.col(label) == small), [label]).select(F.col("n").alias("n"), F.col("entropy").alias("small_entropy"))
     out = ent.agg(F.round(F.avg("entropy"), 6).alias("mean"), F.percentile("entropy", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     return seen.crossJoin(out).select("n", "small_entropy", "mean", F.round(F.element_at("ci", 1), 6).alias("low"), F.round(F.element_at("ci", 2), 6).alias("high"))
+
+
+def spearman(df: DataFrame, key: str, x: str, y: str, reps: int = 9999, seed: int = 42) -> DataFrame:
+    """Rank correlation over all rows, a row a group: (n, rho, p_two_sided, p_one_sided), one-sided for a positive one.
+
+    p is exact up to 9 rows; above, one set of ranks is shuffled ``reps`` times by hash order. Ties are ranked by key, rows
+    without both values are left out, and below 3 rows rho and p are null. Groups are few, so a window holds them all.
+    """
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    places = [F.row_number().over(Window.orderBy(c, "k")).alias(n) for c, n in (("x", "a"), ("y", "b"))]
+    ranked = some.select("k", *places).persist()
+    first = ranked.orderBy("k").limit(10).collect()
+    if len(first) <= 9:
+        made = spearman_exact([r["a"] for r in first], [r["b"] for r in first]) if len(first) > 2 else (None,) * 3
+        ranked.unpersist()
+        return df.sparkSession.createDataFrame([(len(first), *(v if v is None else round(v, 6) for v in made))], "n int, rho double, p_two_sided double, p_one_sided double")
+    seen = ranked.agg(F.count("*").cast("int").alias("n"), F.corr("a", "b").alias("rho"))
+    drawn = ranked.crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep")))
+    order = Window.partitionBy("rep").orderBy(digest(seed, F.col("rep").cast("string"), F.col("k").cast("string")), "k")
+    null = drawn.select("rep", "a", F.row_number().over(order).alias("b")).groupBy("rep").agg(F.corr("a", "b").alias("r"))
+    hits = null.crossJoin(F.broadcast(seen)).groupBy("n", "rho").agg(
+        F.count(F.when(F.abs("r") >= F.abs("rho") - 1e-9, 1)).alias("two"), F.count(F.when(F.col("r") >= F.col("rho") - 1e-9, 1)).alias("one"), F.count("*").alias("reps")
+    )
+    p = {f"p_{name}_sided": F.round(permutation_p(F.col(name), F.col("reps")), 6) for name in ("two", "one")}
+    return hits.select("n", F.round("rho", 6).alias("rho"), *(c.alias(n) for n, c in p.items()))

@@ -205,10 +205,8 @@ def powerlaw_gof(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def spearman_exact(spark, d):  # noqa: ANN001, ANN201
-    """Rank correlation of dispersion and mean length over a handful of aggregated rows."""
-    rows = corpus.dispersion_cv(spark, d).orderBy("source").limit(6).collect()
-    rho, two, one = stats.spearman_exact([r["cv"] for r in rows], [r["mean"] for r in rows])
-    return spark.createDataFrame([(len(rows), round(rho, 6), round(two, 6), round(one, 6))], "n int, rho double, p_two_sided double, p_one_sided double")
+    """Rank correlation of dispersion and mean length over all sources."""
+    return permutation.spearman(corpus.dispersion_cv(spark, d), "source", "cv", "mean")
 
 
 @query("""

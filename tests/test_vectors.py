@@ -14,9 +14,12 @@ from tabulon.functions import lexicon as L
 from tabulon.functions import patterns as R
 from tabulon.functions import stats
 from tabulon.functions import text as X
-from tabulon.operators import describe, ledger, powerlaw, probes, segmentation as G, sealedlog as S
+from tabulon.operators import describe, ledger, permutation, powerlaw, probes, segmentation as G, sealedlog as S
+from tabulon.plans import inference
 from tabulon.sources import readers, sinks
 
+from .conftest import DATA
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -225,3 +228,24 @@ def test_blocks_of_a_shuffle_are_a_shuffle():
     ours = np.array([describe.shuffled_repeats(freqs, skips, 3, rng, block=7) for _ in range(4000)])
     plain = np.array([_repeats(rng.permutation(stream).tolist(), skips) for _ in range(4000)])
     assert (abs(ours.mean(0) - plain.mean(0)) < 0.1).all() and (abs(ours.std(0) - plain.std(0)) < 0.1).all()
+
+
+def test_spearman_takes_every_row(spark):
+    """Values against numpy's ranks; few rows are exact, many near the exact p, and every source of the tables counts."""
+    rng = np.random.default_rng(4)
+    xs, ys = rng.random(20), rng.random(20)
+    df = spark.createDataFrame([(f"s{i}", float(x), float(x + y)) for i, (x, y) in enumerate(zip(xs, ys))], "k string, x double, y double")
+    r = permutation.spearman(df, "k", "x", "y").first()
+    ranks = [np.argsort(np.argsort(v)) for v in (xs, xs + ys)]
+    plain = [np.corrcoef(ranks[0], rng.permutation(20))[0, 1] for _ in range(20_000)]
+    seen = np.corrcoef(*ranks)[0, 1]
+    assert r.n == 20 and r.rho == pytest.approx(seen, abs=1e-6)
+    assert r.p_one_sided == pytest.approx(np.mean(np.array(plain) >= seen - 1e-9), abs=0.02)
+    assert r.p_two_sided == pytest.approx(np.mean(np.abs(plain) >= abs(seen) - 1e-9), abs=0.02)
+    few = df.where("k IN ('s1', 's2', 's3', 's4', 's5')")
+    some = sorted(few.collect())
+    exact = stats.spearman_exact([x.x for x in some], [x.y for x in some])
+    assert tuple(permutation.spearman(few, "k", "x", "y").first()) == (5, *(round(v, 6) for v in exact))
+    assert tuple(permutation.spearman(few.limit(2), "k", "x", "y").first()) == (2, None, None, None)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").select("source").distinct().count()
+    assert n > 6 and inference.spearman_exact(spark, DATA).first().n == n
