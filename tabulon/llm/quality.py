@@ -1,8 +1,9 @@
 """Quality rules by compression bands: how well a text compresses, as a whole and in fixed chunks.
 
 Prose compresses by a factor that depends mostly on its length. Text that repeats itself compresses far better; keys,
-hashes and encoded files hardly at all. The limits below leave a wide margin around prose of the same length, so that
-they reject only what is clearly one or the other.
+hashes and encoded files hardly at all. The least ratios below lie just above what random base64 reaches at the same
+length and, above 6400 bytes, above random hex as well; clean prose lies above them. Shorter hex compresses as well as
+dense prose of its length does, so the ratio cannot tell it apart.
 """
 
 from __future__ import annotations
@@ -28,12 +29,20 @@ class Bands(NamedTuple):
     """Limits on (bytes / compressed bytes): rows are (bytes up to, least ratio, most ratio), the last without an end."""
 
     limits: tuple[tuple[float, float, float], ...] = (
-        (200, 0.0, 2.6),
-        (400, 1.02, 2.8),
-        (1_600, 1.15, 3.0),
-        (6_400, 1.35, 3.4),
-        (25_600, 1.40, 3.8),
-        (float("inf"), 1.40, 4.2),
+        (150, 0.0, 2.6),
+        (200, 1.05, 2.6),
+        (250, 1.12, 2.8),
+        (300, 1.13, 2.8),
+        (400, 1.18, 2.8),
+        (500, 1.21, 3.0),
+        (600, 1.25, 3.0),
+        (800, 1.28, 3.0),
+        (1_600, 1.35, 3.0),
+        (3_200, 1.50, 3.4),
+        (6_400, 1.70, 3.4),
+        (12_800, 1.92, 3.8),
+        (25_600, 1.97, 3.8),
+        (float("inf"), 1.97, 4.2),
     )
     chunk_bytes: int = 4096
     #: Share of a text's bytes in chunks outside their limits above which the text is rejected.

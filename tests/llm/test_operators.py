@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, on odd rows and on the smallest tables."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -264,6 +265,31 @@ def test_quality_bands():
     assert not judge.measure(lines)[6]
 
 
+@pytest.mark.parametrize("width", [8, 24, 64])
+@pytest.mark.parametrize("size", [180, 220, 300, 400, 401, 600, 800, 1600, 3200, 6400, 6401, 12_800, 25_600, 100_000])
+def test_quality_rejects_encoded_files(size, width):
+    """Random base64 in every band, hex in those where prose lies above it."""
+    rng, judge = np.random.default_rng(size), quality.Judge(quality.Bands())
+    for _ in range(5):
+        raw = rng.bytes(size)
+        for kind, s in (("base64", base64.b64encode(raw).decode()), ("hex", raw.hex())):
+            text = " ".join(s[i : i + width] for i in range(0, len(s), width))[:size]
+            if kind == "base64" or size > 6400:
+                assert not judge.measure(text)[6], (kind, size)
+                packed = len(judge.compress(text.encode()))
+                assert judge.bands.outside(size, packed), (kind, size, size / packed)
+
+
+def test_quality_keeps_clean_prose_of_every_language(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1"), "doc_id")
+    got = quality.judge(clean, keep=["lang"]).where("NOT base_failed").groupBy("lang").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    assert {r.lang for r in got} == {"en", "fr", "de", "es"}
+    for r in got:
+        assert r.kept == r.n, r
+
+
 # 6. URL rules
 
 
