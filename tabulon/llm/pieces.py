@@ -203,4 +203,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_samples(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return encode_samples(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("piece_bpe_32k.model"), digest=True)

@@ -223,6 +223,17 @@ def test_segmentations(spark, odd):
     assert sorted(str(r.decoded) for r in back.collect()) == ["", "None", "a b"]
 
 
+def test_segmentations_of_every_document(spark, texts):
+    """The query encodes the corpus itself, the longest text too."""
+    got = catalog.queries()["op4_gumbel_segmentations"](spark, DATA).collect()
+    s = pieces.sampler(tokenizer_path("piece_bpe_32k.model"))
+    plain = {k: (len(ids), crc(ids)) for k, t in texts.items() for ids in [s.model.encode(t or "")]}
+    assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in got if r["sample"] == 0} == plain
+    assert Counter(r.doc_id for r in got if r["sample"]) == {k: pieces.SAMPLES if t else 1 for k, t in texts.items()}
+    long = max(texts, key=lambda k: len(texts[k] or ""))
+    assert len({r.ids_crc32 for r in got if r.doc_id == long}) > pieces.SAMPLES - 1
+
+
 # 5. Quality rules
 
 
