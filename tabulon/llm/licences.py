@@ -1,6 +1,7 @@
 """License scans: units of normalised text against license templates, by Dice coefficient over word bigrams.
 
-Units are the lines, sentences and paragraphs of a text and the text itself. A unit of a bigrams can reach the least
+Units are the lines, sentences and paragraphs of a text, the text itself, and windows as long as a template over the
+words of the whole text, wherever a line breaks, that hold one of the phrases below. A unit of a bigrams can reach the least
 score with a template of b only if b * t / (2 - t) <= a <= b * (2 - t) / t, so sizes prune most templates. Texts are
 pruned first, and exactly: a unit that reaches the score holds so many of a template's bigrams that it must hold one
 out of any b - ceil(b * t / (2 - t)) + 1 of them; a text with none of those phrases has no such unit. The longest words
@@ -41,6 +42,26 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "proprietary": ("All rights reserved.",),
 }
+#: Paragraphs of full licence texts and headers, looked for besides the notices; the SQL knows the notices only.
+PARAGRAPHS: Mapping[str, Sequence[str]] = {
+    "Apache-2.0": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "GPL-3.0": (
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+}
+ALL_TEMPLATES: Mapping[str, Sequence[str]] = {name: (*texts, *PARAGRAPHS.get(name, ())) for name, texts in TEMPLATES.items()}
 _BREAK = r"([.!?])\x20+"
 
 
@@ -66,13 +87,12 @@ def _rarest(phrase: str) -> str:
 
 def _phrases(templates: Mapping[str, Sequence[str]], least: float) -> list[str]:
     """Bigrams of which a text with a hit has one: for each template, those with the longest uncommon words."""
-    out: list[str] = []
-    for texts in templates.values():
-        for t in texts:
-            grams = bigrams(t)
-            needed = math.ceil(round(len(grams) * least / (2 - least), 9))
-            out += sorted(grams, key=lambda g: (-len(_rarest(g)), g))[: len(grams) - needed + 1]
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(p for texts in templates.values() for t in texts for p in _anchors(bigrams(t), least)))
+
+
+def _anchors(grams: Sequence[str], least: float) -> list[str]:
+    needed = math.ceil(round(len(grams) * least / (2 - least), 9))
+    return sorted(grams, key=lambda g: (-len(_rarest(g)), g))[: len(grams) - needed + 1]
 
 
 def _units(text: Column) -> Column:
@@ -85,10 +105,44 @@ def _grams(units: Column) -> Column:
     """The distinct bigrams of each unit; words are bound once for each, so the work is linear in the text."""
     words = F.transform(units, lambda u: F.split(F.trim(normalised(u)), " ", -1))
     some = F.filter(words, lambda w: F.size(w) > 1)
-    return F.transform(some, lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at(w, i + 2)))))
+    return F.transform(some, lambda w: F.array_distinct(_pairs(w)))
+
+
+def _pairs(words: Column) -> Column:
+    return F.transform(F.slice(words, 1, F.size(words) - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at(words, i + 2)))
+
+
+def _windows(plain: Column, templates: Mapping[str, Sequence[str]], least: float) -> Column:
+    """The distinct bigrams of every window with a template's number of words that holds one of its phrases.
+
+    ``plain`` is an array of one normalised text. Phrases are placed once for all templates.
+    """
+    every = _phrases(templates, least)
+    kinds: dict[int, list[str]] = {}  # bigrams in a window, with repeats: phrases of the templates of that length
+    for texts in templates.values():
+        for t in texts:
+            if grams := bigrams(t):
+                n = len(re.findall(r"[^\W_]+", t.lower())) - 1
+                kinds[n] = list(dict.fromkeys([*kinds.get(n, []), *_anchors(grams, least)]))
+    sizes = F.array(*(F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, ps)).alias("phrases")) for n, ps in kinds.items()))
+
+    def of(pairs: Column) -> Column:
+        placed = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].isin(*every))
+
+        def cut(at: Column, k: Column) -> Column:
+            mine = F.filter(at, lambda x: F.array_contains(k["phrases"], x["p"]))
+            starts = F.flatten(F.transform(mine, lambda x: F.sequence(F.greatest(x["i"] - k["n"] + 1, F.lit(0)), x["i"])))
+            inside = F.filter(F.array_distinct(starts), lambda s: s + k["n"] <= F.size(pairs))
+            return F.transform(inside, lambda s: F.array_distinct(F.slice(pairs, s + 1, k["n"])))
+
+        # a lambda binds its element, so that phrases are placed once
+        return F.flatten(F.transform(F.array(placed), lambda at: F.flatten(F.transform(sizes, lambda k: cut(at, k)))))
+
+    words = F.filter(F.transform(plain, lambda t: F.split(F.trim(t), " ", -1)), lambda w: F.size(w) > 1)
+    return F.flatten(F.transform(F.transform(words, _pairs), of))
 
 
-def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[str]] = ALL_TEMPLATES, least: float = LEAST) -> DataFrame:
     """``docs`` with ``licences``: (license, score) of every license that some unit reaches ``least`` for, by license.
 
     The score is the best over units and templates. Null and empty texts have none. Rows are independent of each other,
@@ -96,7 +150,7 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[s
     words have no bigrams and never match.
     """
     rows = [(name, g) for name, texts in templates.items() for t in texts if (g := bigrams(t))]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     phrases = _phrases(templates, least)
     words = F.array(*map(F.lit, dict.fromkeys(map(_rarest, phrases))))
     spaced = F.array(*(F.lit(f" {p} ") for p in phrases))
@@ -125,7 +179,7 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[s
         first = F.filter(top, lambda h, i: (i == 0) | (F.element_at(top, F.greatest(i, F.lit(1)))["license"] != h["license"]))
         return F.transform(first, lambda h: F.struct(h["license"].alias("license"), (-h["minus"]).alias("score")))
 
-    grams = F.filter(_grams(_units(whole)), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
+    grams = F.filter(F.array_distinct(F.concat(_grams(_units(whole)), _windows(plain, templates, least))), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
     out = docs.withColumn("__grams", F.when(hint, grams).otherwise(F.array().cast("array<array<string>>")))
     out = out.withColumn("__hits", F.when(F.size("__grams") > 0, F.flatten(F.transform("__grams", scores))).otherwise(none))
     return out.withColumn("licences", F.when(F.size("__hits") > 0, best(F.col("__hits"))).otherwise(none)).drop("__grams", "__hits")

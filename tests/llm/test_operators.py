@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -502,6 +503,18 @@ def test_equals_sql(spark, name):
     assert rows(catalog.queries()[name](spark, DATA), *columns) == sorted(theirs.fetchall(), key=repr)
 
 
+def test_licences_in_longer_text(spark):
+    """Notices wrapped within a paragraph, sentences that go on, CRLF line ends and paragraphs of full texts."""
+    prose = "We wrote this tool for the mill and its river. It counts stones and keeps the list in one file, as the winter flood taught us."
+    gpl, mit = licences.TEMPLATES["GPL-3.0"][1], licences.PARAGRAPHS["MIT"][0]
+    wrapped = textwrap.fill(f"{prose} {gpl} {prose}", 75)
+    short = licences.TEMPLATES["CC-BY-4.0"][0]
+    data = [(1, wrapped), (2, wrapped.replace("\n", "\r\n")), (3, mit), (4, f"{prose} {mit} {prose}"), (5, f"{prose} {prose}"), (6, f"{prose}\r\n\r\n{textwrap.fill(short, 30)}\r\n\r\n{prose}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.score) for r in licences.report(licences.scan(df)).collect()}
+    assert got == {1: ("GPL-3.0", 1.0), 2: ("GPL-3.0", 1.0), 3: ("MIT", 1.0), 4: ("MIT", 1.0), 5: (None, None), 6: ("CC-BY-4.0", 1.0)}
+
+
 def test_licences(spark, odd):
     mit = "This project is licensed under the MIT License."
     data = [(1, mit), (2, f"intro\n{mit.upper()}\nend"), (3, "About. Released under the  MIT-License! More"), (4, None), (5, ""), (6, "MIT"), (7, PROSE + mit), (7, mit), (8, "All rights reserved"), (9, "all the rights are reserved for them")]
