@@ -162,8 +162,57 @@ def test_neighbours_of_odd_vectors(spark):
     data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (9, [-2.0, 0.5])]
     df = spark.createDataFrame([(*x, "extra") for x in data], "vec_id long, embedding array<double>, score string")
     got = rows(neighbours.nearest(df, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score")
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 9, -2.0)]
-    assert neighbours.nearest(df.limit(0), F.lit(True)).collect() == []
+    assert got == sorted(2 * [(0, 1, 0, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, None, 1.0), (0, 5, 9, -2.0)], key=repr)
+    # a vector of another length finds its like alone, and there is none
+    assert neighbours.nearest(df, F.col("vec_id") == 7).collect() == []
+    assert neighbours.nearest(df, F.lit(False)).collect() == neighbours.nearest(df.limit(0), F.lit(True)).collect() == []
+
+
+class _Scattered(neighbours.Curves):
+    """A control: orderings that know nothing of the vectors."""
+
+    def _keys(self, d, at):
+        drawn = np.random.default_rng(zlib.crc32(at.tobytes()))
+        return drawn.integers(0, 1 << 48, (len(at), self.curves))
+
+
+def _recall(got, vectors, k):
+    truth, found = exact(vectors, lambda x: x % 100 == 0, k), defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    return np.mean([len(found[q] & {v for v, _ in t}) / k for q, t in truth.items()])
+
+
+def test_windows_far_smaller_than_the_table(spark, monkeypatch):
+    """Vectors of few directions: windows of a 40th of the table in all hold nine tenths, and orderings at random do not."""
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((20_000, 4)) @ rng.standard_normal((4, 24)) + 0.02 * rng.standard_normal((20_000, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[7] *= 1000  # one long vector, in a band of its own, leaves the others as they were
+    vectors = [(i, v.tolist()) for i, v in enumerate(points)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5).persist()
+    asks, share = F.col("vec_id") % 100 == 0, 0.025 / neighbours.PROBES
+    assert _recall(neighbours.nearest(df, asks, 20, share=share).collect(), vectors, 20) >= 0.9
+    seen = []
+    monkeypatch.setattr(neighbours, "fit_shares", lambda *a, fit=neighbours.fit_shares: seen.append(fit(*a)) or seen[0])
+    assert _recall(neighbours.nearest(df, asks, 20).collect(), vectors, 20) >= 0.9
+    assert len(seen[0]) == 2 and min(seen[0].values()) * neighbours.PROBES <= 0.05
+    monkeypatch.setattr(neighbours, "Curves", _Scattered)
+    assert _recall(neighbours.nearest(df, asks, 20, share=share).collect(), vectors, 20) < 0.2
+    df.unpersist()
+
+
+def test_tiles_do_not_matter(spark, monkeypatch):
+    """Tiles far smaller than a window: its parts meet again, at both ends of the curve too."""
+    rng = np.random.default_rng(7)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 6)))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = rows(neighbours.nearest(df, F.col("vec_id") % 7 == 0, 5, share=0.2), "query_id", "rank", "vec_id", "score")
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    assert rows(neighbours.nearest(df.repartition(7), F.col("vec_id") % 7 == 0, 5, share=0.2), "query_id", "rank", "vec_id", "score") == whole
+    every = rows(neighbours.nearest(df, F.col("vec_id") % 7 == 0, 5, share=1.0), "query_id", "vec_id")
+    assert every == sorted(((q, v) for q, t in exact(vectors, lambda x: x % 7 == 0, 5).items() for v, _ in t), key=repr)
 
 
 def test_hilbert_curve_visits_neighbours():
