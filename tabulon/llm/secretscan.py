@@ -9,20 +9,30 @@ complementary role lies within ``SCOPE`` code points of it:
 * ``endpoint`` (a host or URL) near a secret: assign, hex or key.
 
 Spans come from splitting the text at a pattern: pieces and matches alternate, so their lengths add up to the places of
-all matches. Nothing leaves the row, so nothing is shuffled: parts of one text are joined by their intervals within it.
+all matches. Nothing leaves the row, so nothing is shuffled: parts of one text are joined by their intervals within it,
+in a merge of both sides by start. Running sums and maxima are taken by blocks, so a dump of keys costs in
+proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.arrays import let
 from tabulon.llm.common import table
 
 #: Code points between two parts that still count as one scope.
 SCOPE = 200
+#: Values folded together in running sums and maxima.
+BLOCK = 48
+#: Code points of the chunks in which a text is masked.
+CHUNK = 2048
+#: Beyond any place in a text.
+FAR = 1 << 30
 
 
 class Kind(NamedTuple):
@@ -52,26 +62,74 @@ def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """Spans of the matches of one kind, as (start, end) in code points, end exclusive, by start."""
-    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    part = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)), F.length)
+def _scan(values: Column, both: Callable[[Column, Column], Column], start: int, levels: int = 3) -> Column:
+    """Running ``both`` over an array from ``start``.
+
+    Within blocks every prefix is folded anew, the folds of whole blocks are run over in the same way and put before them:
+    the work is linear but for arrays beyond BLOCK to the power of the levels.
+    """
+    fold = lambda a: F.aggregate(a, F.lit(start), both)
+    within = lambda a: F.transform(a, lambda x, i: fold(F.slice(a, 1, i + 1)))
+    if levels == 1:
+        return let(values, within)
+
+    def split(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda j: F.slice(a, j * BLOCK + 1, BLOCK))
+
+        def joined(bs: Column) -> Column:
+            runs = lambda tops: F.flatten(F.transform(bs, lambda b, j: F.transform(within(b), lambda x: both(F.coalesce(F.get(tops, j - 1), F.lit(start)), x))))
+            return let(_scan(F.transform(bs, fold), both, start, levels=levels - 1), runs)
+
+        return F.when(F.size(a) <= BLOCK, within(a)).otherwise(let(blocks, joined))
+
+    return let(values, split)
+
+
+def _matches(text: Column, kind: Kind, hint: Column) -> Column:
+    """Lengths in code points of the matches of a kind, of what counts of each, and of the gaps before them; none without the hint."""
+    whole, part = (F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(g)), F.length) for g in (0, kind.group))
     gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("length"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    some = F.struct(whole.alias("whole"), part.alias("part"), gaps.alias("gaps"), F.lit(kind.least).alias("least"))
+    return F.when(hint, some)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + x["length"]
-        kept = F.when(x["part"] >= kind.least, F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["out"])
-        return F.struct(e.alias("at"), kept.alias("out"))
+def _placed(matches: Column) -> Column:
+    """Spans of matches, as (start, end) in code points, end exclusive, by start; short ones are dropped."""
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def placed(m: Column) -> Column:
+        ends = _scan(F.transform(m["whole"], lambda n, i: n + F.get(m["gaps"], i)), lambda x, y: x + y, 0)
+        every = F.arrays_zip(ends.alias("e"), m["whole"].alias("n"), m["part"].alias("part"))
+        long = F.filter(every, lambda x: x["part"] >= m["least"])
+        spans = F.transform(long, lambda x: F.struct((x["e"] - x["n"]).alias("s"), x["e"].alias("e")))
+        return F.when(F.size(m["whole"]) > 0, spans).otherwise(_none())
 
+    return F.transform(matches, placed)
 
-def _near(spans: Column, others: Column, scope: int) -> Column:
-    """Those of ``spans`` that have one of ``others`` within the scope."""
-    return F.filter(spans, lambda a: F.exists(others, lambda b: (b["s"] <= a["e"] + scope) & (b["e"] + scope >= a["s"])))
+
+def _near(sides: Column, scope: int) -> Column:
+    """For each of the pairs (spans, others): those of the spans that have one of the others within the scope.
+
+    Both are merged in order of start. What starts no later reaches as far as the largest end so far; of what starts later
+    the first is the closest.
+    """
+    mark = lambda xs, own: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e")))
+
+    def linked(merged: Column) -> Column:
+        ends = F.transform(merged, lambda x: F.when(x["own"] == 0, x["e"]).otherwise(F.lit(-FAR)))
+        starts = F.transform(merged, lambda x: F.when(x["own"] == 0, -x["s"]).otherwise(F.lit(-FAR)))
+        runs = F.transform(F.array(ends, F.reverse(starts)), lambda a: _scan(a, lambda x, y: F.greatest(x, y), -FAR))
+
+        def kept(edges: Column) -> Column:
+            close = lambda x, i: (x["own"] == 1) & ((F.get(edges["reach"], i) + scope >= x["s"]) | (-F.get(edges["ahead"], i) <= x["e"] + scope))
+            return F.transform(F.filter(merged, close), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+        return let(runs, lambda r: let(F.struct(F.get(r, F.lit(0)).alias("reach"), F.reverse(F.get(r, F.lit(1))).alias("ahead")), kept))
+
+    def one(x: Column) -> Column:
+        some = (F.size(x["spans"]) > 0) & (F.size(x["others"]) > 0)
+        return F.when(some, let(F.array_sort(F.concat(mark(x["spans"], 1), mark(x["others"], 0))), linked)).otherwise(_none())
+
+    return F.transform(sides, one)
 
 
 def _named(spans: Column, kind: int) -> Column:
@@ -91,31 +149,25 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     lowered = F.lower(whole)
 
-    def found(kind: Kind) -> Column:
-        hint = whole.rlike(kind.pattern) if not kind.hints else None
-        for x in kind.hints:
-            hint = lowered.contains(x) if hint is None else hint | lowered.contains(x)
-        return F.when(hint, _spans(whole, kind)).otherwise(_none())
-
-    out = docs.withColumns({f"__{k.name}": found(k) for k in BASE})
-    # A weak kind is searched for only where its complement can be.
-    weak = {
-        "__ident": F.when(lowered.contains("key") | (F.size("__assign") + F.size("__hex") > 0) | lowered.rlike("pwd|auth|bearer|credential|signature"), found(IDENT)).otherwise(_none()),
-        "__endpoint": found(ENDPOINT),
-    }
-    out = out.withColumns(weak)
-    out = out.withColumn("__key", F.when(F.size("__access") + F.size("__ident") + F.size("__endpoint") > 0, found(KEY)).otherwise(_none()))
-    secret, reach = F.concat("__assign", "__hex", "__key"), F.concat("__access", "__ident", "__endpoint")
-    linked = {
-        "__ident_near": _near(F.col("__ident"), secret, scope),
-        "__key_near": _near(F.col("__key"), reach, scope),
-        "__endpoint_near": _near(F.col("__endpoint"), secret, scope),
-    }
-    out = out.withColumns(linked)
-    parts = [f"__{k.name}" for k in BASE] + list(linked)
-    every = F.array_sort(F.concat(*(_named(F.col(c), i) for i, c in enumerate(parts))))
-    out = out.withColumn("secrets", every)
-    return out.drop(*(f"__{k.name}" for k in KINDS), *linked)
+    def hinted(*kinds: Kind) -> Column:
+        out = F.lit(False)
+        for k in kinds:
+            for x in k.hints:
+                out = out | lowered.contains(x)
+            out = out if k.hints else out | whole.rlike(k.pattern)
+        return out
+
+    # a weak kind is searched for only where its complement can be
+    hints = (hinted(ASSIGN), hinted(ACCESS), hinted(HEX), hinted(IDENT) & hinted(KEY, ASSIGN, HEX), hinted(KEY) & hinted(ACCESS, IDENT, ENDPOINT), hinted(ENDPOINT))
+    found = _placed(F.array(*(_matches(whole, k, h) for k, h in zip(KINDS, hints, strict=True))))
+    out = docs.withColumn("__found", F.transform(found, lambda x: F.coalesce(x, _none())))
+    assign, access, hexes, ident, key, endpoint = (F.get("__found", F.lit(i)) for i in range(len(KINDS)))
+    secret, reach = F.concat(assign, hexes, key), F.concat(access, ident, endpoint)
+    sides = F.array(*(F.struct(a.alias("spans"), b.alias("others")) for a, b in ((ident, secret), (key, reach), (endpoint, secret))))
+    out = out.withColumn("__linked", F.when(F.size(ident) + F.size(key) + F.size(endpoint) > 0, _near(sides, scope)))
+    linked = (F.coalesce(F.get("__linked", F.lit(i)), _none()) for i in range(3))
+    every = F.array_sort(F.concat(*(_named(x, i) for i, x in enumerate((assign, access, hexes, *linked)))))
+    return out.withColumn("secrets", every).drop("__found", "__linked")
 
 
 def report(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -135,17 +187,29 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame
 
     Of spans that overlap, the one that starts first names the mask, which covers them all. A null text stays null.
     """
-    out = scan(docs, text, scope)
     names = F.array(*(F.lit(k.name.upper()) for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, a: Column) -> Column:
-        before = F.substring(F.col(text), acc["at"] + 1, F.greatest(a["s"] - acc["at"], F.lit(0)))
-        mask = F.when(a["s"] >= acc["at"], F.concat(before, F.lit("["), names[a["k"]], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], a["e"]).alias("at"), F.concat(acc["out"], mask).alias("out"))
-
-    masked = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return out.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(F.col(text))).select(*docs.columns)
+    whole = F.col(text)
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b: the ends of two chunks and the chunks between them."""
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        head = F.substring(F.get(chunks, first), a % CHUNK + 1, F.when(first == last, b - a).otherwise(F.lit(CHUNK)))
+        middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.when(first < last, F.substring(F.get(chunks, last), F.lit(1), b % CHUNK))
+        return F.concat(F.coalesce(head, F.lit("")), middle, F.coalesce(tail, F.lit("")))
+
+    def masked(x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(x["ends"], i - 1), F.lit(0))
+        pieces = F.transform(
+            "secrets", lambda a, i: F.when(a["s"] >= before(i), F.concat(between(x["chunks"], before(i), a["s"]), F.lit("["), names[a["k"]], F.lit("]"))).otherwise(F.lit(""))
+        )
+        return F.concat(F.array_join(pieces, ""), between(x["chunks"], F.element_at(x["ends"], -1), F.length(whole)))
+
+    ends = _scan(F.transform("secrets", lambda a: a["e"]), lambda x, y: F.greatest(x, y), 0)
+    chunks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    replaced = let(F.struct(ends.alias("ends"), chunks.alias("chunks")), masked)
+    out = scan(docs, text, scope)
+    return out.withColumn(text, F.when(F.size("secrets") > 0, replaced).otherwise(whole)).select(*docs.columns)
 
 
 def op7_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

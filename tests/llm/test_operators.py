@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -415,6 +416,25 @@ def test_secrets(spark, texts, odd):
     assert secretscan.scan(odd.limit(0)).collect() == []
 
 
+def test_secrets_of_a_key_dump(spark, monkeypatch):
+    """Thousands of matches in one text, links among them, in time that grows with its length; and small blocks."""
+    rng = np.random.default_rng(4)
+    some = ["%040x" % int.from_bytes(rng.bytes(20)), "user=bob key: %020x" % int.from_bytes(rng.bytes(9)), "https://api.example.org/é", "AKIA" + "B" * 20, "password: hunter2hunter2", "stones " * 40]
+    dump = [(n, " ".join(some[i] for i in rng.integers(0, len(some), n))) for n in (3, 40, 49, 600)]
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    for block, chunk, data in ((secretscan.BLOCK, secretscan.CHUNK, [*dump, (20_000, " ".join(some[i] for i in rng.integers(0, 3, 20_000)))]), (3, 7, dump)):
+        monkeypatch.setattr(secretscan, "BLOCK", block)
+        monkeypatch.setattr(secretscan, "CHUNK", chunk)
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        began = time.time()
+        got, masked = rows(secretscan.report(secretscan.scan(df)), *columns), rows(secretscan.redact(df), "doc_id", "text")
+        assert time.time() - began < 60
+        if len(data) > len(dump):  # the plain version compares all pairs, so the longest text is checked by its counts
+            got, masked = [r for r in got if r[0] < 20_000 or r[1:4] != (0, 0, data[-1][1].count(some[0]))], [r for r in masked if r[0] < 20_000]
+        assert got == sorted((plain_report(k, t) for k, t in dump), key=repr)
+        assert masked == sorted(((k, plain_redact(t)) for k, t in dump), key=repr)
+
+
 def plain_redact(text):
     if text is None:
         return None
