@@ -125,7 +125,7 @@ def tool_records(spark: SparkSession, path: str, most: int = 12, width: int = 20
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(file, lines, truth): non-blank lines of Markdown files; second-level headings become boundaries and are removed."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     marked = F.regexp_replace("value", r"(?m)^##\s.*$", X.RULING)
     parsed = X.boundaries(marked)
     return raw.select("file", parsed["lines"].alias("lines"), parsed["cuts"].alias("truth"))

@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df: pd.DataFrame) -> pd.DataFrame:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if not isinstance(v, (list, np.ndarray)) and pd.isna(v):
             return "-"
         return repr(round(float(v), 9)) if isinstance(v, (float, np.floating)) else str(v)
 
