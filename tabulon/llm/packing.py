@@ -3,9 +3,10 @@
 A plan depends on how many pieces have each length, not on which ones: at most ``capacity`` counts reach the
 driver, whatever the size of the corpus. The plan is made in two steps.
 
-1. Pattern packing. Lengths fall into size classes; every way of filling a sequence exactly with a few classes is a
-   pattern. Non-negative least squares fits repeat counts of the patterns to the histogram; the counts are rounded,
-   held to what is there, and filled with real lengths, longest first.
+1. Pattern packing. Lengths fall into classes, each named by its longest member (with few lengths, each its own);
+   a pattern is a class or a pair of classes, completed by the largest classes that still fit, of a few documents in
+   all. Non-negative least squares fits repeat counts of the patterns to the histogram; the counts are rounded, held to
+   what is there, and filled with real lengths, longest first, the last part with the longest that fits the room left.
 2. Residuals. Lengths that no pattern took go, longest first, to the tightest gap that holds them (gaps of patterns
    included), or to new sequences. Equal sequences are handled together, so this too costs by distinct lengths.
 
@@ -15,9 +16,11 @@ size is bounded by the capacity, so it is broadcast. Spark ranks the pieces of e
 
 from __future__ import annotations
 
+import itertools
+import warnings
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,14 @@ from tabulon.llm.tokens import encoder, tokenizer_path
 CAPACITY = 4096
 END_ID = 1
 #: Fits to try: numbers of size classes, and the share of the capacity below which a piece is in no pattern but
-#: kept for the gaps. The fit with the fewest sequences is used.
-FITS = ((64, 0.25), (128, 0.25), (256, 0.25), (128, 0.4), (256, 0.4))
+#: kept for the gaps. The fit with the fewest sequences is used, of equal ones the first.
+FITS = ((48, 0.02), (96, 0.05), (96, 0.1), (96, 0.25), (96, 0.4))
 #: Ranks of pieces of one length stay below this.
 _RANKS = 1 << 46
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by an active set."""
+    """x >= 0 that minimises |a x - b|, by an active set; warns if it has not settled after ``steps``."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, dtype=bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
@@ -66,21 +69,24 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
             x[~active] = 0
             if not active.any():
                 break
+    else:
+        warnings.warn(f"least squares have not settled after {steps} steps", stacklevel=2)
     return x
 
 
-def patterns(classes: int, parts: int, present: set[int]) -> Iterator[tuple[int, ...]]:
-    """Every way to write ``classes`` as a falling sum of at most ``parts`` of the classes that are present."""
+def patterns(sizes: list[int], capacity: int, parts: int) -> list[tuple[int, ...]]:
+    """Falling ways to fill ``capacity`` with at most ``parts`` of the sizes: every one and every pair, completed by the largest that fit."""
 
-    def grow(left: int, most: int, slots: int, so_far: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        if left == 0:
-            yield so_far
-        elif slots and most * slots >= left:
-            for c in range(min(left, most), 0, -1):
-                if c in present and c * slots >= left:
-                    yield from grow(left - c, c, slots - 1, (*so_far, c))
+    def completed(way: tuple[int, ...]) -> tuple[int, ...]:
+        room = capacity - sum(way)
+        while len(way) < parts and (at := bisect_right(sizes, room)):
+            way = (*way, sizes[at - 1])
+            room -= sizes[at - 1]
+        return tuple(sorted(way, reverse=True))
 
-    yield from grow(classes, classes, parts, ())
+    sizes = sorted(sizes)
+    pairs = ((a, b) for i, a in enumerate(sizes) for b in sizes[: i + 1] if a + b <= capacity)
+    return sorted({completed(way) for way in itertools.chain(((a,) for a in sizes if a <= capacity), pairs)})
 
 
 class _Bins:
@@ -90,6 +96,8 @@ class _Bins:
         self.rooms: list[int] = []
         self.groups: dict[int, list[tuple[int, tuple]]] = defaultdict(list)
         self.full: list[tuple[int, tuple]] = []
+        #: Pieces that patterns placed.
+        self.in_patterns = 0
 
     def add(self, room: int, copies: int, slots: tuple) -> None:
         if room == 0:
@@ -116,53 +124,80 @@ class _Bins:
             yield from self.groups[room]
 
 
-def _fill_patterns(left: dict[int, int], capacity: int, classes: int, small: float, parts: int, bins: _Bins) -> None:
-    unit = -(-capacity // classes)
-    classes = capacity // unit
+def _classes(left: dict[int, int], most: int) -> dict[int, int]:
+    """The class of each length, named by its longest member: at most ``most`` runs of lengths with about equal counts of ids."""
+    total, out, run, held = sum(x * n for x, n in left.items()), {}, [], 0
+    for x in sorted(left):
+        run.append(x)
+        held += x * left[x]
+        if held * most >= total or len(left) <= most:
+            out |= dict.fromkeys(run, x)
+            run, held = [], 0
+    return out | dict.fromkeys(run, run[-1] if run else 0)
+
+
+def _fill_patterns(left: dict[int, int], capacity: int, classes: int, small: int, parts: int, bins: _Bins) -> int:
+    """Fits the patterns and fills them with lengths, largest first; how many pieces they took.
+
+    The last part of a pattern may be any length that is left: the largest that fits the room that real lengths leave.
+    """
+    named = _classes({x: n for x, n in left.items() if x >= small}, classes)
     queues: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
-        queues[-(-length // unit)].append(length)  # the longest at the end, where they are taken
-    there = {c: sum(left[x] for x in q) for c, q in queues.items() if small * classes <= c <= classes}
-    rows = {c: i for i, c in enumerate(sorted(there))}
-    ways = list(patterns(classes, parts, set(there)))
+    for length in sorted(named):
+        queues[named[length]].append(length)  # the longest at the end, where they are taken
+    rows = {c: i for i, c in enumerate(sorted(queues))}
+    ways = patterns(list(rows), capacity, parts)
     if not ways:
-        return
+        return 0
     a = np.zeros((len(rows), len(ways)))
     for j, way in enumerate(ways):
         for c in way:
             a[rows[c], j] += 1
-    weight = np.array(sorted(there), dtype=float)[:, None]
-    b = np.array([there[c] for c in sorted(there)], dtype=float)
-    counts = np.rint(nnls(a * weight, b * weight[:, 0])).astype(np.int64)
-    for j in np.argsort(-counts, kind="stable"):
-        way, repeats = ways[j][: max(1, len(ways[j]) - 1)], int(counts[j])
-        for c in set(way):
-            repeats = min(repeats, there[c] // way.count(c))
-        if repeats <= 0:
-            continue
-        for c in way:
-            there[c] -= repeats
+    weight = np.array(sorted(queues), dtype=float)[:, None]
+    b = np.array([sum(left[x] for x in queues[c]) for c in sorted(queues)], dtype=float)
+    # a row for the capacity that patterns waste, so that of equal fits the fuller patterns are taken
+    waste = np.array([[capacity - sum(way) for way in ways]], dtype=float)
+    counts = np.rint(nnls(np.vstack([a * weight, waste]), np.append(b * weight[:, 0], 0.0))).astype(np.int64)
+    known, placed = sorted(named), 0  # lengths of which some are left
+    for j in sorted(np.flatnonzero(counts).tolist(), key=lambda j: (capacity - sum(ways[j]), j)):
+        way, repeats = ways[j], int(counts[j])
         while repeats:
-            lengths = [queues[c][-1] for c in way]
-            copies = min([repeats, *(left[x] // lengths.count(x) for x in lengths)])
-            if not copies:  # fewer of a length are left than the pattern has slots for it
-                copies, lengths, spare = 1, [], {c: [x for x in queues[c][-len(way) :] for _ in range(min(left[x], len(way)))] for c in set(way)}
-                for c in way:
-                    lengths.append(spare[c].pop())
+            lengths: list[int] = []
+            for c in way[: max(1, len(way) - 1)]:
+                used = Counter(lengths)
+                found = next((x for x in reversed(queues[c]) if left[x] > used[x]), None)
+                if found is None:
+                    break
+                lengths.append(found)
+            else:
+                room = capacity - sum(lengths)
+                if len(way) > 1:
+                    used = Counter(lengths)
+                    at = bisect_right(known, room) - 1
+                    while at >= 0 and left[known[at]] <= used[known[at]]:
+                        at -= 1
+                    if at >= 0:
+                        lengths.append(known[at])
+            if len(lengths) < len(way):
+                break
+            copies = min(repeats, *(left[x] // n for x, n in Counter(lengths).items()))
             slots: tuple = ()
             for x in lengths:
                 left[x] -= copies
                 slots = (x, 1, slots)
-            for c in set(way):
-                while queues[c] and not left[queues[c][-1]]:
-                    queues[c].pop()
+            for x in set(lengths):
+                if not left[x]:
+                    queues[named[x]].remove(x)
+                    known.pop(bisect_left(known, x))
             bins.add(capacity - sum(lengths), copies, slots)
             repeats -= copies
+            placed += copies * len(lengths)
+    return placed
 
 
 def _fit(histogram: dict[int, int], capacity: int, classes: int, small: float, parts: int) -> _Bins:
     left, bins = dict(histogram), _Bins()
-    _fill_patterns(left, capacity, classes, small, parts, bins)
+    bins.in_patterns = _fill_patterns(left, capacity, classes, max(1, round(small * capacity)), parts, bins)
     for length in sorted((x for x in left if left[x]), reverse=True):
         count = left[length]
         while count:

@@ -124,10 +124,39 @@ def test_nnls_is_optimal():
     assert (x >= 0).all() and (slope <= 1e-6).all() and np.abs(slope[x > 0]).max() < 1e-6
 
 
-def test_patterns_are_all_ways():
-    have = {1, 2, 3, 5}
-    ways = {tuple(sorted(c, reverse=True)) for n in range(1, 5) for c in itertools.combinations_with_replacement(have, n) if sum(c) == 7}
-    assert sorted(packing.patterns(7, 4, have)) == sorted(ways)
+def test_patterns_hold_every_pair():
+    sizes, capacity = [2, 3, 5, 9], 12
+    ways = packing.patterns(sizes, capacity, 4)
+    assert all(sum(w) <= capacity and len(w) <= 4 and list(w) == sorted(w, reverse=True) for w in ways) and len(set(ways)) == len(ways)
+    for a, b in itertools.combinations_with_replacement(sizes, 2):
+        assert a + b > capacity or any(not Counter((a, b)) - Counter(w) for w in ways), (a, b)
+    # nothing more fits into a pattern that has a part to spare
+    assert all(len(w) == 4 or capacity - sum(w) < min(sizes) for w in ways)
+
+
+def _checked_plan(histogram, capacity=4096):
+    rows = packing.plan(histogram, capacity)
+    placed, filled = Counter(), Counter()
+    for length, rank, each, copies, first, _ in rows.tolist():
+        assert rank == placed[length]
+        placed[length] += each * copies
+        for s in range(first, first + copies):
+            filled[s] += each * length
+    assert placed == Counter(histogram) and max(filled.values()) <= capacity
+    return len(filled)
+
+
+def test_patterns_are_placed_whole(texts):
+    """Three lengths that fill a sequence exactly, which best fit by falling length does not find."""
+    assert _checked_plan({1500: 1000, 1300: 1000, 1296: 1000}) == 1000
+    assert _checked_plan({2048: 7, 1024: 3, 4096: 2}) == 7
+    assert _checked_plan({1: 5000}) == 2 and _checked_plan({2: 1}) == 1
+    plain = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    sizes = [len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values()]
+    histogram = Counter(min(n - at, 4096) for n in sizes for at in range(0, n, 4096))
+    assert _checked_plan(dict(histogram)) <= -(-sum(sizes) // 4096) + 1
+    best = packing._fit(dict(histogram), 4096, *packing.FITS[0], 4)
+    assert best.in_patterns >= 0.3 * histogram.total()
 
 
 # 2. Neighbours
