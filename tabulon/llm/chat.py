@@ -1,8 +1,9 @@
 """Preference formatting: chosen and rejected conversations with a common prompt.
 
 The longest common prefix of turns is rendered once, as the prompt; what follows in either conversation is a completion,
-in which the assistant's turns are to be trained on. Output is one row a rendered turn, with its place in the prompt or
-completion, so a conversation of any length is spread over tasks; ``assemble`` joins rows to whole strings.
+in which the assistant's turns are to be trained on. ``format_preferences`` gives a row a rendered turn with its place in
+the prompt or completion, ``assemble`` joins them to strings with their masks, in blocks of turns: a usual
+conversation is one block, and no conversation is too long for a row.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ def _digest() -> Column:
 def format_preferences(turns: DataFrame) -> DataFrame:
     """(pair_id, part, turn, role, start, length, train, rendered), one row for each turn of prompts and completions.
 
-    ``turns`` has pair_id, side (chosen or rejected), turn, role and text; other columns are left out. Part is prompt,
-    chosen or rejected; start and length count code points within it. Rows of one turn number follow each other by role
-    and text. A pair without one side has an empty prompt; equal sides are all prompt. Null keys form a pair, null turn
-    numbers come first, null roles and texts are rendered empty.
+    ``turns`` has pair_id, side, turn, role and text; other columns are left out, and so are rows whose side is neither
+    chosen nor rejected. Part is prompt, chosen or rejected; start and length count code points within it. Rows of one
+    turn number follow each other by role and text, repeated rows are all rendered. A pair without one side has an empty
+    prompt; equal sides are all prompt. Null keys form a pair, null turn numbers come first, null roles and texts are
+    rendered empty. Turns are equal if their counts and two sums of 64-bit hashes of their rows are, so that long texts
+    are not shuffled twice.
     """
-    turns = turns.select("pair_id", "side", "turn", "role", "text")
+    turns = turns.where(F.col("side").isin("chosen", "rejected")).select("pair_id", "side", "turn", "role", "text")
     at = F.coalesce("turn", F.lit(-(1 << 62)))
     sides = turns.groupBy("pair_id", at.alias("at"), "side").agg(_digest().alias("d"))
     both = sides.groupBy("pair_id", "at").agg(*(F.max(F.when(F.col("side") == s, F.col("d"))).alias(s) for s in ("chosen", "rejected")))
@@ -62,37 +65,55 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 
 def assemble(formatted: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): whole strings, with (start, end) of what is trained.
+    """(pair_id, part, block, start, text, mask): the strings of each part in blocks of turns, and what of them is trained.
 
-    For conversations that fit in a row.
+    Blocks are numbered by turn number over BLOCK; start is the first code point of the block in its part. The mask lists
+    start:end of the trained turns, counted from the start of the part, joined by commas.
     """
+    rows = F.array_sort(F.collect_list(F.struct("start", "length", "train", "rendered")))
+    trained = F.transform(F.filter("rows", lambda r: r["train"]), lambda r: F.concat_ws(":", r["start"].cast("string"), (r["start"] + r["length"]).cast("string")))
+    grouped = formatted.groupBy("pair_id", "part", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK).alias("block")).agg(F.min("start").alias("start"), rows.alias("rows"))
+    return grouped.select("pair_id", "part", "block", "start", F.array_join(F.transform("rows", lambda r: r["rendered"]), "").alias("text"), F.array_join(trained, ",").alias("mask"))
 
-    def joined(part: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("start", "rendered"))))
-        return F.array_join(F.transform(rows, lambda r: r["rendered"]), "").alias(part)
 
-    def mask(part: str) -> Column:
-        span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
-        return F.array_sort(F.collect_list(F.when((F.col("part") == part) & F.col("train"), span))).alias(f"{part}_mask")
+def last_turn_swapped(turns: DataFrame) -> DataFrame:
+    """Preference pairs out of plain conversations (conv_id, turn, role, text), as ``format_preferences`` takes them.
 
-    return formatted.groupBy("pair_id").agg(joined("prompt"), joined("chosen"), joined("rejected"), mask("chosen"), mask("rejected"))
+    A conversation is the chosen side of the pair of its id. The rejected side is the same with the text of its last
+    assistant turn taken from the last one of conversation 2n + 1 for 2n and the other way round; that turn is missing
+    where there is no such conversation. Without an assistant turn both sides are equal. Null ids have no partner.
+    """
+    answers = turns.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("last"))
+    texts = turns.where(F.col("role") == TRAINED).groupBy("conv_id", "turn").agg(F.max("text").alias("answer"))
+    own = answers.select(F.col("conv_id").alias("own"), "last")
+    given = answers.join(texts.withColumnRenamed("turn", "last"), ["conv_id", "last"]).select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("to"), "answer")
+    swap = own.join(given, F.col("own") == F.col("to"), "left").select("own", "last", F.col("to").isNotNull().alias("given"), "answer")
+    marked = turns.join(swap.select("own", "last"), F.col("conv_id") == F.col("own"), "left")
+    chosen = marked.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
+    kept = marked.where("last IS NULL OR turn IS NULL OR turn <> last").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
+    swapped = swap.where("given").select(F.col("own").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last").alias("turn"), F.lit(TRAINED).alias("role"), F.col("answer").alias("text"))
+    return chosen.unionByName(kept).unionByName(swapped)
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n and 2n + 1 stand for the chosen and the rejected side of pair n."""
-    turns = table(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2)
-    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
-    return format_preferences(turns.select(pair.alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return assemble(format_preferences(last_turn_swapped(turns)))
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations),
+WITH answers AS (SELECT conv_id, turn, max(text) AS answer, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+own AS (SELECT conv_id, last, answer FROM answers WHERE turn = last),
+t AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c LEFT JOIN own USING (conv_id) WHERE last IS NULL OR turn <> last
+  UNION ALL SELECT a.conv_id, 'rejected', a.last, 'assistant', b.answer FROM own a JOIN own b ON b.conv_id = xor(a.conv_id, 1)),
 turns AS (SELECT pair_id, turn, list_sort(list({'r': role, 't': text}) FILTER (side = 'chosen')) AS c, list_sort(list({'r': role, 't': text}) FILTER (side = 'rejected')) AS r FROM t GROUP BY 1, 2),
 cuts AS (SELECT pair_id, coalesce(min(turn) FILTER (c IS DISTINCT FROM r), 4611686018427387904) AS cut FROM turns GROUP BY 1),
-parts AS (SELECT t.*, CASE WHEN turn < cut THEN 'prompt' ELSE side END AS part, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM t JOIN cuts USING (pair_id))
-SELECT pair_id, part, turn, role,
-       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-       CAST(length(rendered) AS BIGINT) AS length, part <> 'prompt' AND role = 'assistant' AS train, rendered
-FROM parts WHERE part <> 'prompt' OR side = 'chosen'
+parts AS (SELECT t.*, CASE WHEN turn < cut THEN 'prompt' ELSE side END AS part, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM t JOIN cuts USING (pair_id)),
+placed AS (
+  SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, length(rendered) AS n
+  FROM parts WHERE part <> 'prompt' OR side = 'chosen')
+SELECT pair_id, part, CAST(turn // 64 AS BIGINT) AS block, min(pos) AS start, string_agg(rendered, '' ORDER BY pos) AS text,
+       coalesce(string_agg(pos || ':' || (pos + n), ',' ORDER BY pos) FILTER (part <> 'prompt' AND role = 'assistant'), '') AS mask
+FROM placed GROUP BY ALL
 """

@@ -260,15 +260,66 @@ def test_preferences(spark):
         (1, "chosen", 0, "user", "hi"), (1, "rejected", 0, "user", "hi"), (1, "chosen", 1, "assistant", "é"), (1, "rejected", 1, "assistant", "no"), (1, "chosen", 2, "user", "x"), (1, "rejected", 2, "user", "x"),
         (2, "chosen", 0, "user", "only"), (3, "chosen", 0, "user", "a"), (3, "rejected", 0, "user", "a"), (None, "chosen", None, None, None), (None, "rejected", None, None, None), (None, "chosen", 1, "assistant", ""),
     ]
-    df = spark.createDataFrame([(*x, 1) for x in data], "pair_id long, side string, turn long, role string, text string, start int")
-    got = {r.pair_id: r for r in chat.assemble(chat.format_preferences(df)).collect()}
-    assert got[1].prompt == "<|user|>\nhi<|end|>\n"
-    assert got[1].chosen == "<|assistant|>\né<|end|>\n<|user|>\nx<|end|>\n" and got[1].rejected.startswith("<|assistant|>\nno")
-    assert [tuple(x) for x in got[1].chosen_mask] == [(0, len("<|assistant|>\né<|end|>\n"))]
-    assert got[2].prompt == "" and got[2].rejected == "" and got[2].chosen_mask == []
-    assert got[3].prompt and got[3].chosen == got[3].rejected == ""
-    assert got[None].prompt == "<||>\n<|end|>\n" and got[None].chosen == "<|assistant|>\n<|end|>\n"
-    assert chat.format_preferences(df.limit(0)).collect() == []
+    data += [(4, None, 0, "user", "lost"), (4, "other", 0, "user", "lost"), (5, "chosen", 0, "user", "twice"), (5, "chosen", 0, "user", "twice"), (5, "rejected", 0, "user", "twice")]
+    df = spark.createDataFrame([(*x, 1, True) for x in data], "pair_id long, side string, turn long, role string, text string, part int, train boolean")
+    got = _strings(chat.assemble(chat.format_preferences(df)).collect())
+    assert got[1, "prompt"] == ("<|user|>\nhi<|end|>\n", "")
+    assert got[1, "chosen"] == ("<|assistant|>\né<|end|>\n<|user|>\nx<|end|>\n", f"0:{len('<|assistant|>|é<|end|>|')}")
+    assert got[1, "rejected"][0].startswith("<|assistant|>\nno")
+    assert (2, "prompt") not in got and (2, "rejected") not in got and got[2, "chosen"][1] == ""
+    assert set(got) & {(3, p) for p in ("prompt", "chosen", "rejected")} == {(3, "prompt")}
+    assert got[None, "prompt"][0] == "<||>\n<|end|>\n" and got[None, "chosen"][0] == "<|assistant|>\n<|end|>\n"
+    assert not any(k == 4 for k, _ in got) and got[5, "chosen"][0] == 2 * got[5, "rejected"][0]
+    assert chat.format_preferences(df.limit(0)).collect() == chat.assemble(chat.format_preferences(df.limit(0))).collect() == []
+
+
+def _strings(assembled):
+    """(text, mask) of each pair and part, blocks put together."""
+    out = {}
+    for r in sorted(assembled, key=lambda r: r.block):
+        text, mask = out.get((r.pair_id, r.part), ("", ""))
+        assert r.start == len(text)
+        out[r.pair_id, r.part] = (text + r.text, ",".join(filter(None, (mask, r.mask))))
+    return out
+
+
+def _plain_pairs(turns):
+    """Every conversation against itself with the last answer of its neighbour; ``turns`` has one row a turn."""
+    by = defaultdict(list)
+    for c, n, role, text in sorted(turns):
+        by[c].append((n, role, text))
+    out = {}
+    for c, chosen in by.items():
+        answers = {k: [i for i, t in enumerate(by.get(k, ())) if t[1] == "assistant"] for k in (c, c ^ 1)}
+        rejected = list(chosen)
+        if answers[c]:
+            i = answers[c][-1]
+            rejected[i : i + 1] = [(chosen[i][0], "assistant", by[c ^ 1][answers[c ^ 1][-1]][2])] if answers[c ^ 1] else []
+        same = next((i for i, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
+        for part, rows_ in (("prompt", chosen[:same]), ("chosen", chosen[same:]), ("rejected", rejected[same:])):
+            text, mask = "", []
+            for _, role, t in rows_:
+                more = f"<|{role}|>\n{t}<|end|>\n"
+                if role == "assistant" and part != "prompt":
+                    mask.append(f"{len(text)}:{len(text) + len(more)}")
+                text += more
+            if rows_:
+                out[c, part] = (text, ",".join(mask))
+    return out
+
+
+def test_preference_query(spark):
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    got = _strings(catalog.queries()["op3_preference_pairs"](spark, DATA).collect())
+    assert got == _plain_pairs(map(tuple, turns))
+    assert {p for _, p in got} == {"prompt", "chosen", "rejected"} and sum(p == "prompt" for _, p in got) >= len({c for c, *_ in turns}) / 2
+
+
+def test_long_conversations(spark):
+    """More turns than a block holds, one side ending early, a conversation without a partner and one without answers."""
+    turns = [(0, n, ("user", "assistant")[n % 2], f"turn {n} é") for n in range(300)] + [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")] + [(2, 0, "assistant", "alone"), (2, 1, "user", "more")] + [(6, 0, "user", "no answer")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    assert _strings(chat.assemble(chat.format_preferences(chat.last_turn_swapped(df))).collect()) == _plain_pairs(turns)
 
 
 # 4. Sampled segmentations
