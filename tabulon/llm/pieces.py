@@ -1,26 +1,27 @@
 """SentencePiece encoding and decoding with sampled segmentations, drawn without replacement by Gumbel top-k.
 
 All ways to spell a text with the vocabulary's pieces form a lattice; a piece's weight depends on its rank in the
-vocabulary. Log-sums over the rest of the lattice turn weights into conditional probabilities, so that a search can draw
-from the top: a node's perturbed log-probability is the largest of all its segmentations', and its children's are drawn
-under that maximum. Expanding the best node first yields segmentations in falling order of perturbed log-probability,
-which is a sample without replacement. Only as many nodes as can still yield one are kept.
+vocabulary. Sums over the rest of a word's lattice turn weights into conditional probabilities of steps, so a path can be
+drawn from any place on. The search keeps sub-lattices by their perturbed log-probability, the largest of all their
+segmentations'. The best one is opened: a path is drawn in it, which is its maximum, and what remains is split by the
+first step that differs from the path. The parts' maxima are drawn under that of the whole. Taking the best part
+again and again yields segmentations in falling order of perturbed log-probability: a sample without replacement.
 
-Draws are seeded by the row's key, so a row gets the same sample wherever and however often its task runs.
+Lattices of words are kept as flat arrays, so paths are drawn, and lattices are split, for all words of a batch of texts at
+once. Draws are hashes of the row's seed and the step's place, so a row gets the same sample wherever and however often its
+task runs, and whatever shares its batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
-import random
 import re
-import zlib
-from array import array
-from bisect import insort
 from collections.abc import Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,196 @@ SAMPLES, SEED = 4, 17
 #: Pieces weigh as words of a text do by rank: 1 / (rank + SHIFT).
 SHIFT = 2.7
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose lattices are remembered, and the longest such word.
-_REMEMBER, _LONGEST = 60_000, 48
+#: Steps of lattices that are remembered; beyond, all are forgotten and built anew as they come.
+_REMEMBER = 5_000_000
+#: Characters of the texts that are sampled together.
+_TOGETHER = 400_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-#: For each place in a word: the next place, the ids of the step and its log-probability given the place.
-Lattice = list[list[tuple[int, tuple[int, ...], float]]]
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, element by element."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Draws in (0, 1) from hashes."""
+    return ((_mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+_ALL = (1 << 64) - 1
+
+
+def _hashed(*parts: int) -> int:
+    """The same hash of a few numbers."""
+    x = 0
+    for p in parts:
+        x = (x * 0x9E3779B97F4A7C15 + p) & _ALL
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+        x ^= x >> 31
+    return x
+
+
+def _draw(x: int) -> float:
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
+class Lattices:
+    """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first."""
+
+    #: For nodes: the first arc and the number of arcs. For arcs: the node they lead to, -1 at the end of a word, their id and node,
+    #: the conditional probability, its logarithm and that of the other arcs' together.
+    NODES = {"first": np.int64, "count": np.int64}
+    ARCS = {"target": np.int32, "ids": np.int32, "source": np.int32, "share": np.float64, "log_share": np.float64, "log_rest": np.float64}
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], spell: list[int], byte_weight: float) -> None:
+        self.spell, self.byte_weight = np.array(spell, dtype=np.int32), math.log(byte_weight)
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(p)
+        self.longest = max(by_length, default=1)
+        #: For each length: hashes of the pieces in order, their ids and logarithms of weights.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, some in by_length.items():
+            h = np.zeros(len(some), dtype=np.uint64)
+            for column in self._codes("".join(some)).reshape(-1, n).T:
+                h = self._longer(h, column)
+            order = np.argsort(h)
+            self.tables[n] = h[order], np.array([pieces[p][0] for p in some])[order], np.log([pieces[p][1] for p in some])[order]
+        self.forget()
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    @staticmethod
+    def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hashes of texts with one code point more."""
+        return _mixed(h * _GOLD + code.astype(np.uint64) + np.uint64(1))
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.held = {c: np.empty(0, dtype=kind) for c, kind in (self.NODES | self.ARCS).items()}
+        self.nodes = self.arcs = 0
+
+    def view(self, column: str) -> np.ndarray:
+        return self.held[column][: self.nodes if column in self.NODES else self.arcs]
+
+    def _append(self, made: dict[str, np.ndarray]) -> None:
+        for c, x in made.items():
+            size, held = self.nodes if c in self.NODES else self.arcs, self.held[c]
+            if size + len(x) > len(held):
+                self.held[c] = np.empty(max(2 * len(held), size + len(x)), dtype=held.dtype)
+                self.held[c][:size] = held[:size]
+            self.held[c][size : size + len(x)] = x
+        self.nodes += len(made["count"])
+        self.arcs += len(made["ids"])
+
+    def add(self, words: list[str]) -> None:
+        """Builds the lattices of new words: a node for each character, and for each further byte of those spelt in bytes."""
+        codes, sizes = self._codes("".join(words)), np.array([len(w) for w in words])
+        n, ends = len(codes), np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the end of the word
+        weight, ids, h = np.full((n, self.longest), -np.inf), np.zeros((n, self.longest), dtype=np.int32), np.zeros(n, dtype=np.uint64)
+        for length in range(1, self.longest + 1):
+            at = np.flatnonzero(left >= length)
+            h[at] = self._longer(h[at], codes[at + length - 1])
+            if length in self.tables:
+                known, known_ids, weights = self.tables[length]
+                place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                hit = known[place] == h[at]
+                weight[at[hit], length - 1], ids[at[hit], length - 1] = weights[place[hit]], known_ids[place[hit]]
+        # a character without a piece of its own is spelt in bytes, one step each
+        spelt = np.flatnonzero(np.isinf(weight[:, 0]))
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[spelt].tolist()]
+        weight[spelt, 0] = np.array([len(b) for b in raw]) * self.byte_weight
+        # sums over the rest of the word from its end on, all words at a time; a word has a place after its last
+        slot = np.arange(n) + np.repeat(np.arange(len(words)), sizes)
+        rest, share = np.zeros(n + len(words)), np.zeros_like(weight)
+        order, levels = np.argsort(left, kind="stable"), np.cumsum(np.bincount(left))
+        for remaining, (a, b) in enumerate(zip(levels, levels[1:], strict=False), 1):
+            at, width = order[a:b], min(remaining, self.longest)
+            if not len(at):
+                continue
+            sums = weight[at, :width] + rest[slot[at, None] + np.arange(1, width + 1)]
+            top = sums.max(axis=1, keepdims=True)
+            part = np.exp(sums - top)
+            total = part.sum(axis=1, keepdims=True)
+            rest[slot[at]] = (top + np.log(total))[:, 0]
+            share[at, :width] = part / total
+        node, step = np.nonzero(share)
+        inverse = np.lexsort((-share[node, step], node))
+        node, step = node[inverse], step[inverse]
+        target = np.where(left[node] == step + 1, -1, self.nodes + node + step + 1)
+        piece, mine = ids[node, step], share[node, step]
+        count = np.bincount(node, minlength=n)
+        first = np.cumsum(count) - count
+        others = np.maximum(np.add.reduceat(mine, first)[node] - mine, 0)
+        source = node + self.nodes
+        # the further bytes of spelt characters
+        by_byte = np.zeros(n, dtype=bool)
+        by_byte[spelt] = True
+        chains = dict(zip(spelt.tolist(), raw, strict=True))
+        more: list[tuple[int, int]] = []
+        for arc in np.flatnonzero(by_byte[node] & (step == 0)).tolist():
+            b = chains[int(node[arc])]
+            piece[arc] = self.spell[b[0]]
+            after = int(target[arc])
+            for i in range(1, len(b)):
+                more.append((after if i == len(b) - 1 else self.nodes + n + len(more) + 1, int(self.spell[b[i]])))
+            if len(b) > 1:
+                target[arc] = self.nodes + n + len(more) - len(b) + 1
+        extra = len(more)
+        with np.errstate(divide="ignore"):
+            log_share, log_rest = np.log(mine), np.where(count[node] > 1, np.log(others), -np.inf)
+        pad = lambda x, fill: np.concatenate((x, np.full(extra, fill)))
+        chained = np.array(more, dtype=np.int64).reshape(-1, 2)
+        self.roots |= dict(zip(words, (self.nodes + ends - sizes).tolist(), strict=True))
+        self._append({
+            "first": np.concatenate((first, len(node) + np.arange(extra))) + self.arcs, "count": pad(count, 1), "target": np.concatenate((target, chained[:, 0])), "ids": np.concatenate((piece, chained[:, 1])),
+            "source": np.concatenate((source, self.nodes + n + np.arange(extra))), "share": pad(mine, 1.0), "log_share": pad(log_share, 0.0), "log_rest": pad(log_rest, -np.inf),
+        })
+
+    def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths from ``nodes`` to the ends of their words: (place in ``nodes``, arc) of all steps, in order."""
+        first, count, target, share = map(self.view, ("first", "count", "target", "share"))
+        at, now, seed, places, arcs = np.arange(len(nodes)), nodes, draws, [], []
+        while True:
+            on = now >= 0
+            if not on.all():
+                at, now, seed = at[on], now[on], seed[on]
+            if not len(at):
+                break
+            seed = seed + _GOLD
+            u, arc = _uniform(seed), first[now]
+            last = arc + count[now] - 1
+            left = np.flatnonzero(last > arc)
+            while len(left):  # the likeliest arcs come first, so few go on
+                u[left] -= share[arc[left]]
+                left = left[(u[left] >= 0) & (arc[left] < last[left])]
+                arc[left] += 1
+                left = left[arc[left] < last[left]]
+            places.append(at), arcs.append(arc)
+            now = target[arc]
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        where = np.concatenate(places)
+        order = np.argsort(where, kind="stable")
+        return where[order], np.concatenate(arcs)[order]
+
+
+class _Path:
+    """A drawn segmentation: its arcs, the words they lie in, log-probabilities before each arc and in all, perturbed value."""
+
+    __slots__ = ("arcs", "words", "before", "total", "value")
+
+    def __init__(self, arcs: np.ndarray, words: np.ndarray, log_share: np.ndarray, value: float) -> None:
+        sums = np.cumsum(log_share)
+        self.arcs, self.words, self.value = arcs, words, value
+        self.before, self.total = np.concatenate(([0.0], sums[:-1])), float(sums[-1]) if len(sums) else 0.0
 
 
 class Sampler:
@@ -48,83 +234,103 @@ class Sampler:
         self.normalise = sentencepiece.SentencePieceNormalizer(model_file=path).Normalize
         n, kind = self.model.vocab_size(), self.model
         ordinary = [i for i in range(n) if not (kind.is_control(i) or kind.is_unknown(i) or kind.is_unused(i) or kind.is_byte(i))]
-        total = math.log(sum(1 / (r + SHIFT) for r in range(len(ordinary))))
-        self.weights = {kind.id_to_piece(i): (i, -math.log(r + SHIFT) - total) for r, i in enumerate(ordinary)}
-        self.bytes = [kind.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_weight = -math.log(len(ordinary) + SHIFT) - total
-        self.longest = max(map(len, self.weights))
-        self.known: dict[str, Lattice] = {}
-
-    def lattice(self, word: str) -> Lattice:
-        if (found := self.known.get(word)) is not None:
-            return found
-        n = len(word)
-        rest = [0.0] * (n + 1)
-        out: Lattice = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            steps = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if piece := self.weights.get(word[i:j]):
-                    steps.append((j, (piece[0],), piece[1] + rest[j]))
-            if not steps or steps[0][0] != i + 1:  # a character without a piece of its own is spelt in bytes
-                raw = word[i].encode("utf-8", "surrogatepass")
-                steps.insert(0, (i + 1, tuple(self.bytes[b] for b in raw), len(raw) * self.byte_weight + rest[i + 1]))
-            top = max(s[2] for s in steps)
-            rest[i] = top + math.log(sum(math.exp(s[2] - top) for s in steps))
-            out[i] = [(j, ids, w - rest[i]) for j, ids, w in steps]
-        if n <= _LONGEST and len(self.known) < _REMEMBER:
-            self.known[word] = out
-        return out
+        total = sum(1 / (r + SHIFT) for r in range(len(ordinary)))
+        pieces = {kind.id_to_piece(i): (i, 1 / (r + SHIFT) / total) for r, i in enumerate(ordinary)}
+        #: What each id decodes to, in bytes.
+        self.surface = [b"" if kind.is_control(i) or kind.is_unused(i) else bytes([int(kind.id_to_piece(i)[3:5], 16)]) if kind.is_byte(i) else " \u2047 ".encode() if kind.is_unknown(i) else kind.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.lattices = Lattices(pieces, [kind.piece_to_id(f"<0x{b:02X}>") for b in range(256)], 1 / (len(ordinary) + SHIFT) / total)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """As the model decodes: the pieces without the space in front; bytes that are no text become replacement characters."""
+        text = b"".join(map(self.surface.__getitem__, ids.tolist()))
+        return text[text[:1] == b" " :].decode("utf-8", "replace")
+
+    def words(self, text: str) -> list[str]:
+        return _WORDS.findall(self.normalise(text)) if text else []
 
     def sample(self, text: str, samples: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-        """Up to ``samples`` distinct segmentations: ids, log-probability, perturbed log-probability, log-inclusion.
+        return [(ids.tolist(), *scores) for ids, *scores in self.sample_all([self.words(text)], samples, [seed])[0]]
+
+    def sample_all(self, texts: Sequence[list[str]], samples: int, seeds: Sequence[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """Up to ``samples`` distinct segmentations a text, given by its words: ids, log-probability, perturbed log-probability, log-inclusion.
 
         Inclusion is the probability that the threshold, the best perturbed value left out, lets a segmentation in;
         log-probability minus its logarithm weighs the sample without bias. The logarithm is 0 where nothing is left
         out; in long texts the inclusion itself is too small for a double.
         """
-        words = [self.lattice(w) for w in _WORDS.findall(self.normalise(text))] if text else []
-        draw, log, exp, log1p = random.Random(seed).random, math.log, math.exp, math.log1p
-        first = -log(-log(draw() or 0.5))
-        frontier: list[tuple] = [(-first, 0, 0.0, 0, 0, None)]  # falling perturbed value, tie, log-probability, word, place, path
-        found, tie = [], 0
-        while frontier and len(found) < samples:
-            negative, _, p, w, i, path = frontier.pop(0)
-            g = -negative
-            if w == len(words):
-                found.append((path, p, g))
-                continue
-            steps, room = words[w][i], samples + 1 - len(found)
-            if len(steps) == 1:
-                drawn = [(g, steps[0])]
-            else:
-                raw = [(p + s[2] - log(-log(draw() or 0.5)), s) for s in steps]
-                most = max(raw, key=lambda x: x[0])[0]
-                drawn = []
-                for x, s in raw:  # all under the maximum g, in the same order as drawn
-                    if x == most:
-                        drawn.append((g, s))
-                        continue
-                    v = g - x + log1p(-exp(x - most)) if x - most > -700 else g - x
-                    drawn.append((g - max(0.0, v) - log1p(exp(-abs(v))), s))
-            for x, (j, ids, q) in drawn:
-                if len(frontier) >= room and -x >= frontier[-1][0]:
+        lat = self.lattices
+        if lat.arcs > _REMEMBER:
+            lat.forget()
+        if new := list(dict.fromkeys(w for ws in texts for w in ws if w not in lat.roots)):
+            lat.add(new)
+        roots = [np.array([lat.roots[w] for w in ws], dtype=np.int64) for ws in texts]
+        log_share, log_rest, target, source, first, count, share, ids = map(lat.view, ("log_share", "log_rest", "target", "source", "first", "count", "share", "ids"))
+        found: list[list[_Path]] = [[] for _ in texts]
+        # parts of lattices by falling value: (-value, number, path, step, arcs left out at it); the whole has no path
+        open_: list[list[tuple]] = [[(math.log(-math.log(_draw(_hashed(s, 0)))), 0, -1, 0, ())] for s in seeds]
+        made = [1] * len(texts)
+        for turn in range(1, samples + 1):
+            starts, draws, jobs = [], [], []
+            for i, frontier in enumerate(open_):
+                if not frontier:
+                    continue
+                negative, _, parent, step, left_out = heapq.heappop(frontier)
+                seed = np.uint64(_hashed(seeds[i], turn))
+                numbers = np.arange(len(roots[i]), dtype=np.uint64)
+                if parent < 0:
+                    arc, word, nodes = -1, 0, roots[i]
+                else:
+                    old = found[i][parent]
+                    here, word = int(source[old.arcs[step]]), int(old.words[step])
+                    choices = [a for a in range(int(first[here]), int(first[here] + count[here])) if a not in left_out]
+                    u = _draw(_hashed(seeds[i], turn, 1)) * share[choices].sum()
+                    arc = choices[min(int(np.searchsorted(np.cumsum(share[choices]), u, side="right")), len(choices) - 1)]
+                    nodes = roots[i][word:].copy()
+                    nodes[0] = target[arc]
+                starts.append(nodes)
+                draws.append(_mixed(numbers[word:] * _GOLD + seed))
+                jobs.append((i, -negative, parent, step, left_out, arc, word))
+            if not jobs:
+                break
+            ends = np.cumsum([len(x) for x in starts])
+            where, arcs = lat.walk(np.concatenate(starts), np.concatenate(draws))
+            cuts = np.searchsorted(where, ends)
+            base = 0
+            for (i, value, parent, step, left_out, arc, word), a, b, end in zip(jobs, [0, *cuts.tolist()], cuts.tolist(), ends.tolist(), strict=False):
+                mine, words = arcs[a:b], where[a:b] - base + word
+                base = end
+                if parent >= 0:
+                    old = found[i][parent]
+                    mine = np.concatenate((old.arcs[:step], [arc], mine))
+                    words = np.concatenate((old.words[:step], [word], words))
+                path = _Path(mine, words, log_share[mine], value)
+                found[i].append(path)
+                if not len(mine):
                     continue
-                tie += 1
-                at = (w, j) if j < len(words[w]) else (w + 1, 0)
-                insort(frontier, (-x, tie, p + q, *at, (path, ids)))
-                if len(frontier) > room:
-                    frontier.pop()
-        bar = -frontier[0][0] if frontier else -math.inf
+                # what is left of this part: the same step once more, and every later one
+                masses = path.before[step:] + log_rest[mine[step:]]
+                without = (*left_out, arc) if parent >= 0 else (int(mine[step]),)
+                if parent >= 0:
+                    here = int(source[arc])
+                    rest = sum(share[x] for x in range(int(first[here]), int(first[here] + count[here])) if x not in without)
+                    masses[0] = path.before[step] + (math.log(rest) if rest > 0 else -math.inf)
+                marks = np.arange(len(masses), dtype=np.uint64) * _GOLD + np.uint64(_hashed(seeds[i], turn, 2))
+                maxima = -np.logaddexp(-value, np.log(-np.log(_uniform(marks))) - masses)
+                need = samples + 1 - turn
+                some = np.argpartition(-maxima, need - 1)[:need] if len(maxima) > need else np.arange(len(maxima))
+                for t in some.tolist():
+                    if masses[t] > -math.inf:
+                        heapq.heappush(open_[i], (-float(maxima[t]), made[i], turn - 1, step + t, without if t == 0 else (int(mine[step + t]),)))
+                        made[i] += 1
         out = []
-        for path, p, g in found:
-            steps = []
-            while path:
-                path, ids = path
-                steps.append(ids)
-            over = p - bar
-            included = over if over < -30 else log(-math.expm1(-exp(over))) if over < 700 else 0.0
-            out.append(([x for ids in reversed(steps) for x in ids], p, g, included))
+        for paths, frontier in zip(found, open_, strict=True):
+            bar = -frontier[0][0] if frontier else -math.inf
+            rows = []
+            for x in paths:
+                over = x.total - bar
+                included = over if over < -30 else math.log(-math.expm1(-math.exp(over))) if over < 700 else 0.0
+                rows.append((ids[x.arcs], x.total, x.value, included))
+            out.append(rows)
         return out
 
 
@@ -140,49 +346,55 @@ def row_seed(seed: int, key: Sequence) -> int:
 FIELDS = [
     T.StructField("sample", T.IntegerType()),
     T.StructField("ids", T.ArrayType(T.IntegerType())),
+    T.StructField("decoded", T.StringType()),
     T.StructField("log_prob", T.DoubleType()),
     T.StructField("perturbed", T.DoubleType()),
     T.StructField("inclusion", T.DoubleType()),
     T.StructField("log_inclusion", T.DoubleType()),
-    T.StructField("decoded", T.StringType()),
 ]
 
 
-def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "text", samples: int = SAMPLES, seed: int = SEED, digest: bool = False) -> DataFrame:
+def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "text", samples: int = SAMPLES, seed: int = SEED, decoded: bool = True) -> DataFrame:
     """Columns ``key``, then ``FIELDS``: for every row its plain encoding as sample 0 and sampled ones from 1 on.
 
-    ``decoded`` is the text that the ids decode to. Sample 0 has null scores. Texts with fewer segmentations than
-    ``samples`` give them all; null and empty texts give one without ids. Rows that repeat a key and a text repeat the
-    sample. With ``digest``, ids_crc32 and n_ids stand for ids, and decoded_crc32 for the decoded text. Other columns
-    are left out, key columns of the names above are not allowed.
+    ``decoded`` is the text that the ids decode to; without it, a column ``decodes`` says whether that is the normalised
+    text. Sample 0 has null scores. Texts with fewer segmentations than ``samples`` give them all; null and empty texts
+    give one without ids. Rows that repeat a key and a text repeat the sample; ties cannot show, as draws are of 53 bits
+    and the first part found wins. Other columns are left out; a key column with one of the names above is an error.
     """
-    fields = [rows.schema[c] for c in key]
-    made = [T.StructField("sample", T.IntegerType())]
-    made += [T.StructField(c, T.LongType()) for c in ("n_ids", "ids_crc32", "decoded_crc32")] if digest else [FIELDS[1], FIELDS[6]]
-    schema = T.StructType([*fields, *made, *FIELDS[2:6]])
+    made = [f if f.name != "decoded" or decoded else T.StructField("decodes", T.BooleanType()) for f in FIELDS]
+    if clash := set(key) & {f.name for f in made}:
+        raise ValueError(f"key columns have names of results: {sorted(clash)}")
+    schema = T.StructType([*(rows.schema[c] for c in key), *made])
     arrow = to_arrow_schema(schema)
 
-    def outputs(s: Sampler, ids: list[int]) -> list:
-        decoded = s.model.decode(ids) if ids else ""
-        if not digest:
-            return [ids, decoded]
-        return [len(ids), zlib.crc32(array("I", ids).tobytes()), zlib.crc32(decoded.encode("utf-8", "surrogatepass"))]
+    def sampled(s: Sampler, keys: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        words = [s.words(t) for t in texts]
+        out: list[list] = [[] for _ in schema]
+        for k, t, w, drawn in zip(keys, texts, words, s.sample_all(words, samples, [row_seed(seed, k) for k in keys]), strict=True):
+            whole = "".join(w).replace(SPACE, " ")
+            for n, (ids, *scores) in enumerate([(np.array(s.model.encode(t) if t else [], dtype=np.int32), None, None, None), *drawn]):
+                back = s.decode(ids)
+                p, g, included = scores
+                row = [*k, n, ids, back if decoded else back == whole[whole[:1] == " " :], p, g, None if included is None else math.exp(included), included]
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        at = len(key) + 1
+        ends = np.cumsum([0, *map(len, out[at])], dtype=np.int32)
+        arrays = [pa.array(c, f.type) if i != at else None for i, (c, f) in enumerate(zip(out, arrow, strict=True))]
+        arrays[at] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *out[at]])), type=arrow.field(at).type)
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path)
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *k, t in zip(*columns, strict=True):
-                t = t or ""
-                plain = s.model.encode(t) if t else []
-                rows = [[*k, 0, *outputs(s, plain), *[None] * 4]]
-                for n, (ids, p, g, included) in enumerate(s.sample(t, samples, row_seed(seed, k)), 1):
-                    rows.append([*k, n, *outputs(s, ids), p, g, math.exp(included), included])
-                for row in rows:
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            *columns, texts = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+            keys, start, held = list(zip(*columns, strict=True)), 0, 0
+            for i, t in enumerate(texts):
+                held += len(t or "")
+                if held >= _TOGETHER or i == len(texts) - 1:
+                    yield sampled(s, keys[start : i + 1], [x or "" for x in texts[start : i + 1]])
+                    start, held = i + 1, 0
 
     return rows.select(*key, text).mapInArrow(run, schema)
 
@@ -203,4 +415,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_samples(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return encode_samples(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("piece_bpe_32k.model"), decoded=False)

@@ -355,14 +355,58 @@ def test_segmentations(spark, odd):
 
 
 def test_segmentations_of_every_document(spark, texts):
-    """The query encodes the corpus itself, the longest text too."""
+    """The query encodes the corpus itself, the longest text too: distinct samples that decode to it, with the lattice's probabilities."""
     got = catalog.queries()["op4_gumbel_segmentations"](spark, DATA).collect()
     s = pieces.sampler(tokenizer_path("piece_bpe_32k.model"))
-    plain = {k: (len(ids), crc(ids)) for k, t in texts.items() for ids in [s.model.encode(t or "")]}
-    assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in got if r["sample"] == 0} == plain
+    assert {r.doc_id: r.ids for r in got if r["sample"] == 0} == {k: s.model.encode(t or "") for k, t in texts.items()}
     assert Counter(r.doc_id for r in got if r["sample"]) == {k: pieces.SAMPLES if t else 1 for k, t in texts.items()}
-    long = max(texts, key=lambda k: len(texts[k] or ""))
-    assert len({r.ids_crc32 for r in got if r.doc_id == long}) > pieces.SAMPLES - 1
+    assert all(r.decodes for r in got) and len({(r.doc_id, tuple(r.ids)) for r in got if r["sample"]}) == sum(r["sample"] > 0 for r in got)
+    weights = {s.model.piece_to_id(s.model.id_to_piece(i)): w for i, w in _piece_weights(s.model).items()}
+    totals = {}
+    for r in [r for r in got if r["sample"] and r.ids][:60]:
+        assert s.model.decode(r.ids) == s.decode(np.array(r.ids)) == s.model.decode(s.model.encode(texts[r.doc_id]))
+        if r.doc_id not in totals:
+            totals[r.doc_id] = sum(_log_total(w, weights, s.model) for w in s.words(texts[r.doc_id]))
+        assert math.isclose(r.log_prob, sum(weights[i] for i in r.ids) - totals[r.doc_id], rel_tol=1e-9, abs_tol=1e-6)
+    for r in got:
+        same = [x for x in got if x.doc_id == r.doc_id and x["sample"]] if r["sample"] == 1 else []
+        assert [x.perturbed for x in sorted(same, key=lambda x: x["sample"])] == sorted((x.perturbed for x in same), reverse=True)
+
+
+def _piece_weights(model):
+    """Logarithms of the weights of ids: by rank for pieces, one weight for bytes."""
+    n = model.vocab_size()
+    ordinary = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    total = math.log(sum(1 / (r + pieces.SHIFT) for r in range(len(ordinary))))
+    out = {i: -math.log(r + pieces.SHIFT) - total for r, i in enumerate(ordinary)}
+    return out | {i: -math.log(len(ordinary) + pieces.SHIFT) - total for i in range(n) if model.is_byte(i)}
+
+
+def _log_total(word, weights, model):
+    """The logarithm of the weights of all segmentations of a word."""
+    rest = [0.0] * (len(word) + 1)
+    for i in range(len(word) - 1, -1, -1):
+        found = []
+        for j in range(i + 1, len(word) + 1):
+            p = model.piece_to_id(word[i:j])
+            if model.id_to_piece(p) == word[i:j] and p in weights and not model.is_byte(p):
+                found.append(weights[p] + rest[j])
+            elif j == i + 1:
+                found.append(len(word[i].encode()) * weights[model.piece_to_id("<0x00>")] + rest[j])
+        rest[i] = float(np.logaddexp.reduce(found))
+    return rest[0]
+
+
+def test_samples_do_not_depend_on_their_batch():
+    s = pieces.sampler(tokenizer_path("piece_bpe_32k.model"))
+    some = ["the river runs", "", "\U0001f600 naïve 東京", "x" * 700, "a", "  two  spaces \n", PROSE]
+    alone = [s.sample(t, 5, 9 + i) for i, t in enumerate(some)]
+    s.lattices.forget()
+    together = s.sample_all([s.words(t) for t in some], 5, [9 + i for i in range(len(some))])
+    assert [[(ids.tolist(), *x) for ids, *x in rows] for rows in together] == alone
+    assert [len({tuple(x[0]) for x in rows}) for rows in alone] == [5, 1, 5, 5, len(s.sample("a", 99, 1)), 5, 5]
+    with pytest.raises(ValueError, match="names of results"):
+        pieces.encode_samples(pytest.importorskip("pyspark.sql").SparkSession.active().createDataFrame([(1, "a")], "sample int, text string"), ["sample"], "")
 
 
 # 5. Quality rules
