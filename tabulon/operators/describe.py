@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
-from tabulon.operators.sampling import blocks, top
+from tabulon.operators.sampling import blocks, running, top
 
 
 def counts(df: DataFrame, *labels: str, name: str = "n") -> DataFrame:
@@ -100,12 +100,11 @@ def template_catalog(probes: DataFrame, bigrams: DataFrame, trigrams: DataFrame,
 def token_stream(df: DataFrame, genre: str, key: str, text: str) -> DataFrame:
     """(genre, seq, token): tokens of all texts of a genre in order of key, numbered from 0.
 
-    Texts are numbered by sums of sizes, so only one small row a text goes through the genre's window.
+    Texts are numbered by sums of sizes over blocks of keys, which are integers.
     """
     rows = df.select(F.col(genre).alias("genre"), F.col(key).alias("k"), X.tokens(F.col(text)).alias("ts"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("genre").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.select("genre", "k", F.size("ts").alias("n")).select("genre", "k", base.alias("base"))
-    return rows.join(starts, ["genre", "k"]).select("genre", F.posexplode("ts").alias("i", "token"), "base").select("genre", (F.col("base") + F.col("i")).alias("seq"), "token")
+    placed = running(rows, ["genre"], "k", F.size("ts"), "base")
+    return placed.select("genre", F.posexplode("ts").alias("i", "token"), "base").select("genre", (F.col("base") + F.col("i")).alias("seq"), "token")
 
 
 def spectrum(tokens: DataFrame, by: Sequence[str] = ("genre",)) -> DataFrame:
@@ -170,23 +169,6 @@ def els(stream: DataFrame, skips: Sequence[int], least: int = 3, by: Sequence[st
     return often.groupBy(*by, "skip").agg(F.count(F.when(F.col("n") >= least, 1)).alias("repeated"))
 
 
-def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3, floor: int = 200, seed: int = 42) -> DataFrame:
-    """Skips against shuffles of the stream: observed, null mean and deviation, z, one-sided p and whether the skip is prime.
-
-    One set of shuffles serves all skips. Streams below ``floor`` tokens are left out.
-    """
-    from tabulon.functions.stats import digest
-
-    long = stream.groupBy("genre").agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("genre")
-    stream = stream.join(long, "genre")
-    reps_ = stream.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    drawn = stream.crossJoin(F.broadcast(reps_)).withColumn("h", digest(seed, F.col("rep").cast("string"), F.col("genre"), F.col("seq").cast("string")))
-    shuffled = drawn.select("genre", "rep", "token", (F.row_number().over(Window.partitionBy("genre", "rep").orderBy("h")) - 1).alias("seq"))
-    null = els(shuffled, skips, least, ["genre", "rep"])
-    seen = els(stream, skips, least)
-    return _against(null.withColumnRenamed("repeated", "null_value"), seen, skips)
-
-
 def _against(null: DataFrame, seen: DataFrame, skips: Sequence[int]) -> DataFrame:
     from tabulon.functions.stats import permutation_p, primes
 
@@ -223,8 +205,10 @@ def shuffled_repeats(freqs: np.ndarray, skips: Sequence[int], least: int, rng: n
     return (seen >= least).sum(axis=1)
 
 
-def els_scan_whole(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3, floor: int = 200, seed: int = 42) -> DataFrame:
-    """``els_scan`` for long streams: a shuffle is one row, drawn from the frequencies of types, not a row for each token.
+def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3, floor: int = 200, seed: int = 42) -> DataFrame:
+    """Skips against shuffles of the whole stream: observed, null mean and deviation, z, one-sided p and whether the skip is prime.
+
+    One set of shuffles serves all skips. A shuffle is one row, drawn from the frequencies of types, not a row a token.
 
     Replicates are seeded by genre and number, so results do not depend on partitions. Streams below ``floor`` tokens are
     left out. A task holds the types of a genre and one block of a shuffle.

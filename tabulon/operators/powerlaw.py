@@ -94,37 +94,27 @@ def frequency_counts(ranked: DataFrame, by: Sequence[str] = ("genre",)) -> DataF
 
 
 def goodness(frequencies: DataFrame, reps: int, by: Sequence[str] = ("genre",), seed: int = 42) -> DataFrame:
-    """(…, ks, reps, p): the share of synthetic samples that lie farther from their own fit.
+    """(…, ks, reps, p): the share of synthetic tails that lie at least as far from their own fit; a p below 0.1 rules the law out.
 
-    Each sample draws the body below x_min from the data and the tail from the fitted law, over at most ``SUPPORT``
-    values, and is fitted anew. A large p means the law is not ruled out, not that it holds.
+    Each tail is drawn from the fitted law over values up to ``SUPPORT``, as large as the observed one; x_min is kept and
+    the exponent estimated anew. A large p means the law is not ruled out, not that it holds.
     """
+    fitted = fits(frequencies, by).where("ks IS NOT NULL").select(*by, "x_min", "alpha", "ks", "tail")
     types = {c: frequencies.schema[c].dataType.simpleString() for c in by}
-    compact = frequencies.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("value", "count"))).alias("data"))
-    drawn = compact.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("rep")
+    drawn = fitted.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("rep")
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            rows = []
-            for _, row in batch.iterrows():
-                x, c = (np.array([d[k] for d in row["data"]], dtype=np.int64) for k in ("value", "count"))
-                found = fit(x, c)
-                if found is None:
-                    continue
-                x_min, alpha, ks, tail = found
-                rng = np.random.default_rng([seed, int(row["rep"])])
-                n, body = int(c.sum()), x < x_min
-                in_tail = int(rng.binomial(n, tail / n))
-                support = np.arange(x_min, min(SUPPORT, x_min + TERMS - 1) + 1)
+            farther = []
+            for x_min, alpha, ks, tail, rep in batch[["x_min", "alpha", "ks", "tail", "rep"]].itertuples(index=False):
+                support = np.arange(int(x_min), SUPPORT)
                 weight = support.astype(np.float64) ** -alpha
-                new = np.zeros(int(max(x.max(), support[-1])) + 1, dtype=np.int64)
-                np.add.at(new, support, rng.multinomial(in_tail, weight / weight.sum()))
-                if body.any() and n > in_tail:
-                    np.add.at(new, x[body], rng.multinomial(n - in_tail, c[body] / c[body].sum()))
-                at = np.flatnonzero(new)
-                again = fit(at, new[at])
-                rows.append([*(row[b] for b in by), ks, again is not None and again[2] >= ks])
-            yield pd.DataFrame(rows, columns=[*by, "ks", "farther"])
+                counts = np.random.default_rng([seed, int(rep)]).multinomial(int(tail), weight / weight.sum())
+                on = counts > 0
+                x, c = support[on], counts[on]
+                again = _alpha(x, c, int(x_min))
+                farther.append(bool(np.isfinite(again) and again > 1 and _ks(x, c, int(x_min), again) >= ks))
+            yield batch[[*by, "ks"]].assign(farther=farther)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", ks double, farther boolean"
     out = drawn.mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,28 @@ def long_form(df: DataFrame, stratum: str, key: str, size: str, n: int = 50, flo
     return stratified(kept, stratum, key, n, seed)
 
 
+#: Keys of one block, whose rows one task numbers.
+BLOCK = 4096
+
+
+def running(df: DataFrame, by: Sequence[str], key: str, weight: Column | None = None, name: str = "place") -> DataFrame:
+    """``df`` with the sum of ``weight`` over the rows before it in its group, by an integer key; without a weight, its place from 0.
+
+    Sums are taken within blocks of keys and over the blocks, so that no window holds a group: a row for BLOCK keys at most.
+    """
+    w = F.lit(1) if weight is None else weight
+    cols = df.withColumns({"__b": F.floor(F.col(key) / BLOCK), "__w": w.cast("long")})
+    before = lambda parts, order: Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cols.groupBy(*by, "__b").agg(F.sum("__w").alias("__s"))
+    bases = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__b").alias("__block"), F.coalesce(F.sum("__s").over(before(by, "__b")), F.lit(0)).alias("__base"))
+    within = cols.withColumn("__in", F.coalesce(F.sum("__w").over(before([*by, "__b"], key)), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__b").eqNullSafe(F.col("__block"))]
+    return within.join(bases, same).select(*df.columns, (F.col("__base") + F.col("__in")).alias(name))
+
+
 def parity(df: DataFrame, stratum: str, key: str) -> DataFrame:
     """``half``: 0 for even and 1 for odd places within a stratum, by key."""
-    return df.withColumn("half", F.pmod(F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1, F.lit(2)))
+    return running(df, [stratum], key, name="half").withColumn("half", F.pmod("half", F.lit(2)))
 
 
 def top(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
 from tabulon.functions.arrays import let, let_all
 from tabulon.functions.stats import benjamini_hochberg, digest, sign_test
+from tabulon.operators.sampling import running
 
 _INTS = "array<int>"
 MIN_TOKENS = 4
@@ -90,7 +91,7 @@ def length_prior_cuts(n: Column, length: Column) -> Column:
 
 def length_prior(docs: DataFrame, by: Sequence[str], key: str, sizes: str) -> DataFrame:
     """(…, length): max(2, rounded median) of segment lengths over documents at even places."""
-    held = docs.withColumn("half", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1, F.lit(2))).where("half = 0")
+    held = running(docs, by, key, name="__place").where("__place % 2 = 0")
     one = held.select(*by, F.explode(sizes).alias("len"))
     return one.groupBy(*by).agg(F.greatest(F.lit(2), F.bround(F.percentile("len", 0.5)).cast("int")).alias("length"))
 
@@ -248,12 +249,12 @@ def solve(docs: DataFrame, method: str, key: str = "doc_id", least: int = MIN_TO
     Methods: overlap_min (least shared trigrams between adjacent segments), hybrid (the same less ``bonus`` for each cut
     at a marker), lex_valley and emb_valley (highest gap scores first), emb_global (least cosine of adjacent centroids),
     shuffled (emb_valley on vectors permuted within the document). Solver says how: exact, greedy for the valleys, or
-    fallback to equal cuts where no cuts are feasible or the document has more than ``most_lines`` lines.
+    fallback to equal cuts where no cuts are feasible, skipped with null cuts for the searches over more than ``most_lines`` lines.
     """
     vectors = "vectors" in docs.columns
     columns = [key, "tokens", "k", *(c for c in ("marks", "vectors") if c in docs.columns)]
 
-    def one(row: pd.Series) -> tuple[list[int], str]:
+    def one(row: pd.Series) -> tuple[list[int] | None, str]:
         lines, k = [list(x) for x in row["tokens"]], int(row["k"])
         n, sizes = len(lines), [len(x) for x in row["tokens"]]
         equal = _equal(n, k)
@@ -278,7 +279,7 @@ def solve(docs: DataFrame, method: str, key: str = "doc_id", least: int = MIN_TO
 
             return _greedy([round(gap(i), 9) for i in range(n - 1)], sizes, k, least, equal), "greedy"
         if n > most_lines:
-            return equal, "fallback"
+            return None, "skipped"
         if method == "emb_global":
             sums = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)))
 
@@ -386,14 +387,18 @@ def paired(scores: DataFrame, pairs: Sequence[tuple[str, str]], key: str = "doc_
 def window_documents(records: DataFrame, source: str, key: str, lines: str, low: int = 3, high: int = 5, least: int = 6, most: int = 80, seed: int = 42) -> DataFrame:
     """Consecutive records joined to documents of ``low`` to ``high`` records, junctions being the true cuts.
 
-    Each block of ``high`` records of a source gives one document of a hashed number of them, the rest is skipped; so
-    documents can be built in parallel. Documents outside ``least`` to ``most`` lines are dropped.
+    A document starts where the last one ended and has a hashed number of records, so where each starts is known without
+    reading any: sizes are summed by blocks of documents. Documents that start among the last ``high`` records are left out,
+    and so are those outside ``least`` to ``most`` lines. The key is an integer.
     """
-    at = F.row_number().over(Window.partitionBy(source).orderBy(key)) - 1
-    placed = records.select(source, key, F.col(lines).alias("ls"), at.alias("at")).withColumns({"block": F.floor(F.col("at") / high), "slot": F.pmod("at", F.lit(high))})
+    placed = running(records.select(source, key, F.col(lines).alias("ls")), [source], key, name="at")
+    groups = records.groupBy(source).agg(F.count("*").alias("records"))
+    drawn = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("records") / low).cast("long"))))
     width = low + F.pmod(F.conv(F.substring(digest(seed, F.col(source).cast("string"), F.col("block").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(high - low + 1))
-    kept = placed.withColumn("width", width).where("slot < width")
-    out = kept.groupBy(source, "block", "width").agg(F.array_sort(F.collect_list(F.struct("slot", "ls"))).alias("rs")).where(F.size("rs") == F.col("width"))
+    begun = running(drawn.withColumn("width", width), [source], "block", F.col("width"), "start").where(F.col("start") < F.col("records") - high)
+    slots = begun.select(F.col(source).alias("__source"), "block", "width", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("slot"))
+    met = placed.join(slots, F.col(source).eqNullSafe(F.col("__source")) & (F.col("at") == F.col("start") + F.col("slot")))
+    out = met.groupBy(source, "block").agg(F.array_sort(F.collect_list(F.struct("slot", "ls"))).alias("rs"))
     out = out.select(F.col(source), F.col("block"), F.transform("rs", lambda r: r["ls"]).alias("records"))
     return from_records(out, "records").where(F.col("n").between(least, most))
 

@@ -200,7 +200,7 @@ def powerlaw_fit(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def powerlaw_gof(spark, d):  # noqa: ANN001, ANN201
-    return powerlaw.goodness(powerlaw.frequency_counts(describe.spectrum(corpus._tokens(spark, d))), 10)
+    return powerlaw.goodness(powerlaw.frequency_counts(describe.spectrum(corpus._tokens(spark, d))), 500)
 
 
 @query()

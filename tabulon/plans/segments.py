@@ -277,11 +277,21 @@ def engineered_delimiter(spark, d):  # noqa: ANN001, ANN201
     return out.agg(F.avg("pk").alias("pk"), F.avg("window_diff").alias("window_diff"), F.avg("f1").alias("f1"), F.count("*").alias("docs"))
 
 
-@query()
+_WINDOWED = rf"""
+WITH t AS (SELECT role, conv_id * 1000 + turn AS k, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations),
+r AS (SELECT role, len(ls) AS c, row_number() OVER (PARTITION BY role ORDER BY k) - 1 AS pos, count(*) OVER (PARTITION BY role) AS records FROM t WHERE len(ls) > 0),
+j AS (SELECT role, records, unnest(range(0, records // 3 + 1)) AS block FROM (SELECT DISTINCT role, records FROM r)),
+w AS (SELECT *, 3 + ('0x' || substr(md5(concat_ws('|', '42', role, block::VARCHAR)), 1, 8))::BIGINT % 3 AS width FROM j),
+s AS (SELECT *, coalesce(sum(width) OVER (PARTITION BY role ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM w),
+d AS (SELECT s.role, block, list(c ORDER BY pos) AS cs FROM s JOIN r ON r.role = s.role AND pos >= start AND pos < start + width WHERE start < s.records - 5 GROUP BY ALL)
+SELECT role, block, list_sum(cs)::BIGINT AS n, len(cs) AS k, array_to_string(list_transform(range(1, len(cs)), lambda i: list_sum(cs[1:i])::BIGINT - 1), ',') AS truth FROM d WHERE list_sum(cs) BETWEEN 6 AND 80"""
+
+
+@query(_WINDOWED)
 def window_documents(spark, d):  # noqa: ANN001, ANN201
     turns = table(spark, d, "conversations", ["conv_id", "turn", "role", "text"]).select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), X.lines(F.col("text")).alias("ls")).where(F.size("ls") > 0)
     out = G.window_documents(turns, "role", "k", "ls")
-    return out.select("role", "block", "n", "k", F.array_join("truth", ",").alias("truth"))
+    return out.select("role", "block", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.array_join("truth", ",").alias("truth"))
 
 
 def permuted_vectors(vectors, key):  # noqa: ANN001, ANN201

@@ -14,7 +14,7 @@ from tabulon.functions import lexicon as L
 from tabulon.functions import patterns as R
 from tabulon.functions import stats
 from tabulon.functions import text as X
-from tabulon.operators import describe, ledger, permutation, powerlaw, probes, segmentation as G, sealedlog as S
+from tabulon.operators import describe, ledger, permutation, powerlaw, probes, sampling, segmentation as G, sealedlog as S
 from tabulon.plans import inference
 from tabulon.sources import readers, sinks
 
@@ -201,7 +201,7 @@ def _repeats(stream, skips):
     return [sum(v >= 3 for v in Counter(stream[::k]).values()) for k in skips]
 
 
-def test_els_scan_whole_sees_every_token_and_skip(spark):
+def test_els_scan_sees_every_token_and_skip(spark):
     """Whole streams, skips 2..100 and p below 1/11; nulls as of plain shuffles."""
     rng, skips = random.Random(3), range(2, 101)
     a = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(6000)]
@@ -209,9 +209,9 @@ def test_els_scan_whole_sees_every_token_and_skip(spark):
         a[i] = f"late{i // 200}"
     streams = {"a": a, "b": [rng.choice("xyz") for _ in range(300)], "short": ["x"] * 199}
     df = spark.createDataFrame([(g, i, t) for g, s in streams.items() for i, t in enumerate(s)], "genre string, seq long, token string")
-    got = {(r.genre, r["skip"]): r for r in describe.els_scan_whole(df, skips, 200).collect()}
+    got = {(r.genre, r["skip"]): r for r in describe.els_scan(df, skips, 200).collect()}
     assert set(got) == {(g, k) for g in "ab" for k in skips}
-    again = {(r.genre, r["skip"]): r for r in describe.els_scan_whole(df.repartition(7), skips, 200).collect()}
+    again = {(r.genre, r["skip"]): r for r in describe.els_scan(df.repartition(7), skips, 200).collect()}
     assert got == again
     for g in "ab":
         assert [got[g, k].repeated for k in skips] == _repeats(streams[g], skips)
@@ -251,3 +251,28 @@ def test_spearman_takes_every_row(spark):
     assert tuple(permutation.spearman(few.limit(2), "k", "x", "y").first()) == (2, None, None, None)
     n = spark.read.parquet(f"{DATA}/documents.parquet").select("source").distinct().count()
     assert n > 6 and inference.spearman_exact(spark, DATA).first().n == n
+
+
+def test_running_sums_by_blocks(spark):
+    """Places and sums over blocks of keys equal those over the whole group; null groups and negative keys too."""
+    rng = np.random.default_rng(2)
+    data = [(("a", "b", None)[int(g)], int(k), int(w)) for g, k, w in zip(rng.integers(0, 3, 500), rng.permutation(60_000)[:500] - 30_000, rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(data, "g string, k long, w int").repartition(3)
+    got = {(r.g, r.k): (r.place, r.total) for r in sampling.running(sampling.running(df, ["g"], "k"), ["g"], "k", F.col("w"), "total").collect()}
+    for g in ("a", "b", None):
+        mine = sorted((k, w) for h, k, w in data if h == g)
+        assert [got[g, k] for k, _ in mine] == [(i, sum(w for _, w in mine[:i])) for i in range(len(mine))]
+
+
+def test_goodness_of_fit(spark):
+    """A sample of the law is not ruled out, one with a bump is."""
+    rng = np.random.default_rng(5)
+    support = np.arange(2, 100_000)
+    weight = support**-2.3
+    c = rng.multinomial(3000, weight / weight.sum())
+    bump = c.copy()
+    bump[40:44] += 400
+    rows = [(g, int(x), int(n)) for g, cs in (("law", c), ("bump", bump)) for x, n in zip(support, cs) if n]
+    df = spark.createDataFrame(rows, "genre string, value long, count long")
+    got = {r.genre: r for r in powerlaw.goodness(df, 60).collect()}
+    assert got["law"].p > 0.1 > got["bump"].p and got["law"].reps == 60
