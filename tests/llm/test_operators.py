@@ -708,6 +708,25 @@ def test_licences_in_longer_text(spark):
     assert got == {1: ("GPL-3.0", 1.0), 2: ("GPL-3.0", 1.0), 3: ("MIT", 1.0), 4: ("MIT", 1.0), 5: (None, None), 6: ("CC-BY-4.0", 1.0)}
 
 
+def test_full_licences(spark):
+    """Full texts as files carry them: wrapped, in comments, with a name and year above, or around other words."""
+    paragraphs = licences.ALL_TEMPLATES
+    body = {
+        "MIT": paragraphs["MIT"][-3:],
+        "BSD-3-Clause": ("Copyright (c) 2020, A. Miller", paragraphs["BSD-3-Clause"][0], "1. " + paragraphs["BSD-2-Clause"][0], "2. " + paragraphs["BSD-2-Clause"][1], "3. " + paragraphs["BSD-3-Clause"][1], paragraphs["BSD-2-Clause"][2].replace("COPYRIGHT HOLDERS", "MILL AND ITS OWNERS")),
+        "Apache-2.0": ("Copyright 2020 A. Miller", *paragraphs["Apache-2.0"][-2:]), "ISC": paragraphs["ISC"], "GPL-3.0": (paragraphs["GPL-3.0"][1], *paragraphs["GPL-3.0"][2:]),
+    }
+    data = []
+    for i, (name, parts) in enumerate(body.items()):
+        wrapped = "\n\n".join(textwrap.fill(p, 72) for p in parts)
+        data += [(name, 4 * i, wrapped), (name, 4 * i + 1, textwrap.indent(wrapped, " * ", lambda _: True)), (name, 4 * i + 2, PROSE + " ".join(parts) + PROSE), (name, 4 * i + 3, textwrap.indent(wrapped, "# ").replace("\n", "\r\n"))]
+    df = spark.createDataFrame(data, "name string, doc_id long, text string")
+    found = {r.doc_id: r.licences for r in licences.report(licences.scan(df)).collect()}
+    for name, k, _ in data:
+        assert f"{name}:1.0000" in found[k], (name, k, found[k])
+    assert "MIT" not in found[4] and "GPL-3.0" not in found[0]
+
+
 def test_licences(spark, odd):
     mit = "This project is licensed under the MIT License."
     data = [(1, mit), (2, f"intro\n{mit.upper()}\nend"), (3, "About. Released under the  MIT-License! More"), (4, None), (5, ""), (6, "MIT"), (7, PROSE + mit), (7, mit), (8, "All rights reserved"), (9, "all the rights are reserved for them")]
