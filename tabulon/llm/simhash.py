@@ -28,6 +28,8 @@ WORDS = 4
 SEED = 42
 #: Distinct fingerprints that one task compares with each other; larger buckets are cut into blocks.
 BUCKET = 20_000
+#: Tasks that share the fingerprints of one component.
+SALTS = 32
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -177,9 +179,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     prints = cut(fingerprints(docs, text, [key]))
     distinct = cut(prints.groupBy("bits").agg(F.min(key).alias("least")))
     roots = cut(components(links(distinct, radius, most)))
-    rooted = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_bits = rooted.join(smallest, "root").select("bits", "component_id")
+    rooted = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", "root")
+    # only fingerprints with links need their root's least key; a root of many is dealt to SALTS tasks
+    linked = rooted.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALTS)))
+    smallest = linked.groupBy("root", "salt").agg(F.min("least").alias("m")).groupBy("root").agg(F.min("m").alias("component_id"))
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    by_bits = linked.join(spread, ["root", "salt"]).select("bits", "component_id").unionByName(rooted.where("root IS NULL").select("bits", F.col("least").alias("component_id")))
     return prints.join(by_bits, "bits").select(key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
