@@ -6,8 +6,10 @@ loop runs on the driver. Chunked documents are small rows; a replicate's statist
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,6 @@ from tabulon.functions import text as X
 from tabulon.functions.arrays import let, let_all
 from tabulon.functions.stats import digest, permutation_p, spearman_exact, two_sided, uniform
 
-_LENS = "array<int>"
-
-
 def chunked(df: DataFrame, genre: str, key: str, text: str, marker: str = X.RULING, least: int = 4) -> DataFrame:
     """(genre, doc, tokens, lens): tokens of the kept chunks in a row, and the chunks' lengths."""
     parts = df.select(F.col(genre).alias("genre"), F.col(key).alias("doc"), X.chunks(F.col(text), marker, least).alias("cs")).where(F.size("cs") > 0)
@@ -50,49 +49,91 @@ def observed(chunks: DataFrame) -> DataFrame:
     return out.select("genre", "docs", "pairs", F.round(F.try_divide(F.col("total"), F.col("pairs")), 6).alias("mean_shared"), "degenerate")
 
 
-def permuted_lengths(seed: int, rep: Column, doc: Column, lens: Column) -> Column:
+def _order(seed: int, rep: int, doc: object, n: int) -> list[str]:
+    """Hashes that order n things, the same as ``digest`` of seed, replicate, document and place."""
+    start = hashlib.md5(f"{seed}|{rep}|{doc}|".encode())
+    out = []
+    for i in range(n):
+        h = start.copy()
+        h.update(b"%d" % i)
+        out.append(h.hexdigest())
+    return out
+
+
+def permuted_lengths(seed: int, rep: int, doc: object, lens: list[int]) -> list[int]:
     """Null A: the chunk lengths in another order, over the same tokens."""
-    keyed = F.transform(lens, lambda n, i: F.struct(digest(seed, rep.cast("string"), doc.cast("string"), i.cast("string")).alias("h"), n.alias("n")))
-    return F.transform(F.array_sort(keyed), lambda s: s["n"])
+    return [n for _, n in sorted(zip(_order(seed, rep, doc, len(lens)), lens, strict=True))]
 
 
-def scattered_lengths(seed: int, rep: Column, doc: Column, lens: Column, least: int = 4) -> Column:
+def scattered_lengths(seed: int, rep: int, doc: object, lens: list[int], least: int = 4) -> list[int]:
     """Null B: as many chunks, each of ``least`` tokens and of a multinomial share of the rest.
 
     Tokens beyond the least are dropped one by one into hashed chunks: multinomial with equal chances, which is not
     uniform over cuts but concentrates near equal lengths. Texts too short for it become one chunk.
     """
-    return let(lens, lambda a: _scattered(seed, rep, doc, a, least))
-
-
-def _scattered(seed: int, rep: Column, doc: Column, lens: Column, least: int) -> Column:
-    total, m = F.aggregate(lens, F.lit(0), lambda s, x: s + x), F.size(lens)
+    total, m = sum(lens), len(lens)
     slack = total - least * m
-    balls = F.transform(F.sequence(F.lit(1), F.greatest(slack, F.lit(1))), lambda b: F.floor(uniform(seed, rep.cast("string"), doc.cast("string"), b.cast("string")) * m).cast("int"))
-    balls = F.when(slack > 0, balls).otherwise(F.array().cast(_LENS))
-    drawn = let(balls, lambda bs: F.transform(lens, lambda _, i: F.lit(least) + F.size(F.filter(bs, lambda b: b == i))))
-    return F.when(slack >= 0, drawn).otherwise(F.array(total))
+    if slack < 0:
+        return [total]
+    out = [least] * m
+    for h in _order(seed, rep, doc, slack + 1)[1:]:
+        out[int(int(h[:8], 16) / 4294967296.0 * m)] += 1
+    return out
 
 
-def shuffled_tokens(seed: int, rep: Column, doc: Column, tokens: Column) -> Column:
+def shuffled_tokens(seed: int, rep: int, doc: object, tokens: list) -> list:
     """Null C, a contrast only: it destroys all local structure, so everything differs from it."""
-    keyed = F.transform(tokens, lambda t, i: F.struct(digest(seed, rep.cast("string"), doc.cast("string"), i.cast("string")).alias("h"), t.alias("t")))
-    return F.transform(F.array_sort(keyed), lambda s: s["t"])
+    return [t for _, t in sorted(zip(_order(seed, rep, doc, len(tokens)), tokens, strict=True))]
+
+
+def _shared_now(grams: list, lens: list[int]) -> int:
+    """Trigrams shared by adjacent chunks; ``grams`` are those that start at each token."""
+    total, at, before = 0, 0, None
+    for n in lens:
+        now = set(grams[at : at + n - 2]) if n > 2 else set()
+        if before:
+            total += len(before & now)
+        at, before = at + n, now
+    return total
+
+
+#: Replicates of a document that one row of work stands for.
+REPLICATES = 250
 
 
 def overlap_null(chunks: DataFrame, null: str, reps: int, seed: int = 42, least: int = 4) -> DataFrame:
-    """(genre, rep, stat) under null A, B or C."""
-    drawn = chunks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rep, doc, tokens, lens = (F.col(c) for c in ("rep", "doc", "tokens", "lens"))
-    if null == "A":
-        s = shared(tokens, permuted_lengths(seed, rep, doc, lens))
-    elif null == "B":
-        s = shared(tokens, scattered_lengths(seed, rep, doc, lens, least))
-    elif null == "C":
-        s = shared(shuffled_tokens(seed, rep, doc, tokens), lens)
-    else:
+    """(genre, rep, stat) under null A, B or C.
+
+    A row of work is a document and REPLICATES replicates; trigrams are numbered once for each, and sums of a batch leave the task.
+    """
+    if null not in ("A", "B", "C"):
         raise ValueError(f"no null {null!r}")
-    out = drawn.select("genre", "rep", s.alias("s")).groupBy("genre", "rep").agg(F.sum("s.total").alias("total"), F.sum("s.pairs").alias("pairs"))
+    work = chunks.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REPLICATES))))
+    # rows are small and their work is not, so the number of tasks is given, or they would be put together again
+    tasks = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.select("genre", F.col("doc").cast("string").alias("doc"), "tokens", "lens", "from").repartition(tasks, "doc", "from")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            for row in batch.to_pylist():
+                doc, tokens, lens, known = row["doc"], row["tokens"], row["lens"], {}
+                number = lambda ts: [known.setdefault(g, len(known)) for g in zip(ts, ts[1:], ts[2:], strict=False)]  # noqa: B023, E731
+                grams = number(tokens)
+                for rep in range(row["from"], min(row["from"] + REPLICATES, reps)):
+                    if null == "C":
+                        now, found = lens, number(shuffled_tokens(seed, rep, doc, tokens))
+                    else:
+                        now, found = permuted_lengths(seed, rep, doc, lens) if null == "A" else scattered_lengths(seed, rep, doc, lens, least), grams
+                    held = sums.setdefault((row["genre"], rep), [0, 0])
+                    held[0] += _shared_now(found, now)
+                    held[1] += len(now) - 1
+            keys = list(sums)
+            yield pa.RecordBatch.from_pydict(
+                {"genre": pa.array([g for g, _ in keys], pa.string()), "rep": pa.array([r for _, r in keys], pa.int32()), "total": pa.array([sums[k][0] for k in keys], pa.int64()), "pairs": pa.array([sums[k][1] for k in keys], pa.int64())}
+            )
+
+    out = work.mapInArrow(run, "genre string, rep int, total long, pairs long").groupBy("genre", "rep").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
     return out.select("genre", "rep", F.try_divide(F.col("total"), F.col("pairs")).alias("stat"))
 
 

@@ -100,6 +100,20 @@ def null_token_shuffle(spark, d):  # noqa: ANN001, ANN201
     return permutation.overlap_test(_chunks(spark, d), "C", REPS)
 
 
+#: Permutations of the whole tests A and B (whose draws cost a hash a token); the queries with SQL show the first REPS of them, drawn alike.
+WHOLE, WHOLE_CUTS = 10_000, 2_000
+
+
+@query()
+def null_length_permute_whole(spark, d):  # noqa: ANN001, ANN201
+    return permutation.overlap_test(_chunks(spark, d), "A", WHOLE, least_pairs=30)
+
+
+@query()
+def null_uniform_cuts_whole(spark, d):  # noqa: ANN001, ANN201
+    return permutation.overlap_test(_chunks(spark, d), "B", WHOLE_CUTS, least_pairs=30)
+
+
 @query("""
 WITH v AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) - 1 AS pos, count(*) OVER (PARTITION BY role) AS n, length(text) AS v FROM conversations),
 d AS (SELECT role, rep, floor(('0x' || substr(md5(concat_ws('|', '42', rep::VARCHAR, role, pos::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::INT AS pick FROM v, range(0, 30) r(rep)),
