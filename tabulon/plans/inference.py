@@ -5,6 +5,8 @@ Conversations stand for structured documents: turns are the chunks between marke
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,23 +160,23 @@ def _interior(spark, d) -> DataFrame:  # noqa: ANN001
     return permutation.interior_lines(lined(spark, d), "genre", "doc", {"short": F.length("line") < 60, "early": F.col("line").rlike("^[A-E]")})
 
 
-def _enrichment_sql(group: str, stratum: str) -> str:
-    rates = " UNION ALL ".join(f"SELECT genre, '{f}' AS flag, count(*) FILTER (pre) AS cuts, avg({f}::INT) FILTER (pre) AS pre, avg({f}::INT) FILTER (NOT pre) AS oth FROM l GROUP BY genre" for f in FLAGS)
-    nulls = " UNION ALL ".join(f"SELECT genre, rep, '{f}' AS flag, avg({f}::INT) AS stat FROM k GROUP BY genre, rep" for f in FLAGS)
+def enrichment_sql(group: str, stratum: str, interior: str = _INTERIOR, flags: Iterable[str] = FLAGS) -> str:
+    rates = " UNION ALL ".join(f"SELECT genre, '{f}' AS flag, count(*) FILTER (pre) AS cuts, avg({f}::INT) FILTER (pre) AS pre, avg({f}::INT) FILTER (NOT pre) AS oth FROM l GROUP BY genre" for f in flags)
+    nulls = " UNION ALL ".join(f"SELECT genre, rep, '{f}' AS flag, avg({f}::INT) AS stat FROM k GROUP BY genre, rep" for f in flags)
     return f"""
-WITH l AS (SELECT *{stratum} FROM ({_INTERIOR})), s AS (SELECT {group}, sum(pre::INT) AS kk FROM l GROUP BY ALL),
+WITH l AS (SELECT *{stratum} FROM ({interior})), s AS (SELECT {group}, sum(pre::INT) AS kk FROM l GROUP BY ALL),
 k AS (SELECT * FROM (SELECT l.*, kk, rep, row_number() OVER (PARTITION BY rep, {', '.join('l.' + g.strip() for g in group.split(','))} ORDER BY md5(concat_ws('|', '42', rep::VARCHAR, doc::VARCHAR, i::VARCHAR))) AS r FROM l JOIN s USING ({group}), range(0, {REPS}) q(rep)) WHERE r <= kk),
 seen AS ({rates}), nul AS ({nulls}),
 j AS (SELECT seen.*, avg(stat) AS m, count(*) FILTER (round(stat, 9) >= round(pre, 9)) AS hits, count(*) AS reps FROM nul JOIN seen USING (genre, flag) GROUP BY ALL)
 SELECT genre, flag, cuts, round(pre, 6) AS rate_before, round(oth, 6) AS rate_other, round(m, 6) AS null_rate, round(pre / nullif(m, 0), 4) AS enrichment, round((hits + 1) / (reps + 1), 6) AS p FROM j"""
 
 
-@query(_enrichment_sql("genre, doc", ""))
+@query(enrichment_sql("genre, doc", ""))
 def closer_enrichment(spark, d):  # noqa: ANN001, ANN201
     return permutation.enrichment(_interior(spark, d), FLAGS, REPS)
 
 
-@query(_enrichment_sql("genre, stratum", ", least(9, floor(i * 10 / n))::BIGINT AS stratum"))
+@query(enrichment_sql("genre, stratum", ", least(9, floor(i * 10 / n))::BIGINT AS stratum"))
 def stratified_enrichment(spark, d):  # noqa: ANN001, ANN201
     return permutation.enrichment(_interior(spark, d), FLAGS, REPS, strata=10)
 

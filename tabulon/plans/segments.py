@@ -243,7 +243,12 @@ def paired_wins(spark, d):  # noqa: ANN001, ANN201
     return G.paired(scores(spark, d), PAIRS).select("a", "b", "docs", "wins", "losses")
 
 
-@query()
+_SIGNED = "CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) END"
+
+
+@query(f"""
+WITH s AS ({_SCORED}), t AS (SELECT 'chat' AS corpus, *, ({_SIGNED})::DOUBLE AS p FROM ({_PAIR})), r AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS m FROM t)
+SELECT corpus, a, b, docs, wins, losses, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC)), 6) AS p_adjusted FROM r""")
 def paired_sign(spark, d):  # noqa: ANN001, ANN201
     return G.paired(scores(spark, d), PAIRS)
 
