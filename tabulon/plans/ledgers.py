@@ -30,6 +30,9 @@ TABLETS = (
     (9, "1/2(diš) udu\n3(diš) udu\nšu-nigin₂ 3(diš) udu"),
     (10, None),
     (11, "a-ša₃ gu₄\nšu-nigin₂ 3(foo) udu"),
+    (12, "šu-nigin₂ 3(diš) udu\na-ša₃\nšu-nigin₂ 2(diš) udu\n2(diš) udu iti\nšu-nigin₂ 2(diš) udu\nšu-nigin₂ udu"),
+    (13, "...\n1(u) udu\n5(diš) u₈\nšu-nigin₂ 1(u) 5(diš) udu\n1(u) udu\n... 2(diš) gu₄\n1(diš) gu₄\nšu-nigin₂ 3(diš) gu₄"),
+    (14, "5(diš) lu₂\n2(diš) munus\nšu-nigin₂ 7(diš) lu₂"),
 )
 
 
@@ -49,7 +52,8 @@ _UNITS = "MAP {" + ", ".join(f"'{u}': {v}" for u, v in L.UNITS.items()) + "}"
 _IN_S = "[" + ", ".join(f"'{u}'" for u in L.UNITS) + "]"
 _IN_O = "[" + ", ".join(f"'{u}'" for u in L.OTHER_UNITS) + "]"
 _EDGE = r"[^\p{L}\p{N}_]"
-_GOOD = "(^|" + _EDGE + ")(" + "|".join(L.COMMODITIES) + ")(" + _EDGE + "|$)"
+_NOUNS = "(^|{e})({w})({e}|$)"
+_GOOD = _NOUNS.format(e=_EDGE, w="|".join(L.COMMODITIES))
 _DATED = rf"(^|{_EDGE})(u₄|iti|mu|zal)({_EDGE}|$)|ba-zal|-kam({_EDGE}|$)"
 _RATE = rf"\)\s*-?ta({_EDGE}|$)"
 _CLASSIFIED = rf"""
@@ -111,12 +115,28 @@ def section_totals(spark, d):  # noqa: ANN001, ANN201
     return ledger.sections(tablets(spark), "id", "text").select("id", "section", F.size("items").alias("items"), "total")
 
 
-@query()
+def _sections_sql(words) -> str:  # noqa: ANN001
+    found = _CLASSIFIED.replace(_GOOD, _NOUNS.format(e=_EDGE, w="|".join(words)))
+    return rf"""
+WITH n AS (SELECT *, contains(line, '{L.TOTAL}') AS tot, coalesce(sum(contains(line, '{L.TOTAL}')::INT) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS section FROM ({found})),
+t AS (SELECT id, section, kind AS tkind, damaged AS tdamaged, val AS claimed, regexp_extract_all(line, '(\d+)\(([^)]+)\)', 2) AS us FROM n WHERE tot),
+f AS (SELECT id, section, min(pos) FILTER (kind = 'counted') AS first FROM n WHERE NOT tot GROUP BY ALL),
+i AS (SELECT id, section, count(*) AS lines, count(*) FILTER (kind = 'counted') AS counted, count(*) FILTER (kind = 'none') AS nones, bool_or(kind = 'unclassifiable') AS bad, coalesce(bool_or(damaged) FILTER (pos >= first), false) AS broken,
+      coalesce(bool_or(damaged) FILTER (pos < first), false) AS lead, sum(val) FILTER (kind = 'counted') AS items FROM n JOIN f USING (id, section) WHERE NOT tot GROUP BY ALL),
+r AS (SELECT *, CASE WHEN tdamaged THEN 'rule2_damage' WHEN tkind <> 'total' THEN 'rule3_total_line' WHEN coalesce(broken, false) THEN 'rule2_damage' WHEN coalesce(bad, false) THEN 'rule4_unclassifiable' WHEN coalesce(counted, 0) < 2 THEN 'rule5_too_few_items' END AS fail_rule
+      FROM t LEFT JOIN i USING (id, section))
+SELECT id, section, fail_rule, CASE fail_rule
+    WHEN 'rule3_total_line' THEN CASE WHEN len(us) = 0 THEN 'rule3_no_numeral' WHEN list_has_any(us, {_IN_O}) THEN 'rule3_capacity_or_weight' WHEN NOT list_has_all({_IN_S}, us) THEN 'rule3_other_number_system' ELSE 'rule3_no_lexicon_commodity' END
+    WHEN 'rule5_too_few_items' THEN CASE WHEN coalesce(lines, 0) = 0 THEN 'rule5_empty_item_region' WHEN nones = lines THEN 'rule5_no_numeral_lines' WHEN counted = 0 THEN 'rule5_all_numerals_noncounted' ELSE 'rule5_exactly_one_counted' END END AS detail,
+  CASE WHEN fail_rule IS NULL THEN claimed END AS claimed, CASE WHEN fail_rule IS NULL THEN items::BIGINT END AS item_sum, CASE WHEN fail_rule IS NULL THEN counted::INT END AS n_items, CASE WHEN fail_rule IS NULL THEN lead END AS lead_damage, CASE WHEN fail_rule IS NULL THEN claimed = items END AS matches FROM r"""
+
+
+@query(_sections_sql(L.COMMODITIES))
 def section_audit(spark, d):  # noqa: ANN001, ANN201
     return ledger.audit_sections(ledger.sections(tablets(spark), "id", "text"), "id")
 
 
-@query()
+@query(_sections_sql(L.WIDE_COMMODITIES))
 def section_audit_wide(spark, d):  # noqa: ANN001, ANN201
     return ledger.audit_sections(ledger.sections(tablets(spark), "id", "text"), "id", L.WIDE_COMMODITIES)
 

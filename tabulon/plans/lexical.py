@@ -186,7 +186,7 @@ def trailer_lines(spark, d):  # noqa: ANN001, ANN201
 
 
 #: What results of segmentation must keep to before they are stated again; pk of a method, lower is better.
-INVARIANTS = {"marker no worse than equal": "marker <= equal", "marker alone no worse than lexical": "marker_k <= lex_thresh", "lexical within .015 of equal": "abs(lex_thresh - equal) < 0.015", "a method is exact": "least(marker, marker_k, equal, lex_thresh, length_prior) = 0"}
+INVARIANTS = {"marker no worse than equal": "marker <= equal", "marker alone no worse than lexical": "marker_k <= lex_thresh", "lexical within .015 of equal": "abs(lex_thresh - equal) < 0.015"}
 _PIVOT = ", ".join(f"avg(pk) FILTER (method = '{m}') AS {m}" for m in ("equal", "marker", "marker_k", "lex_thresh", "length_prior"))
 _BOOLS = " UNION ALL ".join(f"SELECT '{n}' AS rule, 1::BIGINT AS checked, (NOT coalesce({c}, false))::BIGINT AS failed, coalesce({c}, false) AS held FROM m" for n, c in INVARIANTS.items())
 

@@ -180,10 +180,13 @@ _PLANNED += f" UNION ALL SELECT doc_id, 'lex_thresh', n, truth, {_ABOVE}, list_b
 _PLANNED += f" UNION ALL SELECT doc_id, 'length_prior', n, truth, {_PRIOR_CUTS}, list_bool_or(marks) FROM ({_DOCS}), ({_PRIOR})"
 _W = "greatest(2, round_even(n / (len(truth) + 1) / 2, 0)::INT)"
 _IN = "len(list_filter({c}, lambda x: x >= i AND x < i + w))"
+# Cuts in ascending order, each taking the lowest true one near it that is left: [hits, last one taken].
+_NEAR = "list_reduce(list_transform(list_sort(cuts), lambda c: [c::BIGINT]), lambda a, x: CASE WHEN len(list_filter(truth, lambda t: t > a[2] AND abs(t - x[1]) <= 1)) > 0 THEN [a[1] + 1, list_min(list_filter(truth, lambda t: t > a[2] AND abs(t - x[1]) <= 1))::BIGINT] ELSE a END, [0::BIGINT, -1::BIGINT])[1]"
 _SCORED = f"""
 SELECT doc_id, method, marked, CASE WHEN n <= w THEN 0 ELSE round(len(list_filter(range(0, n - w), lambda i: ({_IN.format(c='truth')} > 0) <> ({_IN.format(c='cuts')} > 0))) / (n - w), 6) END AS pk,
        CASE WHEN n <= w THEN 0 ELSE round(len(list_filter(range(0, n - w), lambda i: {_IN.format(c='truth')} <> {_IN.format(c='cuts')})) / (n - w), 6) END AS window_diff,
-       CASE WHEN len(truth) + len(cuts) = 0 THEN 1 ELSE round(2 * len(list_intersect(truth, cuts)) / (len(truth) + len(cuts)), 6) END AS f1, len(cuts) - len(truth) AS k_error
+       CASE WHEN len(truth) + len(cuts) = 0 THEN 1 ELSE round(2 * len(list_intersect(truth, cuts)) / (len(truth) + len(cuts)), 6) END AS f1,
+       CASE WHEN len(truth) + len(cuts) = 0 THEN 1 ELSE round(2 * coalesce({_NEAR}, 0) / (len(truth) + len(cuts)), 6) END AS f1_near, len(cuts) - len(truth) AS k_error
 FROM (SELECT *, {_W} AS w FROM ({_PLANNED}))"""
 
 
@@ -214,7 +217,7 @@ def boundary_f1(spark, d):  # noqa: ANN001, ANN201
     return scores(spark, d).select("doc_id", "method", "f1")
 
 
-@query()
+@query(f"SELECT doc_id, method, f1_near::DOUBLE AS f1_near FROM ({_SCORED})")
 def boundary_f1_near(spark, d):  # noqa: ANN001, ANN201
     return scores(spark, d).select("doc_id", "method", "f1_near")
 
