@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.plans import corpus, inference, ledgers, lexical, segments
+from tabulon.plans import connectors, corpus, inference, ledgers, lexical, segments
 
-_PARTS = (corpus, inference, segments, ledgers, lexical)
+_PARTS = (corpus, inference, segments, ledgers, lexical, connectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
