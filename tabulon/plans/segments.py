@@ -159,8 +159,16 @@ def _solver(method: str):  # noqa: ANN202
     return run
 
 
+# Gaps from the highest on, each taken if both parts keep four tokens or more, until there are enough.
+_FIT = "list_sum(sizes[coalesce(list_max(list_filter(a, lambda c: c < x[1])), -1) + 2:x[1] + 1]) >= 4 AND list_sum(sizes[x[1] + 2:coalesce(list_min(list_filter(a, lambda c: c > x[1])), n - 1) + 1]) >= 4"
+_ORDERED = "list_transform(list_sort(list_transform(range(0, n - 1), lambda i: {'s': -scores[i + 1], 'i': i})), lambda g: [g.i::BIGINT])"
+_VALLEY = f"""
+WITH d AS (SELECT doc_id, n, k, scores, list_transform(tokens, lambda t: len(t)) AS sizes FROM ({_GAPS}) JOIN (SELECT doc_id, tokens FROM ({_DOCS})) USING (doc_id)),
+v AS (SELECT *, list_reduce({_ORDERED}, lambda a, x: CASE WHEN len(a) < k - 1 AND {_FIT} THEN list_append(a, x[1]) ELSE a END, []::BIGINT[]) AS taken FROM d)
+SELECT doc_id, 'greedy' AS solver, array_to_string(list_sort(list_concat(taken, list_filter({_EQUAL}, lambda c: NOT list_contains(taken, c))[1:k - 1 - len(taken)])), ',') AS cuts FROM v"""
+
 for _m in ("overlap_min", "hybrid", "lex_valley", "emb_valley", "emb_global", "shuffled"):
-    query()(_solver(_m))
+    query(_VALLEY if _m == "lex_valley" else None)(_solver(_m))
 
 _ONE_CUT = rf"""
 WITH c AS (SELECT doc_id, n, list_transform(tokens, lambda t: len(t)) AS sz, tokens, unnest(range(0, n - 1)) AS b FROM ({_DOCS}) WHERE k = 2),
