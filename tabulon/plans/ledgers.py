@@ -308,7 +308,17 @@ def verify_tampered(spark, d):  # noqa: ANN001, ANN201
     return S.verify_all(changed, revoked(spark, d))
 
 
-@query()
+# Lengths of rows as JSON: names, quotes and commas, then the values; times below a thousandth are written like 1.0E-4.
+_SIZES = f"""
+SELECT length('{{"payload":""}}') + length(concat_ws('|', e.event_type, round(e.value, 2)::DECIMAL(18, 2)::VARCHAR)) AS said, length(',"seq":') + length(l.seq::VARCHAR) AS numbered,
+       length(',"written_at":') + CASE WHEN l.written_at > 0 AND l.written_at < 0.001 THEN 6 ELSE length(l.written_at::VARCHAR) END AS timed,
+       length(',"by_seal":""') + length(by_seal) + length(',"witnesses":[]') + coalesce(length('"seal-"') + length(witness), 0) + length(',"period":""') + length(period) + length(',"signature":""') + 64 AS sealed
+FROM ({_LOG}) l JOIN events e ON l.request = e.event_id"""
+
+
+@query(f"""
+SELECT writes, sealed_bytes, anonymous_bytes, round(100 * (sealed_bytes - anonymous_bytes) / anonymous_bytes, 4) AS overhead_pct, round((sealed_bytes - anonymous_bytes) / writes / 4, 4) AS extra_tokens
+FROM (SELECT count(*) AS writes, sum(said + numbered + timed + sealed)::BIGINT AS sealed_bytes, sum(said + numbered + timed)::BIGINT AS anonymous_bytes FROM ({_SIZES}))""")
 def overhead_bytes(spark, d):  # noqa: ANN001, ANN201
     return S.overhead(log(spark, d))
 
