@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import chat, licences, urls
+from tabulon.llm.alignment import op13_token_alignment
 from tabulon.llm.neighbours import op2_hilbert_neighbours
 from tabulon.llm.packing import op1_pattern_packing
 from tabulon.llm.pieces import op4_gumbel_segmentations
 from tabulon.llm.quality import op5_compression_bands
+from tabulon.llm.repair import op11_turn_repair
 from tabulon.llm.secretscan import op7_multipart_secrets
 from tabulon.llm.simhash import op9_covering_simhash
 from tabulon.llm.tokenfile import op8_packed_token_files
+from tabulon.llm.vectordedup import op12_sorted_passes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packed_token_files": op8_packed_token_files,
         "op9_covering_simhash": op9_covering_simhash,
         "op10_license_dice": licences.op10_license_dice,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_sorted_passes": op12_sorted_passes,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

@@ -69,7 +69,7 @@ def _lane(dimension: int, band: int, curve: int) -> int:
     return (dimension << 24) + ((band + 2048) << 8) + curve
 
 
-def _usable(vector: str) -> Column:
+def usable(vector: str) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
@@ -156,7 +156,7 @@ def _keyed(rows: DataFrame, curves: Curves) -> DataFrame:
     return rows.select("vec_id", "row", "vector", "asks").mapInArrow(run, "lane long, key long, query boolean, vec_id long, row long")
 
 
-def _placed(keyed: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+def numbered_along(keyed: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """(lane, query, row, place): rows numbered along their curve by sizes of range partitions; and rows by lane.
 
     Of equal keys queries come first and then the smaller ids, so that a window over many equal vectors starts with them.
@@ -310,7 +310,7 @@ def nearest(
     table none. ``share`` sets the windows instead of the fit; they hold ``k`` places on either side at least.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks")).where(_usable("vector"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks")).where(usable("vector"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # numbers stand once they are written
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     sized = rows.select(F.size("vector").alias("d"), norm.alias("norm")).where("norm > 0").groupBy("d", F.floor(F.log2("norm") + 0.5).alias("band")).agg(F.max("norm").alias("longest")).collect()
@@ -320,7 +320,7 @@ def nearest(
     if not sized or not sampled:
         return spark.createDataFrame([], schema)
     scaled = [np.asarray(r["vector"], dtype=np.float64) for r in rows.orderBy(order, "row").limit(SCALED).select("vector").collect()]
-    placed, totals = _placed(_keyed(rows, Curves(scaled, {(r["d"], r["band"]): r["longest"] for r in sized}, curves, probes)))
+    placed, totals = numbered_along(_keyed(rows, Curves(scaled, {(r["d"], r["band"]): r["longest"] for r in sized}, curves, probes)))
     shares = fit_shares(placed, totals, _true_neighbours(rows, sampled, k), recall) if share is None else {}
     sides = {lane: max(k, math.ceil(shares.get(lane >> 8, share or 0.0) * n / 2)) for lane, n in totals.items()}
     total, side = (F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("lane")] for of in (totals, sides))
