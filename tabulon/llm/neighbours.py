@@ -78,13 +78,35 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(v, dtype=np.float64) for v in column.to_numpy(zero_copy_only=False)]
 
 
-def _bands(norms: np.ndarray) -> np.ndarray:
-    """Bands of lengths within a factor of two, with the borders between the powers of two."""
-    return np.floor(np.log2(norms) + 0.5).astype(np.int64)
+def units(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Vectors scaled to length one, in double precision; divided by their largest component first, so that no square over- or underflows."""
+    out = []
+    for v in _vectors(column):
+        x = v / np.abs(v).max()
+        out.append(x / math.sqrt(float(x @ x)))
+    return out
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logarithms (of base 2) of lengths, and bands of lengths within a factor of two with their borders between the powers of two.
+
+    They are worked out here alone and carried as columns, so rounding cannot put a vector into two bands.
+    """
+    for batch in batches:
+        logs = []
+        for v in _vectors(batch.column(1)):
+            most = float(np.abs(v).max())
+            x = v / most
+            logs.append(math.log2(most) + 0.5 * math.log2(float(x @ x)))
+        log = np.array(logs, dtype=np.float64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log), pa.array(np.floor(log + 0.5).astype(np.int64))], names=["vec_id", "vector", "asks", "log", "band"])
 
 
 class Curves:
-    """The orderings: random directions with scales and shifts, fitted to a sample of the rows of each dimension."""
+    """The orderings: random directions with scales and shifts, fitted to a sample of the rows of each dimension.
+
+    Vectors have length one; ``longest`` has the logarithm of the greatest length by dimension and band.
+    """
 
     def __init__(self, sample: list[np.ndarray], longest: dict[tuple[int, int], float], curves: int, probes: int, directions: int = DIRECTIONS, bits: int = BITS) -> None:
         self.longest, self.curves, self.probes, self.bits = longest, curves, min(probes, curves), bits
@@ -99,7 +121,7 @@ class Curves:
                 rows += [turned[i : i + some] for i in range(0, d + 2 - some, some)]
             self.axes[d] = np.stack(rows[:curves])
             known = np.array([v for v in sample if len(v) == d]).reshape(-1, d)
-            at = self._projected(d, known / np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-300), np.zeros(len(known)))
+            at = self._projected(d, known, np.zeros(len(known)))
             spread = at.std(axis=0) if len(at) > 1 else np.zeros(at.shape[1:])
             centre = at.mean(axis=0) if len(at) else np.zeros(at.shape[1:])
             # four deviations on either side take half of the range; where that half lies is drawn
@@ -114,18 +136,15 @@ class Curves:
         cells = np.clip((at / width + shift) * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64)
         return np.stack([hilbert_keys(cells[:, c], self.bits).astype(np.int64) for c in range(self.curves)], axis=1)
 
-    def candidates(self, d: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lanes and keys of vectors of one dimension, a row a vector."""
-        norms = np.linalg.norm(v, axis=1)
-        bands = _bands(norms)
-        longest = np.array([self.longest[d, b] for b in bands.tolist()])
-        extra = np.sqrt(np.maximum(1 - (norms / longest) ** 2, 0))
-        keys = self._keys(d, self._projected(d, v / longest[:, None], extra))
+    def candidates(self, d: int, v: np.ndarray, logs: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes and keys of vectors of one dimension, a row a vector, with the logarithms and bands of their lengths."""
+        share = np.exp2(np.minimum(logs - np.array([self.longest[d, b] for b in bands.tolist()]), 0))
+        keys = self._keys(d, self._projected(d, v * share[:, None], np.sqrt(np.maximum(1 - share**2, 0))))
         lanes = np.array([_lane(d, b, 0) for b in bands.tolist()])[:, None] + np.arange(self.curves)
         return lanes, keys
 
-    def queries(self, d: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self._projected(d, v / np.linalg.norm(v, axis=1)[:, None], np.zeros(len(v)))
+    def queries(self, d: int, v: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._projected(d, v, np.zeros(len(v)))
         chosen = np.argsort(-(at**2).sum(axis=2), axis=1, kind="stable")[:, : self.probes]
         keys = np.take_along_axis(self._keys(d, at), chosen, axis=1)
         bands = [b for dim, b in sorted(self.longest) if dim == d]
@@ -140,7 +159,7 @@ def _keyed(rows: DataFrame, curves: Curves) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, asks = _vectors(batch.column(2)), np.asarray(batch.column(3))
+            vectors, asks, logs, bands = units(batch.column(2)), *(np.asarray(batch.column(i)) for i in (3, 4, 5))
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes).tolist():
                 for query in (False, True):
@@ -148,12 +167,12 @@ def _keyed(rows: DataFrame, curves: Curves) -> DataFrame:
                     if not len(here):
                         continue
                     made = shared.value.queries if query else shared.value.candidates
-                    lanes, keys = made(d, np.stack([vectors[i] for i in here]))
+                    lanes, keys = made(d, np.stack([vectors[i] for i in here]), logs[here], bands[here])
                     at = pa.array(np.repeat(here, lanes.shape[1]))
                     columns = [pa.array(lanes.ravel(), pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.full(len(at), query)), batch.column(0).take(at), batch.column(1).take(at)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.select("vec_id", "row", "vector", "asks").mapInArrow(run, "lane long, key long, query boolean, vec_id long, row long")
+    return rows.select("vec_id", "row", "vector", "asks", "log", "band").mapInArrow(run, "lane long, key long, query boolean, vec_id long, row long")
 
 
 def numbered_along(keyed: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -311,15 +330,15 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks")).where(usable("vector"))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # numbers stand once they are written
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sized = rows.select(F.size("vector").alias("d"), norm.alias("norm")).where("norm > 0").groupBy("d", F.floor(F.log2("norm") + 0.5).alias("band")).agg(F.max("norm").alias("longest")).collect()
+    measured = rows.mapInArrow(_measured, f"vec_id long, vector {rows.schema['vector'].dataType.simpleString()}, asks boolean, log double, band long")
+    rows = cut(measured.withColumn("row", F.monotonically_increasing_id()))  # numbers stand once they are written
+    sized = rows.groupBy(F.size("vector").alias("d"), "band").agg(F.max("log").alias("longest")).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     order = F.xxhash64("row", F.lit(SEED))
     sampled = rows.where("asks").orderBy(order, "row").limit(ASKED).select("row", "vector").collect()
     if not sized or not sampled:
         return spark.createDataFrame([], schema)
-    scaled = [np.asarray(r["vector"], dtype=np.float64) for r in rows.orderBy(order, "row").limit(SCALED).select("vector").collect()]
+    scaled = units(pa.array([r["vector"] for r in rows.orderBy(order, "row").limit(SCALED).select("vector").collect()]))
     placed, totals = numbered_along(_keyed(rows, Curves(scaled, {(r["d"], r["band"]): r["longest"] for r in sized}, curves, probes)))
     shares = fit_shares(placed, totals, _true_neighbours(rows, sampled, k), recall) if share is None else {}
     sides = {lane: max(k, math.ceil(shares.get(lane >> 8, share or 0.0) * n / 2)) for lane, n in totals.items()}

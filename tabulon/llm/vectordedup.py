@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut, partitions, table
 from tabulon.llm.components import components
-from tabulon.llm.neighbours import numbered_along, usable
+from tabulon.llm.neighbours import numbered_along, units, usable
 
 THRESHOLD, SEED, WINDOW, MISSED, LEAST_PASSES = 0.9, 12, 128, 0.002, 6
 #: Directions of a hash at most, hashes of a key, and rows of a tile and of a block.
@@ -79,16 +79,6 @@ def passes(rows: int, dimension: int, threshold: float = THRESHOLD, window: int
     return max(LEAST_PASSES, math.ceil(math.log(missed) / math.log1p(-met)) if met < 1 else 1)
 
 
-def units(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    """Vectors of length one, in double precision; scaled by their largest component first, so that no square over- or underflows."""
-    out = []
-    for v in column.to_numpy(zero_copy_only=False):
-        x = np.asarray(v, dtype=np.float64)
-        x = x / np.abs(x).max()
-        out.append(x / math.sqrt(float(x @ x)))
-    return out
-
-
 def _lanes(batches: Iterator[pa.RecordBatch], counts: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors, rows = units(batch.column(1)), np.asarray(batch.column(0))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -14,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulon.llm import alignment, catalog, repair, vectordedup
+from tabulon.llm import alignment, catalog, neighbours, repair, secretscan, vectordedup
 from tabulon.llm.tokens import tokenizer_path
 
 from ..conftest import DATA
@@ -307,3 +308,37 @@ def test_pieces_are_the_models(spark):
     for _, text in [*TEXTS, *((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())]:
         if text:
             assert side.ids(f" {text}") == side._whole(text)
+
+
+# 2. Vectors of any length
+
+
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    """Lengths at the border of two bands, and lengths whose squares are no doubles."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(40)]
+    lengths = [2.0**-49, 1e-200, 5e-324, 1e200, 2.0**0.5, 2.0**-0.5, 2.0**-49.5, 1.0]
+    rows += [(100 + i, [s] * 8) for i, s in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for some in (df, df.where("vec_id NOT IN (101, 102, 103)").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))):
+        known = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in some.collect()}
+        found = defaultdict(list)
+        for r in neighbours.nearest(some, F.col("vec_id") % 20 == 0, k=100).orderBy("rank").collect():
+            found[r.query_id].append((r.vec_id, r.score))
+        for q, v in found.items():
+            exact = {k: float((v_ * known[q]).sum()) for k, v_ in known.items() if k != q}
+            assert dict(v).keys() == exact.keys() and all(math.isclose(s, exact[k], rel_tol=1e-12, abs_tol=1e-300) for k, s in v)
+        assert found.keys() == {0, 20, 100}
+
+
+# 7. Texts of one character
+
+
+@pytest.mark.parametrize("text", ["key" + " " * 200_000, "login: abcd key" + " " * 200_000 + "\n", "=" * 200_000, "a" * 200_000, "7" * 200_000, "password" + " " * 200_000, "user:" + " " * 200_000, "key " + "A" * 200_000, "f" * 200_000])
+def test_secrets_of_long_runs(spark, text):
+    df = spark.createDataFrame([(1, "warm key: 1 up"), (2, text)], "doc_id long, text string")
+    run = lambda d: secretscan.report(secretscan.scan(d)).collect()
+    run(df.limit(1))
+    began = time.time()
+    run(df)
+    assert time.time() - began < 8
