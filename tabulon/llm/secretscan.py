@@ -52,7 +52,7 @@ HEX = Kind("hex", r"([0-9a-f]{32,})", 1, 32, ())
 BASE = (ASSIGN, ACCESS, HEX)
 # The weak kinds.
 IDENT = Kind("ident", r"""((?i:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 2, 3, ("user", "login", "account", "client", "access"))
-KEY = Kind("key", r"""((?i:key|pwd|auth|bearer|credentials?|signature))["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*)""", 2, 16, ("key", "pwd", "auth", "bearer", "credential", "signature"))
+KEY = Kind("key", r"""((?i:key|pwd|auth|bearer|credentials?|signature))["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+)""", 2, 16, ("key", "pwd", "auth", "bearer", "credential", "signature"))
 ENDPOINT = Kind("endpoint", r"""((?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%-]+)""", 1, 10, ("://",))
 KINDS = (*BASE, IDENT, KEY, ENDPOINT)
 _SPANS = "array<struct<s:int,e:int>>"
