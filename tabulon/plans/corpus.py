@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
-from tabulon.operators import checks, describe, probes, sampling
+from tabulon.operators import checks, describe, probes, sampling, substrings
 from tabulon.operators.probes import Probe, Rule
 from tabulon.sources.readers import table
 from tabulon.sources.sinks import leaked_lines
@@ -434,13 +434,26 @@ def formula_prevalence_wilson(spark, d):  # noqa: ANN001, ANN201
     return describe.prevalence(_docs(spark, d, "text", "source"), ["source"], {"license": a, "digits": b, "both": a & b, "neither": ~a & ~b})
 
 
-@query(rf"""
-WITH b AS (SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) >= 8)
-SELECT DISTINCT line FROM (SELECT unnest({_LINES}) AS line FROM documents) WHERE length(line) >= 8 AND line IN (SELECT trim(line) FROM b)""")
+@query(f"""
+WITH l AS (SELECT DISTINCT line FROM (SELECT unnest({_LINES}) AS line FROM documents) WHERE length(line) >= 8)
+SELECT line FROM l WHERE EXISTS (SELECT 1 FROM benchmark WHERE contains(benchmark.text, l.line))""")
 def leaked_benchmark_lines(spark, d):  # noqa: ANN001, ANN201
     return leaked_lines(_docs(spark, d, "text"), table(spark, d, "benchmark", ["text"]).withColumnRenamed("text", "blob"))
 
 
+_LABELS = "string_split_regex(text, '[.!?][ \\n]+')"
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT trim(unnest({_LABELS}), ' ' || chr(10) || chr(9) || chr(13)) AS line FROM benchmark),
+p AS (SELECT line FROM s WHERE length(line) >= 8)
+SELECT line FROM p WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, p.line))""")
+def leaked_benchmark_sentences(spark, d):  # noqa: ANN001, ANN201
+    """The other way round: sentences of the benchmark that stand anywhere in a document."""
+    sentences = table(spark, d, "benchmark", ["text"]).select(F.explode(F.split("text", r"[.!?][ \n]+", -1)).alias("text")).select(F.trim(F.col("text"), F.lit(" \n\t\r")).alias("text"))
+    return substrings.contained(sentences, _docs(spark, d, "text")).withColumnRenamed("text", "line")
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(*) = count(DISTINCT doc_id) AS \"unique\" FROM documents")
 def corpus_check(spark, d):  # noqa: ANN001, ANN201
     return checks.corpus(_docs(spark, d, "doc_id"), "doc_id")

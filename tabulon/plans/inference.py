@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import stats, text as X
-from tabulon.operators import describe, permutation, powerlaw
+from tabulon.operators import describe, permutation, powerlaw, resampling
 from tabulon.plans import corpus
 from tabulon.sources.readers import table
 
@@ -205,6 +205,34 @@ def matched_entropy(spark, d):  # noqa: ANN001, ANN201
     return permutation.matched_entropy(places, "lang", ("en", "fr"), "k", REPS)
 
 
+# The same tests at full size, drawn from sufficient statistics; tests hold them against exact moments and against brute force.
+
+
+@query()
+def closer_enrichment_whole(spark, d):  # noqa: ANN001, ANN201
+    return resampling.enrichment(_interior(spark, d), FLAGS, 10_000)
+
+
+@query()
+def stratified_enrichment_whole(spark, d):  # noqa: ANN001, ANN201
+    return resampling.enrichment(_interior(spark, d), FLAGS, 10_000, strata=10)
+
+
+@query()
+def bootstrap_ci_whole(spark, d):  # noqa: ANN001, ANN201
+    return resampling.bootstrap_ci(table(spark, d, "conversations").select("role", F.length("text").alias("v")), ["role"], "v", 10_000)
+
+
+@query()
+def length_stratified_entropy_whole(spark, d):  # noqa: ANN001, ANN201
+    return resampling.stratified_entropy(corpus._places(spark, d), "doc_id", "lang", ("en", "fr"), "n_lines", 5000)
+
+
+@query()
+def matched_entropy_whole(spark, d):  # noqa: ANN001, ANN201
+    return resampling.matched_entropy(corpus._places(spark, d), "lang", ("en", "fr"), 1000)
+
+
 @query()
 def powerlaw_fit(spark, d):  # noqa: ANN001, ANN201
     """Exponents, distances and Vuong's test on blocks as long as the shortest stream."""

@@ -33,10 +33,11 @@ def freeze(df: DataFrame, path: str) -> bool:
 
 
 def leaked_lines(docs: DataFrame, outputs: DataFrame, text: str = "text", blob: str = "blob", least: int = 8) -> DataFrame:
-    """Document lines of ``least`` code points or more that stand verbatim as a line of an output; empty when private.
+    """Document lines of ``least`` code points or more that stand verbatim anywhere in an output; empty when private.
 
-    An output's lines are compared by hash join, so neither side has to be small.
+    A line counts wherever it stands, also inside a longer line or a JSON string; lines are stripped, as they are everywhere here.
     """
-    lines = docs.select(F.explode(X.lines(F.col(text))).alias("line")).where(F.length("line") >= least)
-    out = outputs.select(F.explode(X.lines(F.col(blob))).alias("line")).where(F.length("line") >= least).distinct()
-    return lines.join(out, "line", "left_semi").distinct()
+    from tabulon.operators.substrings import contained
+
+    lines = docs.select(F.explode(X.lines(F.col(text))).alias("text"))
+    return contained(lines, outputs.select(F.col(blob).alias("text")), least).withColumnRenamed("text", "line")
