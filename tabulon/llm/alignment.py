@@ -5,6 +5,9 @@ cut the tokens into groups, and a search of each offset among those cuts tells i
 each token of one side, the first and last token of the other side that it meets, expanded by repetition. All of that is
 done for the texts of a batch at once.
 
+White space, and a stop behind a letter, start a new token on both sides, so chunks of a text are aligned by themselves; most
+chunks of a text were seen before, and what was found for them is remembered.
+
 Links stay where they are made. Texts are gathered into blocks of about ``LINKS`` links, a block's distinct pairs of
 ids are numbered, the most frequent first, and each link is kept as its pair's number. Only the distinct pairs of blocks
 are shuffled: counted in two stages, salted by block, and sent back to their blocks, where sums over the links of each text are taken.
@@ -21,84 +24,91 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tabulon.llm.common import shared_path, table
-from tabulon.llm.tokens import _BYTES, Encoder, tokenizer_path
+from tabulon.llm.tokens import _BYTES, _LATIN, _ODD, tokenizer_path
 
-#: Links of a block, bytes of text that are aligned together, chunks of text remembered by each encoder, and salts of a pair's count.
-LINKS, TOGETHER, REMEMBER, SALTS = 2_000_000, 1_000_000, 300_000, 32
+#: Links of a block, characters of text that are aligned together, chunks of text remembered, and salts of a pair's count.
+LINKS, TOGETHER, REMEMBER, SALTS = 2_000_000, 1_000_000, 600_000, 32
 SPACE = "▁"
-_CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
+#: White space and what follows it, and apart from that the stops behind a letter. A text with other white space, with carriage returns (which pieces of code end in), or with what may be a
+#: special token, is one chunk.
+_CHUNK = re.compile(rf"(?:[ \t-\r]+|[.,;:!?])[^ \t-\r.,;:!?]*(?:(?<![A-Za-z{_LATIN}])[.,;:!?][^ \t-\r.,;:!?]*)*")
+# Fixed value: the pre-tokens of byte-level tokenizers of this kind.
+_PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What no piece of several characters may hold where chunks are to be aligned by themselves.
+_ACROSS = re.compile(rf"[^{SPACE}]{SPACE}|[\t-\x0c]|[A-Za-z{_LATIN}][.,;:!?]")
+
+
+_PROBE = " It's  a probe\n\n of 3,14 kinds; (well), naïve...\tStraße\n x \n\n  end, 'twas  don't,  "
 
 
 class Side:
-    """One tokenizer: the ids of a space and then a text, and the bytes of its tokens."""
+    """One tokenizer: the ids of texts, which start with white space or a stop, and the bytes of its tokens."""
 
     def __init__(self, spelt: list[bytes]) -> None:
         self.spelt = spelt
         self.lengths = np.array([len(b) for b in spelt], dtype=np.int64)
 
+    def ids(self, spaced: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
 
 class ByteLevel(Side):
+    """A byte-level tokenizer file. Where its ids are in the order of its merges, as a probe tells, short texts are merged by rank."""
+
     def __init__(self, path: str) -> None:
-        self.encoder = Encoder(path, REMEMBER)
-        self.encoder.tokenizer.encode_special_tokens = True
-        vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         hidden = {chr(c): b for b, c in _BYTES.items()}
-        added = {t["content"] for t in json.loads(self.encoder.tokenizer.to_str())["added_tokens"]}
-        spelt = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
+        added = {t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        spelt, ranks = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True), {}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             spelt[i] = token.encode() if token in added else b"".join(bytes([hidden[c]]) if c in hidden else c.encode("latin-1") for c in token)
+            if token not in added:
+                ranks[spelt[i]] = i
         super().__init__(spelt)
+        self.ranked = tiktoken.Encoding("by rank", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        chunks = _CHUNK.findall(_PROBE)
+        whole = self._whole(_PROBE)
+        self.by_rank = self.ranked.encode_ordinary(_PROBE) == whole
+        self.apart = self.by_rank and [i for x in self.ids(chunks) for i in x] == whole
 
-    def ids(self, spaced: str) -> bytes:
-        return self.encoder.ids(spaced)
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ids(self, spaced: list[str]) -> list[list[int]]:
+        short = self.ranked.encode_ordinary if self.by_rank else self._whole
+        return [short(t) if len(t) < 200 else self._whole(t) for t in spaced]
 
 
 class Pieces(Side):
-    """A SentencePiece model; its pieces never reach over a space or line end that follows other characters, so chunks are remembered."""
+    """A SentencePiece model; ``apart`` where no piece reaches over white space that follows something else."""
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         super().__init__(spelt)
-        self.space, self.chunks = self.model.piece_to_id(SPACE), {}
-        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces) and self.model.piece_to_id(SPACE) != self.model.unk_id()
-        probe = " It's  a probe\n\n of 3,14 kinds; naïve Straße\n x \n  end  "
-        self.apart = self.apart and self.ids(probe) == self._whole(probe[1:])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, num_threads=1), dtype="<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk == " ":
-            return np.array([self.space], dtype="<u4").tobytes()
-        if chunk[0] == "\n":
-            return self._whole(chunk)[4:]  # less the space that the model puts first
-        return self._whole(chunk[1:])
-
-    def ids(self, spaced: str) -> bytes:
-        if not self.apart or "\0" in spaced:
-            return self._whole(spaced[1:])
-        known, chunks = self.chunks, _CHUNK.findall(spaced)
-        made = [known.get(c) for c in chunks]
-        if None in made:
-            for i, x in enumerate(made):
-                if x is None:
-                    made[i] = x = self._chunk(chunks[i])
-                    if len(known) < REMEMBER:
-                        known[chunks[i]] = x
-        return b"".join(made)
+        self.space = self.model.piece_to_id(SPACE)
+        whole = self.space != self.model.unk_id() and not any(len(p) > 1 and _ACROSS.search(p) for p in pieces)
+        self.apart = whole and [i for x in self.ids(_CHUNK.findall(_PROBE)) for i in x] == self.ids([_PROBE])[0]
+
+    def ids(self, spaced: list[str]) -> list[list[int]]:
+        # the model puts a space first itself; a line end merges with nothing and keeps that space away from other texts
+        made = self.model.encode([t[1:] if t[0] == " " else f"\n{t}" for t in spaced], num_threads=1)
+        return [[self.space] if t == " " else x if t[0] == " " else x[2:] for t, x in zip(spaced, made, strict=True)]
 
 
 @cache
 def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    """One pair a process; Spark reuses its Python workers, so chunks stay known from task to task."""
+    """One pair a process."""
     return ByteLevel(path_a), Pieces(path_b)
 
 
@@ -114,25 +124,20 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return run[ends] - run[np.concatenate(([0], ends[:-1]))]
 
 
-def align(texts: list[str | None], a: Side, b: Side) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text (n_a, n_b, n_groups, n_links) as a row, and the digest of its groups; the links of all in turn as (id, id), and how many links each text's end.
+def align(spaced: list[str], a: Side, b: Side) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, which starts with white space: (n_a, n_b, n_groups, n_links) as a row, and its groups; the links of all in turn as ids of a and of b, and where each text's end.
 
-    A text that is null or empty, or that either side doesn't spell byte by byte, has no tokens and an empty digest.
+    A text that either side doesn't spell byte by byte has no tokens.
     """
-    ids: tuple[list[np.ndarray], list[np.ndarray]] = [], []
-    sizes = np.zeros((len(texts), 2), dtype=np.int64)
-    for n, text in enumerate(texts):
-        if not text:
-            continue
-        spaced = f" {text}"
-        own = [np.frombuffer(side.ids(spaced), dtype="<u4") for side in (a, b)]
-        whole = spaced.encode("utf-8", "surrogatepass")
-        if all(b"".join(map(side.spelt.__getitem__, x.tolist())) == whole for side, x in zip((a, b), own, strict=True)):
-            sizes[n] = [len(x) for x in own]
-            for some, x in zip(ids, own, strict=True):
-                some.append(x)
-    none = np.zeros(0, dtype=np.int64)
-    ids_a, ids_b = (np.concatenate(x).astype(np.int64) if x else none for x in ids)
+    ids: tuple[list[int], list[int]] = [], []
+    sizes = np.zeros((len(spaced), 2), dtype=np.int64)
+    spell_a, spell_b = a.spelt.__getitem__, b.spelt.__getitem__
+    for n, (text, x, y) in enumerate(zip(spaced, a.ids(spaced), b.ids(spaced), strict=True)):
+        if b"".join(map(spell_a, x)) == text.encode("utf-8", "surrogatepass") == b"".join(map(spell_b, y)):
+            sizes[n] = len(x), len(y)
+            ids[0].extend(x)
+            ids[1].extend(y)
+    ids_a, ids_b = (np.array(x, dtype=np.int64) for x in ids)
     last_a, last_b = np.cumsum(sizes, axis=0).T
     ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
     cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -157,11 +162,99 @@ def align(texts: list[str | None], a: Side, b: Side) -> tuple[np.ndarray, list[s
     merged = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
     merged[np.arange(len(ids_a)) + before_b[group_a]] = 2 * ids_a + end_a
     merged[np.arange(len(ids_b)) + upto_a[group_b]] = 2 * n_a + 3 * ids_b + kind_b
-    spelling, at, digests = _spellings(n_a, n_b).__getitem__, 0, []
+    spelling, at, groups = _spellings(n_a, n_b).__getitem__, 0, []
     for n in sizes.sum(axis=1).tolist():
-        digests.append(hashlib.sha256(b"".join(map(spelling, merged[at : at + n].tolist()))).hexdigest() if n else "")
+        groups.append(b"".join(map(spelling, merged[at : at + n].tolist())))
         at += n
-    return counts, digests, ids_a[link_a], ids_b[link_b], np.cumsum(n_links)
+    return counts, groups, ids_a[link_a], ids_b[link_b], np.cumsum(n_links)
+
+
+def _longer(held: np.ndarray, size: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` behind its first ``size`` rows; room is doubled when it runs out."""
+    if size + len(more) > len(held):
+        room = np.empty((max(2 * len(held), size + len(more), 1024), *held.shape[1:]), dtype=held.dtype)
+        room[:size] = held[:size]
+        held = room
+    held[size : size + len(more)] = more
+    return held
+
+
+class Aligner:
+    """Alignments of texts, put together from those of their chunks. Pairs of ids are numbered as they come."""
+
+    def __init__(self, a: Side, b: Side) -> None:
+        self.a, self.b = a, b
+        self.numbers: dict[int, int] = {}
+        self.pairs = np.empty(0, dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.counts, self.ends, self.links, self.size = np.empty((0, 4), dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), 0
+
+    def _learn(self, spaced: list[str]) -> None:
+        """Aligns chunks, which get the next numbers in turn."""
+        counts, groups, ids_a, ids_b, ends = align(spaced, self.a, self.b)
+        codes = ids_a * len(self.b.spelt) + ids_b
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        new = [c for c in distinct.tolist() if c not in self.numbers]
+        self.pairs = _longer(self.pairs, len(self.numbers), np.array(new, dtype=np.int64))
+        self.numbers |= dict(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        mine = np.array([self.numbers[c] for c in distinct.tolist()], dtype=np.int32)[inverse]
+        n = len(self.groups)
+        self.counts, self.ends = _longer(self.counts, n, counts), _longer(self.ends, n, ends + self.size)
+        self.links = _longer(self.links, self.size, mine)
+        self.groups += groups
+        self.size += len(mine)
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of each text (n_a, n_b, n_groups, n_links) as a row, and the digest of its groups; the links of all in turn, as numbers of pairs.
+
+        Null and empty texts, and those that either side changes, have no tokens and an empty digest.
+        """
+        if len(self.known) > REMEMBER:
+            self.forget()
+        apart = self.a.apart and self.b.apart
+        each: list[list[int]] = []
+        new: list[str] = []
+        known, single = self.known, []
+        for text in texts:
+            spaced = f" {text}" if text else ""
+            chunks = _CHUNK.findall(spaced) if apart and not _ODD.search(spaced) and "\r" not in spaced and "\0" not in spaced else [spaced] if spaced else []
+            at = [known.get(c, -1) for c in chunks]
+            if -1 in at:
+                for i, x in enumerate(at):
+                    if x < 0:
+                        at[i] = known.setdefault(chunks[i], len(self.groups) + len(new))
+                        if at[i] == len(self.groups) + len(new):
+                            new.append(chunks[i])
+                if len(chunks) == 1:
+                    single.append(chunks[0])
+            each.append(at)
+        if new:
+            self._learn(new)
+        for c in single:  # whole texts hardly come again
+            known.pop(c, None)
+        sizes = np.array([len(x) for x in each], dtype=np.int64)
+        every = np.array([i for x in each for i in x], dtype=np.int64)
+        counts = self.counts[every]
+        ends = np.cumsum(sizes)
+        # a chunk that is not spelt byte by byte leaves its text without tokens
+        sound = _sums((counts[:, 0] == 0).astype(np.int64), ends) == 0
+        rows = np.column_stack([_sums(counts[:, i], ends) for i in range(4)]) * sound[:, None]
+        digests = [hashlib.sha256(b";".join([self.groups[i] for i in x])).hexdigest() if x and ok else "" for x, ok in zip(each, sound.tolist(), strict=True)]
+        lasting = np.repeat(sound, sizes)
+        some, meets = every[lasting], counts[lasting, 3]
+        first = self.ends[some] - meets
+        links = self.links[np.repeat(first - (np.cumsum(meets) - meets), meets) + np.arange(int(meets.sum()))]
+        return rows, digests, links
+
+
+@cache
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One a process and pair of files; Spark reuses its Python workers, so chunks stay known from task to task."""
+    return Aligner(*sides(path_a, path_b))
 
 
 _DOC = ["n_a", "n_b", "n_groups", "n_links"]
@@ -179,36 +272,36 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _blocks(path_a: str, path_b: str, links: int, schema: pa.Schema):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(path_a, path_b)
-        width = len(b.spelt)
+        made = aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
-        keys, counts, digests, codes, held = [], [], [], [], 0
+        keys, counts, digests, found, held = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal number, keys, counts, digests, codes, held
-            every = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
-            distinct, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")
-            rank = np.empty(len(order), dtype=np.int64)
+            nonlocal number, keys, counts, digests, found, held
+            every = np.concatenate(found)
+            times = np.bincount(every, minlength=1)
+            order = np.argsort(-times, kind="stable")[: int((times > 0).sum())]
+            rank = np.zeros(len(times), dtype=np.int64)
             rank[order] = np.arange(len(order))
             rows = np.concatenate(counts)
-            values = [number, keys, *(rows[:, i] for i in range(4)), digests, distinct[order], times[order], _packed(rank[inverse])]
+            codes = made.pairs[order] if len(order) else np.zeros(0, dtype=np.int64)
+            values = [number, keys, *(rows[:, i] for i in range(4)), digests, codes, times[order], _packed(rank[every])]
             out = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
             number += 1
-            keys, counts, digests, codes, held = [], [], [], [], 0
+            keys, counts, digests, found, held = [], [], [], [], 0
             return out
 
         for batch in batches:
-            own, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
-            sizes = np.cumsum([len(t) if t else 0 for t in texts.to_pylist()])
+            own, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            sizes = np.cumsum([len(t) if t else 0 for t in texts])
             while at < len(own):
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER)))
-                row, digest, ids_a, ids_b, _ = align(texts.slice(at, stop - at).to_pylist(), a, b)
+                row, digest, pairs = made.texts(texts[at:stop])
                 keys += own[at:stop]
                 counts.append(row)
                 digests += digest
-                codes.append(ids_a * width + ids_b)
-                held += len(ids_a)
+                found.append(pairs)
+                held += len(pairs)
                 at = stop
                 if held >= links:
                     yield block()

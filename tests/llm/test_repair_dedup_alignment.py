@@ -281,33 +281,41 @@ def test_alignment_of_the_table(spark):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     short = {k for k, t in texts if t is None or len(t) < 3000}
     found = aligned(catalog.queries()["op13_token_alignment"](spark, DATA))
-    # all of it, as counts are of the whole table; links of long texts are found by a sweep here
+    # all of it, as counts are of the whole table; texts are aligned whole here, not by chunks
     assert len(found) == len(texts) and len(short) > 50
-    a, b = alignment.sides(*paths())
-    totals = Counter()
-    for _, t in texts:
-        _, _, x, y, _ = alignment.align([t], a, b)
-        totals.update(zip(x.tolist(), y.tolist(), strict=True))
+    links, totals = {}, Counter()
+    for key, t in texts:
+        _, _, x, y, _ = alignment.align([f" {t}"], *alignment.sides(*paths())) if t else (None, None, np.zeros(0), np.zeros(0), None)
+        links[key] = list(zip(x.tolist(), y.tolist(), strict=True))
+        totals.update(links[key])
     plain = {r[0]: r for r in plain_alignment([x for x in texts if x[0] in short])}
-    for r in found:
-        if r[0] in short:
-            assert r[:5] == plain[r[0]][:5] and r[7] == plain[r[0]][7]
     most = defaultdict(int)
     for (_, y), n in totals.items():
         most[y] = max(most[y], n)
-    for key, t in texts:
-        _, _, x, y, _ = alignment.align([t], a, b)
-        links = list(zip(x.tolist(), y.tolist(), strict=True))
-        mine = next(r for r in found if r[0] == key)
-        assert mine[5:7] == (sum(totals[p] == most[p[1]] for p in links), sum(totals[p] for p in links))
+    for r in found:
+        mine = links[r[0]]
+        assert r[4:7] == (len(mine), sum(totals[p] == most[p[1]] for p in mine), sum(totals[p] for p in mine))
+        if r[0] in short:
+            assert r[:5] == plain[r[0]][:5] and r[7] == plain[r[0]][7]
 
 
-def test_pieces_are_the_models(spark):
-    side = alignment.sides(*paths())[1]
-    assert side.apart
-    for _, text in [*TEXTS, *((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())]:
-        if text:
-            assert side.ids(f" {text}") == side._whole(text)
+def test_chunks_make_whole_texts(spark, monkeypatch):
+    """Texts put together from chunks equal those aligned whole, also when what is known is forgotten all the time."""
+    a, b = alignment.sides(*paths())
+    texts = [t for _, t in [*TEXTS, *((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())] if t]
+    texts += ["\t\ttabs \r\n\r\nand\x0bmore\x0c ", "\n", "\t", " \n ", "a\u3000b c", "x  "]
+    counts, groups, x, y, _ = alignment.align([f" {t}" for t in texts], a, b)
+    digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+    assert b.apart
+    for some in (400_000, 10):
+        monkeypatch.setattr(alignment, "REMEMBER", some)
+        made, at = alignment.Aligner(a, b), 0
+        for i in range(0, len(texts), 7):
+            rows, own, links = made.texts(texts[i : i + 7])
+            assert rows.tolist() == counts[i : i + 7].tolist() and own == digests[i : i + 7]
+            assert made.pairs[links].tolist() == (x[at : at + len(links)] * len(b.spelt) + y[at : at + len(links)]).tolist()
+            at += len(links)
+        assert at == len(x)
 
 
 # 2. Vectors of any length
@@ -342,3 +350,17 @@ def test_secrets_of_long_runs(spark, text):
     began = time.time()
     run(df)
     assert time.time() - began < 8
+
+
+# 13. Chunks
+
+
+def test_chunks_have_the_ids_of_whole_texts(spark):
+    a, b = alignment.sides(*paths())
+    assert a.apart and b.apart
+    for _, text in [*TEXTS, *((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())]:
+        if text and "\r" not in text and not alignment._ODD.search(text):
+            chunks = alignment._CHUNK.findall(f" {text}")
+            assert "".join(chunks) == f" {text}"
+            assert [i for x in a.ids(chunks) for i in x] == a._whole(f" {text}")
+            assert [i for x in b.ids(chunks) for i in x] == b.model.encode(text)
