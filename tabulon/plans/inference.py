@@ -126,15 +126,17 @@ def bootstrap_ci(spark, d):  # noqa: ANN001, ANN201
     return permutation.bootstrap_ci(turns, ["role"], "k", "v", 30)
 
 
-_P = "(VALUES ('a', 't1', 0.01), ('a', 't2', 0.04), ('a', 't3', 0.03), ('b', 't1', 0.2), ('b', 't2', NULL), ('b', 't3', 0.9)) t(fam, test, p)"
+_P = "(SELECT lang AS fam, source AS test, CASE WHEN count(*) >= 3 THEN avg((n_chars % 3 = 0)::INT) END AS p FROM documents GROUP BY ALL)"
 
 
 @query(f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, test) AS k, count(*) OVER (PARTITION BY fam) AS m FROM {_P} WHERE p IS NOT NULL)
-SELECT t.fam, t.test, t.p::DOUBLE AS p, CASE WHEN t.p IS NOT NULL THEN round(least(1.0, min(r.p * r.m / r.k) OVER (PARTITION BY t.fam, t.p IS NULL ORDER BY r.k DESC))::DOUBLE, 9) END AS p_adjusted FROM {_P} LEFT JOIN r USING (fam, test)""")
+SELECT t.fam, t.test, round(t.p, 9) AS p, CASE WHEN t.p IS NOT NULL THEN round(least(1.0, min(r.p * r.m / r.k) OVER (PARTITION BY t.fam, t.p IS NULL ORDER BY r.k DESC))::DOUBLE, 9) END AS p_adjusted FROM {_P} t LEFT JOIN r USING (fam, test)""")
 def bh_adjust(spark, d):  # noqa: ANN001, ANN201
-    rows = spark.createDataFrame([("a", "t1", 0.01), ("a", "t2", 0.04), ("a", "t3", 0.03), ("b", "t1", 0.2), ("b", "t2", None), ("b", "t3", 0.9)], "fam string, test string, p double")
-    return stats.benjamini_hochberg(rows, "p", ["fam"], ["test"]).withColumn("p_adjusted", F.round("p_adjusted", 9))
+    """Shares of documents by language and source as p values; those of fewer than three documents are null."""
+    share = F.when(F.count("*") >= 3, F.avg((F.col("n_chars") % 3 == 0).cast("int")))
+    rows = table(spark, d, "documents", ["lang", "source", "n_chars"]).groupBy(F.col("lang").alias("fam"), F.col("source").alias("test")).agg(share.alias("p"))
+    return stats.benjamini_hochberg(rows, "p", ["fam"], ["test"]).select("fam", "test", F.round("p", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
 # Lines of conversations with the junctions of turns as cuts.

@@ -5,7 +5,7 @@ Regions, nations and customers stand for the tree of principals, events for writ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import lexicon as L
@@ -46,7 +46,23 @@ def query(oracle: str | None = None):  # noqa: ANN201
     return keep
 
 
-_TABLETS = "SELECT * FROM (VALUES " + ", ".join("({}, {})".format(i, "NULL" if t is None else "'" + t.replace("\n", "' || chr(10) || '") + "'") for i, t in TABLETS) + ") t(id, text)"
+#: What the items of orders are called on their tablets; not all of it is in the lexicon.
+NOUNS = ("udu", "maš₂", "u₈", "gu₄", "guruš", "geme₂", "sila₄", "udu niga", "lu₂", "udu iti ezem", "amar", "a-ša₃")
+_LITERAL = "SELECT * FROM (VALUES " + ", ".join("({}, {})".format(i, "NULL" if t is None else "'" + t.replace("\n", "' || chr(10) || '") + "'") for i, t in TABLETS) + ") t(id, text)"
+
+
+def _numeral_sql(q: str) -> str:
+    return f"trim(concat(CASE WHEN {q} >= 60 THEN ({q} // 60) || '(geš₂) ' ELSE '' END, CASE WHEN {q} % 60 >= 10 THEN ({q} % 60 // 10) || '(u) ' ELSE '' END, CASE WHEN {q} % 10 > 0 THEN ({q} % 10) || '(diš)' ELSE '' END))"
+
+
+_NOUN = "CASE p % {} ".format(len(NOUNS)) + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NOUNS)) + " END"
+_FROM_ORDERS = f"""
+SELECT o_orderkey::BIGINT + 1000 AS id, CASE WHEN items IS NOT NULL THEN concat(items, CASE o_orderkey % 9 WHEN 1 THEN '' WHEN 2 THEN chr(10) || 'šu-nigin₂ ' || {_numeral_sql('total')} || ' udu' || chr(10) || 'šu-nigin₂ 2(diš) udu'
+   WHEN 3 THEN chr(10) || 'šu-nigin₂ 3(foo) udu' ELSE chr(10) || 'šu-nigin₂ ' || {_numeral_sql('total')} || ' udu' END, CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'kišib₃ ur-{{d}}nanna' ELSE '' END) END AS text
+FROM orders LEFT JOIN (SELECT k, string_agg(line, chr(10) ORDER BY n, line) AS items, sum(q)::BIGINT + (k % 5 = 1)::BIGINT AS total FROM (
+  SELECT k, n, q, CASE WHEN s % 23 = 0 THEN q || '(gur) še' WHEN k % 17 = 3 AND n = 1 THEN '... ' || {_numeral_sql('q')} || ' udu' ELSE {_numeral_sql('q')} || ' ' || {_NOUN} END AS line FROM (
+    SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lineitem)) GROUP BY k) ON o_orderkey = k"""
+_TABLETS = f"SELECT id::BIGINT AS id, text FROM ({_LITERAL}) UNION ALL {_FROM_ORDERS}"
 _LINES = rf"SELECT id, pos, line FROM (SELECT id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM (SELECT id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^<[A-Z_]+$|^<[A-Z_]+>$')) AS ls FROM ({_TABLETS})))"
 _UNITS = "MAP {" + ", ".join(f"'{u}': {v}" for u, v in L.UNITS.items()) + "}"
 _IN_S = "[" + ", ".join(f"'{u}'" for u in L.UNITS) + "]"
@@ -67,18 +83,33 @@ SELECT id, pos, line, CASE WHEN len(us) = 0 THEN 'none' WHEN regexp_matches(line
 FROM (SELECT *, regexp_extract_all(line, '(\d+)\(([^)]+)\)', 1) AS ns, regexp_extract_all(line, '(\d+)\(([^)]+)\)', 2) AS us FROM ({_LINES}))"""
 
 
-def tablets(spark) -> DataFrame:  # noqa: ANN001
-    return spark.createDataFrame(list(TABLETS), "id int, text string")
+def _numeral(q: Column) -> Column:
+    parts = ((q >= 60, F.floor(q / 60), "(geš₂)"), (q % 60 >= 10, F.floor(q % 60 / 10), "(u)"), (q % 10 > 0, q % 10, "(diš)"))
+    return F.concat_ws(" ", *(F.when(some, F.concat(n.cast("string"), F.lit(unit))) for some, n, unit in parts))
 
 
-def _classified(spark) -> DataFrame:  # noqa: ANN001
-    lines = tablets(spark).select("id", F.posexplode(X.content_lines(F.col("text"))).alias("pos", "line"))
+def tablets(spark, d) -> DataFrame:  # noqa: ANN001
+    """(id, text): a tablet for each order, its items numbered and named, with a total that is off by one at times; and the odd ones above."""
+    k, q, total = F.col("l_orderkey"), F.col("l_quantity").cast("long"), F.col("total")
+    noun = F.element_at(F.array(*map(F.lit, NOUNS)), (F.col("l_partkey") % len(NOUNS) + 1).cast("int"))
+    line = F.when(F.col("l_suppkey") % 23 == 0, F.concat(q.cast("string"), F.lit("(gur) še"))).when((k % 17 == 3) & (F.col("l_linenumber") == 1), F.concat(F.lit("... "), _numeral(q), F.lit(" udu"))).otherwise(F.concat(_numeral(q), F.lit(" "), noun))
+    items = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", q.alias("q"), F.struct(F.col("l_linenumber").alias("n"), line.alias("line")).alias("x"))
+    whole = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("items"), (F.sum("q") + F.max((k % 5 == 1).cast("long"))).alias("total"))
+    o, claim = F.col("o_orderkey"), F.concat(F.lit("\nšu-nigin₂ "), _numeral(total), F.lit(" udu"))
+    totals = F.when(o % 9 == 1, "").when(o % 9 == 2, F.concat(claim, F.lit("\nšu-nigin₂ 2(diš) udu"))).when(o % 9 == 3, "\nšu-nigin₂ 3(foo) udu").otherwise(claim)
+    text = F.concat("items", totals, F.when(o % 2 == 0, "\nkišib₃ ur-{d}nanna").otherwise(""))
+    made = table(spark, d, "orders", ["o_orderkey"]).join(whole, o == F.col("l_orderkey"), "left").select((o.cast("long") + 1000).alias("id"), text.alias("text"))
+    return spark.createDataFrame(list(TABLETS), "id long, text string").unionByName(made)
+
+
+def _classified(spark, d) -> DataFrame:  # noqa: ANN001
+    lines = tablets(spark, d).select("id", F.posexplode(X.content_lines(F.col("text"))).alias("pos", "line"))
     return lines.withColumn("c", ledger.classify(F.col("line")))
 
 
 @query(rf"SELECT id, pos::INT AS pos, unnest(regexp_extract_all(line, '(\d+)\(([^)]+)\)', 1))::BIGINT AS n, unnest(regexp_extract_all(line, '(\d+)\(([^)]+)\)', 2)) AS unit, {_UNITS}[unnest(regexp_extract_all(line, '(\d+)\(([^)]+)\)', 2))]::BIGINT * unnest(regexp_extract_all(line, '(\d+)\(([^)]+)\)', 1))::BIGINT AS value FROM ({_LINES})")
 def numeral_parse(spark, d):  # noqa: ANN001, ANN201
-    lines = tablets(spark).select("id", F.posexplode(X.content_lines(F.col("text"))).alias("pos", "line"))
+    lines = tablets(spark, d).select("id", F.posexplode(X.content_lines(F.col("text"))).alias("pos", "line"))
     groups = lines.select("id", "pos", F.explode(X.numeral_groups(F.col("line"))).alias("g"))
     return groups.select("id", "pos", "g.n", "g.unit", ledger.value(F.col("g.n"), F.col("g.unit")).alias("value"))
 
@@ -86,7 +117,7 @@ def numeral_parse(spark, d):  # noqa: ANN001, ANN201
 @query(f"SELECT id, pos::INT AS pos, kind, CASE WHEN kind IN ('total', 'counted') THEN val ELSE 0 END AS value FROM ({_CLASSIFIED})")
 def line_classify(spark, d):  # noqa: ANN001, ANN201
     total = F.aggregate("c.values", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return _classified(spark).select("id", "pos", "c.kind", total.alias("value"))
+    return _classified(spark, d).select("id", "pos", "c.kind", total.alias("value"))
 
 
 _WHOLE = f"""
@@ -100,7 +131,7 @@ SELECT id, fail_rule, CASE WHEN fail_rule IS NULL THEN claimed END AS claimed, C
 
 @query(_WHOLE)
 def tablet_audit(spark, d):  # noqa: ANN001, ANN201
-    return ledger.whole_text(tablets(spark), "id", "text")
+    return ledger.whole_text(tablets(spark, d), "id", "text")
 
 
 @query(f"SELECT coalesce(fail_rule, 'verifiable') AS rule, count(*) AS n FROM ({_WHOLE}) GROUP BY 1")
@@ -112,7 +143,7 @@ def attrition(spark, d):  # noqa: ANN001, ANN201
 WITH n AS (SELECT *, coalesce(sum(contains(line, '{L.TOTAL}')::INT) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS section FROM ({_LINES}))
 SELECT id, section, count(*) FILTER (NOT contains(line, '{L.TOTAL}'))::INT AS items, max(line) FILTER (contains(line, '{L.TOTAL}')) AS total FROM n GROUP BY id, section HAVING max(line) FILTER (contains(line, '{L.TOTAL}')) IS NOT NULL""")
 def section_totals(spark, d):  # noqa: ANN001, ANN201
-    return ledger.sections(tablets(spark), "id", "text").select("id", "section", F.size("items").alias("items"), "total")
+    return ledger.sections(tablets(spark, d), "id", "text").select("id", "section", F.size("items").alias("items"), "total")
 
 
 def _sections_sql(words) -> str:  # noqa: ANN001
@@ -133,12 +164,12 @@ SELECT id, section, fail_rule, CASE fail_rule
 
 @query(_sections_sql(L.COMMODITIES))
 def section_audit(spark, d):  # noqa: ANN001, ANN201
-    return ledger.audit_sections(ledger.sections(tablets(spark), "id", "text"), "id")
+    return ledger.audit_sections(ledger.sections(tablets(spark, d), "id", "text"), "id")
 
 
 @query(_sections_sql(L.WIDE_COMMODITIES))
 def section_audit_wide(spark, d):  # noqa: ANN001, ANN201
-    return ledger.audit_sections(ledger.sections(tablets(spark), "id", "text"), "id", L.WIDE_COMMODITIES)
+    return ledger.audit_sections(ledger.sections(tablets(spark, d), "id", "text"), "id", L.WIDE_COMMODITIES)
 
 
 @query("""
@@ -175,9 +206,16 @@ def mismatch_by_bin(spark, d):  # noqa: ANN001, ANN201
     return ledger.mismatch(_totals(spark, d).withColumn("bin", ledger.item_bin(F.col("n"))).drop("n"), ["bin"], "claimed", "items")
 
 
-@query("SELECT * FROM (VALUES (98, 100, 200, 'PASS'), (97, 100, 200, 'GATE_FAILED'), (40, 40, 200, 'GATE_FAILED'), (60, 60, 100, 'KILLED'), (0, 0, 500, 'GATE_FAILED')) t(agree, total, verifiable, status)")
+_GATED = f"SELECT (id % 100)::BIGINT AS batch, count(*) FILTER (matches) AS agree, count(*) FILTER (fail_rule IS NULL) AS total, count(*) FILTER (n_items >= 2) AS verifiable FROM ({_WHOLE}) GROUP BY 1"
+
+
+@query(f"SELECT *, CASE WHEN total = 0 OR agree / total < 0.98 OR agree < 50 THEN 'GATE_FAILED' WHEN verifiable < 150 THEN 'KILLED' ELSE 'PASS' END AS status FROM ({_GATED} UNION ALL SELECT -1, count(*), count(*), count(*) FROM orders UNION ALL SELECT -2, count(*), count(*), 149 FROM orders)")
 def gate_verdicts(spark, d):  # noqa: ANN001, ANN201
-    rows = spark.createDataFrame([(98, 100, 200), (97, 100, 200), (40, 40, 200), (60, 60, 100), (0, 0, 500)], "agree int, total int, verifiable int")
+    """Batches of tablets by the gate, and all orders as two batches without a mismatch, enough and too few to verify."""
+    batches = tablet_audit(spark, d).groupBy((F.col("id") % 100).alias("batch")).agg(F.count_if("matches").alias("agree"), F.count_if(F.col("fail_rule").isNull()).alias("total"), F.count_if(F.col("n_items") >= 2).alias("verifiable"))
+    n = F.count("*")
+    sound = [table(spark, d, "orders", ["o_orderkey"]).agg(n.alias("agree"), n.alias("total"), x.cast("long").alias("verifiable")).select(F.lit(i).cast("long").alias("batch"), "*") for i, x in ((-1, n), (-2, F.lit(149)))]
+    rows = batches.unionByName(sound[0]).unionByName(sound[1])
     return rows.withColumn("status", ledger.gate(F.col("agree"), F.col("total"), F.col("verifiable")))
 
 
@@ -328,26 +366,42 @@ def anonymous_log(spark, d):  # noqa: ANN001, ANN201
     return S.anonymous(log(spark, d)).select("seq", "written_at")
 
 
-@query("SELECT name, n FROM (VALUES ('a', 2)) t(name, n)")
+@query("SELECT name, count(*) AS n FROM (SELECT DISTINCT user_id % 50 AS period, event_type AS name FROM events) GROUP BY name HAVING count(*) > 1")
 def period_names(spark, d):  # noqa: ANN001, ANN201
-    return S.unique_periods(spark.createDataFrame([("p1", "a"), ("p2", "a"), ("p3", "b")], "period string, name string"))
+    """Event types as the names of users' periods: which names more than one period bears."""
+    named = table(spark, d, "events", ["user_id", "event_type"]).select((F.col("user_id") % 50).alias("period"), F.col("event_type").alias("name")).distinct()
+    return S.unique_periods(named)
 
 
-@query("SELECT median(v) AS median, 19.95::DOUBLE AS p95 FROM range(1, 21) t(v)")
+@query("""
+WITH v AS (SELECT value AS v, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT *, (n + 1) * 0.5::DOUBLE AS a, (n + 1) * 0.95::DOUBLE AS b FROM v)
+SELECT round(sum(CASE WHEN r = floor(a) THEN v * (1 - (a - floor(a))) WHEN r = floor(a) + 1 THEN v * (a - floor(a)) ELSE 0 END), 6) AS median, round(sum(CASE WHEN r = floor(b) THEN v * (1 - (b - floor(b))) WHEN r = floor(b) + 1 THEN v * (b - floor(b)) ELSE 0 END), 6) AS p95 FROM q""")
 def latency_stats(spark, d):  # noqa: ANN001, ANN201
-    return S.latency(spark.range(1, 21).select(F.col("id").cast("double").alias("v")), "v")
+    """The values of events as measurements."""
+    out = S.latency(table(spark, d, "events", ["value"]).where("value IS NOT NULL"), "value")
+    return out.select(F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
-@query("SELECT 10 AS newly, 0 AS replayed, 50 AS baseline, 5 AS by_seal_3, 17 AS in_period_1")
+@query("""
+WITH c AS (SELECT n_nationkey, n_regionkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 0)
+SELECT count(DISTINCT n_nationkey) AS newly, 0::BIGINT AS replayed, count(c_custkey) AS baseline, count(c_custkey) FILTER (n_nationkey = (SELECT min(n_nationkey) FROM c)) AS by_first, count(c_custkey) FILTER (c_custkey % 3 = 1) AS in_period_1 FROM c""")
 def log_fixture(spark, d):  # noqa: ANN001, ANN201
-    """One root, ten children, fifty round-robin writes; the root's children are revoked and the log replayed."""
-    people, periods_, asked = S.fixture(spark)
-    open_ = S.mint(people.where("principal <> 'p0'"), "root", F.lit(1_000.0))
-    written = S.post(asked, open_, periods_)
-    closed = S.cascade(open_, people, "p0", 1_030.0)
-    one = closed.agg(F.sum(F.col("newly").cast("int")).alias("newly"))
+    """One region, its nations' seals, and a write for each of their customers; the region is revoked and the log replayed."""
+    nations = table(spark, d, "nation").where("n_regionkey = 0")
+    people = nations.select(F.concat(F.lit("nation-"), "n_nationkey").alias("principal"), F.lit("region-0").alias("parent"))
+    tree = people.unionByName(table(spark, d, "region").where("r_regionkey = 0").select(F.lit("region-0").alias("principal"), F.lit(None).cast("string").alias("parent")))
+    own = table(spark, d, "customer", ["c_custkey", "c_nationkey"]).join(nations.select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey")
+    asked = own.select(
+        F.col("c_custkey").alias("request"), F.concat(F.lit("payload-"), "c_custkey").alias("payload"), F.concat(F.lit("seal-nation-"), "c_nationkey").alias("by_seal"), F.array().cast("array<string>").alias("witnesses"),
+        F.concat(F.lit("period-"), F.col("c_custkey") % 3).alias("period"), F.lit(1_000.5).alias("written_at"),
+    )
+    open_ = S.mint(people, "root", F.lit(1_000.0))
+    written = S.post(asked, open_, periods(spark))
+    closed = S.cascade(open_, tree, "region-0", 1_030.0)
+    one = closed.agg(F.sum(F.coalesce("newly", F.lit(False)).cast("long")).alias("newly"))
     replayed = S.replay_as_of(written, closed.drop("newly"), 1_100.0).agg(F.count("*").alias("replayed"))
-    rest = written.agg(F.count("*").alias("baseline"), F.count(F.when(F.col("by_seal") == "seal-p4", 1)).alias("by_seal_3"), F.count(F.when(F.col("period") == "period-1", 1)).alias("in_period_1"))
+    first = nations.agg(F.min("n_nationkey")).first()[0]
+    rest = written.agg(F.count("*").alias("baseline"), F.count_if(F.col("by_seal") == f"seal-nation-{first}").alias("by_first"), F.count_if(F.col("period") == "period-1").alias("in_period_1"))
     return one.crossJoin(replayed).crossJoin(rest)  # a row each
 
 
@@ -356,11 +410,17 @@ LEMMAS = (
     ("lugal", "lugal", "king[1]", "N"), ("lugal-ezem", "Lugalezem", "1", "PN"), ("dumu", "dumu", "child", "N"), ("dumu-zi", "Dumuzid", "1", "DN"),
     ("kišib₃", "kišib", "seal", "N"), ("mu", "mu", "year", "N"), ("mu", "mu", "name", "N"), ("x", None, None, None),
 )
-_LEMMAS = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in LEMMAS) + ") t(form, cf, gw, pos))"
+_LEMMAS = "(SELECT form, cf, gw, pos FROM orders JOIN (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for i, r in enumerate(LEMMAS)) + f") t(i, form, cf, gw, pos)) ON (o_orderkey * 3 + o_custkey) % {len(LEMMAS)} = i)"
 _ACCEPTED = " UNION ALL ".join(f"SELECT '{p}' AS probe, coalesce({ok}, false) AS ok FROM {_LEMMAS} WHERE regexp_replace(form, '[₀-₉ₓ]', '', 'g') = '{head}' OR starts_with(regexp_replace(form, '[₀-₉ₓ]', '', 'g'), '{head}-')" for p, head, ok in L.HEADS)
 
 
+def lemmas(spark, d) -> DataFrame:  # noqa: ANN001
+    """A lemma for each order."""
+    known = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("form", "cf", "gw", "pos"), r, strict=True))) for r in LEMMAS))
+    at = (F.pmod(F.col("o_orderkey") * 3 + F.col("o_custkey"), F.lit(len(LEMMAS))) + 1).cast("int")
+    return table(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(F.element_at(known, at).alias("x")).select("x.*")
+
+
 @query(f"SELECT probe, count(*) AS tokens, sum(ok::INT)::BIGINT AS accepted, round(sum(ok::INT) / count(*), 6) AS precision FROM ({_ACCEPTED}) GROUP BY probe")
 def gold_lemma_precision(spark, d):  # noqa: ANN001, ANN201
-    lemmas = spark.createDataFrame(list(LEMMAS), "form string, cf string, gw string, pos string")
-    return probes.gold(lemmas, spark.createDataFrame(list(L.HEADS), "probe string, head string, accept string"))
+    return probes.gold(lemmas(spark, d), spark.createDataFrame(list(L.HEADS), "probe string, head string, accept string"))
