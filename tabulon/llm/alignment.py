@@ -35,7 +35,7 @@ from tabulon.llm.common import shared_path, table
 from tabulon.llm.tokens import _BYTES, _LATIN, _ODD, tokenizer_path
 
 #: Links of a block, characters of text that are aligned together, chunks of text remembered, and salts of a pair's count.
-LINKS, TOGETHER, REMEMBER, SALTS = 2_000_000, 1_000_000, 600_000, 32
+LINKS, TOGETHER, REMEMBER, SALTS = 1_000_000, 500_000, 300_000, 32
 SPACE = "▁"
 #: White space and what follows it, and apart from that the stops behind a letter. A text with other white space, with carriage returns (which pieces of code end in), or with what may be a
 #: special token, is one chunk.
