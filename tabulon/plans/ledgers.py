@@ -12,7 +12,9 @@ from tabulon.functions import lexicon as L
 from tabulon.functions import text as X
 from tabulon.operators import ledger, sealedlog as S
 from tabulon.operators import probes
+from tabulon.sources import archives
 from tabulon.sources.readers import table
+from tabulon.sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -424,3 +426,72 @@ def lemmas(spark, d) -> DataFrame:  # noqa: ANN001
 @query(f"SELECT probe, count(*) AS tokens, sum(ok::INT)::BIGINT AS accepted, round(sum(ok::INT) / count(*), 6) AS precision FROM ({_ACCEPTED}) GROUP BY probe")
 def gold_lemma_precision(spark, d):  # noqa: ANN001, ANN201
     return probes.gold(lemmas(spark, d), spark.createDataFrame(list(L.HEADS), "probe string, head string, accept string"))
+
+
+# --- the second annotator, from archives of lemmas ---
+
+#: Citation form and guide word of the words of tablets.
+WORDS = {
+    "udu": ("udu", "sheep"), "maš₂": ("maš", "goat"), "u₈": ("u₈", "ewe"), "gu₄": ("gud", "ox"), "ab₂": ("ab", "cow"), "guruš": ("ŋuruš", "worker"), "geme₂": ("geme", "worker"), "sila₄": ("sila", "lamb"),
+    "amar": ("amar", "calf"), "iti": ("iti", "month"), "mu": ("mu", "year"), "šu-nigin₂": ("šunigin", "total"), "še": ("še", "barley"), "lu₂": ("lu", "person"), "niga": ("niga", "fattened"), "kišib₃": ("kišib", "seal"),
+}
+_WORDS = "(SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}', '{g}')" for f, (c, g) in WORDS.items()) + ") t(form, cf, gw))"
+_TOKENS = f"""SELECT id, pos, i, t.form, coalesce(cf, '') AS cf, coalesce(gw, '') AS gw, regexp_extract_all(t.form, '(\\d+)\\(([^)]+)\\)', 1) AS ns, regexp_extract_all(t.form, '(\\d+)\\(([^)]+)\\)', 2) AS us
+FROM (SELECT id, pos, unnest(string_split(line, ' ')) AS form, unnest(range(0, len(string_split(line, ' ')))) AS i FROM ({_LINES})) t LEFT JOIN {_WORDS} w USING (form)"""
+def _known(cf: str, gw: str, forms, words) -> str:  # noqa: ANN001
+    return f"({cf} IN (" + ", ".join(f"'{x}'" for x in forms) + ") OR " + " OR ".join(f"contains({gw}, '{x}')" for x in words) + ")"
+
+
+_KNOWN = _known("cf", "gw", ledger.GOLD_FORMS, ledger.GOLD_WORDS)
+_OF_S = f"(len(us) > 0 AND list_has_all({_IN_S}, us))"
+_VALUES = f"list_transform(range(1, len(us) + 1), lambda i: ns[i]::BIGINT * {_UNITS}[us[i]])"
+_BY_LINE = f"""SELECT id, pos, unnest({_VALUES})::BIGINT AS value FROM ({_TOKENS}) JOIN (SELECT id, pos FROM ({_TOKENS}) GROUP BY ALL HAVING bool_or({_KNOWN})
+  AND NOT bool_or(starts_with(form, 'šu-nigin') OR cf = 'šunigin' OR gw IN ('total', 'unit', 'day', 'month', 'year') OR regexp_matches(form, 'igi-\\d|\\d+/\\d+\\(') OR cf IN ('lal', 'laʾu') OR ends_with(form, '-kam') OR ends_with(form, '-ta'))) USING (id, pos) WHERE {_OF_S}"""
+_AHEAD = f"""SELECT id, pos, list_sum({_VALUES})::BIGINT AS value FROM (SELECT *, CASE WHEN len(a.us) = 0 THEN a WHEN len(b.us) = 0 THEN b END AS nx FROM (
+  SELECT *, lead({{'us': us, 'cf': cf, 'gw': gw}}, 1) OVER w AS a, lead({{'us': us, 'cf': cf, 'gw': gw}}, 2) OVER w AS b FROM ({_TOKENS}) WINDOW w AS (PARTITION BY id ORDER BY pos, i)))
+WHERE {_OF_S} AND nx IS NOT NULL AND NOT (contains(nx.gw, 'day') OR contains(nx.gw, 'month') OR contains(nx.gw, 'year') OR contains(nx.gw, 'name')) AND {_known("nx.cf", "nx.gw", ledger.AHEAD_FORMS, ledger.AHEAD_WORDS)}"""
+
+
+def tokens(spark, d) -> DataFrame:  # noqa: ANN001
+    """(id, pos, i, form, cf, gw): the words of tablets by line and place, with their lemmas."""
+    known = F.create_map(*(x for f, (c, g) in WORDS.items() for x in (F.lit(f), F.struct(F.lit(c).alias("cf"), F.lit(g).alias("gw")))))
+    lines = tablets(spark, d).select("id", F.posexplode(X.content_lines(F.col("text"))).alias("pos", "line"))
+    words = lines.select("id", "pos", F.posexplode(F.split("line", " ", -1)).alias("i", "form"))
+    return words.withColumn("x", F.try_element_at(known, F.col("form"))).select("id", "pos", "i", "form", "x.cf", "x.gw")
+
+
+def annotated(spark, d) -> DataFrame:  # noqa: ANN001
+    """Lemma tokens of tablets, written to archives and read back."""
+    path = new_path(spark, "lemmas")
+    archives.write_archives(tokens(spark, d), path.removeprefix("file://").removeprefix("file:")).count()
+    read = archives.lemma_archives(spark, f"{path.removeprefix('file://').removeprefix('file:')}/*.zip", ordered=True, size=64 << 10)
+    return read.withColumn("id", F.regexp_extract("pnum", r"P(\d+)", 1).cast("long"))
+
+
+@query(f"SELECT form, cf, count(*) AS tokens, count(DISTINCT id) AS texts FROM (SELECT id, form, nullif(cf, '') AS cf FROM ({_TOKENS})) GROUP BY ALL")
+def archive_lemmas(spark, d):  # noqa: ANN001, ANN201
+    """What archives hold: each has a member that cannot be read, which is skipped."""
+    return annotated(spark, d).groupBy("form", "cf").agg(F.count("*").alias("tokens"), F.count_distinct("id").alias("texts"))
+
+
+@query(f"SELECT id, 'lines' AS reading, count(*) AS n, sum(value)::BIGINT AS total FROM ({_BY_LINE}) GROUP BY id UNION ALL SELECT id, 'ahead', count(*), sum(value)::BIGINT FROM ({_AHEAD}) GROUP BY id")
+def second_annotator(spark, d):  # noqa: ANN001, ANN201
+    """Both readings of the annotated tablets: line by line, and token by token with a look ahead."""
+    read = annotated(spark, d).withColumn("pnum", F.col("id"))
+    kinds = [f(read).groupBy("pnum").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("pnum").alias("id"), F.lit(name).alias("reading"), "n", "total") for name, f in (("lines", ledger.gold_counts), ("ahead", ledger.gold_counts_ahead))]
+    return kinds[0].unionByName(kinds[1])
+
+
+_PARSED = f"SELECT id, unnest({_VALUES})::BIGINT AS value FROM (SELECT c.id, c.pos, kind, regexp_extract_all(line, '(\\d+)\\(([^)]+)\\)', 1) AS ns, regexp_extract_all(line, '(\\d+)\\(([^)]+)\\)', 2) AS us FROM ({_CLASSIFIED}) c) JOIN (SELECT id FROM ({_WHOLE}) WHERE fail_rule IS NULL) USING (id) WHERE kind = 'counted'"
+
+
+@query(f"""
+WITH p AS (SELECT id, value, count(*) AS c FROM ({_PARSED}) GROUP BY ALL), g AS (SELECT id, value, count(*) AS c FROM ({_BY_LINE}) WHERE id IN (SELECT id FROM p) GROUP BY ALL)
+SELECT id, sum(least(coalesce(p.c, 0), coalesce(g.c, 0)))::BIGINT AS agree, sum(greatest(coalesce(p.c, 0) - coalesce(g.c, 0), 0))::BIGINT AS left_only, sum(greatest(coalesce(g.c, 0) - coalesce(p.c, 0), 0))::BIGINT AS right_only FROM p FULL JOIN g USING (id, value) GROUP BY id""")
+def annotator_agreement(spark, d):  # noqa: ANN001, ANN201
+    """Values of the parser against those of the annotated lemmas, tablet by tablet, where a tablet can be verified."""
+    ok = tablet_audit(spark, d).where("fail_rule IS NULL").select("id")
+    ours = _classified(spark, d).where("c.kind = 'counted'").select("id", F.explode("c.values").alias("value")).join(ok, "id", "left_semi")
+    read = annotated(spark, d).withColumn("pnum", F.col("id"))
+    theirs = ledger.gold_counts(read).select(F.col("pnum").alias("id"), "value").join(ours.select("id").distinct(), "id", "left_semi")
+    return ledger.multiset_agreement(ours, theirs, ["id"])
