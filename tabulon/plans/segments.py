@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import patterns as R
 from tabulon.functions import text as X
 from tabulon.functions.stats import digest
+from tabulon.operators import permutation, resampling, scoring
 from tabulon.operators import segmentation as G
 from tabulon.plans.inference import _LINED, lined
 from tabulon.sources.readers import table
+from tabulon.sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -313,3 +315,160 @@ def window_documents(spark, d):  # noqa: ANN001, ANN201
 def permuted_vectors(vectors, key):  # noqa: ANN001, ANN201
     """Vectors of a document in hashed order, as a control."""
     return F.transform(F.array_sort(F.transform(vectors, lambda v, i: F.struct(digest(42, key.cast("string"), i.cast("string")).alias("h"), v.alias("v")))), lambda s: s["v"])
+
+
+# --- all methods, strata with their own tests, and verdicts ---
+
+#: Paired tests: each method against those it is to be told from.
+TESTED = (
+    *((m, b) for m in ("overlap_min", "marker", "hybrid") for b in ("equal", "random")), ("emb_valley", "lex_valley"),
+    *((m, "random") for m in ("lex_valley", "emb_valley", "emb_global", "shuffled", "equal", "marker_k", "emb_thresh", "lex_thresh", "length_prior")),
+)
+SEARCHED = ("overlap_min", "hybrid", "lex_valley", "emb_valley", "emb_global", "shuffled")
+DRAWS = 200
+
+
+def _corpora(docs: DataFrame) -> DataFrame:
+    """Documents in three corpora by key; the third has no markers."""
+    docs = docs.withColumn("corpus", F.element_at(F.array(F.lit("main"), F.lit("rich"), F.lit("plain")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")))
+    bare = F.transform("marks", lambda m: m & (F.col("corpus") != "plain"))
+    docs = docs.withColumn("marks", bare).withColumn("marked", F.exists("marks", lambda m: m))
+    # hashed bag-of-words vectors stand for an embedder
+    vec = lambda ws: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.size(F.filter(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(16)) == j)).cast("float"))
+    return docs.withColumn("vectors", F.transform("tokens", vec))
+
+
+def all_scores(spark, d, draws: int = DRAWS) -> DataFrame:  # noqa: ANN001
+    """(doc_id, corpus, marked, method, pk, window_diff, f1, f1_near, k_error) of every method, the searches and random cuts among them."""
+    docs = _corpora(documents(spark, d))
+    n, k, marks = F.col("n"), F.col("k"), F.col("marks")
+    plans = {
+        "equal": G.equal_cuts(n, k), "marker": G.marker_cuts(marks, k), "marker_k": G.marker_cuts_unknown_k(marks), "lex_thresh": G.threshold_cuts(G.lexical_gaps(F.col("tokens"))),
+        "emb_thresh": G.threshold_cuts(F.transform(G.vector_gaps(F.col("vectors")), lambda s: F.round(s, 6))), "length_prior": G.length_prior_cuts(n, F.col("length")),
+    }
+    each = F.array(*(F.struct(F.lit(m).alias("method"), c.cast("array<int>").alias("cuts")) for m, c in plans.items()))
+    base = ["doc_id", "corpus", "marked", "n", "truth"]
+    cut = docs.join(_prior(docs), "corpus").select(*base, F.explode(each).alias("p")).select(*base, "p.*")
+    for m in SEARCHED:
+        cut = cut.unionByName(docs.select(*base).join(G.solve(docs, m).drop("solver").where("cuts IS NOT NULL"), "doc_id"))
+    names = ["doc_id", "corpus", "marked", "method", *scoring.SCORES]
+    return G.scored(cut).select(*names).unionByName(scoring.random_scores(docs, draws).select(*names))
+
+
+@query()
+def all_methods(spark, d):  # noqa: ANN001, ANN201
+    """Every method on every corpus: means, and how many documents."""
+    return G.summary(all_scores(spark, d), ["corpus", "method"])
+
+
+@query()
+def all_metrics(spark, d):  # noqa: ANN001, ANN201
+    """Means and paired tests by corpus and stratum, as one long table."""
+    return scoring.metrics(scoring.strata(all_scores(spark, d), "marked"), TESTED)
+
+
+_STRATUM = " UNION ALL ".join(f"SELECT CASE WHEN x.marked THEN 'with_markers' ELSE 'without_markers' END AS stratum, '{a}' AS a, '{b}' AS b, count(*) AS docs, count(*) FILTER (x.pk < y.pk) AS wins, count(*) FILTER (x.pk > y.pk) AS losses FROM s x JOIN s y USING (doc_id) WHERE x.method = '{a}' AND y.method = '{b}' GROUP BY 1 HAVING count(*) >= 30" for a, b in PAIRS)
+
+
+@query(f"""
+WITH s AS ({_SCORED}), t AS (SELECT *, ({_SIGNED})::DOUBLE AS p FROM ({_STRATUM})), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY p, a, b) AS k, count(*) OVER (PARTITION BY stratum) AS m FROM t)
+SELECT stratum, a, b, docs, wins, losses, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY stratum ORDER BY k DESC)), 6) AS p_adjusted FROM r""")
+def strata_tests(spark, d):  # noqa: ANN001, ANN201
+    """Paired tests within documents with and without markers, each with an adjustment of its own, from 30 documents on."""
+    split = F.when(F.col("marked"), "with_markers").otherwise("without_markers")
+    return G.paired(scores(spark, d).withColumn("stratum", split), PAIRS, by=["stratum"]).where("docs >= 30").select("stratum", "a", "b", "docs", "wins", "losses", "p", "p_adjusted")
+
+
+def _beats(corpus: str, method: str, stratum: str = "all", p: str = "p_adjusted") -> str:
+    return f"([{corpus}/{stratum}/{method}_vs_random/{p}] < 0.05 AND [{corpus}/{stratum}/{method}/pk] < [{corpus}/{stratum}/random/pk])"
+
+
+def _twin(corpus: str) -> str:
+    t = f"{corpus}/all/emb_valley_vs_lex_valley"
+    return f"([{t}/wins] > [{t}/losses] AND [{t}/p_adjusted] < 0.05)"
+
+
+def _near_random(corpus: str, most: float) -> str:
+    return f"abs([{corpus}/all/shuffled/pk] - [{corpus}/all/random/pk]) < {most}"
+
+
+def _counts_markers(corpus: str) -> str:
+    s = f"{corpus}/with_markers"
+    return f"([{s}/marker_k/pk] < least([{s}/emb_thresh/pk], [{s}/lex_thresh/pk], [{s}/length_prior/pk]) AND [{s}/marker_k/k_mae] < 1 AND {_beats(corpus, 'marker_k', 'with_markers', 'p')})"
+
+
+# Thresholds of the verdicts, which were stated before any result was seen.
+VERDICTS = (
+    scoring.Verdict("R1 vectors beat words at the same search", _twin("main")),
+    scoring.Verdict("R2 vectors beat chance where no marker is", _beats("main", "emb_global", "without_markers", "p")),
+    scoring.Verdict("R3 shuffled vectors are at chance", _near_random("main", 0.015)),
+    scoring.Verdict("R4 the global search is no worse than the local one", "[main/all/emb_global/pk] <= [main/all/emb_valley/pk]"),
+    scoring.Verdict("M1 markers beat chance where they are", _beats("rich", "marker", "with_markers", "p")),
+    scoring.Verdict("M2 vectors beat words in both corpora", f"{_twin('rich')} AND {_twin('plain')}"),
+    scoring.Verdict("M3 vectors beat chance without markers", _beats("plain", "emb_global")),
+    scoring.Verdict("M4 equal lengths are worse than chance in both", "[rich/all/equal/pk] > [rich/all/random/pk] AND [plain/all/equal/pk] > [plain/all/random/pk]"),
+    scoring.Verdict("M5 shuffled vectors are at chance in both", f"{_near_random('rich', 0.02)} AND {_near_random('plain', 0.02)}"),
+    scoring.Verdict("U1 markers lead and count segments", f"{_counts_markers('main')} AND {_counts_markers('rich')}"),
+    scoring.Verdict("U2 loss against known counts", "true", void="reported, not judged"),
+    scoring.Verdict("U3 unknown counts without markers stay unsolved", " AND ".join(f"([plain/all/{m}/pk] >= [plain/all/random/pk] - 0.005 OR [plain/all/{m}_vs_random/p_adjusted] >= 0.05)" for m in ("emb_thresh", "lex_thresh", "length_prior"))),
+    scoring.Verdict("D1 the gap rises with dispersion", "[records/all/gap_vs_cv/rho] > 0 AND [records/all/gap_vs_cv/p] < 0.05"),
+    scoring.Verdict("T1 vectors beat chance on raw records", f"{_beats('main', 'emb_valley')} OR {_beats('main', 'emb_global')}"),
+    scoring.Verdict("T2 a delimiter closes the problem", "[engineered/all/marker_k/pk] < 0.1"),
+    scoring.Verdict("T3 dispersion says how equal lengths fare", "true", void="its mechanism was refuted by D1's data"),
+    scoring.Verdict("S1 rises period by period", "[periods/all/sealed_vs_place/rho] > 0 AND [periods/all/sealed_vs_place/p] < 0.05"),
+    scoring.Verdict("S2 places tighten", "[periods/all/entropy/observed] > 0 AND [periods/all/entropy/p_upper] < 0.05"),
+    scoring.Verdict("S3 the last period has the peak", "[periods/all/envelope/last] > [periods/all/envelope/before]"),
+    scoring.Verdict("B1 a step up at both ends of the band", "[band/all/last_but_one/lower] > [band/all/before/lower] AND [band/all/last_but_one/upper] > [band/all/before/upper]"),
+    scoring.Verdict("B1 the bands part", "[band/all/last_but_one/lower] > [band/all/before/upper]"),
+    scoring.Verdict("B2 a step up into the last", "[band/all/last/lower] > [band/all/last_but_one/lower] AND [band/all/last/upper] > [band/all/last_but_one/upper]"),
+    scoring.Verdict("B4 every step keeps its sign", "[band/all/steps/unstable] = 0"),
+    scoring.Verdict("markers beat chance", "[main/all/marker/pk] < [main/all/random/pk]"),
+    scoring.Verdict("least overlap does not beat chance", "[main/all/overlap_min/pk] >= [main/all/random/pk] - 0.005"),
+    scoring.Verdict("equal lengths are worse than chance", "[main/all/equal/pk] > [main/all/random/pk]"),
+    scoring.Verdict("least overlap loses to chance pair by pair", "[main/all/overlap_min_vs_random/losses] > [main/all/overlap_min_vs_random/wins]"),
+)
+
+
+def _long(df: DataFrame, corpus: str, subject: str, **metrics) -> DataFrame:  # noqa: ANN003
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()))
+    return df.select(F.lit(corpus).alias("corpus"), F.lit("all").alias("stratum"), F.lit(subject).alias("subject"), F.explode(each).alias("x"), F.lit(None).cast("long").alias("n")).select("corpus", "stratum", "subject", "x.metric", "x.value", "n")
+
+
+def _around(spark, d, scored: DataFrame) -> DataFrame:  # noqa: ANN001
+    """What the verdicts name beside the methods' scores: dispersion and gap by role, engineered records, bands and entropy of sources."""
+    turns = table(spark, d, "conversations", ["conv_id", "text"]).select(F.col("conv_id").alias("doc_id"), F.length("text").alias("len"))
+    spread = turns.groupBy((F.col("doc_id") % 10).alias("g")).agg(F.try_divide(F.stddev_pop("len"), F.avg("len")).alias("cv"))
+    gap = scored.groupBy((F.col("doc_id") % 10).alias("g")).agg((F.avg(F.when(F.col("method") == "equal", F.col("pk"))) - F.avg(F.when(F.col("method") == "random", F.col("pk")))).alias("gap"))
+    rho = permutation.spearman(gap.join(spread, "g"), "g", "cv", "gap")
+    out = _long(rho, "records", "gap_vs_cv", rho=F.col("rho"), p=F.col("p_one_sided")).unionByName(_long(engineered_delimiter(spark, d), "engineered", "marker_k", pk=F.col("pk")))
+    docs = table(spark, d, "documents", ["text", "source"])
+    place = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    marked, loose = F.col("text").rlike("[Ll]icensed"), F.col("text").rlike("[Ll]icen[sc]e")
+    rates = docs.where(place.isNotNull()).groupBy(place.alias("place")).agg(F.avg(marked.cast("int")).alias("lower"), F.avg((marked | loose).cast("int")).alias("upper"))
+    top = Window.orderBy(F.desc("place"))  # a row a source
+    lead = lambda c: F.lead(c).over(top)
+    stepped = rates.select("place", "lower", "upper", F.row_number().over(top).alias("r"), (F.col("lower") - lead("lower")).alias("a"), (F.col("upper") - lead("upper")).alias("b"))
+    at = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
+    one = stepped.agg(
+        *(at(r, c).alias(f"{c}{r}") for r in (1, 2, 3) for c in ("lower", "upper")), F.count(F.when(F.col("a").isNotNull() & ((F.col("a") > 0) != (F.col("b") > 0)), 1)).alias("unstable"),
+        F.max(F.when(F.col("r") > 1, F.col("lower"))).alias("before"),
+    )
+    for r, name in ((1, "last"), (2, "last_but_one"), (3, "before")):
+        out = out.unionByName(_long(one, "band", name, lower=F.col(f"lower{r}"), upper=F.col(f"upper{r}")))
+    out = out.unionByName(_long(one, "band", "steps", unstable=F.col("unstable"))).unionByName(_long(one, "periods", "envelope", last=F.col("lower1"), before=F.col("before")))
+    rise = permutation.spearman(rates, "place", "place", "lower")
+    from tabulon.plans import corpus as C
+
+    tight = resampling.stratified_entropy(C._places(spark, d), "doc_id", "lang", ("en", "fr"), "n_lines", 1000)
+    out = out.unionByName(_long(rise, "periods", "sealed_vs_place", rho=F.col("rho"), p=F.col("p_one_sided")))
+    return out.unionByName(_long(tight, "periods", "entropy", observed=F.col("observed"), p_upper=F.col("p_upper")))
+
+
+@query()
+def verdicts(spark, d):  # noqa: ANN001, ANN201
+    """All verdicts and invariants over the metrics of this corpus: held, failed, not evaluated or void."""
+    path = new_path(spark, "scores")
+    all_scores(spark, d).write.parquet(path)
+    scored = spark.read.parquet(path)
+    long = scoring.metrics(scoring.strata(scored, "marked"), TESTED).unionByName(_around(spark, d, scored))
+    return scoring.verdicts(long, VERDICTS)
