@@ -7,12 +7,12 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
+from tabulon.operators.ranks import ranked
 from tabulon.operators.sampling import blocks, running, top
 
 
@@ -108,9 +108,9 @@ def token_stream(df: DataFrame, genre: str, key: str, text: str) -> DataFrame:
 
 
 def spectrum(tokens: DataFrame, by: Sequence[str] = ("genre",)) -> DataFrame:
-    """(…, token, freq, rank): tokens by falling frequency."""
+    """(…, token, freq, rank): tokens by falling frequency, ranked by ranges."""
     counted = tokens.groupBy(*by, "token").agg(F.count("*").alias("freq"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("freq"), "token")))
+    return ranked(counted, by, [F.desc("freq"), F.col("token")])
 
 
 def zipf(ranked: DataFrame, by: Sequence[str] = ("genre",), least: int = 5) -> DataFrame:
@@ -133,32 +133,93 @@ def zipf_length_control(stream: DataFrame, reps: int = 25, seed: int = 42) -> Da
     return fits.groupBy("genre").agg(F.count("exponent").alias("draws"), F.round(F.avg("exponent"), 6).alias("mean"), F.round(F.stddev_pop("exponent"), 6).alias("sd"))
 
 
-def zlib_ratio(stream: DataFrame, by: Sequence[str] = ("genre",), seq: str = "seq", level: int = 9, block: int = 1 << 20) -> DataFrame:
-    """Compressed over raw bytes of token streams joined by spaces, level 9.
+#: Tokens that are joined before they are shuffled, and that a shuffled stream is made of at a time.
+PIECE, DEALT = 4096, 1 << 20
 
-    Streams are compressed in blocks of ``block`` tokens, each in a task of its own, so no group holds a whole stream;
-    a stream of one block has exactly the ratio of the whole.
+
+def zlib_ratio(stream: DataFrame, by: Sequence[str] = ("genre",), seq: str = "seq", level: int = 9) -> DataFrame:
+    """Compressed over raw bytes of token streams joined by spaces: one stream, one ratio, however long.
+
+    Tokens are joined in pieces; a stream's pieces come to a task in order and run through the compressor one by one, as its
+    state is sequential. Spark sorts them on disk where memory ends, and no more than a piece is held here.
     """
+    numbered = stream.select(*by, F.col(seq).alias("seq"), "token", F.floor(F.col(seq) / PIECE).alias("piece"))
+    joined = numbered.groupBy(*by, "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), " ").alias("text"))
+    sorted_ = joined.select(*by, "piece", "text").repartition(*by).sortWithinPartitions(*by, "piece")
+    fields = [stream.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, rows, types = None, None, [], None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = " ".join(pdf.sort_values("seq")["token"]).encode()
-        return pdf[[*by]].head(1).assign(raw=len(raw), packed=len(zlib.compress(raw, level)))
+        def close() -> None:
+            packer, raw, packed = state
+            rows.append((*key, raw, packed + len(packer.flush())))
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            for *own, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                if tuple(own) != key or state is None:
+                    if state is not None:
+                        close()
+                    key, state = tuple(own), [zlib.compressobj(level), 0, 0]
+                else:
+                    data = b" " + data
+                state[1] += len(data)
+                state[2] += len(state[0].compress(data))
+        if state is not None:
+            close()
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate([*types, pa.int64(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "raw", "packed"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", raw long, packed long"
+    sized = sorted_.mapInArrow(run, schema)
+    return sized.select(*by, F.col("raw").alias("raw_bytes"), F.round(F.col("packed") / F.col("raw"), 6).alias("ratio"))
+
+
+def shuffled_ratio(words: list[bytes], freqs: np.ndarray, rng: np.random.Generator, level: int = 9, block: int = DEALT) -> float:
+    """Compressed over raw bytes of one uniform shuffle of a stream, which its types and their frequencies determine.
+
+    Occurrences are dealt to blocks at random and each block is shuffled, which shuffles the whole; only a block is in memory.
+    """
+    left, total = freqs.astype(np.int64), int(freqs.sum())
+    n_blocks = max(1, -(-total // block))
+    packer, raw, packed = zlib.compressobj(level), 0, 0
+    for b in range(n_blocks):
+        drawn = left if b == n_blocks - 1 else rng.binomial(left, 1 / (n_blocks - b))
+        left = left - drawn
+        ids = np.repeat(np.arange(len(words)), drawn)
+        rng.shuffle(ids)
+        if len(ids):
+            data = (b" " if raw else b"") + b" ".join([words[i] for i in ids.tolist()])
+            raw += len(data)
+            packed += len(packer.compress(data))
+    return (packed + len(packer.flush())) / max(raw, 1)
 
-    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in by) + ", raw long, packed long"
-    numbered = stream.select(*by, F.col(seq).alias("seq"), "token", F.floor(F.col(seq) / block).alias("b"))
-    parts = numbered.groupBy(*by, "b").applyInPandas(lambda p: run(p), schema)
-    return parts.groupBy(*by).agg(F.sum("raw").alias("raw_bytes"), F.round(F.sum("packed") / F.sum("raw"), 6).alias("ratio"))
 
+def redundancy(stream: DataFrame, reps: int = 20, seed: int = 42, by: Sequence[str] = ("genre",)) -> DataFrame:
+    """How much order matters to compression: mean ratio of shuffled streams minus the ratio as it is.
 
-def redundancy(stream: DataFrame, reps: int = 20, seed: int = 42) -> DataFrame:
-    """How much order matters to compression: mean ratio of shuffled streams minus the ratio as it is."""
-    from tabulon.functions.stats import digest
+    A shuffle is one row of work, seeded by its stream and number. A task holds the types of a stream and a block of a shuffle.
+    """
+    counted = stream.groupBy(*by, "token").agg(F.count("*").alias("freq"))
+    known = counted.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("token", "freq"))).alias("types"))
+    tasks = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = known.withColumn("rep__", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(tasks, *by, "rep__")
 
-    reps_ = stream.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    drawn = stream.crossJoin(F.broadcast(reps_)).withColumn("h", digest(seed, F.col("rep").cast("string"), F.col("genre"), F.col("seq").cast("string")))
-    shuffled = drawn.withColumn("seq2", F.row_number().over(Window.partitionBy("genre", "rep").orderBy("h")) - 1)
-    null = zlib_ratio(shuffled, ["genre", "rep"], "seq2").groupBy("genre").agg(F.avg("ratio").alias("shuffled"))
-    return zlib_ratio(stream).join(null, "genre").select("genre", "ratio", F.round("shuffled", 6).alias("shuffled"), F.round(F.col("shuffled") - F.col("ratio"), 6).alias("delta"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = [batch.column(c)[i].as_py() for c in by]
+                types, rep = batch.column("types")[i].values, batch.column("rep__")[i].as_py()
+                words = [w.encode("utf-8", "surrogatepass") for w in types.field("token").to_pylist()]
+                digest = hashlib.blake2b(repr((seed, *key, rep)).encode(), digest_size=16).digest()
+                ratio = shuffled_ratio(words, np.asarray(types.field("freq")), np.random.default_rng(int.from_bytes(digest, "little")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in by), pa.array([ratio])], names=[*by, "shuffled"])
+
+    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in by) + ", shuffled double"
+    null = work.mapInArrow(run, schema).groupBy(*by).agg(F.avg("shuffled").alias("shuffled"))
+    return zlib_ratio(stream, by).join(null, [*by]).select(*by, "ratio", F.round("shuffled", 6).alias("shuffled"), F.round(F.col("shuffled") - F.col("ratio"), 6).alias("delta"))
 
 
 def els(stream: DataFrame, skips: Sequence[int], least: int = 3, by: Sequence[str] = ("genre",)) -> DataFrame:

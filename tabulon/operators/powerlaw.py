@@ -96,7 +96,7 @@ def frequency_counts(ranked: DataFrame, by: Sequence[str] = ("genre",)) -> DataF
 def goodness(frequencies: DataFrame, reps: int, by: Sequence[str] = ("genre",), seed: int = 42) -> DataFrame:
     """(…, ks, reps, p): the share of synthetic tails that lie at least as far from their own fit; a p below 0.1 rules the law out.
 
-    Each tail is drawn from the fitted law over values up to ``SUPPORT``, as large as the observed one; x_min is kept and
+    Each tail is drawn from the fitted law over values up to ``SUPPORT``, or ``TERMS`` of them where the tail starts close to that or above, as large as the observed one; x_min is kept and
     the exponent estimated anew. A large p means the law is not ruled out, not that it holds.
     """
     fitted = fits(frequencies, by).where("ks IS NOT NULL").select(*by, "x_min", "alpha", "ks", "tail")
@@ -107,7 +107,7 @@ def goodness(frequencies: DataFrame, reps: int, by: Sequence[str] = ("genre",),
         for batch in batches:
             farther = []
             for x_min, alpha, ks, tail, rep in batch[["x_min", "alpha", "ks", "tail", "rep"]].itertuples(index=False):
-                support = np.arange(int(x_min), SUPPORT)
+                support = np.arange(int(x_min), max(SUPPORT, int(x_min) + TERMS))
                 weight = support.astype(np.float64) ** -alpha
                 counts = np.random.default_rng([seed, int(rep)]).multinomial(int(tail), weight / weight.sum())
                 on = counts > 0

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tabulon.operators.ranks import ranked
+from tabulon.sources.shared import kept
+
 
 class Rejected(ValueError):
     """What a single call raises where a batch would list rejected rows."""
@@ -52,18 +55,25 @@ def revoke(seals: DataFrame, revoked: DataFrame, at: str = "at") -> DataFrame:
     return seals.join(first, "seal", "left").withColumn("valid_to", F.coalesce("valid_to", "__at")).drop("__at").select(*seals.columns)
 
 
-def descendants(principals: DataFrame, root: str | int, most: int = 1000) -> DataFrame:
-    """(principal, depth): the root and all below it, by a recursive query."""
-    spark = principals.sparkSession
-    name = f"__principals_{abs(hash((id(principals), str(root)))) % 10**9}"
-    principals.createOrReplaceTempView(name)
-    literal = str(root) if isinstance(root, int) else "'" + root.replace("'", "''") + "'"
-    return spark.sql(f"""
-        WITH RECURSIVE below (principal, depth) MAX RECURSION LEVEL {most} AS (
-            SELECT principal, 0 FROM {name} WHERE principal = {literal}
-            UNION ALL
-            SELECT p.principal, b.depth + 1 FROM {name} p JOIN below b ON p.parent = b.principal)
-        SELECT principal, depth FROM below""")
+def descendants(principals: DataFrame, root: str | int) -> DataFrame:
+    """(principal, depth): the root and all below it, in trees of any depth.
+
+    Every principal points at an ancestor and knows how far off it is and whether the root came on the way. Each step follows
+    the pointers of those pointed at, which doubles their reach, so a chain of n takes log n joins. Rows that have met the root or
+    passed the top are done. In a cycle, which no tree has, pointers go round until they reach as far as there are rows.
+    """
+    top = F.lit(root)
+    start = principals.select("principal", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("reach"), F.when(F.col("principal") == top, 0).when(F.col("parent") == top, 1).cast("long").alias("depth"))
+    state, rows = kept(start, "descendants"), None
+    while True:
+        moving = state.where("depth IS NULL AND jump IS NOT NULL")
+        left = moving.agg(F.count("*").alias("n"), F.max("reach").alias("reach")).first()
+        rows = state.count() if rows is None else rows
+        if not left["n"] or left["reach"] > rows:
+            return state.where("depth IS NOT NULL").select("principal", F.col("depth").cast("int").alias("depth"))
+        met = state.select(F.col("principal").alias("jump"), F.col("jump").alias("__jump"), F.col("reach").alias("__reach"), F.col("depth").alias("__depth"))
+        further = moving.drop("depth").join(met, "jump", "left").select("principal", F.col("__jump").alias("jump"), (F.col("reach") + F.col("__reach")).alias("reach"), (F.col("reach") + F.col("__depth")).alias("depth"))
+        state = kept(state.where("depth IS NOT NULL OR jump IS NULL").unionByName(further), "descendants")
 
 
 def cascade(seals: DataFrame, principals: DataFrame, root: str | int, at: float) -> DataFrame:
@@ -191,13 +201,9 @@ def overhead(log: DataFrame) -> DataFrame:
 
 
 def latency(samples: DataFrame, value: str) -> DataFrame:
-    """Median and 95th percentile by the exclusive rule: place (n + 1) q, between neighbours in proportion.
-
-    Runs on a table of measurements of one benchmark, which is small.
-    """
-    w = Window.orderBy(value)
-    ranked = samples.select(F.col(value).alias("v")).withColumns({"r": F.row_number().over(Window.orderBy("v")), "n": F.count("*").over(Window.partitionBy())})
-    del w
+    """Median and 95th percentile by the exclusive rule: place (n + 1) q, between neighbours in proportion."""
+    some = samples.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("tie"))
+    placed = ranked(some, [], [F.col("v"), F.col("tie")], "r").crossJoin(F.broadcast(samples.agg(F.count("*").alias("n"))))  # one row
 
     def at(q: float) -> Column:
         place = (F.col("n") + 1) * q
@@ -205,7 +211,7 @@ def latency(samples: DataFrame, value: str) -> DataFrame:
         part = place - low
         return F.sum(F.when(F.col("r") == low, F.col("v") * (1 - part)).when(F.col("r") == low + 1, F.col("v") * part).otherwise(0.0))
 
-    return ranked.agg(at(0.5).alias("median"), at(0.95).alias("p95"))
+    return placed.agg(at(0.5).alias("median"), at(0.95).alias("p95"))
 
 
 def fixture(spark, children: int = 10, writes: int = 50, t0: float = 1_000.0) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001

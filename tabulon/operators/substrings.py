@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.sources.shared import new_path
+from tabulon.sources.shared import kept
 
 #: Code points of a run, anchors of a short text, and code points of a piece of a long text.
 WIDTH, ANCHORS, PIECE = 8, 4, 4096
@@ -53,12 +53,6 @@ def _places(width: int, most: int | None):  # noqa: ANN202
     return run
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def contained(short: DataFrame, long: DataFrame, least: int = WIDTH, width: int = WIDTH, anchors: int = ANCHORS, piece: int = PIECE) -> DataFrame:
     """(text): the distinct texts of ``short`` with ``least`` code points or more that are substrings of a text of ``long``.
 
@@ -67,8 +61,8 @@ def contained(short: DataFrame, long: DataFrame, least: int = WIDTH, width: int
     """
     spark, width = short.sparkSession, min(width, max(least, 1))
     lines = short.where(F.length("text") >= max(least, 1)).select("text").distinct()
-    lines = _kept(lines.withColumn("id", F.monotonically_increasing_id()), "contained-short")  # numbers stand once they are written
-    blobs = _kept(long.where(F.length("text") >= width).select(F.monotonically_increasing_id().alias("id"), "text"), "contained-long")
+    lines = kept(lines.withColumn("id", F.monotonically_increasing_id()), "contained-short")  # numbers stand once they are written
+    blobs = kept(long.where(F.length("text") >= width).select(F.monotonically_increasing_id().alias("id"), "text"), "contained-long")
     schema = "id long, at long, run long"
     places = blobs.select("id", "text").mapInArrow(_places(width, None), schema)
     known = places.groupBy("run").agg(F.count("*").alias("n"))

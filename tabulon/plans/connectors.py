@@ -106,3 +106,19 @@ def embedded_lines(spark, d):  # noqa: ANN001, ANN201
     v = F.col("vector")
     norm = F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3)
     return readers.embed(lines, "line", _lengths).select("key", F.size(v).alias("dims"), norm.alias("norm"))
+
+
+def _none(texts: list[str]) -> list[list[float]]:
+    raise RuntimeError("a cached text was asked for again")
+
+
+@query(f"SELECT DISTINCT sha256(x) AS key, 2 AS dims, 1.0::DOUBLE AS norm FROM (SELECT unnest(ls) AS x FROM ({_TURNS}))")
+def embedded_lines_cached(spark, d):  # noqa: ANN001, ANN201
+    """The same from a cache that two runs fill, half of the conversations each; a third run asks the service for nothing."""
+    turns, path = _turns(spark, d), new_path(spark, "vectors")
+    lines = lambda df: df.select(F.explode(X.lines(F.col("text"))).alias("line"))
+    for half in (0, 1):
+        readers.embed_cached(lines(turns.where(F.col("conv_id") % 2 == half)), "line", _lengths, path)
+    v = F.col("vector")
+    norm = F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3)
+    return readers.embed_cached(lines(turns), "line", _none, path).select("key", F.size(v).alias("dims"), norm.alias("norm"))

@@ -361,6 +361,12 @@ def zipf_length_control(spark, d):  # noqa: ANN001, ANN201
     return describe.zipf_length_control(_stream(spark, d), reps=5)
 
 
+@query()
+def zipf_length_control_whole(spark, d):  # noqa: ANN001, ANN201
+    """The same with 25 draws, which SQL would take too long for."""
+    return describe.zipf_length_control(_stream(spark, d), reps=25)
+
+
 ELS_SKIPS = range(2, 101)
 _ELS = "SELECT {by}, skip, count(*) FILTER (n >= 3) AS repeated FROM (SELECT {by}, skip, token, count(*) AS n FROM ({src}) s, (SELECT unnest(range(2, 101)) AS skip) k WHERE s.seq % k.skip = 0 GROUP BY ALL) GROUP BY {by}, skip"
 
@@ -383,16 +389,14 @@ def compression_ratio(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def compression_delta(spark, d):  # noqa: ANN001, ANN201
-    return describe.redundancy(_stream(spark, d), reps=3)
+    return describe.redundancy(_stream(spark, d), reps=20)
 
 
 @query()
 def redundancy_length_control(spark, d):  # noqa: ANN001, ANN201
-    block = sampling.blocks(_stream(spark, d), "genre", "seq", 3)
-    start = block.groupBy("genre", "rep").agg(F.min("seq").alias("first"))
-    whole = block.join(start, ["genre", "rep"]).select(F.concat_ws("#", "genre", "rep").alias("genre"), (F.col("seq") - F.col("first")).alias("seq"), "token")
-    out = describe.redundancy(whole, reps=2)
-    return out.groupBy(F.substring_index("genre", "#", 1).alias("genre")).agg(F.count("*").alias("draws"), F.round(F.avg("delta"), 6).alias("mean"), F.round(F.stddev_pop("delta"), 6).alias("sd"))
+    block = sampling.blocks(_stream(spark, d), "genre", "seq", 20)
+    out = describe.redundancy(block, reps=10, by=["genre", "rep"])
+    return out.groupBy("genre").agg(F.count("*").alias("draws"), F.round(F.avg("delta"), 6).alias("mean"), F.round(F.stddev_pop("delta"), 6).alias("sd"))
 
 
 @query("SELECT source, count(*) AS n, round(avg(len), 6) AS mean, round(stddev_pop(len) / avg(len), 6) AS cv FROM (SELECT source, len(" + _WORDS.format(x="text") + ") AS len FROM documents) GROUP BY source")

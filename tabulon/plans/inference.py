@@ -235,13 +235,24 @@ def matched_entropy_whole(spark, d):  # noqa: ANN001, ANN201
     return resampling.matched_entropy(corpus._places(spark, d), "lang", ("en", "fr"), 1000)
 
 
+def _common_length(spark, d) -> DataFrame:  # noqa: ANN001
+    """Frequencies of frequencies in ten blocks of each stream."""
+    from tabulon.operators.sampling import blocks
+
+    draws = blocks(corpus._stream(spark, d), "genre", "seq", 10).withColumnRenamed("rep", "draw")
+    return powerlaw.frequency_counts(draws.groupBy("genre", "draw", "token").agg(F.count("*").alias("freq")), ["genre", "draw"])
+
+
 @query()
 def powerlaw_fit(spark, d):  # noqa: ANN001, ANN201
-    """Exponents, distances and Vuong's test on blocks as long as the shortest stream."""
-    from tabulon.operators.sampling import blocks
+    """Exponents, distances and Vuong's test on ten blocks as long as the shortest stream."""
+    return powerlaw.fits(_common_length(spark, d), ["genre", "draw"])
+
 
-    draws = blocks(corpus._stream(spark, d), "genre", "seq", 3)
-    return powerlaw.fits(powerlaw.frequency_counts(describe.spectrum(draws, ["genre", "rep"]), ["genre", "rep"]), ["genre", "rep"])
+@query()
+def powerlaw_gof_common_length(spark, d):  # noqa: ANN001, ANN201
+    """Goodness of fit where length cannot be the reason: 500 tails for each of ten blocks as long as the shortest stream."""
+    return powerlaw.goodness(_common_length(spark, d), 500, ["genre", "draw"])
 
 
 @query()

@@ -148,3 +148,27 @@ def embed(lines: DataFrame, text: str, service: Callable[[list[str]], list[list[
 
     distinct = lines.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     return distinct.select(F.sha2("text", 256).alias("key"), run("text").alias("vector"))
+
+
+def embed_cached(lines: DataFrame, text: str, service: Callable[[list[str]], list[list[float]]], path: str, batch: int = 128) -> DataFrame:
+    """(key, vector) of distinct texts from the cache at ``path``, after the service was asked for those that it lacks.
+
+    The cache is keyed by content, so it serves any collection and never goes stale. New vectors are appended once they are all
+    there; an append that is repeated, or that two jobs make at once, adds rows of keys that are known, of which one is read.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = lines.sparkSession
+    asked = lines.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct().withColumn("key", F.sha2("text", 256))
+    try:
+        known = spark.read.schema("key string, vector array<float>").parquet(path).select("key").distinct()
+        new = asked.join(known, "key", "left_anti")
+    except AnalysisException:
+        new = asked
+    if not new.isEmpty():
+        embed(new, "text", service, batch).write.mode("append").parquet(path)
+    try:
+        cache = spark.read.schema("key string, vector array<float>").parquet(path)
+    except AnalysisException:  # nothing was ever asked for
+        return spark.createDataFrame([], "key string, vector array<float>")
+    return cache.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("vector").alias("vector"))
