@@ -30,6 +30,8 @@ RULES = (
 )
 #: Ranges for each shuffle partition, and sampled keys for each range.
 RANGES, SAMPLED = 4, 16
+#: Code points of a path by which rows of one host are dealt to ranges.
+HEAD = 64
 
 
 def host_of(url: Column) -> Column:
@@ -98,17 +100,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Seque
     """
     spark = pages.sparkSession
     keep = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
-    urls = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.xxhash64(order, url).alias("__tie"))
-    urls = urls.withColumn("__key", host_key(F.col("host")))
+    urls = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.xxhash64(order, url, F.monotonically_increasing_id()).alias("__tie"))
+    urls = urls.withColumns({"__key": host_key(F.col("host")), "__head": F.substring("path", 1, HEAD)})
     ranges = RANGES * partitions(spark)
-    every = max(1, pages.count() // (ranges * SAMPLED))
-    # hashes pick about SAMPLED keys for each range; only the balance depends on them, never a result
-    sample = urls.where(F.pmod(F.xxhash64("__tie", F.lit(3)), F.lit(every)) == 0).select("__key", "path", "__tie")
+    # the rows of least hash, at most SAMPLED a range, set the bounds; a row's number in its partition tells repeated rows apart, so
+    # that they spread over ranges too; only the balance depends on them, never a result
+    sample = urls.select("__key", "__head", "__tie").orderBy(F.xxhash64("__tie", F.lit(3))).limit(ranges * SAMPLED)
     points = sorted((r[0], r[1], r[2]) for r in sample.collect())
     bounds = sorted({points[i * len(points) // ranges] for i in range(1, ranges)}) if points else []
     shared = spark.sparkContext.broadcast(bounds)
 
-    own = [*keep, "host", "path", "__tie", "__key"]
     shape = "__range int, __key string, __path string, __url boolean, __rule string, __verdict string"
 
     @F.pandas_udf("int")
@@ -120,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Seque
         ends = [(bisect.bisect_left(shared.value, (k,)), bisect.bisect_right(shared.value, (f"{k[:-1]}/",))) for k in key]
         return key.__class__([list(range(a, b + 1)) for a, b in ends])
 
-    left = urls.select(range_of("__key", "path", "__tie").alias("__range"), "__key", F.col("path").alias("__path"), F.lit(True).alias("__url"), F.lit(None).cast("string").alias("__rule"), F.lit(None).cast("string").alias("__verdict"), *keep, "host", "path")
+    left = urls.select(range_of("__key", "__head", "__tie").alias("__range"), "__key", F.col("path").alias("__path"), F.lit(True).alias("__url"), F.lit(None).cast("string").alias("__rule"), F.lit(None).cast("string").alias("__verdict"), *keep, "host", "path")
     named = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("h"), F.col("path").alias("p"), "verdict").where("h IS NOT NULL AND p IS NOT NULL").withColumn("__key", host_key(F.col("h")))
     right = named.select(F.explode(ranges_of("__key")).alias("__range"), "__key", F.col("p").alias("__path"), F.lit(False).alias("__url"), F.concat("h", "p").alias("__rule"), F.col("verdict").alias("__verdict"))
     events = left.unionByName(right, allowMissingColumns=True).repartition("__range").sortWithinPartitions("__range", "__key", "__url")

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulon.llm import alignment, catalog, neighbours, repair, secretscan, vectordedup
+from tabulon.llm import alignment, catalog, neighbours, repair, secretscan, urls, vectordedup
 from tabulon.llm.tokens import tokenizer_path
 
 from ..conftest import DATA
@@ -364,3 +364,23 @@ def test_chunks_have_the_ids_of_whole_texts(spark):
             assert "".join(chunks) == f" {text}"
             assert [i for x in a.ids(chunks) for i in x] == a._whole(f" {text}")
             assert [i for x in b.ids(chunks) for i in x] == b.model.encode(text)
+
+
+# 6. Repeated rows, null ids and long urls
+
+
+def test_urls_of_one_host_repeated(spark):
+    data = [(None, "http://one.example.org/en/1/x")] * 3000 + [(None, None)] * 50 + [(i, f"http://one.example.org/es/{i}") for i in range(50)] + [(7, "http://x.com/fr/" + "a" * 300_000), (8, "http://" + "h" * 100_000 + ".com/de/")]
+    pages = spark.createDataFrame(data, "page_id long, url string").repartition(6)
+    rules = spark.createDataFrame(list(urls.RULES), "verdict string, host string, path string")
+    judged = urls.judge_urls(pages, rules)
+    got = Counter((r.page_id, len(r.path), r.rule, r.verdict) for r in judged.select("page_id", "path", "rule", "verdict").collect())
+    expected = Counter({(None, 7, "example.org/en/1", "block"): 3000, (None, 0, None, "allow"): 50, (7, 300_004, "com/fr/", "allow"): 1, (8, 4, "com/de/", "block"): 1})
+    expected.update((i, 4 + len(str(i)), "example.org/es/", "block") for i in range(50))
+    assert got == expected
+    # copies of one row are dealt to several tasks, where Spark doesn't put small ones together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert judged.where("rule = 'example.org/en/1'").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
