@@ -86,6 +86,29 @@ def shuffled_tokens(seed: int, rep: int, doc: object, tokens: list) -> list:
     return [t for _, t in sorted(zip(_order(seed, rep, doc, len(tokens)), tokens, strict=True))]
 
 
+def drawn_lengths(key: Sequence, lens: list[int], reps: int, null: str, least: int = 4) -> Iterator[list[int]]:
+    """Chunk lengths under null A or B, replicate by replicate, from a generator of the text's own: as fast as many replicates need."""
+    from tabulon.operators.resampling import generator
+
+    rng, total, m = generator(*key), sum(lens), len(lens)
+    slack = total - least * m
+    for _ in range(reps):
+        if null == "A":
+            yield rng.permutation(lens).tolist()
+        elif slack < 0:
+            yield [total]
+        else:
+            yield (rng.multinomial(slack, [1 / m] * m) + least).tolist()
+
+
+def drawn_tokens(key: Sequence, tokens: list, reps: int) -> Iterator[list]:
+    from tabulon.operators.resampling import generator
+
+    rng = generator(*key)
+    for _ in range(reps):
+        yield [tokens[i] for i in rng.permutation(len(tokens)).tolist()]
+
+
 def _shared_now(grams: list, lens: list[int]) -> int:
     """Trigrams shared by adjacent chunks; ``grams`` are those that start at each token."""
     total, at, before = 0, 0, None
@@ -101,8 +124,8 @@ def _shared_now(grams: list, lens: list[int]) -> int:
 REPLICATES = 250
 
 
-def overlap_null(chunks: DataFrame, null: str, reps: int, seed: int = 42, least: int = 4) -> DataFrame:
-    """(genre, rep, stat) under null A, B or C.
+def overlap_null(chunks: DataFrame, null: str, reps: int, seed: int = 42, least: int = 4, hashed: bool = True) -> DataFrame:
+    """(genre, rep, stat) under null A, B or C; draws come from hashes, as SQL can follow, or else from a generator for each text and batch.
 
     A row of work is a document and REPLICATES replicates; trigrams are numbered once for each, and sums of a batch leave the task.
     """
@@ -120,11 +143,15 @@ def overlap_null(chunks: DataFrame, null: str, reps: int, seed: int = 42, least:
                 doc, tokens, lens, known = row["doc"], row["tokens"], row["lens"], {}
                 number = lambda ts: [known.setdefault(g, len(known)) for g in zip(ts, ts[1:], ts[2:], strict=False)]  # noqa: B023, E731
                 grams = number(tokens)
-                for rep in range(row["from"], min(row["from"] + REPLICATES, reps)):
-                    if null == "C":
-                        now, found = lens, number(shuffled_tokens(seed, rep, doc, tokens))
-                    else:
-                        now, found = permuted_lengths(seed, rep, doc, lens) if null == "A" else scattered_lengths(seed, rep, doc, lens, least), grams
+                here = range(row["from"], min(row["from"] + REPLICATES, reps))
+                if hashed:
+                    order = {"A": permuted_lengths, "B": lambda *x: scattered_lengths(*x, least), "C": shuffled_tokens}[null]
+                    drawn = (order(seed, rep, doc, tokens if null == "C" else lens) for rep in here)  # noqa: B023
+                else:
+                    key = (seed, null, doc, row["from"])
+                    drawn = drawn_tokens(key, tokens, len(here)) if null == "C" else drawn_lengths(key, lens, len(here), null, least)
+                for rep, made in zip(here, drawn, strict=True):
+                    now, found = (lens, number(made)) if null == "C" else (made, grams)
                     held = sums.setdefault((row["genre"], rep), [0, 0])
                     held[0] += _shared_now(found, now)
                     held[1] += len(now) - 1
@@ -137,10 +164,10 @@ def overlap_null(chunks: DataFrame, null: str, reps: int, seed: int = 42, least:
     return out.select("genre", "rep", F.try_divide(F.col("total"), F.col("pairs")).alias("stat"))
 
 
-def overlap_test(chunks: DataFrame, null: str, reps: int, seed: int = 42, least_pairs: int = 0) -> DataFrame:
+def overlap_test(chunks: DataFrame, null: str, reps: int, seed: int = 42, least_pairs: int = 0, hashed: bool = True) -> DataFrame:
     """Observed against null: difference and p values of both tails; null p values below ``least_pairs`` pairs."""
     seen = observed(chunks).select("genre", "pairs", F.col("mean_shared").alias("seen"))
-    both = overlap_null(chunks, null, reps, seed).join(seen, "genre").withColumn("stat", F.round("stat", 6))
+    both = overlap_null(chunks, null, reps, seed, hashed=hashed).join(seen, "genre").withColumn("stat", F.round("stat", 6))
     out = both.groupBy("genre", "pairs", "seen").agg(
         F.avg("stat").alias("null_mean"), F.count(F.when(F.col("stat") >= F.col("seen"), 1)).alias("above"), F.count(F.when(F.col("stat") <= F.col("seen"), 1)).alias("below"), F.count("*").alias("reps")
     )

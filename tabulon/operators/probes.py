@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import patterns as R
 from tabulon.functions import text as X
 from tabulon.functions.stats import wilson
+from tabulon.operators.ranks import ranked
 
 
 class Probe(NamedTuple):
@@ -133,6 +135,50 @@ def gold(lemmas: DataFrame, heads: DataFrame) -> DataFrame:
     return out.withColumn("precision", F.round(F.col("accepted") / F.col("tokens"), 6))
 
 
+def gold_detail(lemmas: DataFrame, heads: DataFrame, kinds: int = 6, readings: int = 8) -> DataFrame:
+    """What the tokens behind ``gold`` are: (probe, part, value, n, rank) of the commonest parts of speech and readings.
+
+    A reading is citation form and guide word; what is missing is a question mark. The most frequent come first, ties by value.
+    """
+    norm = X.without_subscripts(F.col("form"))
+    known = F.broadcast(heads.select("probe", "head"))  # a row a probe
+    found = lemmas.withColumn("norm", norm).withColumn("head", F.explode(F.array_distinct(F.array("norm", F.substring_index("norm", "-", 1), F.substring_index("norm", "-", 2)))))
+    met = found.join(known, "head")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    parts = F.explode(F.array(F.struct(F.lit("pos").alias("part"), blank("pos").alias("value")), F.struct(F.lit("reading").alias("part"), F.concat_ws(" ", blank("cf"), blank("gw")).alias("value")))).alias("x")
+    counted = met.select("probe", parts).groupBy("probe", "x.part", "x.value").agg(F.count("*").alias("n"))
+    placed = ranked(counted, ["probe", "part"], [F.desc("n"), F.col("value")])
+    return placed.where((F.col("part") == "pos") & (F.col("rank") <= kinds) | (F.col("part") == "reading") & (F.col("rank") <= readings))
+
+
+def standalone(lemmas: DataFrame, form: str, accept: Column) -> DataFrame:
+    """(tokens, accepted, share) of tokens that are exactly ``form`` without subscripts."""
+    own = lemmas.where(X.without_subscripts(F.col("form")) == form)
+    out = own.agg(F.count("*").alias("tokens"), F.coalesce(F.sum(F.coalesce(accept, F.lit(False)).cast("long")), F.lit(0)).alias("accepted"))
+    return out.withColumn("share", F.round(F.try_divide(F.col("accepted"), F.col("tokens")), 6))
+
+
+def band_verdicts(banded: DataFrame, before: Sequence[str], peak: str, after: str) -> DataFrame:
+    """(verdict, held): what survives at both ends of the bands of periods; null where a period is missing.
+
+    rise: from the last of ``before`` to the peak; further: from the peak to ``after``; both again for bands that do not touch;
+    envelope: the peak's above all before; steps: every step from period to period keeps its sign, 0 counting as down.
+    """
+    order = [*before, peak, after]
+    columns = ("rate_lower", "rate_upper", "envelope_lower", "envelope_upper")
+    one = banded.where(F.col("period").isin(*order)).agg(*(F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{c}_{i}") for i, p in enumerate(order) for c in columns))
+    at = lambda c, i: F.col(f"{c}_{i % len(order)}")
+    both = lambda i, j, what="rate": (at(f"{what}_lower", i) > at(f"{what}_lower", j)) & (at(f"{what}_upper", i) > at(f"{what}_upper", j))
+    n = len(order)
+    every = lambda xs: reduce(lambda a, b: a & b, xs)
+    rules = {
+        "rise": both(n - 2, n - 3), "rise apart": at("rate_lower", n - 2) > at("rate_upper", n - 3), "further": both(n - 1, n - 2), "further apart": at("rate_lower", n - 1) > at("rate_upper", n - 2),
+        "envelope": every([both(n - 2, i, "envelope") for i in range(n - 2)]),
+        "steps": every([(at("rate_lower", i + 1) > at("rate_lower", i)) == (at("rate_upper", i + 1) > at("rate_upper", i)) for i in range(n - 1)]),
+    }
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("verdict"), c.alias("held")) for k, c in rules.items()))).alias("x")).select("x.*")
+
+
 def bands(df: DataFrame, by: str, text: str, probe: str, rules: Sequence[Rule], seal: str, least: int = 4) -> DataFrame:
     """Prevalence with its uncertainty: texts with a true match (lower), a true or unclear one (upper), any (point).
 

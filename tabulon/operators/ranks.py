@@ -25,6 +25,6 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
     placed = kept(dealt.withColumns({"__part": F.spark_partition_id(), "__at": at.bitwiseAND(F.lit(_PLACE))}), "ranked")
     sizes = placed.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition and group
-    bases = sizes.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__{c}") for c in by), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__base"))
-    same = [F.col("__part") == F.col("__p"), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)]
+    bases = sizes.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__base"))
+    same = [F.col("__part") == F.col("__p"), *(F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by))]
     return placed.join(bases, same).select(*df.columns, (F.col("__at") + F.col("__base")).alias(name))

@@ -285,6 +285,27 @@ def band_steps(spark, d):  # noqa: ANN001, ANN201
     return probes.steps(band_prevalence(spark, d), PERIODS)
 
 
+_ERAS = ("src0", "src1", "src2", "src3", "src4")
+_AT = {p: f"max({{c}}) FILTER (period = '{p}')" for p in _ERAS}
+
+
+def _band_at(*columns: str) -> str:
+    return ", ".join(f"{_AT[p].format(c=c)} AS {c}_{i}" for i, p in enumerate(_ERAS) for c in columns)
+
+
+_BAND_VERDICTS = {
+    "rise": "rate_lower_3 > rate_lower_2 AND rate_upper_3 > rate_upper_2", "rise apart": "rate_lower_3 > rate_upper_2", "further": "rate_lower_4 > rate_lower_3 AND rate_upper_4 > rate_upper_3", "further apart": "rate_lower_4 > rate_upper_3",
+    "envelope": " AND ".join(f"envelope_lower_3 > envelope_lower_{i} AND envelope_upper_3 > envelope_upper_{i}" for i in range(3)),
+    "steps": " AND ".join(f"(rate_lower_{i + 1} > rate_lower_{i}) = (rate_upper_{i + 1} > rate_upper_{i})" for i in range(4)),
+}
+
+
+@query(f"WITH o AS (SELECT {_band_at('rate_lower', 'rate_upper', 'envelope_lower', 'envelope_upper')} FROM ({_BAND_SQL})) " + " UNION ALL ".join(f"SELECT '{k}' AS verdict, ({c}) AS held FROM o" for k, c in _BAND_VERDICTS.items()))
+def band_verdicts(spark, d):  # noqa: ANN001, ANN201
+    """Five sources as periods: which claims about rises and the peak hold at both ends of the band."""
+    return probes.band_verdicts(band_prevalence(spark, d), _ERAS[:3], _ERAS[3], _ERAS[4])
+
+
 @query(f"SELECT period, k_point AS now, k_point + 1 AS published FROM ({_BAND_SQL}) WHERE period IN ('src1', 'src2')")
 def drift_guard(spark, d):  # noqa: ANN001, ANN201
     now = band_prevalence(spark, d)

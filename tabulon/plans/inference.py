@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import stats, text as X
-from tabulon.operators import describe, permutation, powerlaw, resampling
+from tabulon.operators import describe, permutation, powerlaw, resampling, sampling
 from tabulon.plans import corpus
 from tabulon.sources.readers import table
 
@@ -102,18 +102,32 @@ def null_token_shuffle(spark, d):  # noqa: ANN001, ANN201
     return permutation.overlap_test(_chunks(spark, d), "C", REPS)
 
 
-#: Permutations of the whole tests A and B (whose draws cost a hash a token); the queries with SQL show the first REPS of them, drawn alike.
-WHOLE, WHOLE_CUTS = 10_000, 2_000
+#: Permutations of the whole tests, drawn by a generator; the queries with SQL draw by hashes.
+WHOLE, WHOLE_TOKENS = 10_000, 1_000
 
 
 @query()
 def null_length_permute_whole(spark, d):  # noqa: ANN001, ANN201
-    return permutation.overlap_test(_chunks(spark, d), "A", WHOLE, least_pairs=30)
+    return permutation.overlap_test(_chunks(spark, d), "A", WHOLE, least_pairs=30, hashed=False)
 
 
 @query()
 def null_uniform_cuts_whole(spark, d):  # noqa: ANN001, ANN201
-    return permutation.overlap_test(_chunks(spark, d), "B", WHOLE_CUTS, least_pairs=30)
+    return permutation.overlap_test(_chunks(spark, d), "B", WHOLE, least_pairs=30, hashed=False)
+
+
+@query()
+def null_token_shuffle_whole(spark, d):  # noqa: ANN001, ANN201
+    return permutation.overlap_test(_chunks(spark, d), "C", WHOLE_TOKENS, least_pairs=30, hashed=False)
+
+
+@query()
+def sample_parity(spark, d):  # noqa: ANN001, ANN201
+    """The overlap tests on a sample of texts, at most 500 of each genre by hash: 200 shuffles under all three nulls, p from five pairs on."""
+    sample = sampling.stratified(_texts(spark, d), "genre", "doc", 500)
+    chunks = permutation.chunked(sample, "genre", "doc", "text")
+    tests = [permutation.overlap_test(chunks, n, 200, least_pairs=5, hashed=False).withColumn("null", F.lit(n)) for n in "ABC"]
+    return tests[0].unionByName(tests[1]).unionByName(tests[2])
 
 
 @query("""

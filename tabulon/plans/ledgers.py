@@ -428,6 +428,24 @@ def gold_lemma_precision(spark, d):  # noqa: ANN001, ANN201
     return probes.gold(lemmas(spark, d), spark.createDataFrame(list(L.HEADS), "probe string, head string, accept string"))
 
 
+_NORM = "regexp_replace(form, '[₀-₉ₓ]', '', 'g')"
+_MET = " UNION ALL ".join(f"SELECT '{p}' AS probe, coalesce(pos, '?') AS pos, coalesce(cf, '?') || ' ' || coalesce(gw, '?') AS reading FROM {_LEMMAS} WHERE {_NORM} = '{head}' OR starts_with({_NORM}, '{head}-')" for p, head, _ in L.HEADS)
+
+
+@query(f"""
+WITH m AS ({_MET}), c AS (SELECT probe, 'pos' AS part, pos AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT probe, 'reading', reading, count(*) FROM m GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe, part ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= CASE part WHEN 'pos' THEN 6 ELSE 8 END""")
+def gold_lemma_detail(spark, d):  # noqa: ANN001, ANN201
+    """Parts of speech and readings of the tokens behind the gold shares."""
+    return probes.gold_detail(lemmas(spark, d), spark.createDataFrame(list(L.HEADS), "probe string, head string, accept string"))
+
+
+@query(f"SELECT count(*) AS tokens, coalesce(sum((coalesce(cf = 'mu' AND gw LIKE 'year%', false))::INT), 0)::BIGINT AS accepted, round(avg((coalesce(cf = 'mu' AND gw LIKE 'year%', false))::INT), 6) AS share FROM {_LEMMAS} WHERE {_NORM} = 'mu'")
+def standalone_gold(spark, d):  # noqa: ANN001, ANN201
+    """How many tokens that are just the year's word are annotated as a year."""
+    return probes.standalone(lemmas(spark, d), "mu", (F.col("cf") == "mu") & F.col("gw").like("year%"))
+
+
 # --- the second annotator, from archives of lemmas ---
 
 #: Citation form and guide word of the words of tablets.

@@ -140,3 +140,14 @@ def test_no_nested_loop(spark):
     docs = spark.range(5).select(F.concat(F.lit("some line of text "), F.col("id").cast("string")).alias("text"))
     plan = substrings.contained(docs, docs)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("null", ["A", "B", "C"])
+def test_generated_nulls_agree_with_hashed(spark, null):
+    chunks = inference._chunks(spark, DATA).persist()
+    ours = {r.genre: r for r in permutation.overlap_test(chunks, null, 300, hashed=False).collect()}
+    theirs = {r.genre: r for r in permutation.overlap_test(chunks, null, 200).collect()}
+    for g, r in ours.items():
+        assert (r.pairs, r.observed) == (theirs[g].pairs, theirs[g].observed)
+        assert abs(r.null_mean - theirs[g].null_mean) < 0.015 and abs(r.p_upper - theirs[g].p_upper) < 0.2
+    assert {r.genre: r for r in permutation.overlap_test(chunks.repartition(7), null, 300, hashed=False).collect()} == ours

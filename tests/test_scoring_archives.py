@@ -131,3 +131,69 @@ def test_both_readings_of_the_annotator(spark):
     df = spark.createDataFrame(toks, "pnum string, line_no int, tok_no int, form string, cf string, gw string")
     assert sorted((r.line_no, r.value) for r in ledger.gold_counts(df).collect()) == [(0, 3), (0, 20), (2, 4)]
     assert sorted((r.line_no, r.value) for r in ledger.gold_counts_ahead(df).collect()) == [(0, 3), (0, 20), (3, 7)]
+
+
+# --- solvers against all sets of cuts ---
+
+
+def _plain_solution(method, lines, vectors, marks, k, least, bonus, seed, key):
+    """The optimum by trying every set of cuts, or the greedy choice spelt out."""
+    import hashlib
+    from itertools import combinations
+
+    n, sizes = len(lines), [len(x) for x in lines]
+    if method == "shuffled":
+        vectors = [vectors[i] for i in sorted(range(n), key=lambda i: hashlib.md5(f"{seed}|{key}|{i}".encode()).hexdigest())]
+    equal = sorted({max(0, min(n - 2, round(i * n / k) - 1)) for i in range(1, k)}) if k > 1 and n > 1 else []
+    spans = lambda cs: list(zip([0, *(c + 1 for c in cs)], [*(c + 1 for c in cs), n], strict=True))
+    fits = lambda cs: all(sum(sizes[a:b]) >= least for a, b in spans(cs))
+    grams = lambda a, b: (lambda t: set(zip(t, t[1:], t[2:], strict=False)))([w for x in lines[a:b] for w in x])
+
+    def cosine(x, y):
+        return float(x @ y) / max(float(np.linalg.norm(x) * np.linalg.norm(y)), 1e-12)
+
+    v = np.array(vectors, dtype=np.float64)
+    if method in ("lex_valley", "emb_valley", "shuffled"):
+        gaps = []
+        for i in range(n - 1):
+            a, b = (max(0, i - 1), i + 1), (i + 1, min(n, i + 3))
+            if method == "lex_valley":
+                x, y = grams(*a), grams(*b)
+                gaps.append(1.0 if not x or not y else 1 - len(x & y) / (len(x) * len(y)) ** 0.5)
+            else:
+                gaps.append(1 - cosine(v[a[0] : a[1]].sum(0), v[b[0] : b[1]].sum(0)))
+        taken = []
+        for i in sorted(range(n - 1), key=lambda i: (-round(gaps[i], 9), i)):
+            if len(taken) < k - 1 and fits(sorted([*taken, i])):
+                taken.append(i)
+        taken += [c for c in equal if c not in taken][: k - 1 - len(taken)]
+        return sorted(taken)
+
+    def cost(cs):
+        parts = spans(cs)
+        if method == "emb_global":
+            total = sum(cosine(v[a:b].sum(0), v[c:e].sum(0)) for (a, b), (c, e) in zip(parts, parts[1:], strict=False))
+        else:
+            total = sum(len(grams(a, b) & grams(c, e)) for (a, b), (c, e) in zip(parts, parts[1:], strict=False))
+        return total - (bonus * sum(marks[c] for c in cs) if method == "hybrid" else 0)
+
+    ways = [(cost(cs), cs) for cs in combinations(range(n - 1), k - 1) if fits(cs)]
+    if not ways:
+        return equal
+    least_cost = min(c for c, _ in ways)
+    return [list(cs) for c, cs in ways if c <= least_cost + 1e-7]
+
+
+def test_solvers_against_all_cuts(spark):
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        n = rng.randint(2, 9)
+        lines = [[rng.choice("abcd") for _ in range(rng.randint(0, 6))] for _ in range(n)]
+        rows.append((i, lines, rng.randint(1, min(4, n)), [rng.random() < 0.3 for _ in range(n)], [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(n)]))
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<array<string>>, k int, marks array<boolean>, vectors array<array<double>>")
+    for method in segments.SEARCHED:
+        got = {r.doc_id: r for r in G.solve(docs, method).collect()}
+        for i, lines, k, marks, vectors in rows:
+            plain = _plain_solution(method, lines, vectors, marks, k, G.MIN_TOKENS, 1.0, 42, i) if k > 1 and len(lines) > 1 else []
+            # of several optima up to rounding any is right
+            assert list(got[i].cuts) == plain or list(got[i].cuts) in plain, (method, i, plain, got[i])
