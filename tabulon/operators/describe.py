@@ -75,7 +75,10 @@ def distinctive(counted: DataFrame, least: int = 5, n: int = 30) -> DataFrame:
     """
     totals = counted.groupBy("genre").agg(F.sum("freq").alias("total"))
     totals = totals.crossJoin(totals.agg(F.sum("total").alias("all")))
-    joined = counted.withColumn("freq_all", F.sum("freq").over(Window.partitionBy("ngram"))).where(F.col("freq") >= least).join(totals, "genre")
+    kept = counted.where(F.col("freq") >= least)
+    # all that others hold matters for kept n-grams alone, which are few, so the rest is not shuffled again
+    every = counted.join(kept.select("ngram").distinct(), "ngram", "left_semi").groupBy("ngram").agg(F.sum("freq").alias("freq_all"))
+    joined = kept.join(every, "ngram").join(totals, "genre")
     rest = F.col("all") - F.col("total")
     others = (F.col("freq_all") - F.col("freq") + 1) / (F.when(rest == 0, F.lit(1)).otherwise(rest) + 1)
     score = F.round(F.log((F.col("freq") / F.greatest("total", F.lit(1))) / others), 6)
