@@ -9,6 +9,7 @@ from tabulon.functions import text as X
 from tabulon.sources import readers, sinks
 from tabulon.sources.readers import table
 from tabulon.sources.shared import new_path
+from tabulon.streaming import log as stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +123,14 @@ def embedded_lines_cached(spark, d):  # noqa: ANN001, ANN201
     v = F.col("vector")
     norm = F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3)
     return readers.embed_cached(lines(turns), "line", _none, path).select("key", F.size(v).alias("dims"), norm.alias("norm"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streamed_windows(spark, d):  # noqa: ANN001, ANN201
+    """Events as a stream: writes by day and type, the whole result as the last micro-batch leaves it."""
+    path, at = new_path(spark, "windows"), new_path(spark, "windows-checkpoint")
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = stream.counts_by_window(source, width="1 day", late="3650 days")
+    query_ = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", at).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.parquet(path).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")

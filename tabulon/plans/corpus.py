@@ -426,6 +426,18 @@ def dispersion_cv(spark, d):  # noqa: ANN001, ANN201
     return describe.dispersion(rows, ["source"], "len")
 
 
+_CV = "SELECT source, round(stddev_pop(len) / avg(len), 6) AS cv FROM (SELECT source, len(" + _WORDS.format(x="text") + ") AS len FROM documents) GROUP BY source"
+
+
+@query(f"SELECT source, CASE WHEN source = 'src1' THEN cv + 0.5 ELSE cv + 0.0005 END AS published, cv AS now FROM ({_CV}) WHERE source IN ('src1', 'src2') UNION ALL SELECT 'nowhere', 1.0::DOUBLE, NULL")
+def published_metrics(spark, d):  # noqa: ANN001, ANN201
+    """What was published against what holds now: two sources moved, one within the tolerance of neither, one is gone."""
+    now = dispersion_cv(spark, d).select("source", F.col("cv").alias("value"))
+    moved = F.when(F.col("source") == "src1", 0.5).when(F.col("source") == "src2", 0.0005).otherwise(0.00005)
+    published = now.withColumn("value", F.col("value") + moved).unionByName(spark.createDataFrame([("nowhere", 1.0)], "source string, value double"))
+    return checks.differing(now, published, ["source"], tolerance=0.0001)
+
+
 _PLACES = f"""
 SELECT doc_id, lang, i / (len(ls) - 1) AS place, len(ls) AS n_lines, i FROM (SELECT doc_id, lang, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, lang, {_CONTENT} AS ls FROM documents) WHERE len(ls) >= 4) WHERE regexp_matches(ls[i + 1], '(is|the|de)\\.$')"""
 
