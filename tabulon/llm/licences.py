@@ -1,11 +1,12 @@
 """License scans: units of normalised text against license templates, by Dice coefficient over word bigrams.
 
 Units are the lines, sentences and paragraphs of a text, the text itself, and windows as long as a template over the
-words of the whole text, wherever a line breaks, that hold one of the phrases below. A unit of a bigrams can reach the least
+words of the whole text, wherever a line breaks, each against the templates of that length. A unit of a bigrams can reach the least
 score with a template of b only if b * t / (2 - t) <= a <= b * (2 - t) / t, so sizes prune most templates. Texts are
 pruned first, and exactly: a unit that reaches the score holds so many of a template's bigrams that it must hold one
 out of any b - ceil(b * t / (2 - t)) + 1 of them; a text with none of those phrases has no such unit. The longest words
-of the phrases are looked for first, as that needs no normalised text.
+of the phrases are looked for first, among the words of the text. Bigrams are compared as 64-bit hashes of their words, so that arrays of
+numbers meet and not of strings.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import math
 import re
 from collections.abc import Mapping, Sequence
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.arrays import let
 from tabulon.llm.common import table
 
 LEAST = 0.8
@@ -113,45 +116,67 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, F.split(text, r"\n[\x20\x09]*\n", -1), F.array(text)))
 
 
+def _hashed(gram: str) -> int:
+    """The number that stands for a bigram, the same as Spark's hash of its two words."""
+    h = 42
+    for word in gram.split(" "):
+        h = xxhash.xxh64_intdigest(word.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _numbers(grams: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(f"{_hashed(g)}L" for g in grams) + ")")  # one call for thousands of literals
+
+
 def _grams(units: Column) -> Column:
-    """The distinct bigrams of each unit; words are bound once for each, so the work is linear in the text."""
-    words = F.transform(units, lambda u: F.split(F.trim(normalised(u)), " ", -1))
+    """The distinct bigrams of each unit, as numbers; words are bound once for each, so the work is linear in the text."""
+    words = F.transform(units, _words)
     some = F.filter(words, lambda w: F.size(w) > 1)
     return F.transform(some, lambda w: F.array_distinct(_pairs(w)))
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(normalised(text)), " ", -1)
+
+
 def _pairs(words: Column) -> Column:
-    return F.transform(F.slice(words, 1, F.size(words) - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at(words, i + 2)))
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(words, i + 1)))
 
 
-def _windows(plain: Column, templates: Mapping[str, Sequence[str]], least: float) -> Column:
-    """The distinct bigrams of every window with a template's number of words that holds one of its phrases.
+def _window_hits(pairs: Column, templates: Sequence[tuple[str, str]], least: float) -> Column:
+    """For each template, the best score of a window with its number of words, where that reaches the least score.
 
-    ``plain`` is an array of one normalised text. Phrases are placed once for all templates.
+    ``pairs`` are the bigrams of a text in order. A window that reaches the score has so many places whose bigrams are the
+    template's, so only starts around as many such places close together are scored. The ranges of starts that follow from
+    each run of places are taken without what the one before had, so that no start is scored twice.
     """
-    every = _phrases(templates, least)
-    kinds: dict[int, list[str]] = {}  # bigrams in a window, with repeats: phrases of the templates of that length
-    for texts in templates.values():
-        for t in texts:
-            if grams := bigrams(t):
-                n = len(re.findall(r"[^\W_]+", t.lower())) - 1
-                kinds[n] = list(dict.fromkeys([*kinds.get(n, []), *_anchors(grams, least)]))
-    sizes = F.array(*(F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, ps)).alias("phrases")) for n, ps in kinds.items()))
+    rows = [(name, grams, len(re.findall(r"[^\W_]+", t.lower())) - 1) for name, t in templates if (grams := bigrams(t))]
+    every = list(dict.fromkeys(_hashed(g) for _, grams, _ in rows for g in grams))
+    known = F.array(*(
+        F.struct(F.lit(name).alias("license"), _numbers(grams).alias("grams"), F.lit(n).alias("n"), F.lit(math.ceil(round(len(grams) * least / (2 - least), 9))).alias("needed")) for name, grams, n in rows
+    ))
+
+    def best(placed: Column, t: Column) -> Column:
+        def score(s: Column) -> Column:
+            return let(F.array_distinct(F.slice(pairs, s + 1, t["n"])), lambda w: F.lit(2.0) * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + F.size(t["grams"])))
+
+        def starts(at: Column) -> Column:
+            def run(first: Column, j: Column) -> Column:
+                last = F.get(at, j + t["needed"] - 1)
+                low = F.greatest(last - t["n"] + 1, F.coalesce(F.get(at, j - 1) + 1, F.lit(0)), F.lit(0))
+                high = F.least(first, F.size(pairs) - t["n"])
+                return F.when((last - first < t["n"]) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    def of(pairs: Column) -> Column:
-        placed = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].isin(*every))
+            return F.flatten(F.transform(F.slice(at, 1, F.greatest(F.size(at) - t["needed"] + 1, F.lit(0))), run))
 
-        def cut(at: Column, k: Column) -> Column:
-            mine = F.filter(at, lambda x: F.array_contains(k["phrases"], x["p"]))
-            starts = F.flatten(F.transform(mine, lambda x: F.sequence(F.greatest(x["i"] - k["n"] + 1, F.lit(0)), x["i"])))
-            inside = F.filter(F.array_distinct(starts), lambda s: s + k["n"] <= F.size(pairs))
-            return F.transform(inside, lambda s: F.array_distinct(F.slice(pairs, s + 1, k["n"])))
+        mine = F.transform(F.filter(placed, lambda x: F.array_contains(t["grams"], x["p"])), lambda x: x["i"])
+        return let(mine, lambda at: F.when(F.size(at) >= t["needed"], F.array_max(F.transform(starts(at), score))))
 
-        # a lambda binds its element, so that phrases are placed once
-        return F.flatten(F.transform(F.array(placed), lambda at: F.flatten(F.transform(sizes, lambda k: cut(at, k)))))
+    def found(placed: Column) -> Column:
+        each = F.transform(known, lambda t: F.struct(t["license"].alias("license"), best(placed, t).alias("score")))
+        return F.filter(each, lambda x: x["score"] >= least)
 
-    words = F.filter(F.transform(plain, lambda t: F.split(F.trim(t), " ", -1)), lambda w: F.size(w) > 1)
-    return F.flatten(F.transform(F.transform(words, _pairs), of))
+    return let(F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].isin(*every)), found)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[str]] = ALL_TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -164,19 +189,18 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[s
     rows = [(name, g) for name, texts in templates.items() for t in texts if (g := bigrams(t))]
     whole = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     phrases = _phrases(templates, least)
-    words = F.array(*map(F.lit, dict.fromkeys(map(_rarest, phrases))))
-    spaced = F.array(*(F.lit(f" {p} ") for p in phrases))
-    # a lambda binds its element, so a text is lowered or normalised once and not for every word
-    word = F.exists(F.array(F.lower(whole)), lambda t: F.exists(words, lambda w: t.contains(w)))
-    plain = F.array(F.concat(F.lit(" "), normalised(whole), F.lit(" ")))
-    hint = word & F.exists(plain, lambda t: F.exists(spaced, lambda p: t.contains(p)))
+    rare = list(dict.fromkeys(map(_rarest, phrases)))
+    # a word of ASCII letters that is one by itself in the normalised text is one here, and this is split faster
+    parts = F.split(F.lower(whole), "[^a-z0-9]+", -1) if all(w.isascii() for w in rare) else _words(whole)
+    word = F.arrays_overlap(parts, F.array(*map(F.lit, rare))) if rare else F.lit(False)
+    hint = word & F.arrays_overlap(let(_words(whole), _pairs), _numbers(phrases)) if rare else word
     none = F.array().cast("array<struct<license:string,score:double>>")
     low, high = least / (2 - least), (2 - least) / least
     sizes = [len(g) for _, g in rows] or [0]
 
     known = F.array(*(
         F.struct(
-            F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(math.ceil(round(low * len(g), 9))).alias("low"), F.lit(math.floor(round(high * len(g), 9))).alias("high"),
+            F.lit(name).alias("license"), _numbers(g).alias("grams"), F.lit(math.ceil(round(low * len(g), 9))).alias("low"), F.lit(math.floor(round(high * len(g), 9))).alias("high"),
         )
         for name, g in rows
     ))
@@ -191,9 +215,11 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, Sequence[s
         first = F.filter(top, lambda h, i: (i == 0) | (F.element_at(top, F.greatest(i, F.lit(1)))["license"] != h["license"]))
         return F.transform(first, lambda h: F.struct(h["license"].alias("license"), (-h["minus"]).alias("score")))
 
-    grams = F.filter(F.array_distinct(F.concat(_grams(_units(whole)), _windows(plain, templates, least))), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
-    out = docs.withColumn("__grams", F.when(hint, grams).otherwise(F.array().cast("array<array<string>>")))
-    out = out.withColumn("__hits", F.when(F.size("__grams") > 0, F.flatten(F.transform("__grams", scores))).otherwise(none))
+    grams = F.filter(F.array_distinct(_grams(_units(whole))), lambda g: F.size(g).between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
+    windows = let(let(_words(whole), _pairs), lambda p: _window_hits(p, [(name, t) for name, texts in templates.items() for t in texts], least))
+    out = docs.withColumn("__grams", F.when(hint, grams))
+    hits = F.concat(F.flatten(F.transform("__grams", scores)), windows)
+    out = out.withColumn("__hits", F.when(F.col("__grams").isNotNull(), hits).otherwise(none))
     return out.withColumn("licences", F.when(F.size("__hits") > 0, best(F.col("__hits"))).otherwise(none)).drop("__grams", "__hits")
 
 

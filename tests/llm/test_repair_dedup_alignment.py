@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulon.llm import alignment, catalog, neighbours, repair, secretscan, urls, vectordedup
+from tabulon.llm import alignment, catalog, licences, neighbours, repair, secretscan, urls, vectordedup
 from tabulon.llm.tokens import tokenizer_path
 
 from ..conftest import DATA
@@ -384,3 +384,49 @@ def test_urls_of_one_host_repeated(spark):
         assert judged.where("rule = 'example.org/en/1'").select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+# 10. Windows and paragraphs by brute force
+
+
+def plain_licences(text, templates, least=0.8):
+    text = (text or "").replace("\r\n", "\n")
+    words = lambda x: re.sub(r"[^\w]+|_+", " ", x.lower()).split()
+    pairs = lambda ws: list(zip(ws, ws[1:], strict=False))
+    units = [*text.split("\n"), *re.sub(r"([.!?])\x20+", r"\1\n", text).split("\n"), *re.split(r"\n[\x20\x09]*\n", text), text]
+    whole, best = pairs(words(text)), {}
+    for name, some in templates.items():
+        for t in some:
+            own, n = set(pairs(words(t))), len(words(t)) - 1
+            sets = [set(pairs(words(u))) for u in units] + [set(whole[s : s + n]) for s in range(len(whole) - n + 1)]
+            score = max((2 * len(s & own) / (len(s) + len(own)) for s in sets if s), default=0.0)
+            if score >= least:
+                best[name] = max(score, best.get(name, 0.0))
+    return sorted((k, round(v, 9)) for k, v in best.items())
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(10)
+    every = [(n, t) for n, ts in licences.ALL_TEMPLATES.items() for t in ts]
+    texts = [None, "", "one", "All rights reserved.", "all rights " * 40, "the license " * 200]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            _, t = rng.choice(every)
+            ws = t.split(" ")
+            for _ in range(rng.choice([0, 0, 1, 3, len(ws) // 8])):
+                i = rng.randrange(len(ws))
+                ws[i : i + rng.randint(0, 2)] = rng.choice([[], ["changed"], ["some", "more"]])
+            parts += [rng.choice(["", "Some prose before it. ", "A line\n", "\n\n", "and so on, "]), rng.choice([" ", " ", "\n", "\r\n"]).join(ws)]
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: sorted((x.license, round(x.score, 9)) for x in r.licences) for r in licences.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_licences(t, licences.ALL_TEMPLATES), (i, t)
+
+
+def test_long_notices_take_their_length(spark):
+    text = ("\n\n".join(licences.PARAGRAPHS["MIT"]) + "\n\n") * 1000  # a megabyte
+    began = time.time()
+    row = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.license, x.score) for x in row.licences] == [("MIT", 1.0)] and time.time() - began < 60
