@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.arrays import let
 from tabulon.llm.common import table
+from tabulon.llm.legalcodes import SECTIONS
 
 LEAST = 0.8
 # Short notices by SPDX identifier, as authors put them into documents.
@@ -76,7 +77,8 @@ PARAGRAPHS: Mapping[str, Sequence[str]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
 }
-ALL_TEMPLATES: Mapping[str, Sequence[str]] = {name: (*TEMPLATES.get(name, ()), *PARAGRAPHS.get(name, ())) for name in sorted(TEMPLATES.keys() | PARAGRAPHS)}
+_KINDS = (TEMPLATES, SECTIONS, PARAGRAPHS)
+ALL_TEMPLATES: Mapping[str, Sequence[str]] = {name: tuple(t for kind in _KINDS for t in kind.get(name, ())) for name in sorted({name for kind in _KINDS for name in kind})}
 _BREAK = r"([.!?])\x20+"
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabulon.llm import alignment, catalog, licences, neighbours, repair, secretscan, urls, vectordedup
+from tabulon.llm.legalcodes import SECTIONS
 from tabulon.llm.tokens import tokenizer_path
 
 from ..conftest import DATA
@@ -425,6 +426,25 @@ def test_licences_against_brute_force(spark):
         assert got[i] == plain_licences(t, licences.ALL_TEMPLATES), (i, t)
 
 
+def test_sections_of_legal_codes(spark):
+    """Any one section of a code, wrapped as files carry it, with a few words changed, names its licence; its words in another order do not."""
+    rng, data, expected = random.Random(3), [], {}
+    for name, texts in SECTIONS.items():
+        for t in texts:
+            ws = t.split(" ")
+            few = list(ws)
+            for i in rng.sample(range(1, len(ws) - 1), 3):
+                few[i] = "changed"
+            mixed = rng.sample(ws, len(ws))
+            for words, licence in ((ws, name), (few, name), (mixed, None)):
+                lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+                expected[len(data)] = licence
+                data.append((len(data), "What the mill wrote before.\n\n" + "\n".join(lines) + "\n\nAnd after it, too."))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [x.license for x in r.licences] for r in licences.scan(df).collect()}
+    assert got == {k: [v] if v else [] for k, v in expected.items()}
+
+
 def test_long_notices_take_their_length(spark):
     text = ("\n\n".join(licences.PARAGRAPHS["MIT"]) + "\n\n") * 1000  # a megabyte
     began = time.time()
