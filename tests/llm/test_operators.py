@@ -322,6 +322,13 @@ def test_long_conversations(spark):
     assert _strings(chat.assemble(chat.format_preferences(chat.last_turn_swapped(df))).collect()) == _plain_pairs(turns)
 
 
+def test_many_rows_of_one_turn(spark):
+    """Two thousand rows that bear one turn number, equal ones among them: by role and text, none lost."""
+    turns = [(0, 5, "user", f"row {n % 1500:04d}") for n in range(2000)] + [(0, 6, "assistant", "ho"), (1, 0, "user", "hi"), (1, 1, "assistant", "so")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    assert _strings(chat.assemble(chat.format_preferences(chat.last_turn_swapped(df))).collect()) == _plain_pairs(turns)
+
+
 # 4. Sampled segmentations
 
 
@@ -754,3 +761,25 @@ def test_pipeline(spark, texts):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).collect() == [], name
+
+
+def test_pipeline_of_odd_rows(spark, texts):
+    """Null keys and texts, repeated rows, copies and columns of clashing names through all stages, each fed by the one before."""
+    import corpus_pipeline
+
+    judge = quality.Judge(quality.Bands())
+    good = [t for _, t in sorted(texts.items()) if judge.measure(t)[6] and len(t) < 3000]
+    first = good[0]
+    others = [t for t in good if t.count(" ") > 60 and bin(plain_print(t) ^ plain_print(first)).count("1") > 8]
+    alone, leaky = others[0], next(t for t in others[1:] if bin(plain_print(t) ^ plain_print(others[0])).count("1") > 8) + '\npassword = "hunter2hunter2"\n'
+    assert judge.measure(leaky)[6] and plain_redact(leaky) != leaky
+    data = [(1, first), (1, first), (2, first), (None, alone), (None, None), (3, None), (4, ""), (5, leaky), (6, "too short"), (7, "x" * 100_000)]
+    clash = ["kept", "n_words", "secrets", "fingerprint", "component_id", "bits", "sequence_id", "piece", "__key"]
+    docs = spark.createDataFrame([(*r, None, *([7] * len(clash))) for r in data], f"doc_id long, text string, source string, {', '.join(f'`{c}` int' for c in clash)}").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        docs = out
+    kept = [(1, first), (1, first), (None, alone), (5, plain_redact(leaky))]
+    assert rows(docs, "doc_id", "text") == sorted(kept, key=repr)
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect(), kept)
