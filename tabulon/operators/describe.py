@@ -275,22 +275,27 @@ def els_scan(stream: DataFrame, skips: Sequence[int], reps: int, least: int = 3,
     One set of shuffles serves all skips. A shuffle is one row, drawn from the frequencies of types, not a row a token.
 
     Replicates are seeded by genre and number, so results do not depend on partitions. Streams below ``floor`` tokens are
-    left out. A task holds the types of a genre and one block of a shuffle.
+    left out. A task holds the types of a genre and one block of a shuffle; frequencies are shuffled, a copy for each chunk of replicates.
     """
     skips = [int(k) for k in skips]
     freqs = stream.groupBy("genre", "token").agg(F.count("*").alias("freq")).groupBy("genre", "freq").agg(F.count("*").alias("types"))
     known = freqs.groupBy("genre").agg(F.sort_array(F.collect_list(F.struct("freq", "types"))).alias("fs"), F.sum(F.col("freq") * F.col("types")).alias("n")).where(F.col("n") >= floor)
-    reps_ = stream.sparkSession.range(0, reps, 1, min(reps, 256)).withColumnRenamed("id", "rep")
+    chunks = min(reps, 64)
+    tasks = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = known.select("genre", "fs", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(tasks, "genre", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                each = np.repeat([f["freq"] for f in r["fs"]], [f["types"] for f in r["fs"]])
-                key = hashlib.blake2b(repr((seed, r["genre"], r["rep"])).encode(), digest_size=16).digest()
-                found = shuffled_repeats(each, skips, least, np.random.default_rng(int.from_bytes(key, "little")))
-                yield pa.RecordBatch.from_pydict({"genre": [r["genre"]] * len(skips), "skip": pa.array(skips, pa.int32()), "null_value": pa.array(found, pa.int64())})
-
-    null = reps_.crossJoin(F.broadcast(known.select("genre", "fs"))).mapInArrow(run, "genre string, skip int, null_value long")
+            for i in range(batch.num_rows):
+                genre, chunk = batch.column("genre")[i].as_py(), batch.column("chunk")[i].as_py()
+                fs = batch.column("fs")[i].values
+                each = np.repeat(np.asarray(fs.field("freq")), np.asarray(fs.field("types")))
+                for rep in range(chunk, reps, chunks):
+                    key = hashlib.blake2b(repr((seed, genre, rep)).encode(), digest_size=16).digest()
+                    found = shuffled_repeats(each, skips, least, np.random.default_rng(int.from_bytes(key, "little")))
+                    yield pa.RecordBatch.from_pydict({"genre": [genre] * len(skips), "skip": pa.array(skips, pa.int32()), "null_value": pa.array(found, pa.int64())})
+
+    null = work.mapInArrow(run, "genre string, skip int, null_value long")
     # dealt by type once, so that the rows of all skips are counted where they are made and not shuffled
     return _against(null, els(stream.repartition("genre", "token"), skips, least), skips)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import text as X
 from tabulon.functions.arrays import let, let_all
 from tabulon.functions.stats import digest, permutation_p, spearman_exact, two_sided, uniform
+from tabulon.sources.shared import kept
 
 def chunked(df: DataFrame, genre: str, key: str, text: str, marker: str = X.RULING, least: int = 4) -> DataFrame:
     """(genre, doc, tokens, lens): tokens of the kept chunks in a row, and the chunks' lengths."""
@@ -283,11 +284,10 @@ def spearman(df: DataFrame, key: str, x: str, y: str, reps: int = 9999, seed: in
     """
     some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
     places = [F.row_number().over(Window.orderBy(c, "k")).alias(n) for c, n in (("x", "a"), ("y", "b"))]
-    ranked = some.select("k", *places).persist()
+    ranked = kept(some.select("k", *places), "ranks")
     first = ranked.orderBy("k").limit(10).collect()
     if len(first) <= 9:
         made = spearman_exact([r["a"] for r in first], [r["b"] for r in first]) if len(first) > 2 else (None,) * 3
-        ranked.unpersist()
         return df.sparkSession.createDataFrame([(len(first), *(v if v is None else round(v, 6) for v in made))], "n int, rho double, p_two_sided double, p_one_sided double")
     seen = ranked.agg(F.count("*").cast("int").alias("n"), F.corr("a", "b").alias("rho"))
     drawn = ranked.crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep")))

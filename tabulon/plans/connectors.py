@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
+from tabulon.plans import ledgers
 from tabulon.sources import readers, sinks
 from tabulon.sources.readers import table
-from tabulon.sources.shared import new_path
+from tabulon.sources.shared import kept, new_path
 from tabulon.streaming import log as stream
 
 QUERIES: dict = {}
@@ -134,3 +135,19 @@ def streamed_windows(spark, d):  # noqa: ANN001, ANN201
     query_ = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", at).trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.parquet(path).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query(f"SELECT seq::BIGINT AS seq, by_seal, period, NULL AS reason FROM ({ledgers._LOG}) UNION ALL SELECT NULL, by_seal, period, reason FROM ({ledgers._JUDGED}) WHERE reason IS NOT NULL")
+def streamed_log(spark, d):  # noqa: ANN001, ANN201
+    """Requests as a stream that is stopped and started again three times: envelopes numbered without gaps over all of them, rejected ones with their reason."""
+    paths = {name: new_path(spark, f"streamed-{name}") for name in ("in", "log", "rejected", "checkpoint")}
+    requests = kept(ledgers.requests(spark, d), "streamed-requests")
+    seals = kept(ledgers.revoked(spark, d), "streamed-seals")
+    low, high = requests.agg(F.min("request"), F.max("request")).first()
+    part = F.floor((F.col("request") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1))
+    for k in range(4):  # later requests come later, and the stream starts again from its checkpoint
+        requests.where(part == k).write.mode("append").parquet(paths["in"])
+        source = spark.readStream.schema(requests.schema).parquet(paths["in"])
+        stream.append(source, seals, ledgers.periods(spark), paths["log"], paths["rejected"], paths["checkpoint"]).awaitTermination()
+    written = spark.read.parquet(paths["log"]).select("seq", "by_seal", "period", F.lit(None).cast("string").alias("reason"))
+    return written.unionByName(spark.read.parquet(paths["rejected"]).select(F.lit(None).cast("long").alias("seq"), "by_seal", "period", "reason"))

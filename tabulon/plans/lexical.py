@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import lexicon as L
-from tabulon.operators import checks, permutation, probes
+from tabulon.operators import checks, permutation, probes, resampling
 from tabulon.operators import segmentation as G
 from tabulon.operators.probes import Probe
 from tabulon.plans import inference, ledgers, segments
@@ -166,13 +166,23 @@ _flag = lambda pattern: "phrase IN (" + ", ".join([str(i) for i, x in enumerate(
 _INTERIOR = f"SELECT genre, id AS doc, j::INT AS i, n, (id + j) % 3 = 0 AS pre, {', '.join(f'{_flag(p)} AS {f}' for f, p in FLAGS.items())} FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM {_LINES}) WHERE j < n - 1"
 
 
+def _flagged(spark, d) -> DataFrame:  # noqa: ANN001
+    """Lines before the last of each tablet with a column for each closer and the opener; every third stands before a ruling."""
+    lines = tablets(spark, d).select("id", "genre", F.split("text", "\n").alias("ls")).select("id", "genre", F.size("ls").alias("n"), F.posexplode("ls").alias("i", "line")).where("i < n - 1")
+    flags = [F.col("line").rlike(probes.R.portable(p)).alias(f) for f, p in FLAGS.items()]
+    return lines.select("genre", F.col("id").alias("doc"), "i", "n", ((F.col("id") + F.col("i")) % 3 == 0).alias("pre"), *flags)
+
+
 @query(inference.enrichment_sql("genre, doc", "", _INTERIOR, FLAGS))
 def lexicon_enrichment(spark, d):  # noqa: ANN001, ANN201
     """Closers before rulings against hashed places in the same tablet; the opener is the control that must not be enriched."""
-    lines = tablets(spark, d).select("id", "genre", F.split("text", "\n").alias("ls")).select("id", "genre", F.size("ls").alias("n"), F.posexplode("ls").alias("i", "line")).where("i < n - 1")
-    flags = [F.col("line").rlike(probes.R.portable(p)).alias(f) for f, p in FLAGS.items()]
-    rows = lines.select("genre", F.col("id").alias("doc"), "i", "n", ((F.col("id") + F.col("i")) % 3 == 0).alias("pre"), *flags)
-    return permutation.enrichment(rows, tuple(FLAGS), inference.REPS)
+    return permutation.enrichment(_flagged(spark, d), tuple(FLAGS), inference.REPS)
+
+
+@query()
+def lexicon_enrichment_whole(spark, d):  # noqa: ANN001, ANN201
+    """The same against 10,000 sets of places, drawn from the counts of tablets."""
+    return resampling.enrichment(_flagged(spark, d), tuple(FLAGS), 10_000)
 
 
 _TRAILERS = _values([(i, x, "true" if re.match(L.TRAILER, x) else "false") for i, x in enumerate(MESSAGES)], "i, line, trailer")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
+from tabulon.operators.ranks import ranked
 
 LEMMAS = "member string, pnum string, line_no int, tok_no int, form string, cf string, gw string, pos string"
 
@@ -94,9 +95,14 @@ def lemma_zip(spark: SparkSession, path: str, members: str = r"\.json$", ordered
 
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
-    """(msg, lines) of a saved log whose messages are separated by U+0001; messages without lines are dropped."""
-    raw = spark.read.option("lineSep", "\x01").text(path)
-    return raw.select(F.monotonically_increasing_id().alias("msg"), X.lines(F.col("value")).alias("lines")).where(F.size("lines") > 0)
+    """(msg, lines) of a saved log whose messages are separated by U+0001; messages without lines are dropped.
+
+    Messages are numbered from 0 by file and digest of their lines, which does not depend on how files are split; equal messages
+    of a file follow each other.
+    """
+    raw = spark.read.option("lineSep", "\x01").text(path).select(F.col("_metadata.file_path").alias("file"), X.lines(F.col("value")).alias("lines"))
+    some = raw.where(F.size("lines") > 0).withColumns({"digest": F.sha2(F.array_join("lines", "\n"), 256), "tie": F.monotonically_increasing_id()})
+    return ranked(some, [], [F.col("file"), F.col("digest"), F.col("tie")], "at").select((F.col("at") - 1).alias("msg"), "lines")  # the tie deals copies to several tasks
 
 
 TRANSCRIPT = "message struct<content:array<struct<type:string,id:string,name:string,input:map<string,string>,tool_use_id:string,content:string>>>"

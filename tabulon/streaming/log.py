@@ -12,18 +12,20 @@ from tabulon.operators import sealedlog as S
 def append(requests: DataFrame, seals: DataFrame, periods: DataFrame, log: str, rejected: str, checkpoint: str) -> StreamingQuery:
     """Judge each micro-batch and append envelopes and rejected requests to two Parquet tables.
 
-    Sequence numbers are the request keys, which the source gives in order, so a batch that is run again writes the same
-    rows; it does so into its own folder, replacing what a failed attempt left.
+    Sequence numbers have no gaps, as in ``sealedlog.post``: a batch goes on where the one before it ended, which that one
+    left in a row of its own beside the log (``<log>_next``). So a batch that is run again writes the same rows; it does so
+    into its own folders, replacing what a failed attempt left.
     """
+    ends = f"{log}_next"
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        first = spark.read.schema("next long").parquet(f"{ends}/epoch={epoch - 1}").first()["next"] if epoch else 0
         batch = batch.persist()
-        marked = S.judged(batch, seals, periods)
-        good = marked.where("reason IS NULL").withColumn("seq", F.col("request"))
-        signed = S._author(good, seals).withColumn("signature", S.signature(*S._SIGNED, "__secret"))
-        out = signed.select("seq", "payload", "by_seal", "witnesses", "period", "written_at", "signature")
-        out.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        marked.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejected}/epoch={epoch}")
+        S.post(batch, seals, periods, first_seq=first).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        written = spark.read.parquet(f"{log}/epoch={epoch}").agg((F.count("*") + first).alias("next"))
+        written.write.mode("overwrite").parquet(f"{ends}/epoch={epoch}")
+        S.judged(batch, seals, periods).where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejected}/epoch={epoch}")
         batch.unpersist()
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -102,3 +102,48 @@ def test_cached_vectors(spark, tmp_path):
     spark.read.parquet(path).limit(2).write.mode("append").parquet(path)  # an append that ran twice
     assert len(readers.embed_cached(df("a", "bb", "ccc"), "line", service, path).collect()) == 3 and asked() == []
     assert readers.embed_cached(df(), "line", service, str(tmp_path / "none")).collect() == []
+
+
+def test_commit_numbers_do_not_depend_on_splits(spark, tmp_path):
+    rng = random.Random(7)
+    for f in ("a", "b"):
+        (tmp_path / f).write_text("\x01".join(rng.choice(["wip", "wip\n\nbody", "", " \n", f"fix {i}", "long " * 40]) for i in range(300)))
+
+    def numbered():
+        return sorted((r.msg, tuple(r.lines)) for r in readers.commit_log(spark, str(tmp_path)).collect())
+
+    first = numbered()
+    assert [m for m, _ in first] == list(range(len(first))) and 300 < len(first) < 600
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert numbered() == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_streamed_numbers_have_no_gaps(spark, tmp_path):
+    """A stream stopped and started again writes what one batch would; a batch that is run again changes nothing."""
+    from tabulon.streaming import log as stream
+
+    people, periods, asked = S.fixture(spark)
+    asked = asked.withColumn("by_seal", F.when(F.col("request") % 7 == 3, "seal-nobody").otherwise(F.col("by_seal")))
+    seals = S.mint(people, "root", F.lit(1_000.0))
+    path = {name: str(tmp_path / name) for name in ("in", "log", "bad", "cp")}
+    source = lambda: spark.readStream.schema(asked.schema).parquet(path["in"])
+    for low, high in ((0, 3), (3, 4), (4, 30), (30, 50)):  # of the second, none may be written
+        asked.where((F.col("request") >= low) & (F.col("request") < high)).write.mode("append").parquet(path["in"])
+        stream.append(source(), seals, periods, path["log"], path["bad"], path["cp"]).awaitTermination(120)
+
+    def written():
+        return sorted(map(tuple, spark.read.parquet(path["log"]).drop("epoch").collect()), key=repr)
+
+    expected = sorted(map(tuple, S.post(asked, seals, periods).collect()), key=repr)
+    assert written() == expected and sorted(r[0] for r in expected) == list(range(43))
+    assert spark.read.parquet(path["bad"]).count() == 7
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"))  # as if the last batch had failed after it wrote
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    stream.append(source(), seals, periods, path["log"], path["bad"], path["cp"]).awaitTermination(120)
+    assert written() == expected and spark.read.parquet(path["bad"]).count() == 7
