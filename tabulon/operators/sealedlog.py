@@ -120,8 +120,8 @@ def _bad_witnesses(df: DataFrame, seals: DataFrame, key: str) -> DataFrame:
     return one.join(s, "w", "left").groupBy(key).agg(F.sum((~ok).cast("int")).alias("bad"))
 
 
-def judged(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str = "request") -> DataFrame:
-    """``requests`` with ``reason``: null for those that may be written, else the first rule they break."""
+def _judged(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str) -> DataFrame:
+    """``requests`` with ``reason`` and their author's ``__secret``."""
     p = periods.select(F.col("period").alias("__p")).distinct()
     rows = _author(requests, seals).join(_bad_witnesses(requests, seals, key), key, "left").join(p, F.col("period") == F.col("__p"), "left")
     ok = active(F.col("__from"), F.col("__to"), F.col("written_at"))
@@ -131,7 +131,12 @@ def judged(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str =
         .when(F.coalesce("bad", F.lit(0)) > 0, "inactive witness")
         .when(F.col("__p").isNull(), "unknown period")
     )
-    return rows.withColumn("reason", reason).select(*requests.columns, "reason")
+    return rows.withColumn("reason", reason).select(*requests.columns, "reason", "__secret")
+
+
+def judged(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str = "request") -> DataFrame:
+    """``requests`` with ``reason``: null for those that may be written, else the first rule they break."""
+    return _judged(requests, seals, periods, key).drop("__secret")
 
 
 def post(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str = "request", first_seq: int = 0) -> DataFrame:
@@ -139,12 +144,12 @@ def post(requests: DataFrame, seals: DataFrame, periods: DataFrame, key: str = "
 
     Numbers come from counts of blocks of keys, so no task sorts all requests.
     """
-    good = judged(requests, seals, periods, key).where("reason IS NULL").drop("reason").withColumn("__b", F.floor(F.col(key) / 4096))
+    good = _judged(requests, seals, periods, key).where("reason IS NULL").drop("reason").withColumn("__b", F.floor(F.col(key) / 4096))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4,096 requests
     base = good.groupBy("__b").agg(F.count("*").alias("c")).select("__b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     at = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
     numbered = good.withColumn("__at", at).join(base, "__b").withColumn("seq", F.col("base") + F.col("__at") + first_seq)
-    signed = _author(numbered, seals).withColumn("signature", signature(*_SIGNED, "__secret"))
+    signed = numbered.withColumn("signature", signature(*_SIGNED, "__secret"))
     return signed.select("seq", "payload", "by_seal", "witnesses", "period", "written_at", "signature")
 
 
