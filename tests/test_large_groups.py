@@ -1,7 +1,9 @@
 """Steps whose work must not grow faster than their input: results against plain versions, at sizes that a slower step would not end at."""
 
+import json
 import math
 import time
+import zipfile
 from fractions import Fraction
 
 import numpy as np
@@ -9,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import stats
+from tabulon.operators import permutation
 from tabulon.operators import segmentation as G
+from tabulon.sources import archives
 
 
 def test_sign_test_of_many(spark):
@@ -37,3 +41,46 @@ def test_search_over_a_long_document(spark, method):
     found = [(r.solver, len(r.cuts)) for r in G.solve(docs, method).collect()]
     assert time.time() - began < 10
     assert found == [("exact", 24)] * 4
+
+
+def _plain_shared(tokens, lens):
+    sets, at = [], 0
+    for n in lens:
+        own = tokens[at : at + n]
+        sets.append(set(zip(own, own[1:], own[2:])))
+        at += n
+    return sum(len(a & b) for a, b in zip(sets, sets[1:]))
+
+
+def test_shared_trigrams_as_arrays():
+    rng = np.random.default_rng(3)
+    for words, m in ((2, 5), (5, 9), (40, 4), (3, 1)):
+        lens = rng.integers(1, 14, m)
+        tokens = rng.integers(0, words, lens.sum())
+        moved = np.stack([rng.permutation(lens) for _ in range(40)])
+        assert permutation.shared_by_lengths(tokens, moved).tolist() == [_plain_shared(tokens.tolist(), x.tolist()) for x in moved]
+        dealt = np.stack([rng.permutation(tokens) for _ in range(40)])
+        assert permutation.shared_by_tokens(dealt, lens).tolist() == [_plain_shared(x.tolist(), lens.tolist()) for x in dealt]
+
+
+@pytest.mark.parametrize("null", ["A", "B"])
+def test_many_replicates_of_many_texts(spark, null):
+    rng = np.random.default_rng(4)
+    rows = [("g", i, [f"w{i}_{j}" for j in range(300)] if i % 20 else [f"w{x}" for x in rng.integers(0, 60, 300)], [60] * 5) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "genre string, doc long, tokens array<string>, lens array<int>")
+    permutation.overlap_null(chunks.limit(1), null, 1, hashed=False).collect()
+    began = time.time()
+    assert permutation.overlap_null(chunks, null, 10_000, hashed=False).count() == 10_000
+    assert time.time() - began < 30
+
+
+def test_archives_are_dealt_by_size(spark, tmp_path):
+    for a in range(3):
+        with zipfile.ZipFile(tmp_path / f"a{a}.zip", "w") as z:
+            for i in range(50):
+                z.writestr(f"c/P{a}{i:02d}.json", json.dumps({"cdl": [{"node": "l", "f": {"form": f"x{i}"}}]}))
+    for size in (600, 5_000, 1 << 20):
+        shares = archives._Reader({"path": f"{tmp_path}/*.zip", "bytes": str(size)}).partitions()
+        assert not any(hasattr(s, "members") for s in shares) and all(len(s.files) <= 3 for s in shares)  # the driver holds no members
+        got = archives.lemma_archives(spark, f"{tmp_path}/*.zip", size=size)
+        assert got.count() == got.select("archive", "member").distinct().count() == 150
