@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import stats
-from tabulon.operators import permutation
+from tabulon.operators import describe, permutation, substrings
 from tabulon.operators import segmentation as G
 from tabulon.sources import archives
 
@@ -84,3 +84,30 @@ def test_archives_are_dealt_by_size(spark, tmp_path):
         assert not any(hasattr(s, "members") for s in shares) and all(len(s.files) <= 3 for s in shares)  # the driver holds no members
         got = archives.lemma_archives(spark, f"{tmp_path}/*.zip", size=size)
         assert got.count() == got.select("archive", "member").distinct().count() == 150
+
+
+def test_only_runs_of_anchors_are_shuffled(spark):
+    rng = np.random.default_rng(6)
+    long = ["".join(rng.choice(list("abcdefghij"), 3000)) for _ in range(40)]
+    short = [long[3][100:140], long[9][2950:], "z" * 20]
+    frame = lambda xs: spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, text string")
+    asked = frame(short).mapInArrow(substrings._places(8, 4), "id long, at long, run long")
+    shared = spark.sparkContext.broadcast(substrings._bitmap(asked))
+    left = frame(long).mapInArrow(substrings._places(8, None, shared), "id long, at long, run long")
+    own = {r.run for r in asked.collect()}
+    runs = [r.run for r in left.collect()]
+    assert len(runs) < 100 and own & set(runs) == own - {int(x) for x in substrings.runs("z" * 20, 8)}
+    assert sorted(r.text for r in substrings.contained(frame(short).select("text"), frame(long).select("text")).collect()) == sorted(short[:2])
+
+
+def test_ngrams_are_counted_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", "x y", 9), ("b", "x y", 1), ("b", "u v", 7)], "genre string, ngram string, freq long")
+    got = describe.distinctive(rows.mapInArrow(counted, rows.schema)).collect()
+    assert made.value == 3 and sorted(r.ngram for r in got) == ["u v", "x y"]
