@@ -232,6 +232,28 @@ def test_blocks_of_a_shuffle_are_a_shuffle():
     assert (abs(ours.mean(0) - plain.mean(0)) < 0.1).all() and (abs(ours.std(0) - plain.std(0)) < 0.1).all()
 
 
+def test_drawn_repeats_are_those_of_shuffles():
+    """Counts drawn without a shuffle have the spread of plain ones; a stream of 10^8 tokens takes seconds, where a thousand shuffles take hours."""
+    rng = np.random.default_rng(8)
+    freqs = np.repeat([1, 2, 3, 4, 5, 6, 8, 12, 20], [2, 2, 7, 8, 1, 1, 1, 1, 1])
+    distinct, types = np.unique(freqs, return_counts=True)
+    stream = np.repeat(np.arange(len(freqs)), freqs).tolist()
+    plain = np.array([_repeats(rng.permutation(stream).tolist(), (2, 3, 7)) for _ in range(4000)])
+    for i, k in enumerate((2, 3, 7)):
+        ours = describe.drawn_repeats(distinct, types, -(-len(stream) // k), 3, 4000, rng)
+        shares = [np.bincount(x, minlength=len(freqs)) / 4000 for x in (ours, plain[:, i])]
+        assert abs(shares[0] - shares[1]).max() < 0.04
+    assert describe.drawn_repeats(distinct, types, len(stream), 3, 2, rng).tolist() == [20, 20]
+    assert describe.drawn_repeats(np.array([50]), np.array([1]), 25, 3, 3, rng).tolist() == [1, 1, 1]
+    assert describe.drawn_repeats(np.array([1, 2]), np.array([9, 9]), 5, 3, 2, rng).tolist() == [0, 0]
+    many = np.maximum(1, 6_666_666 // np.arange(1, 3_000_000))
+    distinct, types = np.unique(many, return_counts=True)
+    found = describe.drawn_repeats(distinct, types, -(-int(many.sum()) // 2), 3, 50, rng)
+    half = [1 - sum(math.comb(int(f), x) for x in range(3)) / 2.0 ** int(f) for f in distinct[distinct < 900]]
+    expected = np.dot(half, types[distinct < 900]) + types[distinct >= 900].sum()
+    assert abs(found.mean() - expected) < 5 * found.std() / np.sqrt(50)
+
+
 def test_spearman_takes_every_row(spark):
     """Values against numpy's ranks; few rows are exact, many near the exact p, and every source of the tables counts."""
     rng = np.random.default_rng(4)
