@@ -66,6 +66,31 @@ def test_redundancy(spark):
     assert r.delta > 0.2 and abs(r.delta - (r.shuffled - r.ratio)) < 2e-6
 
 
+def test_types_are_dealt_where_they_stand():
+    """Blocks hold the types that fall to them alone, so a stream of rare types is not drawn for all blocks; nothing is lost."""
+    rng = np.random.default_rng(3)
+    counts = np.concatenate((np.ones(200_000, np.int64), [5000, 12, 0]))
+    blocks = list(describe.dealt(counts, 40, rng))
+    assert len(blocks) == 40 and sum(len(types) for types, _ in blocks) < 1.01 * 200_100
+    total = np.zeros_like(counts)
+    for types, drawn in blocks:
+        assert (drawn > 0).all()
+        total[types] += drawn
+    assert (total == counts).all()
+    sizes = np.array([drawn.sum() for _, drawn in blocks])
+    assert abs(sizes - counts.sum() / 40).max() < 6 * np.sqrt(counts.sum() / 40)
+
+
+def test_shuffles_of_long_streams_lie_in_tasks_of_their_own(spark):
+    """With as many tasks as shuffles, no task has two; before, they met by hash. No row holds all types of a stream."""
+    rows = [(g, i, f"w{i % 900}") for g, n in (("a", 3000), ("b", 2000)) for i in range(n)]
+    work = describe.shuffles(spark.createDataFrame(rows, "genre string, seq long, token string"), 8, ["genre"])
+    placed = work.select("genre", "rep__", F.spark_partition_id().alias("task"), F.size("types").alias("n")).collect()
+    assert len({(r.genre, r.rep__) for r in placed}) == len({r.task for r in placed}) == len({(r.genre, r.rep__, r.task) for r in placed}) == 16
+    assert {r.task for r in placed if r.genre == "a"} == set(range(8)) and max(r.n for r in placed) < 30
+    assert sum(r.n for r in placed) == 16 * 900
+
+
 def test_deep_trees(spark):
     chain = [("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 5000)] + [("m0", None), ("m1", "m0"), ("c1", "c2"), ("c2", "c1"), ("lost", "nowhere")]
     people = spark.createDataFrame(chain, "principal string, parent string").repartition(6)
