@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import lexicon as L
-from tabulon.operators import checks, permutation, probes, resampling
+from tabulon.operators import checks, permutation, probes, resampling, sampling
 from tabulon.operators import segmentation as G
 from tabulon.operators.probes import Probe
 from tabulon.plans import inference, ledgers, segments
@@ -69,7 +69,8 @@ def tablets(spark, d) -> DataFrame:  # noqa: ANN001
         return F.element_at(phrases, (F.pmod(k * 7 + j * 11 + F.floor(k / 32), F.lit(len(PHRASES))) + 1).cast("int"))
 
     lines = F.transform(F.sequence(F.lit(0).cast("long"), 2 + F.pmod(k, F.lit(5))), line)
-    return table(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).select(k.alias("id"), F.col("o_orderpriority").alias("genre"), F.array_join(lines, "\n").alias("text"))
+    orders = sampling.spread(table(spark, d, "orders", ["o_orderkey", "o_orderpriority"]), "o_orderkey")  # rows are small, what is done with them is not
+    return orders.select(k.alias("id"), F.col("o_orderpriority").alias("genre"), F.array_join(lines, "\n").alias("text"))
 
 
 _LINES = f"(SELECT id, genre, j, (id * 7 + j * 11 + id // 32) % {len(PHRASES)} AS phrase FROM (SELECT o_orderkey::BIGINT AS id, o_orderpriority AS genre, unnest(range(0, 3 + o_orderkey % 5)) AS j FROM orders))"
@@ -176,7 +177,10 @@ def _flagged(spark, d) -> DataFrame:  # noqa: ANN001
 @query(inference.enrichment_sql("genre, doc", "", _INTERIOR, FLAGS))
 def lexicon_enrichment(spark, d):  # noqa: ANN001, ANN201
     """Closers before rulings against hashed places in the same tablet; the opener is the control that must not be enriched."""
-    return permutation.enrichment(_flagged(spark, d), tuple(FLAGS), inference.REPS)
+    flagged = lambda x, i: F.struct(i.alias("i"), (F.pmod(F.col("id") + i, F.lit(3)) == 0).alias("pre"), *(x.rlike(probes.R.portable(p)).alias(f) for f, p in FLAGS.items()))
+    ls = tablets(spark, d).select("genre", "id", F.split("text", "\n").alias("ls"))
+    docs = ls.select("genre", F.col("id").alias("doc"), F.transform(F.slice("ls", 1, F.size("ls") - 1), flagged).alias("ls"))
+    return permutation.enrichment(docs, tuple(FLAGS), inference.REPS)
 
 
 @query()

@@ -1,5 +1,6 @@
 """Full-size nulls against exact moments and brute force, and substrings against ``in``."""
 
+import hashlib
 import json
 import math
 import random
@@ -51,6 +52,31 @@ def test_enrichment_agrees_with_permuted_rows(spark, strata):
     assert {(r.genre, r.flag): r for r in again} == whole  # whichever way rows are dealt
 
 
+@pytest.mark.parametrize("strata", [None, 3])
+def test_enrichment_draws_lines_by_hash(spark, strata):
+    """Lines drawn are those of the lowest hashes in a document or stratum, and a row of work is a document, not a line and replicate."""
+    rng, reps = random.Random(9), 7
+    rows = [(g, d, i, n, rng.random() < 0.3, rng.choice([True, False, None])) for g in "ab" for d in range(10 * ord(g), 10 * ord(g) + 9) for n in [rng.randint(1, 60)] for i in range(n)]
+    df = spark.createDataFrame(rows, "genre string, doc long, i int, n int, pre boolean, f boolean").repartition(3)
+    plan = permutation.enrichment(df, ["f"], reps, strata=strata)
+    if strata is None:
+        assert "sequence(0" not in plan._jdf.queryExecution().analyzed().toString()
+    got = {r.genre: r for r in plan.collect()}
+    mean = lambda xs: (lambda k: sum(k) / len(k))([x for x in xs if x is not None])
+    for g in "ab":
+        mine, null = [r for r in rows if r[0] == g], []
+        for rep in range(reps):
+            picked = []
+            for key in {(r[1] if strata is None else min(2, r[2] * 3 // r[3])) for r in mine}:
+                group = [r for r in mine if key == (r[1] if strata is None else min(2, r[2] * 3 // r[3]))]
+                group.sort(key=lambda r: hashlib.md5(f"42|{rep}|{r[1]}|{r[2]}".encode()).hexdigest())
+                picked += [r[5] for r in group[: sum(r[4] for r in group)]]
+            null.append(mean(picked))
+        seen = mean([r[5] for r in mine if r[4]])
+        assert (got[g].cuts, got[g].rate_before, got[g].rate_other) == (sum(r[4] for r in mine), round(seen, 6), round(mean([r[5] for r in mine if not r[4]]), 6))
+        assert got[g].null_rate == pytest.approx(np.mean(null), abs=1e-6) and got[g].p == round((1 + sum(round(x, 9) >= round(seen, 9) for x in null)) / (reps + 1), 6)
+
+
 @pytest.mark.parametrize("block", [3, 8192])
 def test_bootstrap_agrees_with_drawn_rows(spark, block):
     rng = random.Random(4)
