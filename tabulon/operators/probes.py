@@ -13,6 +13,7 @@ from tabulon.functions import patterns as R
 from tabulon.functions import text as X
 from tabulon.functions.stats import wilson
 from tabulon.operators.ranks import ranked
+from tabulon.sources.shared import kept
 
 
 class Probe(NamedTuple):
@@ -30,17 +31,19 @@ class Rule(NamedTuple):
 def hits(df: DataFrame, probes: Sequence[Probe], genre: str, key: str, text: str, ids: int = 5) -> DataFrame:
     """For each genre and probe with a hit: texts with one, coverage, matches in all and per text, and first ids.
 
-    All probes are read from a text in one pass; rows of hits, not of texts times probes, are shuffled.
+    Patterns are run over a text once and the counts kept, which totals, hits and first ids are then taken from; rows of hits, not
+    of texts times probes, are shuffled.
     """
-    sizes = df.groupBy(genre).agg(F.count("*").alias("texts")).withColumnRenamed(genre, "genre")
-    each = F.array(*(F.struct(F.lit(p.name).alias("probe"), F.lit(p.role).alias("role"), R.count(F.col(text), p.pattern).alias("n")) for p in probes))
-    found = df.select(F.col(genre).alias("genre"), F.col(key).alias("id"), F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("h"))
-    out = found.groupBy("genre", "h.probe", "h.role").agg(F.count("*").alias("texts_with_hit"), F.sum("h.n").alias("total_matches"), F.min_by(F.lit(1), "id").alias("__one"))
+    counted = kept(df.select(F.col(genre).alias("genre"), F.col(key).alias("id"), F.array(*(R.count(F.col(text), p.pattern) for p in probes)).alias("ns")), "hits")
+    sizes = counted.groupBy("genre").agg(F.count("*").alias("texts"))
+    each = F.array(*(F.struct(F.lit(p.name).alias("probe"), F.lit(p.role).alias("role"), F.get("ns", F.lit(i)).alias("n")) for i, p in enumerate(probes)))
+    found = counted.select("genre", "id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("h"))
+    out = found.groupBy("genre", "h.probe", "h.role").agg(F.count("*").alias("texts_with_hit"), F.sum("h.n").alias("total_matches"))
     first = found.select("genre", "h.probe", "id")
     from tabulon.operators.sampling import top
 
     lists = top(first, ["genre", "probe"], [F.asc("id")], ids).groupBy("genre", "probe").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("first_ids"))
-    joined = out.drop("__one").join(lists, ["genre", "probe"]).join(sizes, "genre")
+    joined = out.join(lists, ["genre", "probe"]).join(sizes, "genre")
     return joined.select(
         "genre", "probe", "role", "texts_with_hit", F.round(F.col("texts_with_hit") * 100 / F.col("texts"), 4).alias("coverage_pct"),
         "total_matches", F.round(F.col("total_matches") / F.col("texts"), 6).alias("matches_per_text"), "first_ids",

@@ -254,6 +254,21 @@ def test_drawn_repeats_are_those_of_shuffles():
     assert abs(found.mean() - expected) < 5 * found.std() / np.sqrt(50)
 
 
+def test_boundaries_beside_letters(spark):
+    """Patterns with boundaries find what Python's do, beside letters, optional ones, classes, subscripts and marks; texts are read once."""
+    patterns = [r"\bmu\b", r"\bmu?\b", r"\bx*y\b", r"mu\b-", r"\b[mš]u\b", r"\bsag₂\b", r"kišib(?:₃)?\b", r"\s\bmu", r"\d\b", r"\b₃a", r"\ba|b\b", r"\bm{2}\b", r"a\b\s", r"\b\w+\b", r"u\b\bx", r"\x2d\b", r"\bu\b-"]
+    rng = random.Random(1)
+    texts = ["", "mu", "mu₂ mu_ mu-mu", "éa ₃a a₃a"] + ["".join(rng.choice("mušxyab₃₂_ -\n3é") for _ in range(rng.randint(1, 30))) + rng.choice(["", "mu", "kišib₃", " sag₂"]) for _ in range(300)]
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "id long, g string, t string")
+    for p in [*patterns, *(x.pattern for x in L.PROBES)]:
+        got = {r.id: r.n for r in df.select("id", R.count(F.col("t"), p).alias("n")).collect()}
+        assert got == {i: len(re.findall(p, t)) for i, t in enumerate(texts)}, p
+    assert R.BOUNDARY not in R.portable(r"\bmu\b[^\n]{0,4}")
+    hits = probes.hits(df, [probes.Probe("mu", r"\bmu\b", "r")], "g", "id", "t")
+    assert "regexp" not in hits._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert hits.first().total_matches == sum(len(re.findall(r"\bmu\b", t)) for t in texts)
+
+
 def test_spearman_takes_every_row(spark):
     """Values against numpy's ranks; few rows are exact, many near the exact p, and every source of the tables counts."""
     rng = np.random.default_rng(4)
