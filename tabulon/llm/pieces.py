@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,45 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _REMEMBER = 5_000_000
 #: Characters of the texts that are sampled together.
 _TOGETHER = 400_000
+#: Words that are encoded together.
+_ENCODED = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: The largest draw below 1, and more than the most that it adds to a log-probability.
+_TOP, _MOST = 1 - 2.0**-53, 37.0
+#: Steps of a path that are drawn for first, a power of 2.
+_HEAD = 128
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash, element by element."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Draws in (0, 1) from hashes."""
-    return ((_mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x = _mixed(x)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
+
+
+def _log_rest(share: np.ndarray) -> np.ndarray:
+    """Logarithms of the probability of a node's other arcs."""
+    with np.errstate(divide="ignore"):
+        return np.log1p(-np.minimum(share, 1.0))
+
+
+def _gumbel(x: np.ndarray) -> np.ndarray:
+    """What draws from hashes add to log-probabilities."""
+    return -np.log(-np.log(np.minimum(_uniform(x), _TOP)))
 
 
 _ALL = (1 << 64) - 1
@@ -76,156 +103,204 @@ def _draw(x: int) -> float:
 class Lattices:
     """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first."""
 
-    #: For nodes: the first arc and the number of arcs. For arcs: the node they lead to, -1 at the end of a word, their id and node,
-    #: the conditional probability, its logarithm and that of the other arcs' together.
-    NODES = {"first": np.int64, "count": np.int64}
-    ARCS = {"target": np.int32, "ids": np.int32, "source": np.int32, "share": np.float64, "log_share": np.float64, "log_rest": np.float64}
+    #: For nodes: the first arc and the number of arcs. For arcs: the node they lead to, -1 at the end of a word, their id, the conditional
+    #: probability and its logarithm. For words: their first node.
+    NODES = {"first": np.int32, "count": np.int32}
+    ARCS = {"target": np.int32, "ids": np.int32, "share": np.float64, "log_share": np.float64}
+    WORDS = {"root": np.int32}
 
     def __init__(self, pieces: dict[str, tuple[int, float]], spell: list[int], byte_weight: float) -> None:
         self.spell, self.byte_weight = np.array(spell, dtype=np.int32), math.log(byte_weight)
-        by_length: dict[int, list[str]] = {}
+        #: Beginnings of pieces, numbered; the empty one is 0, and no piece.
+        known = {"": 0}
         for p in pieces:
-            by_length.setdefault(len(p), []).append(p)
-        self.longest = max(by_length, default=1)
-        #: For each length: hashes of the pieces in order, their ids and logarithms of weights.
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n, some in by_length.items():
-            h = np.zeros(len(some), dtype=np.uint64)
-            for column in self._codes("".join(some)).reshape(-1, n).T:
-                h = self._longer(h, column)
-            order = np.argsort(h)
-            self.tables[n] = h[order], np.array([pieces[p][0] for p in some])[order], np.log([pieces[p][1] for p in some])[order]
+            for n in range(1, len(p) + 1):
+                known.setdefault(p[:n], len(known))
+        letters = {c: i for i, c in enumerate(sorted({k[-1] for k in known if k}), 1)}
+        self.letter = np.zeros(0x110000, dtype=np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = len(letters) + 1
+        self.piece, self.weight = np.full(len(known), -1, dtype=np.int32), np.zeros(len(known))
+        for p, (i, w) in pieces.items():
+            self.piece[known[p]], self.weight[known[p]] = i, math.log(w)
+        # which beginning another one and a letter make: an open hash table of both numbers in one
+        keys, made = np.array([known[k[:-1]] * self.letters + letters[k[-1]] for k in known if k], dtype=np.int64), np.arange(1, len(known), dtype=np.int32)
+        self.bits = max(4, (4 * len(known)).bit_length())
+        self.keys, self.nexts = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.nexts[slot] = made
+        self.held = {c: np.empty(0, dtype=kind) for c, kind in (self.NODES | self.ARCS | self.WORDS).items()}
         self.forget()
 
-    @staticmethod
-    def _codes(text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _longer(self, begun: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Beginnings with one letter more, 0 where no piece begins so."""
+        keys = begun.astype(np.int64) * self.letters + letter
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.nexts[slot], 0)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[on]]
+            hit = there == keys[on]
+            out[on[hit]] = self.nexts[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
 
     @staticmethod
-    def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Hashes of texts with one code point more."""
-        return _mixed(h * _GOLD + code.astype(np.uint64) + np.uint64(1))
+    def codes(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
     def forget(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.held = {c: np.empty(0, dtype=kind) for c, kind in (self.NODES | self.ARCS).items()}
-        self.nodes = self.arcs = 0
+        self.words: dict[str, int] = {}
+        self.sizes = dict.fromkeys(self.held, 0)
+
+    @property
+    def arcs(self) -> int:
+        return self.sizes["ids"]
 
     def view(self, column: str) -> np.ndarray:
-        return self.held[column][: self.nodes if column in self.NODES else self.arcs]
+        return self.held[column][: self.sizes[column]]
 
     def _append(self, made: dict[str, np.ndarray]) -> None:
         for c, x in made.items():
-            size, held = self.nodes if c in self.NODES else self.arcs, self.held[c]
+            size, held = self.sizes[c], self.held[c]
             if size + len(x) > len(held):
                 self.held[c] = np.empty(max(2 * len(held), size + len(x)), dtype=held.dtype)
                 self.held[c][:size] = held[:size]
             self.held[c][size : size + len(x)] = x
-        self.nodes += len(made["count"])
-        self.arcs += len(made["ids"])
+            self.sizes[c] += len(x)
+
+    def add(self, words: list[str], codes: np.ndarray, sizes: np.ndarray) -> None:
+        """Builds the lattices of new words: a node for each character, and for each further byte of those spelt in bytes.
 
-    def add(self, words: list[str]) -> None:
-        """Builds the lattices of new words: a node for each character, and for each further byte of those spelt in bytes."""
-        codes, sizes = self._codes("".join(words)), np.array([len(w) for w in words])
-        n, ends = len(codes), np.cumsum(sizes)
+        Nodes are numbered by how much of their word is left, so sums over the rest of words go from node to node.
+        """
+        n, ends, nodes = len(codes), np.cumsum(sizes), self.sizes["first"]
         left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the end of the word
-        weight, ids, h = np.full((n, self.longest), -np.inf), np.zeros((n, self.longest), dtype=np.int32), np.zeros(n, dtype=np.uint64)
-        for length in range(1, self.longest + 1):
-            at = np.flatnonzero(left >= length)
-            h[at] = self._longer(h[at], codes[at + length - 1])
-            if length in self.tables:
-                known, known_ids, weights = self.tables[length]
-                place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-                hit = known[place] == h[at]
-                weight[at[hit], length - 1], ids[at[hit], length - 1] = weights[place[hit]], known_ids[place[hit]]
-        # a character without a piece of its own is spelt in bytes, one step each
-        spelt = np.flatnonzero(np.isinf(weight[:, 0]))
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[spelt].tolist()]
-        weight[spelt, 0] = np.array([len(b) for b in raw]) * self.byte_weight
-        # sums over the rest of the word from its end on, all words at a time; a word has a place after its last
-        slot = np.arange(n) + np.repeat(np.arange(len(words)), sizes)
-        rest, share = np.zeros(n + len(words)), np.zeros_like(weight)
-        order, levels = np.argsort(left, kind="stable"), np.cumsum(np.bincount(left))
-        for remaining, (a, b) in enumerate(zip(levels, levels[1:], strict=False), 1):
-            at, width = order[a:b], min(remaining, self.longest)
-            if not len(at):
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        # pieces that begin at a place, by length
+        letter = self.letter[codes]
+        at, begun, found, length = np.arange(n), self._longer(np.zeros(n, dtype=np.int32), letter), [], 1
+        spelt = np.flatnonzero(self.piece[begun] < 0)
+        while len(at):
+            whole = np.flatnonzero(self.piece[begun] >= 0)
+            found.append((at[whole], begun[whole], length))
+            if length == 1:
+                found.append((spelt, np.zeros(len(spelt), dtype=np.int32), 1))  # a character without a piece of its own is spelt in bytes, one step each
+            on = np.flatnonzero((begun > 0) & (left[at] > length))
+            at, begun = at[on], begun[on]
+            begun = self._longer(begun, letter[at + length])
+            length += 1
+        count = np.zeros(n, dtype=np.int32)
+        for places, *_ in found:
+            count[rank[places]] += 1
+        first = np.cumsum(count, dtype=np.int32) - count
+        arcs, filled = int(count.sum()), first + count
+        target, piece, weight = np.empty(arcs, dtype=np.int32), np.empty(arcs, dtype=np.int32), np.empty(arcs)
+        bytes_of = 1 + (codes[spelt] >= 0x80).astype(np.int64) + (codes[spelt] >= 0x800) + (codes[spelt] >= 0x10000)
+        for places, known, length in found:
+            mine = rank[places]
+            slot = filled[mine] - 1  # longer pieces come first, as they are likelier for the most part
+            filled[mine] = slot
+            over = left[places] == length
+            target[slot] = np.where(over, -1, rank[places + np.where(over, 0, length)])
+            piece[slot], weight[slot] = self.piece[known], self.weight[known]
+        weight[piece < 0] = bytes_of[np.argsort(rank[spelt])] * self.byte_weight
+        # sums over the rest of the word from its end on, all words at a time; the end itself is the last place
+        rest, share, log_share = np.zeros(n + 1), np.empty(arcs), np.empty(arcs)
+        levels = np.cumsum(np.bincount(left)) if n else []
+        for a, b in zip(levels, levels[1:], strict=False):
+            if a == b:
                 continue
-            sums = weight[at, :width] + rest[slot[at, None] + np.arange(1, width + 1)]
-            top = sums.max(axis=1, keepdims=True)
-            part = np.exp(sums - top)
-            total = part.sum(axis=1, keepdims=True)
-            rest[slot[at]] = (top + np.log(total))[:, 0]
-            share[at, :width] = part / total
-        node, step = np.nonzero(share)
-        inverse = np.lexsort((-share[node, step], node))
-        node, step = node[inverse], step[inverse]
-        target = np.where(left[node] == step + 1, -1, self.nodes + node + step + 1)
-        piece, mine = ids[node, step], share[node, step]
-        count = np.bincount(node, minlength=n)
-        first = np.cumsum(count) - count
-        others = np.maximum(np.add.reduceat(mine, first)[node] - mine, 0)
-        source = node + self.nodes
+            low, high = first[a], first[b - 1] + count[b - 1]
+            sums, starts, each = weight[low:high] + rest[target[low:high]], first[a:b] - low, count[a:b]
+            top = np.maximum.reduceat(sums, starts)
+            sums -= np.repeat(top, each)
+            part = np.exp(sums)
+            total = np.add.reduceat(part, starts)
+            logs = np.log(total)
+            rest[a:b] = top + logs
+            share[low:high] = part / np.repeat(total, each)
+            log_share[low:high] = sums - np.repeat(logs, each)
+        # the likeliest first
+        for c in np.flatnonzero(np.bincount(count)).tolist():
+            if c > 1:
+                to = first[count == c][:, None] + np.arange(c)
+                some = share[to]
+                wrong = np.flatnonzero((some[:, 1:] > some[:, :-1]).any(axis=1))
+                to, some = to[wrong], some[wrong]
+                back = to[:, ::-1] if c == 2 else to[:, :1] + np.argsort(-some, axis=1, kind="stable")
+                for x in (target, piece, share, log_share):
+                    x[to] = x[back]
+        target[target >= 0] += nodes
         # the further bytes of spelt characters
-        by_byte = np.zeros(n, dtype=bool)
-        by_byte[spelt] = True
-        chains = dict(zip(spelt.tolist(), raw, strict=True))
         more: list[tuple[int, int]] = []
-        for arc in np.flatnonzero(by_byte[node] & (step == 0)).tolist():
-            b = chains[int(node[arc])]
-            piece[arc] = self.spell[b[0]]
-            after = int(target[arc])
+        for arc in np.flatnonzero(piece < 0).tolist() if len(spelt) else ():
+            b = chr(codes[order[first.searchsorted(np.int32(arc), side="right") - 1]]).encode("utf-8", "surrogatepass")
+            piece[arc], after = self.spell[b[0]], int(target[arc])
             for i in range(1, len(b)):
-                more.append((after if i == len(b) - 1 else self.nodes + n + len(more) + 1, int(self.spell[b[i]])))
+                more.append((after if i == len(b) - 1 else nodes + n + len(more) + 1, int(self.spell[b[i]])))
             if len(b) > 1:
-                target[arc] = self.nodes + n + len(more) - len(b) + 1
-        extra = len(more)
-        with np.errstate(divide="ignore"):
-            log_share, log_rest = np.log(mine), np.where(count[node] > 1, np.log(others), -np.inf)
-        pad = lambda x, fill: np.concatenate((x, np.full(extra, fill)))
-        chained = np.array(more, dtype=np.int64).reshape(-1, 2)
-        self.roots |= dict(zip(words, (self.nodes + ends - sizes).tolist(), strict=True))
-        self._append({
-            "first": np.concatenate((first, len(node) + np.arange(extra))) + self.arcs, "count": pad(count, 1), "target": np.concatenate((target, chained[:, 0])), "ids": np.concatenate((piece, chained[:, 1])),
-            "source": np.concatenate((source, self.nodes + n + np.arange(extra))), "share": pad(mine, 1.0), "log_share": pad(log_share, 0.0), "log_rest": pad(log_rest, -np.inf),
-        })
+                target[arc] = nodes + n + len(more) - len(b) + 1
+        chained = np.array(more, dtype=np.int32).reshape(-1, 2)
+        self.words |= dict(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self._append({"root": rank[ends - sizes] + nodes, "first": first + self.arcs, "count": count})
+        self._append({"first": self.arcs + arcs + np.arange(len(more)), "count": np.ones(len(more), dtype=np.int32)})
+        self._append({"target": target, "ids": piece, "share": share, "log_share": log_share})
+        self._append({"target": chained[:, 0], "ids": chained[:, 1], "share": np.ones(len(more)), "log_share": np.zeros(len(more))})
 
     def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Paths from ``nodes`` to the ends of their words: (place in ``nodes``, arc) of all steps, in order."""
+        """Paths from ``nodes`` to the ends of their words: where each begins, the end last, and the arcs of all steps."""
         first, count, target, share = map(self.view, ("first", "count", "target", "share"))
-        at, now, seed, places, arcs = np.arange(len(nodes)), nodes, draws, [], []
-        while True:
-            on = now >= 0
-            if not on.all():
-                at, now, seed = at[on], now[on], seed[on]
-            if not len(at):
-                break
-            seed = seed + _GOLD
-            u, arc = _uniform(seed), first[now]
-            last = arc + count[now] - 1
-            left = np.flatnonzero(last > arc)
-            while len(left):  # the likeliest arcs come first, so few go on
-                u[left] -= share[arc[left]]
-                left = left[(u[left] >= 0) & (arc[left] < last[left])]
-                arc[left] += 1
-                left = left[arc[left] < last[left]]
-            places.append(at), arcs.append(arc)
+        steps, taken = np.zeros(len(nodes), dtype=np.int64), []
+        at = np.flatnonzero(nodes >= 0)
+        now, seed = nodes[at], draws[at]
+        while len(at):
+            seed += _GOLD
+            arc, some = first[now], count[now]
+            several = np.flatnonzero(some > 1)
+            u, tried = _uniform(seed[several]), arc[several]
+            u -= share[tried]
+            left = np.flatnonzero(u >= 0)
+            if len(left):  # the likeliest arcs come first, so few go on
+                v, last = u[left], tried[left] + some[several[left]] - 1
+                here, on = tried[left] + 1, np.arange(len(left))
+                while len(on := on[here[on] < last[on]]):
+                    v[on] -= share[here[on]]
+                    on = on[v[on] >= 0]
+                    here[on] += 1
+                arc[several[left]] = here
+            taken.append((at, arc))
+            steps[at] += 1
             now = target[arc]
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        where = np.concatenate(places)
-        order = np.argsort(where, kind="stable")
-        return where[order], np.concatenate(arcs)[order]
+            on = np.flatnonzero(now >= 0)
+            at, now, seed = at[on], now[on], seed[on]
+        starts = np.zeros(len(nodes) + 1, dtype=np.int64)
+        np.cumsum(steps, out=starts[1:])
+        arcs = np.empty(starts[-1], dtype=np.int32)
+        for i, (at, arc) in enumerate(taken):
+            arcs[starts[at] + i] = arc
+        return starts, arcs
 
 
 class _Path:
-    """A drawn segmentation: its arcs, the words they lie in, log-probabilities before each arc and in all, perturbed value."""
+    """A drawn segmentation: its arcs, log-probabilities before each and in all, perturbed value."""
 
-    __slots__ = ("arcs", "words", "before", "total", "value")
+    __slots__ = ("arcs", "before", "total", "value")
 
-    def __init__(self, arcs: np.ndarray, words: np.ndarray, log_share: np.ndarray, value: float) -> None:
-        sums = np.cumsum(log_share)
-        self.arcs, self.words, self.value = arcs, words, value
-        self.before, self.total = np.concatenate(([0.0], sums[:-1])), float(sums[-1]) if len(sums) else 0.0
+    def __init__(self, arcs: np.ndarray, before: np.ndarray, total: float, value: float) -> None:
+        self.arcs, self.before, self.total, self.value = arcs, before, total, value
 
 
 class Sampler:
@@ -237,90 +312,165 @@ class Sampler:
         total = sum(1 / (r + SHIFT) for r in range(len(ordinary)))
         pieces = {kind.id_to_piece(i): (i, 1 / (r + SHIFT) / total) for r, i in enumerate(ordinary)}
         #: What each id decodes to, in bytes.
-        self.surface = [b"" if kind.is_control(i) or kind.is_unused(i) else bytes([int(kind.id_to_piece(i)[3:5], 16)]) if kind.is_byte(i) else " \u2047 ".encode() if kind.is_unknown(i) else kind.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        surface = [b"" if kind.is_control(i) or kind.is_unused(i) else bytes([int(kind.id_to_piece(i)[3:5], 16)]) if kind.is_byte(i) else " \u2047 ".encode() if kind.is_unknown(i) else kind.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.surface, self.widths = pa.array(surface, pa.large_binary()), np.array([len(x) for x in surface])
+        #: No piece goes on behind the end of a word, so a text's plain encoding is that of its words.
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.lattices = Lattices(pieces, [kind.piece_to_id(f"<0x{b:02X}>") for b in range(256)], 1 / (len(ordinary) + SHIFT) / total)
+        #: Plain encodings of the words of the lattices, by number, and where they begin, the end last. -1 stands for a word without one.
+        self.plain, self.starts = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+
+    def raw(self, ids: Sequence[np.ndarray]) -> list[bytes]:
+        """What sequences of ids decode to, in bytes, without the space in front."""
+        taken = self.surface.take(pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[a + (data[a : a + 1] == b" ") : b]) if a < b else b"" for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the model decodes: the pieces without the space in front; bytes that are no text become replacement characters."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist()))
-        return text[text[:1] == b" " :].decode("utf-8", "replace")
+        return self.raw([ids])[0].decode("utf-8", "replace")
 
     def words(self, text: str) -> list[str]:
         return _WORDS.findall(self.normalise(text)) if text else []
 
+    def learn(self, words: list[str]) -> None:
+        """Lattices and plain encodings of new words."""
+        if not self.lattices.words:
+            self.plain, self.starts = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+        # spaces alone would join the next word; texts that end in them are encoded whole
+        blank = [w for w in words if w[-1] == SPACE]
+        words = [*blank, *(w for w in words if w[-1] != SPACE)] if blank else words
+        codes, sizes = self.lattices.codes(words), np.fromiter(map(len, words), np.int64, len(words))
+        self.lattices.add(words, codes, sizes)
+        bytes_of = np.where(codes == ord(SPACE), 1, 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+        ends, made = np.cumsum(np.add.reduceat(bytes_of, np.cumsum(sizes) - sizes)), []
+        low, base, by_word = 0, 0, self.by_word and bool((codes[np.cumsum(sizes) - sizes] == ord(SPACE)).all())
+        while low < len(words):
+            some = words[low : len(blank) if low < len(blank) else low + _ENCODED]
+            joined, high = "".join(some), low + len(some)
+            text = joined[1:].replace(SPACE, " ")
+            # words that the model does not take apart as they are have no encoding here, so their texts are encoded whole
+            ids = np.array(self.model.encode(text) if by_word and self.normalise(text) == joined else [], dtype=np.int32)
+            own, found = ends[low:high] - base, np.cumsum(self.widths[ids])
+            cut = np.searchsorted(found, own) + 1
+            if len(ids) and cut[-1] == len(ids) and (found[cut - 1] == own).all():
+                made.append((ids, cut))
+            else:
+                made.append((np.full(len(some), -1, dtype=np.int32), np.arange(1, len(some) + 1)))
+            low, base = high, ends[high - 1]
+        for ids, cut in made:
+            self.plain.append(ids)
+            self.starts.append(cut + self.starts[-1][-1])
+
+    def numbers(self, texts: Sequence[list[str]]) -> np.ndarray:
+        """The numbers of all words of texts, in order; new ones are learned."""
+        if self.lattices.arcs > _REMEMBER:
+            self.lattices.forget()
+        flat = list(chain.from_iterable(texts))
+        out = np.fromiter(map(self.lattices.words.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(unknown := np.flatnonzero(out < 0)):
+            new = [flat[i] for i in unknown.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            out[unknown] = np.fromiter(map(self.lattices.words.__getitem__, new), np.int64, len(new))
+        return out
+
+    def encode_all(self, raw: Sequence[str], texts: Sequence[list[str]], numbers: np.ndarray) -> list[np.ndarray]:
+        """The model's own encodings of texts, given beside by their words and those words' numbers."""
+        self.plain, self.starts = [np.concatenate(self.plain)], [np.concatenate(self.starts)]
+        first, sizes = self.starts[0][numbers], np.diff(self.starts[0])[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.plain[0][np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, texts)])].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [np.array(self.model.encode(t), dtype=np.int32) if t and (not len(x) or x.min() < 0) else x for t, x in zip(raw, out, strict=True)]
+
     def sample(self, text: str, samples: int, seed: int) -> list[tuple[list[int], float, float, float]]:
         return [(ids.tolist(), *scores) for ids, *scores in self.sample_all([self.words(text)], samples, [seed])[0]]
 
-    def sample_all(self, texts: Sequence[list[str]], samples: int, seeds: Sequence[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
-        """Up to ``samples`` distinct segmentations a text, given by its words: ids, log-probability, perturbed log-probability, log-inclusion.
+    def sample_all(self, texts: Sequence[list[str]], samples: int, seeds: Sequence[int], known: np.ndarray | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """Up to ``samples`` distinct segmentations a text, given by its words (and their numbers): ids, log-probability, perturbed log-probability, log-inclusion.
 
         Inclusion is the probability that the threshold, the best perturbed value left out, lets a segmentation in;
         log-probability minus its logarithm weighs the sample without bias. The logarithm is 0 where nothing is left
         out; in long texts the inclusion itself is too small for a double.
         """
         lat = self.lattices
-        if lat.arcs > _REMEMBER:
-            lat.forget()
-        if new := list(dict.fromkeys(w for ws in texts for w in ws if w not in lat.roots)):
-            lat.add(new)
-        roots = [np.array([lat.roots[w] for w in ws], dtype=np.int64) for ws in texts]
-        log_share, log_rest, target, source, first, count, share, ids = map(lat.view, ("log_share", "log_rest", "target", "source", "first", "count", "share", "ids"))
+        known = self.numbers(texts) if known is None else known
+        whole = lat.view("root")[known]
+        bounds = np.cumsum([0, *map(len, texts)]).tolist()
+        numbers = np.arange(max(map(len, texts), default=0), dtype=np.uint64) * _GOLD
+        log_share, target, first, count, share, ids = map(lat.view, ("log_share", "target", "first", "count", "share", "ids"))
         found: list[list[_Path]] = [[] for _ in texts]
-        # parts of lattices by falling value: (-value, number, path, step, arcs left out at it); the whole has no path
-        open_: list[list[tuple]] = [[(math.log(-math.log(_draw(_hashed(s, 0)))), 0, -1, 0, ())] for s in seeds]
+        # parts of lattices by falling value: (-value, number, path, step, arcs left out at it, its word); the whole has no path
+        open_: list[list[tuple]] = [[(math.log(-math.log(_draw(_hashed(s, 0)))), 0, -1, 0, (), 0)] for s in seeds]
         made = [1] * len(texts)
         for turn in range(1, samples + 1):
             starts, draws, jobs = [], [], []
             for i, frontier in enumerate(open_):
                 if not frontier:
                     continue
-                negative, _, parent, step, left_out = heapq.heappop(frontier)
-                seed = np.uint64(_hashed(seeds[i], turn))
-                numbers = np.arange(len(roots[i]), dtype=np.uint64)
-                if parent < 0:
-                    arc, word, nodes = -1, 0, roots[i]
-                else:
-                    old = found[i][parent]
-                    here, word = int(source[old.arcs[step]]), int(old.words[step])
+                negative, _, parent, step, left_out, word = heapq.heappop(frontier)
+                seed, arc, rest = np.uint64(_hashed(seeds[i], turn)), -1, -math.inf
+                if parent >= 0:
+                    here = int(first.searchsorted(np.int32(left_out[0]), side="right")) - 1
                     choices = [a for a in range(int(first[here]), int(first[here] + count[here])) if a not in left_out]
-                    u = _draw(_hashed(seeds[i], turn, 1)) * share[choices].sum()
-                    arc = choices[min(int(np.searchsorted(np.cumsum(share[choices]), u, side="right")), len(choices) - 1)]
-                    nodes = roots[i][word:].copy()
-                    nodes[0] = target[arc]
-                starts.append(nodes)
-                draws.append(_mixed(numbers[word:] * _GOLD + seed))
-                jobs.append((i, -negative, parent, step, left_out, arc, word))
+                    shares = [float(share[a]) for a in choices]
+                    u, k = _draw(_hashed(seeds[i], turn, 1)) * sum(shares), 0
+                    while k < len(choices) - 1 and u >= shares[k]:
+                        u, k = u - shares[k], k + 1
+                    arc, others = choices[k], sum(shares[:k] + shares[k + 1 :])
+                    rest = math.log(others) if others > 0 else -math.inf
+                starts.append(whole[bounds[i] + word : bounds[i + 1]])
+                draws.append(numbers[word : bounds[i + 1] - bounds[i]] + seed)
+                jobs.append((i, -negative, parent, step, left_out, arc, word, rest))
             if not jobs:
                 break
-            ends = np.cumsum([len(x) for x in starts])
-            where, arcs = lat.walk(np.concatenate(starts), np.concatenate(draws))
-            cuts = np.searchsorted(where, ends)
-            base = 0
-            for (i, value, parent, step, left_out, arc, word), a, b, end in zip(jobs, [0, *cuts.tolist()], cuts.tolist(), ends.tolist(), strict=False):
-                mine, words = arcs[a:b], where[a:b] - base + word
-                base = end
+            ends, nodes = np.cumsum([0, *map(len, starts)]).tolist(), np.concatenate(starts)
+            for at, job in zip(ends, jobs, strict=False):
+                if job[2] >= 0:
+                    nodes[at] = target[job[5]]
+            begins, arcs = lat.walk(nodes, _mixed(np.concatenate(draws)))
+            logs, cuts = log_share[arcs], begins[ends].tolist()
+            # what is left of each part: the same step once more, and every later one; those too unlikely for any draw are not drawn
+            need, marks = samples + 1 - turn, [_hashed(seeds[job[0]], turn, 2) for job in jobs]
+            heads, masses = np.zeros((len(jobs), _HEAD), dtype=np.int32), np.full((len(jobs), _HEAD), -np.inf)
+            for n, ((i, value, parent, step, _, arc, _, _), a, b) in enumerate(zip(jobs, cuts, cuts[1:], strict=False)):
+                own, sums = arcs[a:b], logs[a:b]
                 if parent >= 0:
                     old = found[i][parent]
-                    mine = np.concatenate((old.arcs[:step], [arc], mine))
-                    words = np.concatenate((old.words[:step], [word], words))
-                path = _Path(mine, words, log_share[mine], value)
+                    sums = np.concatenate((old.before[step : step + 1], log_share[arc : arc + 1], sums)).cumsum()
+                    path = _Path(np.concatenate((old.arcs[:step], [arc], own)), np.concatenate((old.before[:step], sums[:-1])), float(sums[-1]), value)
+                else:
+                    sums = np.concatenate(([0.0], sums)).cumsum()
+                    path = _Path(own, sums[:-1], float(sums[-1]), value)
                 found[i].append(path)
-                if not len(mine):
-                    continue
-                # what is left of this part: the same step once more, and every later one
-                masses = path.before[step:] + log_rest[mine[step:]]
-                without = (*left_out, arc) if parent >= 0 else (int(mine[step]),)
-                if parent >= 0:
-                    here = int(source[arc])
-                    rest = sum(share[x] for x in range(int(first[here]), int(first[here] + count[here])) if x not in without)
-                    masses[0] = path.before[step] + (math.log(rest) if rest > 0 else -math.inf)
-                marks = np.arange(len(masses), dtype=np.uint64) * _GOLD + np.uint64(_hashed(seeds[i], turn, 2))
-                maxima = -np.logaddexp(-value, np.log(-np.log(_uniform(marks))) - masses)
-                need = samples + 1 - turn
-                some = np.argpartition(-maxima, need - 1)[:need] if len(maxima) > need else np.arange(len(maxima))
-                for t in some.tolist():
-                    if masses[t] > -math.inf:
-                        heapq.heappush(open_[i], (-float(maxima[t]), made[i], turn - 1, step + t, without if t == 0 else (int(mine[step + t]),)))
+                size = min(_HEAD, len(path.arcs) - step)
+                heads[n, :size], masses[n, :size] = path.arcs[step : step + size], path.before[step : step + size]
+            again = [job[2] >= 0 for job in jobs]
+            once_more = masses[again, 0] + [job[7] for job in jobs if job[2] >= 0]
+            masses += _log_rest(share[heads])
+            masses[again, 0] = once_more
+            drawn = masses + _gumbel(np.array(marks, dtype=np.uint64)[:, None] + np.arange(_HEAD, dtype=np.uint64) * _GOLD)
+            chosen = np.argpartition(-drawn, need - 1, axis=1)[:, :need] if need < _HEAD else np.tile(np.arange(_HEAD), (len(jobs), 1))
+            best = np.take_along_axis(drawn, chosen, axis=1)
+            for n, ((i, value, parent, step, left_out, arc, word, rest), least, a, low, high) in enumerate(zip(jobs, (best.min(axis=1) if need <= _HEAD else np.full(len(jobs), -np.inf)).tolist(), cuts, ends, ends[1:], strict=False)):
+                path, some, values, looked = found[i][-1], chosen[n], best[n], _HEAD
+                mine, before = path.arcs[step:], path.before[step:]
+                while looked < len(mine) and before[looked] + _MOST >= least:
+                    looked *= 4
+                    all_ = before[:looked] + _log_rest(share[mine[:looked]])
+                    if parent >= 0:
+                        all_[0] = before[0] + rest
+                    all_ += _gumbel(np.arange(len(all_), dtype=np.uint64) * _GOLD + np.uint64(marks[n]))
+                    some = np.argpartition(-all_, need - 1)[:need] if need < len(all_) else np.arange(len(all_))
+                    values = all_[some]
+                    least = float(values.min()) if need <= len(all_) else -math.inf
+                for t, v, maximum in zip(some.tolist(), values.tolist(), (-np.logaddexp(-value, -values)).tolist(), strict=True):
+                    if v > -math.inf:
+                        place = t - (parent >= 0)
+                        at = word if place < 0 else word + int(begins[low:high].searchsorted(a + place, side="right")) - 1
+                        heapq.heappush(open_[i], (-maximum, made[i], turn - 1, step + t, (*left_out, arc) if parent >= 0 and t == 0 else (int(mine[t]),), at))
                         made[i] += 1
         out = []
         for paths, frontier in zip(found, open_, strict=True):
@@ -368,15 +518,18 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
     schema = T.StructType([*(rows.schema[c] for c in key), *made])
     arrow = to_arrow_schema(schema)
 
-    def sampled(s: Sampler, keys: list[tuple], texts: list[str]) -> pa.RecordBatch:
+    def encoded(s: Sampler, keys: list[tuple], texts: list[str]) -> pa.RecordBatch:
         words = [s.words(t) for t in texts]
         out: list[list] = [[] for _ in schema]
-        for k, t, w, drawn in zip(keys, texts, words, s.sample_all(words, samples, [row_seed(seed, k) for k in keys]), strict=True):
+        numbers = s.numbers(words)
+        sampled = s.sample_all(words, samples, [row_seed(seed, k) for k in keys], numbers)
+        for k, w, plain, drawn in zip(keys, words, s.encode_all(texts, words, numbers), sampled, strict=True):
             whole = "".join(w).replace(SPACE, " ")
-            for n, (ids, *scores) in enumerate([(np.array(s.model.encode(t) if t else [], dtype=np.int32), None, None, None), *drawn]):
-                back = s.decode(ids)
-                p, g, included = scores
-                row = [*k, n, ids, back if decoded else back == whole[whole[:1] == " " :], p, g, None if included is None else math.exp(included), included]
+            whole = whole[whole[:1] == " " :]
+            whole_raw = whole.encode("utf-8", "surrogatepass")
+            for n, ((ids, p, g, included), raw) in enumerate(zip([(plain, None, None, None), *drawn], s.raw([plain, *(x[0] for x in drawn)]), strict=True)):
+                back = raw.decode("utf-8", "replace") if decoded else raw == whole_raw or raw.decode("utf-8", "replace") == whole
+                row = [*k, n, ids, back, p, g, None if included is None else math.exp(included), included]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
         at = len(key) + 1
@@ -393,7 +546,7 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
             for i, t in enumerate(texts):
                 held += len(t or "")
                 if held >= _TOGETHER or i == len(texts) - 1:
-                    yield sampled(s, keys[start : i + 1], [x or "" for x in texts[start : i + 1]])
+                    yield encoded(s, keys[start : i + 1], [x or "" for x in texts[start : i + 1]])
                     start, held = i + 1, 0
 
     return rows.select(*key, text).mapInArrow(run, schema)

@@ -416,6 +416,27 @@ def test_samples_do_not_depend_on_their_batch():
         pieces.encode_samples(pytest.importorskip("pyspark.sql").SparkSession.active().createDataFrame([(1, "a")], "sample int, text string"), ["sample"], "")
 
 
+def test_plain_encodings_of_words_are_shared(monkeypatch):
+    """A word passes through the model once, however often texts repeat it; the encodings are those of the whole texts."""
+    s = pieces.Sampler(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["the river runs " * 300 + "on", "", "runs the river", "a ", "  two  spaces \n", " ", "\U0001f600 naïve 東京", "▁", "\0a", "x" * 700, "<s> <0x41>", "é" * 300 + "  "]
+    plain, passed, model = [s.model.encode(t) if t else [] for t in texts], [], s.model
+
+    class Counting:
+        def encode(self, text):
+            passed.append(len(text))
+            return model.encode(text)
+
+    monkeypatch.setattr(s, "model", Counting())
+    words = [s.words(t) for t in texts]
+    assert [x.tolist() for x in s.encode_all(texts, words, s.numbers(words))] == plain
+    assert sum(passed) < 3000 < sum(map(len, texts))
+    passed.clear()
+    assert [x.tolist() for x in s.encode_all(texts[:3], words[:3], s.numbers(words[:3]))] == plain[:3] and not passed
+    s.lattices.forget()
+    assert [x.tolist() for x in s.encode_all(texts, words, s.numbers(words))] == plain
+
+
 # 5. Quality rules
 
 
