@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,33 @@ def test_stream_is_compressed_whole(spark, monkeypatch):
         assert got[g].raw_bytes == len(raw) and got[g].ratio == round(len(zlib.compress(raw, 9)) / len(raw), 6)
 
 
+def test_streams_are_packed_and_dealt_apart(spark, monkeypatch):
+    """A task reads packed pieces of one stream: what a stream is made of is whole and in order, and no two streams share a task."""
+    monkeypatch.setattr(describe, "PIECE", 1000)
+    monkeypatch.setattr(describe, "PACKED", 400)
+    rng = random.Random(7)
+    streams = {g: [rng.choice(["river", "é", f"w{rng.randint(0, 9)}"]) for _ in range(n)] for g, n in (("x", 2500), (None, 1700), ("z", 1))}
+    rows = [(g, i, t) for g, ts in streams.items() for i, t in enumerate(ts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "genre string, seq long, token string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        parts = sorted(describe._packed(df, ["genre"], "seq").collect(), key=lambda r: (str(r.genre), r.piece, r.part))
+        codec = pa.Codec("zstd")
+        for g, ts in streams.items():
+            own = [r for r in parts if r.genre == g]
+            assert b" ".join(codec.decompress(bytes(r.data), r.size, asbytes=True) for r in own) == " ".join(ts).encode()
+            assert len({r.piece for r in own}) == -(-len(ts) // 1000) and all(r.size < 400 + 50 * 6 for r in own)
+        got = describe.zlib_ratio(df).select("*", F.spark_partition_id().alias("p")).collect()
+        assert {r.genre: r.raw_bytes for r in got} == {g: len(" ".join(ts).encode()) for g, ts in streams.items()}
+        assert len({r.p for r in got}) == len(streams)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_shuffled_ratio_is_that_of_shuffles(block):
     rng = random.Random(6)
