@@ -38,16 +38,16 @@ SAMPLES, SEED = 4, 17
 SHIFT = 2.7
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Steps of lattices that are remembered; beyond, all are forgotten and built anew as they come.
-_REMEMBER = 5_000_000
+_REMEMBER = 10_000_000
 #: Characters of the texts that are sampled together.
 _TOGETHER = 400_000
 #: Words that are encoded together.
-_ENCODED = 512
+_ENCODED = 128
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: The largest draw below 1, and more than the most that it adds to a log-probability.
 _TOP, _MOST = 1 - 2.0**-53, 37.0
 #: Steps of a path that are drawn for first, a power of 2.
-_HEAD = 128
+_HEAD = 512
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -103,9 +103,9 @@ def _draw(x: int) -> float:
 class Lattices:
     """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first."""
 
-    #: For nodes: the first arc and the number of arcs. For arcs: the node they lead to, -1 at the end of a word, their id, the conditional
-    #: probability and its logarithm. For words: their first node.
-    NODES = {"first": np.int32, "count": np.int32}
+    #: For nodes: the first arc; and together, as they are read together, its probability, itself, the number of arcs and where it leads. For arcs: the
+    #: node they lead to, -1 at the end of a word, their id, the conditional probability and its logarithm. For words: their first node.
+    NODES = {"first": np.int32, "node": np.dtype([("share", np.float64), ("first", np.int32), ("count", np.int32), ("target", np.int32)], align=True)}
     ARCS = {"target": np.int32, "ids": np.int32, "share": np.float64, "log_share": np.float64}
     WORDS = {"root": np.int32}
 
@@ -255,35 +255,38 @@ class Lattices:
                 target[arc] = nodes + n + len(more) - len(b) + 1
         chained = np.array(more, dtype=np.int32).reshape(-1, 2)
         self.words |= dict(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self._append({"root": rank[ends - sizes] + nodes, "first": first + self.arcs, "count": count})
-        self._append({"first": self.arcs + arcs + np.arange(len(more)), "count": np.ones(len(more), dtype=np.int32)})
+        node = np.empty(n + len(more), dtype=self.NODES["node"])
+        node["first"], node["count"] = np.concatenate((first, arcs + np.arange(len(more)))) + self.arcs, np.concatenate((count, np.ones(len(more), dtype=np.int32)))
+        node["share"], node["target"] = np.concatenate((share[first], np.ones(len(more)))), np.concatenate((target[first], chained[:, 0]))
+        self._append({"root": rank[ends - sizes] + nodes, "first": node["first"], "node": node})
         self._append({"target": target, "ids": piece, "share": share, "log_share": log_share})
         self._append({"target": chained[:, 0], "ids": chained[:, 1], "share": np.ones(len(more)), "log_share": np.zeros(len(more))})
 
     def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paths from ``nodes`` to the ends of their words: where each begins, the end last, and the arcs of all steps."""
-        first, count, target, share = map(self.view, ("first", "count", "target", "share"))
+        node, target, share = map(self.view, ("node", "target", "share"))
         steps, taken = np.zeros(len(nodes), dtype=np.int64), []
         at = np.flatnonzero(nodes >= 0)
         now, seed = nodes[at], draws[at]
         while len(at):
             seed += _GOLD
-            arc, some = first[now], count[now]
+            read = node.take(now)
+            arc, now, some = read["first"].copy(), read["target"].copy(), read["count"]
             several = np.flatnonzero(some > 1)
-            u, tried = _uniform(seed[several]), arc[several]
-            u -= share[tried]
+            u = _uniform(seed[several])
+            u -= read["share"][several]
             left = np.flatnonzero(u >= 0)
             if len(left):  # the likeliest arcs come first, so few go on
-                v, last = u[left], tried[left] + some[several[left]] - 1
-                here, on = tried[left] + 1, np.arange(len(left))
+                u, several = u[left], several[left]
+                here, on = arc[several] + 1, np.arange(len(left))
+                last = here + some[several] - 2
                 while len(on := on[here[on] < last[on]]):
-                    v[on] -= share[here[on]]
-                    on = on[v[on] >= 0]
+                    u[on] -= share[here[on]]
+                    on = on[u[on] >= 0]
                     here[on] += 1
-                arc[several[left]] = here
+                arc[several], now[several] = here, target[here]
             taken.append((at, arc))
             steps[at] += 1
-            now = target[arc]
             on = np.flatnonzero(now >= 0)
             at, now, seed = at[on], now[on], seed[on]
         starts = np.zeros(len(nodes) + 1, dtype=np.int64)
@@ -400,7 +403,7 @@ class Sampler:
         whole = lat.view("root")[known]
         bounds = np.cumsum([0, *map(len, texts)]).tolist()
         numbers = np.arange(max(map(len, texts), default=0), dtype=np.uint64) * _GOLD
-        log_share, target, first, count, share, ids = map(lat.view, ("log_share", "target", "first", "count", "share", "ids"))
+        log_share, target, first, node, share, ids = map(lat.view, ("log_share", "target", "first", "node", "share", "ids"))
         found: list[list[_Path]] = [[] for _ in texts]
         # parts of lattices by falling value: (-value, number, path, step, arcs left out at it, its word); the whole has no path
         open_: list[list[tuple]] = [[(math.log(-math.log(_draw(_hashed(s, 0)))), 0, -1, 0, (), 0)] for s in seeds]
@@ -414,7 +417,7 @@ class Sampler:
                 seed, arc, rest = np.uint64(_hashed(seeds[i], turn)), -1, -math.inf
                 if parent >= 0:
                     here = int(first.searchsorted(np.int32(left_out[0]), side="right")) - 1
-                    choices = [a for a in range(int(first[here]), int(first[here] + count[here])) if a not in left_out]
+                    choices = [a for a in range(int(first[here]), int(first[here] + node["count"][here])) if a not in left_out]
                     shares = [float(share[a]) for a in choices]
                     u, k = _draw(_hashed(seeds[i], turn, 1)) * sum(shares), 0
                     while k < len(choices) - 1 and u >= shares[k]:
@@ -522,12 +525,14 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
         words = [s.words(t) for t in texts]
         out: list[list] = [[] for _ in schema]
         numbers = s.numbers(words)
-        sampled = s.sample_all(words, samples, [row_seed(seed, k) for k in keys], numbers)
-        for k, w, plain, drawn in zip(keys, words, s.encode_all(texts, words, numbers), sampled, strict=True):
+        drawn = s.sample_all(words, samples, [row_seed(seed, k) for k in keys], numbers)
+        each = [[(plain, None, None, None), *some] for plain, some in zip(s.encode_all(texts, words, numbers), drawn, strict=True)]
+        raws = iter(s.raw([ids for some in each for ids, *_ in some]))
+        for k, w, some in zip(keys, words, each, strict=True):
             whole = "".join(w).replace(SPACE, " ")
             whole = whole[whole[:1] == " " :]
             whole_raw = whole.encode("utf-8", "surrogatepass")
-            for n, ((ids, p, g, included), raw) in enumerate(zip([(plain, None, None, None), *drawn], s.raw([plain, *(x[0] for x in drawn)]), strict=True)):
+            for n, ((ids, p, g, included), raw) in enumerate(zip(some, raws, strict=False)):
                 back = raw.decode("utf-8", "replace") if decoded else raw == whole_raw or raw.decode("utf-8", "replace") == whole
                 row = [*k, n, ids, back, p, g, None if included is None else math.exp(included), included]
                 for column, value in zip(out, row, strict=True):
