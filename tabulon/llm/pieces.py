@@ -38,9 +38,9 @@ SAMPLES, SEED = 4, 17
 SHIFT = 2.7
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Steps of lattices that are remembered; beyond, all are forgotten and built anew as they come.
-_REMEMBER = 10_000_000
-#: Characters of the texts that are sampled together.
-_TOGETHER = 400_000
+_REMEMBER = 4_000_000
+#: Characters of the texts that are sampled together, and what a short text counts for.
+_TOGETHER, _SHORT = 400_000, 128
 #: Words that are encoded together.
 _ENCODED = 128
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,9 +104,9 @@ class Lattices:
     """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first."""
 
     #: For nodes: the first arc; and together, as they are read together, its probability, itself, the number of arcs and where it leads. For arcs: the
-    #: node they lead to, -1 at the end of a word, their id, the conditional probability and its logarithm. For words: their first node.
+    #: node they lead to, -1 at the end of a word, their id and the conditional probability. For words: their first node.
     NODES = {"first": np.int32, "node": np.dtype([("share", np.float64), ("first", np.int32), ("count", np.int32), ("target", np.int32)], align=True)}
-    ARCS = {"target": np.int32, "ids": np.int32, "share": np.float64, "log_share": np.float64}
+    ARCS = {"target": np.int32, "ids": np.int32, "share": np.float64}
     WORDS = {"root": np.int32}
 
     def __init__(self, pieces: dict[str, tuple[int, float]], spell: list[int], byte_weight: float) -> None:
@@ -218,7 +218,7 @@ class Lattices:
             piece[slot], weight[slot] = self.piece[known], self.weight[known]
         weight[piece < 0] = bytes_of[np.argsort(rank[spelt])] * self.byte_weight
         # sums over the rest of the word from its end on, all words at a time; the end itself is the last place
-        rest, share, log_share = np.zeros(n + 1), np.empty(arcs), np.empty(arcs)
+        rest, share = np.zeros(n + 1), np.empty(arcs)
         levels = np.cumsum(np.bincount(left)) if n else []
         for a, b in zip(levels, levels[1:], strict=False):
             if a == b:
@@ -229,10 +229,8 @@ class Lattices:
             sums -= np.repeat(top, each)
             part = np.exp(sums)
             total = np.add.reduceat(part, starts)
-            logs = np.log(total)
-            rest[a:b] = top + logs
+            rest[a:b] = top + np.log(total)
             share[low:high] = part / np.repeat(total, each)
-            log_share[low:high] = sums - np.repeat(logs, each)
         # the likeliest first
         for c in np.flatnonzero(np.bincount(count)).tolist():
             if c > 1:
@@ -241,7 +239,7 @@ class Lattices:
                 wrong = np.flatnonzero((some[:, 1:] > some[:, :-1]).any(axis=1))
                 to, some = to[wrong], some[wrong]
                 back = to[:, ::-1] if c == 2 else to[:, :1] + np.argsort(-some, axis=1, kind="stable")
-                for x in (target, piece, share, log_share):
+                for x in (target, piece, share):
                     x[to] = x[back]
         target[target >= 0] += nodes
         # the further bytes of spelt characters
@@ -259,8 +257,8 @@ class Lattices:
         node["first"], node["count"] = np.concatenate((first, arcs + np.arange(len(more)))) + self.arcs, np.concatenate((count, np.ones(len(more), dtype=np.int32)))
         node["share"], node["target"] = np.concatenate((share[first], np.ones(len(more)))), np.concatenate((target[first], chained[:, 0]))
         self._append({"root": rank[ends - sizes] + nodes, "first": node["first"], "node": node})
-        self._append({"target": target, "ids": piece, "share": share, "log_share": log_share})
-        self._append({"target": chained[:, 0], "ids": chained[:, 1], "share": np.ones(len(more)), "log_share": np.zeros(len(more))})
+        self._append({"target": target, "ids": piece, "share": share})
+        self._append({"target": chained[:, 0], "ids": chained[:, 1], "share": np.ones(len(more))})
 
     def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paths from ``nodes`` to the ends of their words: where each begins, the end last, and the arcs of all steps."""
@@ -403,7 +401,7 @@ class Sampler:
         whole = lat.view("root")[known]
         bounds = np.cumsum([0, *map(len, texts)]).tolist()
         numbers = np.arange(max(map(len, texts), default=0), dtype=np.uint64) * _GOLD
-        log_share, target, first, node, share, ids = map(lat.view, ("log_share", "target", "first", "node", "share", "ids"))
+        target, first, node, share, ids = map(lat.view, ("target", "first", "node", "share", "ids"))
         found: list[list[_Path]] = [[] for _ in texts]
         # parts of lattices by falling value: (-value, number, path, step, arcs left out at it, its word); the whole has no path
         open_: list[list[tuple]] = [[(math.log(-math.log(_draw(_hashed(s, 0)))), 0, -1, 0, (), 0)] for s in seeds]
@@ -434,31 +432,32 @@ class Sampler:
                 if job[2] >= 0:
                     nodes[at] = target[job[5]]
             begins, arcs = lat.walk(nodes, _mixed(np.concatenate(draws)))
-            logs, cuts = log_share[arcs], begins[ends].tolist()
+            logs, cuts = np.log(share[arcs]), begins[ends].tolist()
             # what is left of each part: the same step once more, and every later one; those too unlikely for any draw are not drawn
             need, marks = samples + 1 - turn, [_hashed(seeds[job[0]], turn, 2) for job in jobs]
-            heads, masses = np.zeros((len(jobs), _HEAD), dtype=np.int32), np.full((len(jobs), _HEAD), -np.inf)
+            wide = min(_HEAD, 1 + int(np.diff(cuts).max()))  # of a part, the step that it is drawn again at comes first
+            heads, masses = np.zeros((len(jobs), wide), dtype=np.int32), np.full((len(jobs), wide), -np.inf)
             for n, ((i, value, parent, step, _, arc, _, _), a, b) in enumerate(zip(jobs, cuts, cuts[1:], strict=False)):
                 own, sums = arcs[a:b], logs[a:b]
                 if parent >= 0:
                     old = found[i][parent]
-                    sums = np.concatenate((old.before[step : step + 1], log_share[arc : arc + 1], sums)).cumsum()
+                    sums = np.concatenate((old.before[step : step + 1], np.log(share[arc : arc + 1]), sums)).cumsum()
                     path = _Path(np.concatenate((old.arcs[:step], [arc], own)), np.concatenate((old.before[:step], sums[:-1])), float(sums[-1]), value)
                 else:
                     sums = np.concatenate(([0.0], sums)).cumsum()
                     path = _Path(own, sums[:-1], float(sums[-1]), value)
                 found[i].append(path)
-                size = min(_HEAD, len(path.arcs) - step)
+                size = min(wide, len(path.arcs) - step)
                 heads[n, :size], masses[n, :size] = path.arcs[step : step + size], path.before[step : step + size]
             again = [job[2] >= 0 for job in jobs]
             once_more = masses[again, 0] + [job[7] for job in jobs if job[2] >= 0]
             masses += _log_rest(share[heads])
             masses[again, 0] = once_more
-            drawn = masses + _gumbel(np.array(marks, dtype=np.uint64)[:, None] + np.arange(_HEAD, dtype=np.uint64) * _GOLD)
-            chosen = np.argpartition(-drawn, need - 1, axis=1)[:, :need] if need < _HEAD else np.tile(np.arange(_HEAD), (len(jobs), 1))
+            drawn = masses + _gumbel(np.array(marks, dtype=np.uint64)[:, None] + np.arange(wide, dtype=np.uint64) * _GOLD)
+            chosen = np.argpartition(-drawn, need - 1, axis=1)[:, :need] if need < wide else np.tile(np.arange(wide), (len(jobs), 1))
             best = np.take_along_axis(drawn, chosen, axis=1)
-            for n, ((i, value, parent, step, left_out, arc, word, rest), least, a, low, high) in enumerate(zip(jobs, (best.min(axis=1) if need <= _HEAD else np.full(len(jobs), -np.inf)).tolist(), cuts, ends, ends[1:], strict=False)):
-                path, some, values, looked = found[i][-1], chosen[n], best[n], _HEAD
+            for n, ((i, value, parent, step, left_out, arc, word, rest), least, a, low, high) in enumerate(zip(jobs, (best.min(axis=1) if need <= wide else np.full(len(jobs), -np.inf)).tolist(), cuts, ends, ends[1:], strict=False)):
+                path, some, values, looked = found[i][-1], chosen[n], best[n], wide
                 mine, before = path.arcs[step:], path.before[step:]
                 while looked < len(mine) and before[looked] + _MOST >= least:
                     looked *= 4
@@ -546,13 +545,14 @@ def encode_samples(rows: DataFrame, key: Sequence[str], path: str, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path)
         for batch in batches:
-            *columns, texts = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-            keys, start, held = list(zip(*columns, strict=True)), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or "")
-                if held >= _TOGETHER or i == len(texts) - 1:
-                    yield encoded(s, keys[start : i + 1], [x or "" for x in texts[start : i + 1]])
-                    start, held = i + 1, 0
+            texts, held = [], 0
+            for i, t in enumerate(batch.column(len(key)), 1):
+                texts.append(t.as_py() or "")
+                held += max(len(texts[-1]), _SHORT)
+                if held >= _TOGETHER or i == batch.num_rows:
+                    mine = batch.slice(i - len(texts), len(texts))
+                    yield encoded(s, list(zip(*(mine.column(c).to_pylist() for c in range(len(key))), strict=True)), texts)
+                    texts, held = [], 0
 
     return rows.select(*key, text).mapInArrow(run, schema)
 

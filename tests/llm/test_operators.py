@@ -7,14 +7,17 @@ import math
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tabulon.llm import catalog, chat, licences, neighbours, packing, pieces, quality, secretscan, simhash, tokenfile, urls
@@ -437,6 +440,37 @@ def test_plain_encodings_of_words_are_shared(monkeypatch):
     assert [x.tolist() for x in s.encode_all(texts, words, s.numbers(words))] == plain
 
 
+class Rows:
+    """Stands for a table, to run in this process what its tasks would run."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_memory_of_sampling_is_bounded():
+    """However many words texts hold, and however many short texts stand beside a long one."""
+    s, rng = pieces.sampler(tokenizer_path("piece_bpe_32k.model")), np.random.default_rng(5)
+    s.lattices.forget()
+    most = 0
+    for _ in range(25):
+        letters = rng.integers(97, 123, (20_000, 8), dtype=np.uint32)
+        s.numbers([["▁" + w for w in letters.view("<U8")[:, 0].tolist()]])
+        most = max(most, sum(n * s.lattices.held[c].itemsize for c, n in s.lattices.sizes.items()))
+    assert most < 160e6
+    texts = ["a"] * 9_999 + ["the river runs " * 1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in pieces.encode_samples(Rows(), ["doc_id"], tokenizer_path("piece_bpe_32k.model"), decoded=False)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 9_999 * (1 + len(s.sample("a", pieces.SAMPLES, 1))) + 1 + pieces.SAMPLES and peak < 150e6
+
+
 # 5. Quality rules
 
 
