@@ -38,7 +38,9 @@ SAMPLES, SEED = 4, 17
 SHIFT = 2.7
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Steps of lattices that are remembered; beyond, all are forgotten and built anew as they come.
-_REMEMBER = 4_000_000
+_REMEMBER = 2_000_000
+#: Words that are remembered so, and the length up to which words that end alike share nodes.
+_KNOWN, _ALIKE = 400_000, 32
 #: Characters of the texts that are sampled together, and what a short text counts for.
 _TOGETHER, _SHORT = 400_000, 128
 #: Words that are encoded together.
@@ -101,11 +103,15 @@ def _draw(x: int) -> float:
 
 
 class Lattices:
-    """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first."""
+    """Nodes are places in words, arcs are steps of one id; a node's arcs lie together, the likeliest first.
 
-    #: For nodes: the first arc; and together, as they are read together, its probability, itself, the number of arcs and where it leads. For arcs: the
+    What follows a place depends on the rest of its word alone, so words that end alike share the nodes of that end.
+    """
+
+    #: For nodes: the first arc; and together, as they are read together, its probability, itself, the number of arcs and where it leads;
+    #: its letter and the node behind it in one number, -1 for nodes that aren't shared, and the sum over what follows. For arcs: the
     #: node they lead to, -1 at the end of a word, their id and the conditional probability. For words: their first node.
-    NODES = {"first": np.int32, "node": np.dtype([("share", np.float64), ("first", np.int32), ("count", np.int32), ("target", np.int32)], align=True)}
+    NODES = {"first": np.int32, "node": np.dtype([("share", np.float64), ("first", np.int32), ("count", np.int32), ("target", np.int32)], align=True), "key": np.int64, "rest": np.float64}
     ARCS = {"target": np.int32, "ids": np.int32, "share": np.float64}
     WORDS = {"root": np.int32}
 
@@ -135,6 +141,8 @@ class Lattices:
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         self.nexts[slot] = made
         self.held = {c: np.empty(0, dtype=kind) for c, kind in (self.NODES | self.ARCS | self.WORDS).items()}
+        #: Shared nodes by the hash of their keys.
+        self.shared = np.empty(1 << 16, dtype=np.int32)
         self.forget()
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -162,6 +170,7 @@ class Lattices:
     def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.sizes = dict.fromkeys(self.held, 0)
+        self.shared.fill(-1)
 
     @property
     def arcs(self) -> int:
@@ -170,28 +179,86 @@ class Lattices:
     def view(self, column: str) -> np.ndarray:
         return self.held[column][: self.sizes[column]]
 
+    def _reserve(self, column: str, more: int) -> np.ndarray:
+        size, held = self.sizes[column], self.held[column]
+        if size + more > len(held):
+            self.held[column] = np.empty(max(2 * len(held), size + more), dtype=held.dtype)
+            self.held[column][:size] = held[:size]
+        return self.held[column]
+
     def _append(self, made: dict[str, np.ndarray]) -> None:
         for c, x in made.items():
-            size, held = self.sizes[c], self.held[c]
-            if size + len(x) > len(held):
-                self.held[c] = np.empty(max(2 * len(held), size + len(x)), dtype=held.dtype)
-                self.held[c][:size] = held[:size]
-            self.held[c][size : size + len(x)] = x
+            size = self.sizes[c]
+            self._reserve(c, len(x))[size : size + len(x)] = x
             self.sizes[c] += len(x)
 
+    def _share(self, keys: np.ndarray, known: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of ``keys``, new ones numbered from ``nodes`` on, and which of the keys are the new nodes'. ``known``: the keys of nodes."""
+        last = len(self.shared) - 1
+        slot = ((keys.astype(np.uint64) * _GOLD) >> np.uint64(65 - len(self.shared).bit_length())).astype(np.int64)
+        out, left = np.empty(len(keys), dtype=np.int32), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            at = slot[left]
+            free = self.shared[at] == -1
+            self.shared[at[free]] = -2 - left[free]  # of several, one stays and stands for those of its key
+            there = self.shared[at]
+            own = there < -1
+            hit = np.where(own, keys[np.where(own, -2 - there, 0)], known[np.where(own, 0, there)]) == keys[left]
+            out[left[hit]] = there[hit]
+            left = left[~hit]
+            slot[left] = (slot[left] + 1) & last
+        new = np.flatnonzero(out == -2 - np.arange(len(keys)))
+        number = np.zeros(len(keys), dtype=np.int32)
+        number[new] = np.arange(nodes, nodes + len(new))
+        self.shared[slot[new]] = number[new]
+        own = out < -1
+        out[own] = number[-2 - out[own]]
+        return out, new
+
+    def _places(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of all places, and places of the new nodes, in their order: by how much of their word is left."""
+        n, nodes = len(codes), self.sizes["first"]
+        key = self._reserve("key", n)
+        if 2 * (nodes + n) > len(self.shared):
+            self.shared = np.full(1 << (2 * (nodes + n)).bit_length(), -1, dtype=np.int32)
+            old = np.flatnonzero(key[:nodes] >= 0)
+            slot, on = ((key[old].astype(np.uint64) * _GOLD) >> np.uint64(65 - len(self.shared).bit_length())).astype(np.int64), np.arange(len(old))
+            while len(on):
+                free = on[self.shared[slot[on]] < 0]
+                self.shared[slot[free]] = old[free]
+                on = on[self.shared[slot[on]] != old[on]]
+                slot[on] = (slot[on] + 1) & (len(self.shared) - 1)
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        node, places = np.full(n + 1, -1, dtype=np.int32), []
+        levels = np.concatenate(([0], np.cumsum(np.bincount(left, minlength=_ALIKE + 1)[1 : _ALIKE + 1]))).tolist()
+        for length, (a, b) in enumerate(zip(levels, levels[1:], strict=False), 1):
+            if a == b:
+                break
+            here = order[a:b]
+            keys = codes[here].astype(np.int64)
+            if length > 1:
+                keys += (node[here + 1] + np.int64(1)) << 21
+            node[here], new = self._share(keys, key, nodes)
+            key[nodes : nodes + len(new)] = keys[new]
+            nodes += len(new)
+            places.append(here[new])
+        alone = order[levels[-1] :]
+        node[alone] = np.arange(nodes, nodes + len(alone))
+        key[nodes : nodes + len(alone)] = -1
+        return node, np.concatenate([*places, alone])
+
     def add(self, words: list[str], codes: np.ndarray, sizes: np.ndarray) -> None:
         """Builds the lattices of new words: a node for each character, and for each further byte of those spelt in bytes.
 
         Nodes are numbered by how much of their word is left, so sums over the rest of words go from node to node.
         """
-        n, ends, nodes = len(codes), np.cumsum(sizes), self.sizes["first"]
-        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the end of the word
-        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
-        rank = np.empty(n, dtype=np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
+        ends, nodes = np.cumsum(sizes), self.sizes["first"]
+        left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters up to the end of the word
+        node_at, place = self._places(codes, left)
+        n, left = len(place), left[place]
         # pieces that begin at a place, by length
         letter = self.letter[codes]
-        at, begun, found, length = np.arange(n), self._longer(np.zeros(n, dtype=np.int32), letter), [], 1
+        at, begun, found, length = np.arange(n), self._longer(np.zeros(n, dtype=np.int32), letter[place]), [], 1
         spelt = np.flatnonzero(self.piece[begun] < 0)
         while len(at):
             whole = np.flatnonzero(self.piece[begun] >= 0)
@@ -200,36 +267,36 @@ class Lattices:
                 found.append((spelt, np.zeros(len(spelt), dtype=np.int32), 1))  # a character without a piece of its own is spelt in bytes, one step each
             on = np.flatnonzero((begun > 0) & (left[at] > length))
             at, begun = at[on], begun[on]
-            begun = self._longer(begun, letter[at + length])
+            begun = self._longer(begun, letter[place[at] + length])
             length += 1
         count = np.zeros(n, dtype=np.int32)
-        for places, *_ in found:
-            count[rank[places]] += 1
+        for mine, *_ in found:
+            count[mine] += 1
         first = np.cumsum(count, dtype=np.int32) - count
         arcs, filled = int(count.sum()), first + count
         target, piece, weight = np.empty(arcs, dtype=np.int32), np.empty(arcs, dtype=np.int32), np.empty(arcs)
-        bytes_of = 1 + (codes[spelt] >= 0x80).astype(np.int64) + (codes[spelt] >= 0x800) + (codes[spelt] >= 0x10000)
-        for places, known, length in found:
-            mine = rank[places]
+        letters = codes[place[spelt]]
+        bytes_of = 1 + (letters >= 0x80).astype(np.int64) + (letters >= 0x800) + (letters >= 0x10000)
+        for mine, known, length in found:
             slot = filled[mine] - 1  # longer pieces come first, as they are likelier for the most part
             filled[mine] = slot
-            over = left[places] == length
-            target[slot] = np.where(over, -1, rank[places + np.where(over, 0, length)])
+            target[slot] = np.where(left[mine] == length, -1, node_at[place[mine] + length])
             piece[slot], weight[slot] = self.piece[known], self.weight[known]
-        weight[piece < 0] = bytes_of[np.argsort(rank[spelt])] * self.byte_weight
-        # sums over the rest of the word from its end on, all words at a time; the end itself is the last place
-        rest, share = np.zeros(n + 1), np.empty(arcs)
+        weight[piece < 0] = bytes_of * self.byte_weight
+        # sums over the rest of the word from its end on, all words at a time
+        rest, share = self._reserve("rest", n), np.empty(arcs)
         levels = np.cumsum(np.bincount(left)) if n else []
         for a, b in zip(levels, levels[1:], strict=False):
             if a == b:
                 continue
             low, high = first[a], first[b - 1] + count[b - 1]
-            sums, starts, each = weight[low:high] + rest[target[low:high]], first[a:b] - low, count[a:b]
+            to, starts, each = target[low:high], first[a:b] - low, count[a:b]
+            sums = weight[low:high] + np.where(to < 0, 0.0, rest[to])
             top = np.maximum.reduceat(sums, starts)
             sums -= np.repeat(top, each)
             part = np.exp(sums)
             total = np.add.reduceat(part, starts)
-            rest[a:b] = top + np.log(total)
+            rest[nodes + a : nodes + b] = top + np.log(total)
             share[low:high] = part / np.repeat(total, each)
         # the likeliest first
         for c in np.flatnonzero(np.bincount(count)).tolist():
@@ -241,11 +308,10 @@ class Lattices:
                 back = to[:, ::-1] if c == 2 else to[:, :1] + np.argsort(-some, axis=1, kind="stable")
                 for x in (target, piece, share):
                     x[to] = x[back]
-        target[target >= 0] += nodes
         # the further bytes of spelt characters
         more: list[tuple[int, int]] = []
-        for arc in np.flatnonzero(piece < 0).tolist() if len(spelt) else ():
-            b = chr(codes[order[first.searchsorted(np.int32(arc), side="right") - 1]]).encode("utf-8", "surrogatepass")
+        for arc, c in zip(np.flatnonzero(piece < 0).tolist(), letters.tolist(), strict=True) if len(spelt) else ():
+            b = chr(c).encode("utf-8", "surrogatepass")
             piece[arc], after = self.spell[b[0]], int(target[arc])
             for i in range(1, len(b)):
                 more.append((after if i == len(b) - 1 else nodes + n + len(more) + 1, int(self.spell[b[i]])))
@@ -256,12 +322,13 @@ class Lattices:
         node = np.empty(n + len(more), dtype=self.NODES["node"])
         node["first"], node["count"] = np.concatenate((first, arcs + np.arange(len(more)))) + self.arcs, np.concatenate((count, np.ones(len(more), dtype=np.int32)))
         node["share"], node["target"] = np.concatenate((share[first], np.ones(len(more)))), np.concatenate((target[first], chained[:, 0]))
-        self._append({"root": rank[ends - sizes] + nodes, "first": node["first"], "node": node})
+        self.sizes["key"] = self.sizes["rest"] = nodes + n
+        self._append({"root": node_at[ends - sizes], "first": node["first"], "node": node, "key": np.full(len(more), -1), "rest": np.zeros(len(more))})
         self._append({"target": target, "ids": piece, "share": share})
         self._append({"target": chained[:, 0], "ids": chained[:, 1], "share": np.ones(len(more))})
 
-    def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Paths from ``nodes`` to the ends of their words: where each begins, the end last, and the arcs of all steps."""
+    def walk(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paths from ``nodes`` to the ends of their words: where each begins, the end last, and the arcs of all steps and their probabilities."""
         node, target, share = map(self.view, ("node", "target", "share"))
         steps, taken = np.zeros(len(nodes), dtype=np.int64), []
         at = np.flatnonzero(nodes >= 0)
@@ -269,10 +336,10 @@ class Lattices:
         while len(at):
             seed += _GOLD
             read = node.take(now)
-            arc, now, some = read["first"].copy(), read["target"].copy(), read["count"]
+            arc, now, part, some = read["first"].copy(), read["target"].copy(), read["share"].copy(), read["count"]
             several = np.flatnonzero(some > 1)
             u = _uniform(seed[several])
-            u -= read["share"][several]
+            u -= part[several]
             left = np.flatnonzero(u >= 0)
             if len(left):  # the likeliest arcs come first, so few go on
                 u, several = u[left], several[left]
@@ -282,17 +349,18 @@ class Lattices:
                     u[on] -= share[here[on]]
                     on = on[u[on] >= 0]
                     here[on] += 1
-                arc[several], now[several] = here, target[here]
-            taken.append((at, arc))
+                arc[several], now[several], part[several] = here, target[here], share[here]
+            taken.append((at, arc, part))
             steps[at] += 1
             on = np.flatnonzero(now >= 0)
             at, now, seed = at[on], now[on], seed[on]
         starts = np.zeros(len(nodes) + 1, dtype=np.int64)
         np.cumsum(steps, out=starts[1:])
-        arcs = np.empty(starts[-1], dtype=np.int32)
-        for i, (at, arc) in enumerate(taken):
-            arcs[starts[at] + i] = arc
-        return starts, arcs
+        arcs, parts = np.empty(starts[-1], dtype=np.int32), np.empty(starts[-1])
+        for i, (at, arc, part) in enumerate(taken):
+            to = starts[at] + i
+            arcs[to], parts[to] = arc, part
+        return starts, arcs, parts
 
 
 class _Path:
@@ -333,7 +401,10 @@ class Sampler:
         return self.raw([ids])[0].decode("utf-8", "replace")
 
     def words(self, text: str) -> list[str]:
-        return _WORDS.findall(self.normalise(text)) if text else []
+        text = self.normalise(text) if text else ""
+        if "\0" in text or text[:1] != SPACE or text[-1:] == SPACE or 2 * SPACE in text:
+            return _WORDS.findall(text)
+        return text.replace(SPACE, "\0" + SPACE).split("\0")[1:]  # the same, in less time
 
     def learn(self, words: list[str]) -> None:
         """Lattices and plain encodings of new words."""
@@ -366,7 +437,7 @@ class Sampler:
 
     def numbers(self, texts: Sequence[list[str]]) -> np.ndarray:
         """The numbers of all words of texts, in order; new ones are learned."""
-        if self.lattices.arcs > _REMEMBER:
+        if self.lattices.arcs > _REMEMBER or len(self.lattices.words) > _KNOWN:
             self.lattices.forget()
         flat = list(chain.from_iterable(texts))
         out = np.fromiter(map(self.lattices.words.get, flat, repeat(-1)), np.int64, len(flat))
@@ -431,8 +502,8 @@ class Sampler:
             for at, job in zip(ends, jobs, strict=False):
                 if job[2] >= 0:
                     nodes[at] = target[job[5]]
-            begins, arcs = lat.walk(nodes, _mixed(np.concatenate(draws)))
-            logs, cuts = np.log(share[arcs]), begins[ends].tolist()
+            begins, arcs, parts = lat.walk(nodes, _mixed(np.concatenate(draws)))
+            logs, cuts = np.log(parts), begins[ends].tolist()
             # what is left of each part: the same step once more, and every later one; those too unlikely for any draw are not drawn
             need, marks = samples + 1 - turn, [_hashed(seeds[job[0]], turn, 2) for job in jobs]
             wide = min(_HEAD, 1 + int(np.diff(cuts).max()))  # of a part, the step that it is drawn again at comes first
@@ -451,7 +522,7 @@ class Sampler:
                 heads[n, :size], masses[n, :size] = path.arcs[step : step + size], path.before[step : step + size]
             again = [job[2] >= 0 for job in jobs]
             once_more = masses[again, 0] + [job[7] for job in jobs if job[2] >= 0]
-            masses += _log_rest(share[heads])
+            masses += _log_rest(share[heads] if len(share) else np.ones(heads.shape))  # without any step where all texts so far are empty
             masses[again, 0] = once_more
             drawn = masses + _gumbel(np.array(marks, dtype=np.uint64)[:, None] + np.arange(wide, dtype=np.uint64) * _GOLD)
             chosen = np.argpartition(-drawn, need - 1, axis=1)[:, :need] if need < wide else np.tile(np.arange(wide), (len(jobs), 1))

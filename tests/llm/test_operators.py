@@ -440,6 +440,22 @@ def test_plain_encodings_of_words_are_shared(monkeypatch):
     assert [x.tolist() for x in s.encode_all(texts, words, s.numbers(words))] == plain
 
 
+def test_words_that_end_alike_share_nodes():
+    s = pieces.sampler(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["unlocking locking rocking", "東京 京 😀😀", "b" + "ab" * 40 + " " + "ab" * 40, "locking  two\0 a ", ""]
+    assert [s.words(t) for t in texts] == [re.findall("▁*[^▁]+|▁+", s.normalise(t)) for t in texts]
+    alone = []
+    for t in texts:
+        s.lattices.forget()
+        alone.append(s.sample(t, 4, 3))
+    s.lattices.forget()
+    assert [s.sample(t, 4, 3) for t in texts] == alone
+    s.lattices.forget()
+    words = s.words(texts[0])
+    s.numbers([words])
+    assert len(s.lattices.view("node")) == len({w[i:] for w in words for i in range(len(w))})
+
+
 class Rows:
     """Stands for a table, to run in this process what its tasks would run."""
 
