@@ -111,3 +111,12 @@ def test_ngrams_are_counted_once(spark):
     rows = spark.createDataFrame([("a", "x y", 9), ("b", "x y", 1), ("b", "u v", 7)], "genre string, ngram string, freq long")
     got = describe.distinctive(rows.mapInArrow(counted, rows.schema)).collect()
     assert made.value == 3 and sorted(r.ngram for r in got) == ["u v", "x y"]
+
+
+def test_position_templates_of_blank_texts(spark):
+    """A text without lines has no opening; it failed at the first line of an empty array."""
+    rows = [("en", None), ("en", ""), ("fr", " \n\t "), ("fr", "<RULING>"), ("de", "one two three four\nfive six"), ("de", "x"), (None, "a b\nc d")]
+    for n in (1, 7):  # also where blank texts alone are in a task
+        df = spark.createDataFrame(rows, "lang string, text string").repartition(n)
+        got = {(r.genre, r.place, r.template, r.n) for r in describe.position_templates(df, "lang", "text").collect()}
+        assert got == {("de", "opening", "one two three", 1), ("de", "closing", "five six", 1), ("de", "opening", "x", 1), (None, "opening", "a b", 1), (None, "closing", "c d", 1)}
