@@ -1,10 +1,13 @@
 """Queries against DuckDB on tables with odd rows, and the steps of whole jobs."""
 
+import random
 import shutil
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tabulon.operators import describe, sampling
 from tabulon.plans import catalog
 
 from .conftest import DATA
@@ -21,3 +24,29 @@ def test_template_catalog_of_blank_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     ours = plain(catalog.queries()["template_catalog"](spark, str(tmp_path)).toPandas())
     pd.testing.assert_frame_equal(ours, plain(con.execute(catalog.oracle_sql()["template_catalog"]).df()), check_dtype=False)
+
+
+def _texts(spark):
+    rng = random.Random(4)
+    docs = [(g, k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 90)))) for g, n in (("a", 60), ("b", 25), (None, 30), ("one", 22)) for k in range(n)]
+    docs += [("a", 70, None), ("b", 71, "<RULING> \n <unk>"), ("b", 72, " \t")]
+    return spark.createDataFrame([(g, k * 3, t if g != "one" else "w " * 60) for g, k, t in docs], "lang string, doc_id long, text string").repartition(5)
+
+
+def test_block_types_are_those_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", 64)
+    df = _texts(spark)
+    stream, texts = describe.token_stream(df, "lang", "doc_id", "text"), describe.token_texts(df, "lang", "doc_id", "text")
+    for length in (None, 100):
+        ours = describe.block_types(texts, sampling.draws(texts, "genre", 9, F.sum("n"), length)).collect()
+        rows = sampling.blocks(stream, "genre", "seq", 9, length).groupBy("genre", "rep", "token").agg(F.count("*").alias("freq")).collect()
+        assert len(ours) == len(rows) and {(r.genre, r.rep, r.token, r.freq) for r in ours} == {(r.genre, r.rep, r.token, r.freq) for r in rows}
+
+
+def test_zipf_of_counts_is_that_of_ranked_types(spark, monkeypatch):
+    monkeypatch.setattr(describe, "RANKS", 7)
+    tokens = describe.token_stream(_texts(spark), "lang", "doc_id", "text").withColumn("token", F.when(F.col("genre") == "b", (F.col("seq") % 6).cast("string")).otherwise(F.col("token")))
+    ranked = describe.spectrum(tokens.where("genre <> 'b' OR seq < 600"))
+    theirs = {r.genre: r for r in describe.zipf(ranked).collect()}
+    ours = {r.genre: r for r in describe.zipf_of_counts(ranked.groupBy("genre", "freq").agg(F.count("*").alias("types")), ["genre"]).collect()}
+    assert ours == theirs and ours["one"].exponent is None and ours["b"].r2 == 1 and ours["a"].exponent > 0
