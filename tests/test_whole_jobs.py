@@ -50,3 +50,8 @@ def test_zipf_of_counts_is_that_of_ranked_types(spark, monkeypatch):
     theirs = {r.genre: r for r in describe.zipf(ranked).collect()}
     ours = {r.genre: r for r in describe.zipf_of_counts(ranked.groupBy("genre", "freq").agg(F.count("*").alias("types")), ["genre"]).collect()}
     assert ours == theirs and ours["one"].exponent is None and ours["b"].r2 == 1 and ours["a"].exponent > 0
+
+
+def test_zipf_length_control_has_all_draws(spark):
+    """It had five draws of 25."""
+    assert {r.draws for r in catalog.queries()["zipf_length_control"](spark, DATA).collect()} == {25}
