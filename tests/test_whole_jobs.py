@@ -4,10 +4,11 @@ import random
 import shutil
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tabulon.operators import describe, sampling
+from tabulon.operators import describe, powerlaw, sampling
 from tabulon.plans import catalog
 
 from .conftest import DATA
@@ -55,3 +56,15 @@ def test_zipf_of_counts_is_that_of_ranked_types(spark, monkeypatch):
 def test_zipf_length_control_has_all_draws(spark):
     """It had five draws of 25."""
     assert {r.draws for r in catalog.queries()["zipf_length_control"](spark, DATA).collect()} == {25}
+
+
+def test_power_law_that_begins_beyond_forty_values():
+    """Uneven up to 60, a power law from there on: only the first forty values were tried."""
+    low, high = np.arange(2, 60), np.arange(60, 10_060)
+    law = high.astype(float) ** -2.5
+    values, counts = np.append(low, high), np.append(np.where(low % 7 == 0, 3000, 200), np.random.default_rng(5).multinomial(40_000, law / law.sum()))
+    values, counts = values[counts > 0], counts[counts > 0]
+    x_min, alpha, ks, tail = powerlaw.fit(values, counts)
+    assert 55 < x_min < 70 and abs(alpha - 2.5) < 0.02 and tail == counts[values >= x_min].sum()
+    every = [(powerlaw._ks(values[values >= m], counts[values >= m], m, powerlaw._alpha(values[values >= m], counts[values >= m], m)), m) for m in values.tolist() if counts[values >= m].sum() >= 50]
+    assert len(every) > 200 and (ks, x_min) == min(every)
