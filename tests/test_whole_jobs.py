@@ -1,14 +1,17 @@
 """Queries against DuckDB on tables with odd rows, and the steps of whole jobs."""
 
+import hashlib
 import random
 import shutil
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tabulon.operators import describe, powerlaw, sampling
+from tabulon.functions.hashes import md5_heads
+from tabulon.operators import describe, permutation, powerlaw, sampling
 from tabulon.plans import catalog
 
 from .conftest import DATA
@@ -68,3 +71,36 @@ def test_power_law_that_begins_beyond_forty_values():
     assert 55 < x_min < 70 and abs(alpha - 2.5) < 0.02 and tail == counts[values >= x_min].sum()
     every = [(powerlaw._ks(values[values >= m], counts[values >= m], m, powerlaw._alpha(values[values >= m], counts[values >= m], m)), m) for m in values.tolist() if counts[values >= m].sum() >= 50]
     assert len(every) > 200 and (ks, x_min) == min(every)
+
+
+@pytest.mark.parametrize("prefix", [b"", b"42|3|user|", b"x" * 50, b"y" * 55, b"z" * 63, b"k" * 64, "qé".encode() * 70])
+def test_hashes_over_arrays(prefix):
+    for low, high in ((0, 1200), (9_999_990, 10_000_050), (5, 5)):
+        assert md5_heads(prefix, low, high).tolist() == [int(hashlib.md5(prefix + b"%d" % i).hexdigest()[:8], 16) for i in range(low, high)]
+
+
+def _interval(values, name, reps):
+    means = []
+    for rep in range(reps):
+        at = [int(int(hashlib.md5(f"42|{rep}|{name}|{i}".encode()).hexdigest()[:8], 16) / 4294967296.0 * len(values)) for i in range(len(values))]
+        known = [values[i] for i in at if values[i] is not None]
+        means.append(sum(known) / len(known))
+    return [round(float(x), 6) for x in np.quantile(means, (0.025, 0.975))]
+
+
+def test_bootstrap_draws_of_parts(spark, monkeypatch):
+    """Values come in several rows, and draws are hashed again for each part that is held; nulls are drawn and not counted."""
+    rng = random.Random(8)
+    rows = [(g, k, None if k % 11 == 0 else rng.randint(1, 900)) for g, n in (("a", 130), ("bé", 61)) for k in range(n)] + [(None, 1, 5)]
+    for name, size in (("VALUES", 8), ("HELD", 40), ("PLACES", 50), ("BOOTSTRAPS", 7)):
+        monkeypatch.setattr(permutation, name, size)
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(3)
+    got = {r.g: [r.low, r.high] for r in permutation.bootstrap_ci(df, ["g"], "k", "v", 60).collect()}
+    assert got == {g: _interval([v for h, _, v in rows if h == g], g, 60) for g in ("a", "bé")}
+
+
+def test_bootstrap_has_all_draws(spark):
+    """It had 30 draws of 10,000."""
+    rows = spark.read.parquet(f"{DATA}/conversations.parquet").where("role = 'system'").orderBy("conv_id", "turn").select(F.length("text")).collect()
+    got = next(r for r in catalog.queries()["bootstrap_ci"](spark, DATA).collect() if r.role == "system")
+    assert [got.low, got.high] == _interval([r[0] for r in rows], "system", 10_000)
