@@ -197,3 +197,29 @@ def test_solvers_against_all_cuts(spark):
             plain = _plain_solution(method, lines, vectors, marks, k, G.MIN_TOKENS, 1.0, 42, i) if k > 1 and len(lines) > 1 else []
             # of several optima up to rounding any is right
             assert list(got[i].cuts) == plain or list(got[i].cuts) in plain, (method, i, plain, got[i])
+
+
+def test_archives_read_a_row_a_member(spark, tmp_path, monkeypatch):
+    """Lemmas leave the reader as columns, many at a time; with ``texts`` a member is a row, whose lemmas need not be grouped again."""
+    rows = [(k, p, i, f"f{k}{p}{i}", None if i else "c\"f", None if i == 1 else "gw") for k in (1, 2, 7, 2001) for p in (0, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, pos int, i int, form string, cf string, gw string")
+    nested = df.groupBy("id").agg(F.collect_list(F.struct("pos", "i", "form", "cf", "gw")).alias("words"))
+    for at, tokens in (("rows", df), ("words", nested)):
+        archives.write_archives(tokens, str(tmp_path / at)).count()
+        path = str(tmp_path / at / "*.zip")
+        flat = archives.lemma_archives(spark, path, ordered=True).select("archive", "member", "pnum", "line_no", "tok_no", "form", "cf", "gw", "pos").collect()
+        texts = archives.lemma_archives(spark, path, ordered=True, texts=True).collect()
+        assert sorted(map(tuple, flat), key=str) == sorted(((t.archive, t.member, t.pnum, *w) for t in texts for w in t.words), key=str)
+        assert sorted((r.pnum, r.line_no, r.tok_no, r.form, r.cf, r.gw) for r in flat) == sorted((f"P{k:06}", p // 2, p // 2 * 3 + i, f, c, g) for k, p, i, f, c, g in rows)
+    reader = archives._Reader({"path": path, "ordered": "true", "texts": "true"})
+    monkeypatch.setattr(archives, "ROWS", 12)
+    assert [b.num_rows for s in reader.partitions() for b in reader.read(s)] == [2, 1, 1]
+
+
+def test_readings_of_texts_are_those_of_tokens(spark):
+    toks = [(f"t{t}", i // 4, i, f"{i % 3 + 1}(diš)" if (i * 7 + t) % 3 == 0 else None if i % 11 == 5 else ("x", "y", "mu-kam", "1/2(diš)")[i // 4 % 4], ("udu", None, "x", "y")[(i + t) % 4], ("sheep", None, "Ox", None, "kid", "x", "month")[(i + 3 * t) % 7]) for t in range(16) for i in range(t)]
+    df = spark.createDataFrame(toks, "pnum string, line_no int, tok_no int, form string, cf string, gw string")
+    texts = df.groupBy("pnum").agg(F.array_sort(F.collect_list(F.struct("tok_no", "line_no", "form", "cf", "gw"))).alias("words"))
+    for f in (ledger.gold_counts, ledger.gold_counts_ahead):
+        got = sorted(map(tuple, f(texts).collect()))
+        assert got and got == sorted(map(tuple, f(df).collect()))
