@@ -124,3 +124,19 @@ def test_a_text_is_shuffled_once_for_all_replicates(spark):
     chunks = spark.createDataFrame(rows, "genre string, doc long, tokens array<string>, lens array<int>")
     null = permutation.overlap_null(chunks, "A", 1000, hashed=False)
     assert "explode" not in null._jdf.queryExecution().toString().lower() and null.count() == 1000
+
+
+def test_streams_of_texts_are_those_of_tokens(spark, monkeypatch):
+    """Rows of texts give the ratios and blocks that rows of tokens give, with fewer rows in the shuffle; packs stay small."""
+    monkeypatch.setattr(sampling, "BLOCK", 64)
+    monkeypatch.setattr(describe, "PACKED", 300)
+    df = _texts(spark)
+    stream, joined, texts = describe.token_stream(df, "lang", "doc_id", "text"), describe.joined_texts(df, "lang", "doc_id", "text"), describe.token_texts(df, "lang", "doc_id", "text")
+    assert joined.count() < stream.count() / 20
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(describe.zlib_ratio(joined, seq="k", piece=64)) == rows(describe.zlib_ratio(stream))
+    assert max(r.size for r in describe._packed(joined, ["genre"], "k", 64).collect()) < 300 + 2 * 200
+    drawn = sampling.draws(texts, "genre", 6, F.sum("n"), 100)
+    ours = describe.redundancy(describe.block_texts(texts, drawn), 3, by=["genre", "rep"], types=describe.block_types(texts, drawn))
+    theirs = describe.redundancy(sampling.blocks(stream, "genre", "seq", 6, 100), 3, by=["genre", "rep"])
+    assert rows(ours) == rows(theirs) and len(rows(ours)) > 12
